@@ -107,5 +107,13 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+
+
 def schema(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t), True) for n, t in fields])
+    """A schema from (name, type) pairs; ``array<...>`` of the plain types too.  Needs no session."""
+
+    def kind(t: str):
+        return T.ArrayType(kind(t[6:-1])) if t.startswith("array<") else _TYPES[t]
+
+    return T.StructType([T.StructField(n, kind(t), True) for n, t in fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, mixing, packing, quality, secret_scan
 from .common import table
 
 
@@ -15,12 +15,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, ratio))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("ids")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out())
+    rows = quality.score(docs, quality.train(docs, labels))
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_packing, op5_mixing, op6_quality, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

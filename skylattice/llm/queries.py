@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, packing, quality, secret_scan
+from . import exact_dedup, language, lm_scoring, mixing, packing, quality, secret_scan
 from .common import table
 
 
@@ -36,13 +36,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = lm_scoring.score(docs, held_out=lm_scoring.held_out())
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = language.predict(docs, language.train(docs.where(~language.held_out())))
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_packing, op5_mixing, op6_quality, op8_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_packing, op5_mixing, op6_quality, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

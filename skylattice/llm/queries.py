@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, lm_scoring, mixing, packing, quality, secret_scan
+from . import ann, exact_dedup, html_extract, language, lm_scoring, mixing, packing, quality, secret_scan
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, ratio))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.main_text(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("ids")
 
@@ -31,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -48,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_packing, op5_mixing, op6_quality, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op4_packing, op5_mixing, op6_quality, op7_nearest_neighbours, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, language, lm_scoring, mixing, packing, quality, secret_scan
+from . import ann, exact_dedup, html_extract, language, lm_scoring, mixing, ngram_join, packing, quality, secret_scan
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("ids")
 
@@ -57,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op4_packing, op5_mixing, op6_quality, op7_nearest_neighbours, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_ngram_join, op4_packing, op5_mixing, op6_quality, op7_nearest_neighbours, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ def pp_worst(series: DataFrame, keys: list[str] = []) -> DataFrame:
 
 def pp_band(spark, n: int, level: float = 0.95) -> DataFrame:
     """(k, low, high): interval of the k-th of n sorted uniform values, by the inverse beta function."""
-    import pandas as pd
-
     @vectorized("struct<low:double,high:double>")
     def band(k: pd.Series) -> pd.DataFrame:
         a = k.to_numpy(float)

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import angles, distance, gps
+import numpy as np
+
+from ..functions import angles, cosmology, distance, gps, signal
 from ..functions import index as ix
-from ..operators import credible, crossmatch, events, maps, moments, stats
+from ..operators import contours, credible, crossmatch, density, events, image, localize, maps, moments, simulate, stats, visibility
+from ..streaming import windows
 from .fixtures import FLAT, POINTS, SKY, distances, flat_map, points, sky_map, table, triggers
 
 QUERIES: dict = {}
@@ -377,3 +380,234 @@ def instrument_union(spark, sf_dir):
     return c.select("c_nationkey", gps.instruments_to_text("v").alias("instruments"))
 
 
+
+
+# --- maps with distance
+
+
+def _distance_map(spark, sf_dir):
+    """One map at order 1 with distance: cells weighed by customers."""
+    c = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 48).alias("ipix")).agg(F.sum(F.abs("c_acctbal")).alias("w"), (F.sum(F.round(F.abs("c_acctbal") * 100).cast("long")) / F.count(F.lit(1)) / 100).alias("m"))
+    total = c.agg(F.sum("w")).first()[0]
+    m = c.select((F.col("ipix") + 16).alias("uniq"), (F.col("w") / F.lit(total)).alias("prob"), distance.to_parameters(F.col("m"), F.col("m") * 0.25).alias("q"))
+    return m.select("uniq", "prob", (F.col("prob") / ix.uniq2pixarea("uniq")).alias("probdensity"), "q.distmu", "q.distsigma", "q.distnorm")
+
+
+@query("""SELECT c_custkey % 48 + 16 AS uniq, round(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100, 3) AS distmean, round(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100 * 0.25, 3) AS diststd FROM customer GROUP BY 1""")
+def moments_roundtrip(spark, sf_dir):
+    m = _distance_map(spark, sf_dir).withColumn("m", distance.to_moments("distmu", "distsigma"))
+    return m.select("uniq", F.round("m.distmean", 3).alias("distmean"), F.round("m.diststd", 3).alias("diststd"))
+
+
+@query()
+def distance_cdf(spark, sf_dir):
+    return _distance_map(spark, sf_dir).select("uniq", distance.conditional_cdf(F.lit(5000.0), "distmu", "distsigma", "distnorm").alias("cdf"), distance.conditional_ppf(F.lit(0.5), "distmu", "distsigma", "distnorm").alias("median"))
+
+
+@query()
+def marginal_distance(spark, sf_dir):
+    m = _distance_map(spark, sf_dir)
+    radii = [1000.0 * k for k in range(1, 12)]
+    return moments.marginal_pdf(m, radii).join(moments.marginal_cdf(m, radii), "r")
+
+
+@query()
+def distance_intervals(spark, sf_dir):
+    return crossmatch.distance_intervals(_distance_map(spark, sf_dir), [0.5, 0.9])
+
+
+@query()
+def principal_axes(spark, sf_dir):
+    return moments.principal_axes(_distance_map(spark, sf_dir))
+
+
+@query()
+def rasterize_distance(spark, sf_dir):
+    return maps.rasterize_distance(_distance_map(spark, sf_dir), 0)
+
+
+@query()
+def crossmatch_3d(spark, sf_dir):
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 628 / 100.0).alias("ra"), (F.col("s_suppkey") % 300 / 100.0 - 1.5).alias("dec"), (2000 + F.abs("s_acctbal") / 2).alias("distance"))
+    objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), n_r=99)
+    return objects
+
+
+@query()
+def contour_volumes(spark, sf_dir):
+    c = table(spark, sf_dir, "supplier").limit(0).select(F.col("s_suppkey").alias("id"), F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit(1.0).alias("distance"))
+    _, volumes = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), [0.5, 0.9], n_r=99)
+    return volumes
+
+
+@query()
+def volume_render(spark, sf_dir):
+    return image.volume_render(_distance_map(spark, sf_dir), 16, 12000.0, steps=40)
+
+
+# --- direction
+
+
+def _catalog(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 628 / 100.0).alias("ra"), F.asin((F.col("c_custkey") * 17 % 1999 - 999) / 1000.0).alias("dec"))
+
+
+def _density_map(spark, sf_dir):
+    m = sky_map(spark, sf_dir)
+    total = m.groupBy("map_id").agg(F.sum("w").alias("total"))
+    return m.join(F.broadcast(total), "map_id").select("map_id", "uniq", (F.col("w") / F.col("total") / ix.uniq2pixarea("uniq")).alias("probdensity"))
+
+
+@query()
+def searched_offset(spark, sf_dir):
+    hit = crossmatch.searched(_density_map(spark, sf_dir), crossmatch.catalog_points(_catalog(spark, sf_dir)), ["map_id"])
+    return hit.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.avg("offset").alias("offset"), F.avg("searched_area").alias("searched_area"), F.avg("searched_prob").alias("searched_prob"))
+
+
+@query(f"""WITH {GREEDY} SELECT map_id, round(max_by(pw + (100.0 * 768 / 41252.96124941928 - pu) * (cum_w - pw) / (cum_units - pu), -cum_units) / max(all_w), 9) AS prob
+    FROM (SELECT *, cum_w - w AS pw, cum_units - units AS pu FROM c) c WHERE cum_units >= 100.0 * 768 / 41252.96124941928 GROUP BY 1""")
+def area_probability(spark, sf_dir):
+    p = crossmatch.area_probs(_density_map(spark, sf_dir), [100.0], ["map_id"])
+    return p.select("map_id", F.round("prob", 9).alias("prob"))
+
+
+@query()
+def map_stats(spark, sf_dir):
+    return crossmatch.stats(_density_map(spark, sf_dir), None, [0.5, 0.9], [100.0], True)
+
+
+@query()
+def count_modes(spark, sf_dir):
+    f = flat_map(spark, sf_dir).where("w > 400000000")
+    return crossmatch.count_modes(f, 2, ["map_id"])
+
+
+@query()
+def flood_fill(spark, sf_dir):
+    return crossmatch.flood_fill(flat_map(spark, sf_dir).where("map_id = 0 AND w > 300000000"), 2, 100)
+
+
+@query()
+def smooth_ud_grade(spark, sf_dir):
+    f = flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob"))
+    return maps.smooth_ud_grade(f, 2, 3, ["map_id"])
+
+
+@query()
+def interpolate_nested(spark, sf_dir):
+    f = flat_map(spark, sf_dir).select("map_id", "ipix", F.floor(F.col("w") / 200000000).cast("double").alias("value"))
+    return maps.interpolate_nested(f, 2, ["map_id"])
+
+
+@query()
+def adaptive_grid(spark, sf_dir):
+    return maps.adaptive_grid(spark, lambda theta, phi: F.exp(-4 * (1 - F.cos(theta - 1) * F.cos(phi - 2))), 2, 3)
+
+
+@query()
+def contour_polygons(spark, sf_dir):
+    f = flat_map(spark, sf_dir).withColumn("uniq", F.col("ipix"))
+    return contours.polygons(credible.greedy_levels(f, "w", ["map_id"]).select("map_id", "ipix", "cls"), 2, [0.5, 0.9], ["map_id"])
+
+
+@query()
+def contour_geojson(spark, sf_dir):
+    return contours.geojson(contour_polygons(spark, sf_dir), ["map_id"])
+
+
+@query()
+def find_ellipse(spark, sf_dir):
+    return contours.find_ellipse(flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob")), 2, [0.5, 0.9], ["map_id"])
+
+
+@query()
+def reproject_image(spark, sf_dir):
+    return image.reproject(image.grid(spark, 60, 30, "MOL"), _density_map(spark, sf_dir).where("map_id = 0"), "probdensity")
+
+
+_SITES = [("north", -118.0, 34.0), ("south", -70.0, -30.0)]
+
+
+@query()
+def observability(spark, sf_dir):
+    sites = spark.createDataFrame(_SITES, "site string, longitude double, latitude double")
+    times = spark.range(6).select((1.5e9 + F.col("id") * 14400.0).alias("unix"))
+    return visibility.observability(_density_map(spark, sf_dir), sites, times, keys=["map_id"])
+
+
+@query()
+def airmass_percentiles(spark, sf_dir):
+    sites = spark.createDataFrame(_SITES, "site string, longitude double, latitude double")
+    times = spark.range(3).select((1.5e9 + F.col("id") * 14400.0).alias("unix"))
+    return visibility.airmass(_density_map(spark, sf_dir).where("map_id = 0"), sites, times)
+
+
+# --- generators
+
+
+def _samples(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(*[F.element_at("embedding", k).cast("double").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z"))])
+    ra, dec = angles.to_spherical(F.col("x") + 2, "y", "z")
+    return e.select(ra.alias("ra"), dec.alias("dec"), (100 * F.sqrt((F.col("x") + 2) ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("distance"))
+
+
+@query()
+def map_from_samples(spark, sf_dir):
+    return density.from_samples(_samples(spark, sf_dir), 200, top_order=2, rounds=2, max_k=2, trials=1)
+
+
+def _toy_events(spark, n: int = 2):
+    """Events of two detectors with smooth series, made from their number alone."""
+    t = (np.arange(61) - 30) / 512
+    rows = []
+    for k in range(n):
+        singles = []
+        for j, (loc, turn) in enumerate((([0.02, 0.0, 0.0], 0.0), ([0.0, 0.02, 0.005], 0.8 + 0.1 * k))):
+            s = (10 + j) * np.exp(-((t / 0.02) ** 2)) * np.exp(1j * (0.3 + j))
+            c, q = np.cos(turn), np.sin(turn)
+            r = np.array([[c, 0, q], [0, 1, 0], [-q, 0, c]])
+            d = r @ np.diag([0.5, -0.5, 0.0]) @ r.T
+            singles.append((f"D{j}", 400.0, d.ravel().tolist(), loc, 1e9 - 30 / 512 + 0.004 * j, 512.0, s.real.tolist(), s.imag.tolist()))
+        rows.append((str(k), singles))
+    return spark.createDataFrame(rows, "event_id string, singles array<struct<detector:string,horizon:double,response:array<double>,location:array<double>,epoch:double,rate:double,snr_re:array<double>,snr_im:array<double>>>")
+
+
+@query()
+def localize_events(spark, sf_dir):
+    return localize.localize(_toy_events(spark), top_order=1, rounds=1, n_psi=3, n_u=3)
+
+
+@query()
+def sample_events(spark, sf_dir):
+    return localize.sample_events(_toy_events(spark, 1), n_independent=20, n_burn=50, most_steps=100)
+
+
+@query()
+def inject_and_realize(spark, sf_dir):
+    reach = spark.createDataFrame([(1.0, 1.5, 1.0, 1.5, 1.0, 0.05), (1.5, 2.0, 1.0, 2.0, 2.0, 0.06)], "m1_low double, m1_high double, m2_low double, m2_high double, weight double, z_max double")
+    response = np.diag([0.5, -0.5, 0.0])
+    return simulate.realize(simulate.inject(spark, 20, reach, 7), [{"ifo": "D0", "response": response, "location": [0.02, 0, 0], "psd": signal.model_psd}])
+
+
+@query()
+def model_spectra(spark, sf_dir):
+    return simulate.model_spectra(spark, {"D0": 1.0, "D1": 1.5}, 32.0)
+
+
+@query()
+def cosmology_redshift(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1).alias("d"))
+    return c.select("c_custkey", cosmology.redshift("d").alias("z"), cosmology.volume_ratio("d").alias("ratio"))
+
+
+@query()
+def pp_band(spark, sf_dir):
+    return stats.pp_band(spark, 50)
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def trigger_rate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    w = windows.trigger_rate(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -29,6 +29,7 @@ from .common import crc32_of_id, in_slices, schema, spill
 DEPTH = 4
 END = 0xFF  # never a byte of UTF-8
 LN2 = math.log(2.0)
+SLICE = 2 << 20  # bytes of text that a worker holds at once
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -135,7 +136,7 @@ def gather(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
     """Counts over all documents of grams (in training, at all) and of the training words; b'' is the end."""
 
     def run(batches):
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, SLICE):
             train = np.array(batch.column(1).to_pylist(), bool)
             words, texts = Counter(), []
             for text, use in zip(batch.column(0).to_pylist(), train):
@@ -177,7 +178,7 @@ def frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
 class Table:
     """Values of 64-bit keys: a direct-mapped table, and a search for the keys that lost their slot."""
 
-    def __init__(self, key: np.ndarray, value: np.ndarray, bits: int = 20):
+    def __init__(self, key: np.ndarray, value: np.ndarray, bits: int = 19):
         order = np.argsort(key)
         self.key, self.value, self.bits = key[order], value[order], bits
         self.slot_key, self.slot_value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
@@ -204,7 +205,7 @@ class Table:
 _LOADED: dict = {}
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_grams: int = 1 << 19, head_words: int = 1 << 19, per_task: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_grams: int = 1 << 18, head_words: int = 1 << 17, per_task: int = 200_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``held_out``: a boolean Column of rows that are scored but not learnt from (null: learnt from).
@@ -268,7 +269,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             _LOADED[tag] = (Table(key, p), dict(zip(words, value.tolist())))
         table, value_of = _LOADED[tag]
         serial = TaskContext.get().partitionId() << 36
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, SLICE):
             texts, base, known, tokens, rest_word = [], [], [], [], []
             for k, text in enumerate(batch.column(0).to_pylist()):
                 own = normal(text)

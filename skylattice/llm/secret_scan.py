@@ -36,7 +36,7 @@ def _bigrams(token: str) -> Column:
     return F.transform(codes, lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(codes, i)) * 128 + c)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, backoff: float = 4.0) -> list[float]:
     """Log-likelihood ratio of each step, from rows (token, label); label 1 marks random strings.
 
     The counts are of two times 128 * 128 steps at most, whatever the number of rows.
@@ -48,12 +48,19 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     for label, step, n in steps:
         if label in (0, 1):
             count[label][step] += n
+    # a step is backed off to how often its character occurs at all
+    single = []
+    for label in (0, 1):
+        seen = [sum(count[label][c::128]) for c in range(128)]
+        single.append([(n + 0.5) / (sum(seen) + 0.5 * SYMBOLS) for n in seen])
     ratio = [0.0] * (128 * 128)
     for before in range(128):
         row = slice(before * 128, before * 128 + 128)
-        total = [sum(count[label][row]) + smoothing * SYMBOLS for label in (0, 1)]
+        total = [sum(count[label][row]) + backoff for label in (0, 1)]
         for step in range(row.start, row.stop):
-            ratio[step] = math.log((count[1][step] + smoothing) / total[1]) - math.log((count[0][step] + smoothing) / total[0])
+            after = step - row.start
+            random, ordinary = ((count[label][step] + backoff * single[label][after]) / total[label] for label in (1, 0))
+            ratio[step] = math.log(random) - math.log(ordinary)
     return ratio
 
 
@@ -104,8 +111,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold: float = 12.0, distinct: int = 8) -> DataFrame:
-    """``docs`` with base_spans and spans (array<struct<s start, k kind, e end>>, by start, kind).
+def scan(docs: DataFrame, ratio: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 12.0, distinct: int = 8) -> DataFrame:
+    """(id, text, base_spans, spans) of every row; spans are array<struct<s start, k kind, e end>>, by start, kind.
 
     A null text is empty and has no spans.  Markov spans are strings of ``CANDIDATE`` with at
     least ``distinct`` different characters (a row of one character is regular, not
@@ -124,7 +131,7 @@ def scan(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold:
         return (score(token) >= threshold) & (F.size(F.array_distinct(F.split(token, ""))) >= distinct)
 
     t = F.col("_t")
-    out = docs.withColumn("_t", text_of(text_col))
+    out = docs.select(F.col(id_col), F.col(text_col).alias("text"), text_of(text_col).alias("_t"))
     out = out.withColumn("_assign", F.when(t.rlike(ASSIGN), _located(t, ASSIGN, 0, lambda m: m.rlike(ASSIGN_PASSES))).otherwise(none))
     out = out.withColumn("_access", F.when(F.contains(t, F.lit("AKIA")), _located(t, ACCESS_LONG, 1, lambda m: F.lit(True))).otherwise(none))
     out = out.withColumn("_hex", F.when(t.rlike(HEX_LONG), _located(t, HEX_LONG, 2, lambda m: F.lit(True))).otherwise(none))

@@ -33,9 +33,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 #: Prior weights (logits) of words in element names, classes and identifiers.
 BOILERPLATE = frozenset("nav navbar navigation menu menubar header masthead banner footer aside sidebar side ad ads advert advertisement sponsor sponsored promo promotion cookie cookies consent notice popup modal overlay form search newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs related recommended recommendations trending widget pagination pager comment comments commentlist disqus reply replies respond copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
-CONTENT = frozenset("article main content post entry story body text articlebody maincontent".split())
-WIDTH = 1024  # hashed features
+CONTENT = frozenset("article main content post entry story text articlebody maincontent".split())
 _TEXT = 12  # features of the text itself
+#: Words with a prior have a weight of their own, all others share hashed ones.
+_KNOWN = {w: _TEXT + k for k, w in enumerate(sorted(BOILERPLATE | CONTENT))}
+HASHED = 4096
+WIDTH = len(_KNOWN) + HASHED
 
 
 class Block:
@@ -135,7 +138,7 @@ _HASHED: dict = {}
 def _feature(word: str) -> int:
     k = _HASHED.get(word)
     if k is None:
-        k = _HASHED[word] = _TEXT + zlib.crc32(word.encode()) % WIDTH
+        k = _HASHED[word] = _KNOWN.get(word) or _TEXT + len(_KNOWN) + zlib.crc32(word.encode()) % HASHED
     return k
 
 
@@ -157,7 +160,6 @@ def prior() -> np.ndarray:
         w[_feature(word)] = 2.5
     for word in BOILERPLATE:
         w[_feature(word)] = -6.0
-    w[_feature("body")] = 0.0
     return w
 
 

@@ -38,11 +38,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     drawn = mixing.mix(docs)
     copies = spill(drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")), "copies")
-    counted = docs.withColumn("_size", F.size(F.filter(F.split(text_of("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"))
-    same = counted["doc_id"].eqNullSafe(copies["doc_id"]) & counted["source"].eqNullSafe(copies["source"]) & (counted["_size"] == copies["size"])
+    words = F.size(F.filter(F.split(text_of("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words.alias("_size"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
     times = F.when(F.col("alike") == 1, F.col("copies")).otherwise(F.round(F.col("copies") / F.col("alike"))).cast("int")
-    taken = counted.join(copies.where("copies > 0"), same).select(*[docs[c] for c in docs.columns], times.alias("_times"))
-    return taken.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = rows.join(copies.where("copies > 0"), same).select("row", times.alias("_times")).where("_times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

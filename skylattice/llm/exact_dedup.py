@@ -84,10 +84,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # kept rows, and how many rows of the table look like each of them
     alike = rows.groupBy(F.col(id_col).alias("_id"), F.col("raw_hash").alias("_raw")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_alike"))
     alike = spill(alike.where("_kept").select("_id", "_raw", "_alike"), "kept")
-    keyed = docs.withColumn("_raw", F.xxhash64(text_of(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (keyed["_raw"] == alike["_raw"])
-    single = keyed.join(alike.where("_alike = 1"), match, "left_semi").drop("_raw")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"), F.xxhash64(text_of(text_col)).alias("_hash"))
+    match = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_raw"))
+    single = keyed.join(alike.where("_alike = 1"), match, "left_semi").select("row.*")
     if not alike.where("_alike > 1").head(1):
         return single
-    again = keyed.join(alike.where("_alike > 1"), match, "left_semi").dropDuplicates([id_col, "_raw"]).drop("_raw")
+    again = keyed.join(alike.where("_alike > 1"), match, "left_semi").dropDuplicates(["_own", "_hash"]).select("row.*")
     return single.unionByName(again)

@@ -125,42 +125,43 @@ def _bucket(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sketch(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """(documents of each hash bucket of shingles, documents of each set size up to 255), over all documents."""
-    out = schema(("kind", "int"), ("bucket", "int"), ("n", "long"))
+def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(documents: id, sid, n, bitmap; documents of each hash bucket of shingles), in one pass over all documents."""
+    out = schema(("id", "long"), ("sid", "long"), ("n", "int"), ("bitmap", "binary"), ("bucket", "int"), ("seen", "long"))
 
     def run(batches):
-        held, sizes = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(256, np.int64)
+        held = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in in_slices(batches):
-            doc, code = shingles(*utf8_column(batch.column(0)))
+            rows = batch.num_rows
+            doc, code = shingles(*utf8_column(batch.column(1)))
             held += np.bincount(_bucket(code), minlength=len(held))
-            sizes += np.bincount(np.minimum(255, np.bincount(doc, minlength=batch.num_rows)), minlength=256)
-        for kind, x in ((0, held), (1, sizes)):
-            some = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), pa.array(x[some])], out.names)
+            # parity of the shingles in each of 512 classes
+            bit = np.bincount(doc * BITMAP + (code & np.uint64(BITMAP - 1)).astype(np.int64), minlength=rows * BITMAP) & 1
+            bitmap = np.packbits(bit.reshape(rows, BITMAP).astype(np.uint8), axis=1)
+            size = np.bincount(doc, minlength=rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sid(doc, code, rows)), pa.array(size, pa.int32()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], out.names)
+        some = np.flatnonzero(held)
+        m = len(some)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())] + [pa.array(some, pa.int32()), pa.array(held[some])], out.names)
 
-    found = docs.select("text").mapInArrow(run, out).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    kind, bucket, n = (c.to_numpy() for c in found.columns)
+    both = spill(docs.select("id", "text").mapInArrow(run, out), "survey")
+    found = both.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("n")).toArrow()
     order = np.zeros(1 << SKETCH_BITS, np.uint32)
-    order[bucket[kind == 0]] = np.minimum(n[kind == 0], 2**32 - 1)
-    return order, dict(zip(bucket[kind == 1].tolist(), n[kind == 1].tolist()))
+    order[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return both.where("bucket is null").select("id", "sid", "n", "bitmap"), order
 
 
 def signatures(docs: DataFrame, order: np.ndarray, light: int) -> DataFrame:
-    """Rows of documents (key null: id, sid, n, bitmap) and of their keys (key, sid, n), in one pass."""
-    out = schema(("key", "long"), ("sid", "long"), ("n", "int"), ("id", "long"), ("bitmap", "binary"))
+    """(key, sid, n): the list entries and subsets of each document's set."""
+    out = schema(("key", "long"), ("sid", "long"), ("n", "int"))
     floor = int(least_overlap(light + 1))  # a set of this size can link with a heavy one
 
     def run(batches):
         for batch in in_slices(batches):
             rows = batch.num_rows
-            doc, code = shingles(*utf8_column(batch.column(1)))
+            doc, code = shingles(*utf8_column(batch.column(0)))
             sid = _sid(doc, code, rows)
             size = np.bincount(doc, minlength=rows)
-            # parity of the shingles in each of 512 classes
-            bit = np.bincount(doc * BITMAP + (code & np.uint64(BITMAP - 1)).astype(np.int64), minlength=rows * BITMAP) & 1
-            bitmap = np.packbits(bit.reshape(rows, BITMAP).astype(np.uint8), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.array(sid), pa.array(size, pa.int32()), batch.column(0), pa.array([b.tobytes() for b in bitmap], pa.binary())], out.names)
             if not len(doc):
                 continue
             ranked = np.lexsort((code, order[_bucket(code)], doc))
@@ -183,10 +184,9 @@ def signatures(docs: DataFrame, order: np.ndarray, light: int) -> DataFrame:
             keys, own = keys[pair], sid[owner][pair]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-            m = int(fresh.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), pa.array(own[fresh]), pa.array(size[owner][pair][fresh], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), pa.array(own[fresh]), pa.array(size[owner][pair][fresh], pa.int32())], out.names)
 
-    return docs.select("id", "text").mapInArrow(run, out)
+    return docs.select("text").mapInArrow(run, out)
 
 
 def _size_fits(small, large):
@@ -269,10 +269,12 @@ def lead(entries: DataFrame) -> DataFrame:
     return entries.select("key", "sid", "n").mapInArrow(run, _LISTED)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, per_leader: int = 512, most_broadcast: int = 400_000) -> DataFrame:
     """The pairs (a, b) of set identifiers that link, by intersecting whole sets.
 
-    ``sets`` has (sid, id, n, bitmap) with one document for each set.
+    ``sets`` has (sid, id, n, bitmap) with one document for each set.  The identifiers of the
+    documents to be read again are broadcast if there are at most ``most_broadcast``
+    entries, else texts are joined by a shuffle.
     """
     near = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba")), "a")
     near = near.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb")), "b")
@@ -286,32 +288,53 @@ def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(may_link(na, nb, differ)))
 
     near = spill(near.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sift, schema(("a", "long"), ("b", "long"))), "near")
-    needed = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct().join(sets.select("sid", "id"), "sid")
 
-    def sets_of(batches):
-        for batch in in_slices(batches, column="text"):
+    # every set goes to the leaders that it must meet; a leader of many is dealt to several tasks
+    salts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_leader).alias("_m"))
+    dealt = near.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_m")).alias("salt"))
+    member = dealt.select(F.col("b").alias("sid"), F.struct(F.col("a").alias("leader"), "salt", F.lit(1).alias("member")).alias("role"))
+    leader = dealt.select(F.col("a").alias("sid"), F.struct(F.col("a").alias("leader"), "salt", F.lit(0).alias("member")).alias("role")).distinct()
+    needed = member.unionByName(leader).groupBy("sid").agg(F.collect_list("role").alias("roles")).join(sets.select("sid", F.col("id").alias("_id")), "sid")
+    needed = spill(needed, "needed")
+    if needed.agg(F.sum(F.size("roles"))).first()[0] is None:
+        return near
+    if needed.agg(F.sum(F.size("roles") + 2)).first()[0] <= most_broadcast:
+        needed = F.broadcast(needed)
+    texts = docs.join(needed, F.col("id").eqNullSafe(F.col("_id"))).select("sid", "text", "roles")
+    row = schema(("leader", "long"), ("salt", "long"), ("member", "int"), ("sid", "long"), ("codes", "binary"))
+
+    def expand(batches):
+        for batch in in_slices(batches, 1 << 20, column="text"):
             rows = batch.num_rows
             doc, code = shingles(*utf8_column(batch.column(1)))
             edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows))])
-            right = pa.array(_sid(doc, code, rows) == batch.column(0).to_numpy())  # not another text of the same identifier
-            whole = pa.array([code[edge[k] : edge[k + 1]].tobytes() for k in range(rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), whole], ["sid", "codes"]).filter(right)
-
-    texts = docs.join(needed.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("sid", "text")
-    whole = spill(texts.mapInArrow(sets_of, schema(("sid", "long"), ("codes", "binary"))).dropDuplicates(["sid"]), "sets")
-    both = near.join(whole.select(F.col("sid").alias("a"), F.col("codes").alias("ca")), "a").join(whole.select(F.col("sid").alias("b"), F.col("codes").alias("cb")), "b")
+            right = _sid(doc, code, rows) == batch.column(0).to_numpy()  # else another text of the same identifier
+            for k, roles in enumerate(batch.column(2).to_pylist()):
+                if right[k]:
+                    whole = code[edge[k] : edge[k + 1]].tobytes()
+                    for i in range(0, len(roles), 64):
+                        some = roles[i : i + 64]
+                        n = len(some)
+                        yield pa.RecordBatch.from_arrays([pa.array([r["leader"] for r in some], pa.int64()), pa.array([r["salt"] for r in some], pa.int64()), pa.array([r["member"] for r in some], pa.int32()), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([whole] * n, pa.binary())], row.names)
 
     def check(batches):
+        own = codes = None
         for batch in batches:
-            if batch.num_rows:
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - common))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for leader, salt, member, sid, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(raw, np.uint64)
+                if not member:
+                    own, codes = (leader, salt), x
+                elif own == (leader, salt):
+                    common = len(np.intersect1d(x, codes, assume_unique=True))
+                    if common * DENOMINATOR >= NUMERATOR * (len(x) + len(codes) - common):
+                        found.append((leader, sid))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return both.select("a", "b", "ca", "cb").mapInArrow(check, schema(("a", "long"), ("b", "long")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = texts.mapInArrow(expand, row).repartition(tasks, "leader", "salt").sortWithinPartitions("leader", "salt", "member")
+    return met.mapInArrow(check, schema(("a", "long"), ("b", "long"))).distinct()
 
 
 def may_link(na, nb, differ):
@@ -392,16 +415,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order, histogram = sketch(plain)
-    light = boundary(histogram)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = signatures(plain, order, light)
-    # documents are few columns, keys are many rows: each is written once
-    both = spill(made, "signatures")
-    documents = both.where("key is null").select("id", "sid", "n", "bitmap")
+    documents, order = survey(plain)
+    sizes = documents.groupBy(F.least("n", F.lit(255)).alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).collect()
+    light = boundary({r.n: r.c for r in sizes})
     sets = spill(documents.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "sets")
-    entries = both.where("key is not null").select("key", "sid", "n")
-    tasks = max(shuffles, -(-entries.count() // rows_per_task))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = signatures(plain, order, light)
+    expected = sum(r.all * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 2 * r.c for r in sizes)
+    tasks = max(shuffles, -(-expected // rows_per_task))
     led = spill(lead(entries.repartition(tasks, "key").sortWithinPartitions("key", "n", "sid")), "lists")
     pairs = led.where("key is null").select("a", "b").distinct()
     links = spill(linked(plain, pairs, sets), "links")
@@ -425,4 +446,5 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class (its smallest identifier), all columns as they were."""
     kept = join_classes(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"))
+    return rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("row.*")

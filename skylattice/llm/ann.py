@@ -31,7 +31,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.size("v") == sizes[0][1]) if len(sizes) > 1 else rows
 
 
-def neighbours(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def neighbours(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """Indices of the ``k`` nearest other rows of each row, by blocks."""
     square = (x * x).sum(axis=1)
     out = np.empty((len(x), k), np.int64)

@@ -64,6 +64,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_ngram_join, op4_packing, op5_mixing, op6_quality, op7_nearest_neighbours, op8_exact_dedup, op9_lm_scoring, op10_language_id)}
 
 ORACLE_SQL = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d
+        ), e AS (
+            SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+        ), l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), r AS (
+            SELECT doc_id, doc_id AS seen FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen
+        )
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.seen) AS component_id FROM s JOIN r USING (doc_id) GROUP BY ALL
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

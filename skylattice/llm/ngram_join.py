@@ -193,18 +193,18 @@ def _size_fits(small, large):
     return small * DENOMINATOR >= large * NUMERATOR
 
 
-_LISTED = schema(("key", "long"), ("a", "long"), ("b", "long"), ("n", "int"))
+_LISTED = schema(("key", "long"), ("a", "long"), ("b", "long"), ("n", "int"), ("m", "int"))
 
 
 def lead(entries: DataFrame) -> DataFrame:
-    """Pairs (key null, a, b) of each set and the leader of its list, and the entries (key, a, -, n) of lists of three and more.
+    """Pairs (key null, leader a of size n, b of size m) of each list, and the entries (key, a, -, n) of lists of two and more.
 
     ``entries`` are dealt by key and sorted by key, n and sid.  Lists go by as a stream: of a list
     longer than a batch only the leader is held.
     """
 
     def pairs_of(key, sid, n, state):
-        """(leader sid of each row or -1, list rows, state after)"""
+        """(leader of each row, its size, state after)"""
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
         group = np.cumsum(fresh) - 1
@@ -226,7 +226,7 @@ def lead(entries: DataFrame) -> DataFrame:
             take = off
             leader_sid = np.where(take, sid[np.maximum(0, new[group])], leader_sid)
             leader_n = np.where(take, n[np.maximum(0, new[group])], leader_n)
-        return leader_sid, (key[-1], leader_sid[-1], leader_n[-1])
+        return leader_sid, leader_n, (key[-1], leader_sid[-1], leader_n[-1])
 
     def run(batches):
         held, state = None, None
@@ -237,19 +237,18 @@ def lead(entries: DataFrame) -> DataFrame:
             same[1:] = (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])
             key, sid, n = key[~same], sid[~same], n[~same]
             goes_on = state is not None and state[0] == key[0]
-            leader, state = pairs_of(key, sid, n, state)
+            leader, leader_n, state = pairs_of(key, sid, n, state)
             _, of, count = np.unique(key, return_inverse=True, return_counts=True)
             if goes_on:
                 count[of[0]] += 2
             real = leader != sid
-            pair = np.unique(np.stack([np.minimum(leader, sid)[real], np.maximum(leader, sid)[real]]), axis=1)
-            m = pair.shape[1]
+            m = int(real.sum())
             if m:
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.nulls(m, pa.int32())], _LISTED.names)
-            many = count[of] >= 3
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(leader[real]), pa.array(sid[real]), pa.array(leader_n[real], pa.int32()), pa.array(n[real], pa.int32())], _LISTED.names)
+            many = count[of] >= 2
             m = int(many.sum())
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(sid[many]), pa.nulls(m, pa.int64()), pa.array(n[many], pa.int32())], _LISTED.names)
+                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(sid[many]), pa.nulls(m, pa.int64()), pa.array(n[many], pa.int32()), pa.nulls(m, pa.int32())], _LISTED.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -269,16 +268,13 @@ def lead(entries: DataFrame) -> DataFrame:
     return entries.select("key", "sid", "n").mapInArrow(run, _LISTED)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, per_leader: int = 512, most_broadcast: int = 400_000) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, sift_first: bool, per_leader: int = 512, most_broadcast: int = 400_000) -> DataFrame:
     """The pairs (a, b) of set identifiers that link, by intersecting whole sets.
 
     ``sets`` has (sid, id, n, bitmap) with one document for each set.  The identifiers of the
     documents to be read again are broadcast if there are at most ``most_broadcast``
     entries, else texts are joined by a shuffle.
     """
-    near = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba")), "a")
-    near = near.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb")), "b")
-
     def sift(batches):
         for batch in batches:
             if batch.num_rows:
@@ -287,7 +283,12 @@ def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, per_leader: int =
                 differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
                 yield batch.select([0, 1]).filter(pa.array(may_link(na, nb, differ)))
 
-    near = spill(near.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sift, schema(("a", "long"), ("b", "long"))), "near")
+    near = pairs.select("a", "b")
+    if sift_first:
+        near = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba")), "a")
+        near = near.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb")), "b")
+        near = near.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sift, schema(("a", "long"), ("b", "long")))
+    near = spill(near, "near")
 
     # every set goes to the leaders that it must meet; a leader of many is dealt to several tasks
     salts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_leader).alias("_m"))
@@ -343,11 +344,26 @@ def may_link(na, nb, differ):
     return (differ * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR)) & _size_fits(np.minimum(na, nb), np.maximum(na, nb))
 
 
-def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and may link.
+def least_shared(na, nb, light: int):
+    """Column: how many keys two sets of sizes na, nb must share at least to link.
+
+    Of two prefixes, let that of x end first in the global order.  What x and y share is in both prefixes
+    or among the ceil(0.8 |x|) - 1 shingles of x behind its own; to link they share 4/9 (|x| + |y|) or more.  The
+    weaker bound is that of the larger set.  Two light sets share subsets instead, one at least.
+    """
+    small, large = F.least(na, nb), F.greatest(na, nb)
+    whole = DENOMINATOR + NUMERATOR
+    overlap = F.ceil((small + large) * NUMERATOR / whole)
+    bound = overlap - F.ceil(large * NUMERATOR / DENOMINATOR) + 1
+    return F.when(large > light, F.greatest(F.lit(1), bound)).otherwise(F.lit(1))
+
+
+def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, light: int, best: int | None, block: int = 2048, small: int = 64) -> DataFrame:
+    """Pairs (a, b) of different components that share lists and may link: of each set the ``best`` ones, or all (None).
 
     Lists of one component are done.  The others are compared block by block: a list of m blocks is
     dealt to m (m + 1) / 2 groups of at most about two blocks, so no group grows with a list.
+    Pairs that share too few lists are left out; with None the number of shared lists is exact.
     """
     labelled = lists.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m")).where("x <> y").select("key", "m")
@@ -356,7 +372,7 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, block: int =
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", "root", "bitmap")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-    out = schema(("a", "long"), ("b", "long"))
+    out = schema(("a", "long"), ("b", "long"), ("na", "int"), ("nb", "int"), ("differ", "int"))
 
     def compare(cell):
         own, a, n, root, bits = cell
@@ -368,28 +384,66 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, block: int =
             other = second[second > k] if j is i else second
             if not len(other):
                 continue
-            fits = (root[other] != root[k]) & _size_fits(np.minimum(n[other], n[k]), np.maximum(n[other], n[k]))
-            other = other[fits]
+            other = other[(root[other] != root[k]) & _size_fits(np.minimum(n[other], n[k]), np.maximum(n[other], n[k]))]
+            if not len(other):
+                continue
+            differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            fits = may_link(n[other], n[k], differ)
+            other, differ = other[fits], differ[fits]
+            if best is not None and len(other) > best:
+                top = np.lexsort((a[other], differ))[:best]
+                other, differ = other[top], differ[top]
             if len(other):
-                differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                other = other[may_link(n[other], n[k], differ)]
-                found.append(np.stack([np.minimum(a[other], a[k]), np.maximum(a[other], a[k])]))
-        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+                # from the smaller identifier to the larger, so that all lists name a pair alike
+                swap = a[other] < a[k]
+                found.append(np.stack([np.where(swap, a[other], a[k]), np.where(swap, a[k], a[other]), np.where(swap, n[other], n[k]), np.where(swap, n[k], n[other]), differ]))
+        return np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
 
     def run(batches):
         waiting = None
 
         def cells(columns):
-            edge = np.flatnonzero(np.any(columns[0][1:] != columns[0][:-1], axis=1)) + 1
-            for rows in np.split(np.arange(len(columns[0])), edge):
-                if len(rows) > 1:
-                    yield compare([c[rows] for c in columns[1:]])
+            place, own, a, n, root, bits = columns
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = np.any(place[1:] != place[:-1], axis=1)
+            start = np.flatnonzero(fresh)
+            size = np.diff(np.append(start, len(a)))
+            mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+            whole = np.minimum.reduceat(own, start) == np.maximum.reduceat(own, start)
+            short = mixed & whole & (size <= small)
+            # the pairs of all short cells at once: each row with those after it in its cell
+            rows = np.flatnonzero(np.repeat(short, size))
+            after = np.repeat(start + size, size)[rows] - rows - 1
+            for part in np.array_split(np.arange(len(rows)), max(1, int(after.sum()) // 200_000)):
+                left = np.repeat(rows[part], after[part])
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after[part]) - after[part], after[part])
+                fits = (root[left] != root[right]) & _size_fits(np.minimum(n[left], n[right]), np.maximum(n[left], n[right]))
+                left, right = left[fits], right[fits]
+                differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+                fits = may_link(n[left], n[right], differ)
+                left, right, differ = left[fits], right[fits], differ[fits]
+                swap = a[right] < a[left]
+                left, right = np.where(swap, right, left), np.where(swap, left, right)
+                yield np.stack([a[left], a[right], n[left], n[right], differ])
+            for k in np.flatnonzero(mixed & ~short):
+                rows = slice(start[k], start[k] + size[k])
+                yield compare([c[rows] for c in columns[1:]])
 
         def emit(columns):
-            found = [x for x in cells(columns) if x.shape[1]]
-            if found:
-                pair = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], out.names)
+            for x in cells(columns):
+                if x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), *(pa.array(x[k], pa.int32()) for k in (2, 3, 4))], out.names)
+
+        def together(found):
+            part, n = [], 0
+            for x in found:
+                part.append(x)
+                n += x.num_rows
+                if n > 50_000:
+                    yield from pa.Table.from_batches(part).combine_chunks().to_batches()
+                    part, n = [], 0
+            if part:
+                yield from pa.Table.from_batches(part).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
@@ -398,12 +452,16 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, block: int =
             waiting = now if waiting is None else [np.concatenate(x) for x in zip(waiting, now)]
             last = np.flatnonzero(np.any(waiting[0] != waiting[0][-1], axis=1))
             if len(last):
-                yield from emit([c[: last[-1] + 1] for c in waiting])
+                yield from together(emit([c[: last[-1] + 1] for c in waiting]))
                 waiting = [c[last[-1] + 1 :] for c in waiting]
         if waiting is not None:
-            yield from emit(waiting)
+            yield from together(emit(waiting))
 
-    return dealt.mapInArrow(run, out).distinct()
+    pairs = dealt.mapInArrow(run, out).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("differ").alias("differ"))
+    pairs = pairs.where(F.col("c") >= least_shared(F.col("na"), F.col("nb"), light))
+    if best == 1:
+        return pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("differ"), "a")).alias("a")).select("a", "b")
+    return pairs.select("a", "b")
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 1_500_000) -> DataFrame:
@@ -424,13 +482,19 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     expected = sum(r.all * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 2 * r.c for r in sizes)
     tasks = max(shuffles, -(-expected // rows_per_task))
     led = spill(lead(entries.repartition(tasks, "key").sortWithinPartitions("key", "n", "sid")), "lists")
-    pairs = led.where("key is null").select("a", "b").distinct()
-    links = spill(linked(plain, pairs, sets), "links")
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # first each set with the leader that it shares most lists with
+    counted = led.where("key is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("na"), F.first("m").alias("nb"))
+    counted = counted.where(F.col("c") >= least_shared(F.col("na"), F.col("nb"), light))
+    pairs = counted.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    edges = linked(plain, pairs, sets, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges)
-    more = spill(unfinished(led.where("key is not null").select("key", "a", "n"), roots, sets), "more")
-    if more.head(1):
-        rest = linked(plain, more, sets)
+    lists = led.where("key is not null").select("key", "a", "n")
+    # then between components: the best partner of each set, and at last all that may link
+    for best in (1, None):
+        more = spill(unfinished(lists, roots, sets, light, best), "more")
+        if not more.head(1):
+            continue
+        rest = linked(plain, more, sets, False)
         forest = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = components(forest.unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     placed = sets.select("sid", "id").join(roots.withColumnRenamed("node", "sid"), "sid")

@@ -381,7 +381,8 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, light: int,
         j = i if i.all() else ~i
         first, second = np.flatnonzero(i), np.flatnonzero(j)
         for k in first:
-            other = second[second > k] if j is i else second
+            # with a limit every set has a choice of its own; without, a pair is named once
+            other = second if j is not i else second[second != k] if best is not None else second[second > k]
             if not len(other):
                 continue
             other = other[(root[other] != root[k]) & _size_fits(np.minimum(n[other], n[k]), np.maximum(n[other], n[k]))]
@@ -460,7 +461,9 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, light: int,
     pairs = dealt.mapInArrow(run, out).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("differ").alias("differ"))
     pairs = pairs.where(F.col("c") >= least_shared(F.col("na"), F.col("nb"), light))
     if best == 1:
-        return pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("differ"), "a")).alias("a")).select("a", "b")
+        both = pairs.select("a", "b", "c", "differ").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "differ"))
+        own = both.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("differ"), "a")).alias("a"))
+        return own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.select("a", "b")
 
 
@@ -489,12 +492,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = linked(plain, pairs, sets, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges)
     lists = led.where("key is not null").select("key", "a", "n")
-    # then between components: the best partner of each set, and at last all that may link
-    for best in (1, None):
+    # then between components: the best partner of each set while that links more, at last all that may link
+    for best in (1, 1, 1, None):
         more = spill(unfinished(lists, roots, sets, light, best), "more")
         if not more.head(1):
+            break
+        rest = spill(linked(plain, more, sets, False), "rest")
+        if not rest.head(1):
             continue
-        rest = linked(plain, more, sets, False)
         forest = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = components(forest.unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     placed = sets.select("sid", "id").join(roots.withColumnRenamed("node", "sid"), "sid")

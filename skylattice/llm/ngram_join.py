@@ -363,7 +363,8 @@ def unfinished(lists: DataFrame, roots: DataFrame, sets: DataFrame, light: int,
 
     Lists of one component are done.  The others are compared block by block: a list of m blocks is
     dealt to m (m + 1) / 2 groups of at most about two blocks, so no group grows with a list.
-    Pairs that share too few lists are left out; with None the number of shared lists is exact.
+    Pairs that share too few lists are left out.  Only with None is the number of shared lists exact; with a limit it counts the lists
+    that name a pair, so links may be missed and an empty result proves nothing: a round with None must follow.
     """
     labelled = lists.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m")).where("x <> y").select("key", "m")
@@ -492,13 +493,15 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = linked(plain, pairs, sets, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges)
     lists = led.where("key is not null").select("key", "a", "n")
-    # then between components: the best partner of each set while that links more, at last all that may link
+    # then between components: the best partner of each set while that links more, at last, always, all that may link
+    idle = False
     for best in (1, 1, 1, None):
+        if idle and best is not None:
+            continue  # the same proposals again
         more = spill(unfinished(lists, roots, sets, light, best), "more")
-        if not more.head(1):
-            break
-        rest = spill(linked(plain, more, sets, False), "rest")
-        if not rest.head(1):
+        rest = spill(linked(plain, more, sets, False), "rest") if more.head(1) else None
+        idle = rest is None or not rest.head(1)
+        if idle:
             continue
         forest = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = components(forest.unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -136,6 +136,34 @@ def test_ngram_join_on_chains_and_hot_lists(spark):
     assert Counter(tuple(r) for r in ngram_join.join_classes(t).collect()) == classes(rows)
 
 
+def test_ngram_join_of_long_sets_in_long_lists(spark):
+    # bitmaps of sets this long are saturated, so of the 72 sets of a list any may look nearest;
+    # only 0 and 1 link, and share fewer lists as leaders or named pairs than a link needs
+    common = [f"c{k}" for k in range(5000)]
+    pair = [f"t{k}" for k in range(500)]
+    rows = [(i, " ".join(common + pair + [f"u{i}_{k}" for k in range(500)])) for i in range(2)]
+    rows += [(i, " ".join(common + [f"u{i}_{k}" for k in range(1000)])) for i in range(2, 72)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in ngram_join.join_classes(t).collect())
+    want = classes(rows)
+    assert sum(i != least for i, _, least in want) == 1
+    assert got == want
+
+
+def test_ngram_join_always_ends_with_the_exhaustive_round(spark, docs, monkeypatch):
+    real, asked = ngram_join.unfinished, []
+
+    def none_named(lists, roots, sets, light, best):
+        asked.append(best)
+        found = real(lists, roots, sets, light, best)
+        return found if best is None else found.limit(0)
+
+    monkeypatch.setattr(ngram_join, "unfinished", none_named)
+    got = Counter(tuple(r) for r in ngram_join.join_classes(docs).collect())
+    assert asked[-1] is None
+    assert got == classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_boundary_and_bitmap():
     assert ngram_join.boundary({10: 100}) >= 10
     assert ngram_join.boundary({500: 100}) < 100

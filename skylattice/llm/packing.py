@@ -136,20 +136,31 @@ def tokenizer(name: str):
     """(exact, quick): ids of a text by a public byte-level BPE; loaded once per process.
 
     ``name`` is that of the JSON file; the rank file of the same vocabulary beside it gives
-    the same ids several times faster.  Special tokens in a text are ordinary text.
+    the same ids several times faster.  The added tokens of the JSON file have their own ids in a text too.
     ``quick`` splits without the look-ahead for white space before white space and may be
     used where a text has no two adjacent white-space characters; there both agree.
     """
     if name not in _TOKENIZERS:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(public_tokenizers.path(name), "rb") as text:
+            added = json.load(text)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{name} has added tokens that depend on what is beside them")
+        special = {t["content"]: t["id"] for t in added}
+
+        def encoder(k, pattern):
+            e = tiktoken.Encoding(f"{name} {k}", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            return lambda text: e.encode(text, allowed_special="all") if any(t in text for t in special) else e.encode_ordinary(text)
+
         patterns = (public_tokenizers.PATTERN, public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
-        _TOKENIZERS[name] = tuple(tiktoken.Encoding(f"{name} {k}", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for k, p in enumerate(patterns))
+        _TOKENIZERS[name] = tuple(encoder(k, p) for k, p in enumerate(patterns))
     return _TOKENIZERS[name]
 
 

@@ -207,6 +207,21 @@ def test_packing_is_a_round_trip(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    import tokenizers
+
+    t = "<|endoftext|>"
+    texts = [f"abc{t}def", t, t + t, f"a {t} b", f"a  {t}  b\n\n{t}\n", f"é {t}😀 \u3000{t} ", "x <|endoftext| >", "<|endoftext", f"one\t {t[:-1]}{t}"]
+    plain = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).where("start = 0").collect()}
+    for k, text in enumerate(texts):
+        want = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert got[k].doc_tokens == len(want)
+        assert got[k].ids == want[: got[k].length] and got[k].ids_crc32 == zlib.crc32(np.array(want[: got[k].length], "<u4").tobytes())
+        assert packing.tokenizer("byte_bpe_50k.json")[0](text) == want[:-1]
+
+
 def test_packing_of_examples_keeps_all_limits(spark):
     rng = np.random.default_rng(0)
     rows = [(str(k), int(n), int(n * rng.random())) for k, n in enumerate(rng.integers(1, 900, 500))]

@@ -554,7 +554,7 @@ def _samples(spark, sf_dir):
 
 @query()
 def map_from_samples(spark, sf_dir):
-    return density.from_samples(_samples(spark, sf_dir), 200, top_order=2, rounds=2, max_k=2, trials=1)
+    return density.from_samples(_samples(spark, sf_dir))
 
 
 def _toy_events(spark, n: int = 2):

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from skylattice.functions import distance as D
 from skylattice.functions import gps
 from skylattice.functions import index as ix
-from skylattice.operators import credible, crossmatch, events, graph, maps, moments, stats
+from skylattice.operators import credible, crossmatch, density, events, graph, maps, moments, stats
+from skylattice.plans import queries
 from skylattice.sources import fits, tables
 
 
@@ -160,3 +162,17 @@ def test_stream(spark, tmp_path):
     q = localize_stream(alerts, str(tmp_path / "maps"), str(tmp_path / "failed"), str(tmp_path / "cp"), top_order=0, rounds=0, n_psi=2, n_u=2)
     q.awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "maps")).count() == 12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables aren't here")
+def test_map_from_samples_takes_all_samples_and_the_whole_search(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def fit(spark, points, max_k=40, trials=5, seed=0):
+        raise Asked(len(points), max_k, trials)
+
+    monkeypatch.setattr(density, "fit_clustered", fit)
+    with pytest.raises(Asked) as found:
+        queries.map_from_samples(spark, "/root/testdata/sf0.1")
+    assert found.value.args == (spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").count(), 40, 5)

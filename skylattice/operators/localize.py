@@ -239,7 +239,7 @@ def log_posterior(event: Event, prior, ra, sin_dec, distance, u, twopsi, t):
 
 
 def autocorrelation_length(x: np.ndarray, window: float = 5.0) -> float:
-    """Integrated autocorrelation time of a chain, averaged over walkers; x has (steps, walkers)."""
+    """Integrated autocorrelation time of a chain, averaged over walkers; x has (steps, walkers).  Infinite if the chain is too short to tell."""
     y = x - x.mean(axis=0)
     n = signal.ceil_pow_2(2 * len(y))
     f = np.fft.rfft(y, n, axis=0)
@@ -248,7 +248,7 @@ def autocorrelation_length(x: np.ndarray, window: float = 5.0) -> float:
         return 1.0
     tau = 2 * np.cumsum(acf / acf[0]) - 1
     m = np.arange(len(tau)) >= window * tau
-    return float(tau[np.argmax(m)] if m.any() else tau[-1])
+    return float(tau[np.argmax(m)]) if m.any() else math.inf
 
 
 def temper_ladder(dim: int, n: int, t_max: float = math.inf) -> np.ndarray:
@@ -266,15 +266,16 @@ def thermodynamic_evidence(betas: np.ndarray, mean_log_likelihood: np.ndarray) -
     return float(np.trapezoid(mean_log_likelihood[order], betas[order]))
 
 
-def sample(log_likelihood, low, high, n_independent: int = 200, n_temps: int = 4, n_walkers: int | None = None, n_burn: int = 200, seed: int = 0, most_steps: int = 4000):
+def sample(log_likelihood, low, high, n_independent: int = 200, n_temps: int = 10, n_walkers: int | None = None, n_burn: int = 500, seed: int = 0, most_steps: int | None = None):
     """Parallel-tempered stretch-move sampling within a box: (samples, log evidence).
 
-    Stops when the chain is ``n_independent`` autocorrelation lengths long, or at ``most_steps``.
+    Stops when the steps are ``n_independent`` autocorrelation lengths, so that at least as many rows of each walker are
+    kept.  Raises if that isn't reached within ``most_steps``, if given.
     """
     rng = np.random.default_rng(seed)
     low, high = np.asarray(low, float), np.asarray(high, float)
     d = len(low)
-    w = n_walkers or max(2 * d + 2, 16)
+    w = n_walkers or 4 * d
     w += w % 2
     beta = temper_ladder(d, n_temps)
     x = rng.uniform(low, high, (n_temps, w, d))
@@ -289,7 +290,7 @@ def sample(log_likelihood, low, high, n_independent: int = 200, n_temps: int = 4
 
     value, _ = evaluate(x)
     chain, heat = [], []
-    step = 0
+    step, next_look = 0, 64  # looks at ever longer chains, so that their cost per step is constant
     while True:
         for half in (slice(0, w // 2), slice(w // 2, w)):
             other = slice(w // 2, w) if half.start == 0 else slice(0, w // 2)
@@ -314,13 +315,17 @@ def sample(log_likelihood, low, high, n_independent: int = 200, n_temps: int = 4
         if step > n_burn:
             chain.append(x[0].copy())
             heat.append(np.where(np.isfinite(value), value, np.nan))
-        if step > n_burn and (step - n_burn) % 100 == 0:
+        last = len(chain) == most_steps
+        if len(chain) == next_look or last:
+            next_look = 2 * next_look + 64
             c = np.array(chain)
-            length = max(autocorrelation_length(c[:, :, k]) for k in range(d))
-            if len(c) * w >= n_independent * length or len(c) >= most_steps:
-                keep = c[:: max(1, int(length))].reshape(-1, d)
+            length = max(1, *(autocorrelation_length(c[:, :, k]) for k in range(d)))
+            if len(c) >= n_independent * length:
+                keep = c[:: int(length)].reshape(-1, d)
                 mean = np.nan_to_num(np.nanmean(np.array(heat), axis=(0, 2)))
                 return keep, thermodynamic_evidence(beta, mean)
+            if last:
+                raise RuntimeError(f"not converged: {len(c)} steps at an autocorrelation length of {length:.1f}, {n_independent} lengths wanted")
 
 
 CHAIN = "event_id:string,ra:double,dec:double,distance:double,inclination:double,polarization:double,time:double"

@@ -580,7 +580,7 @@ def localize_events(spark, sf_dir):
 
 @query()
 def sample_events(spark, sf_dir):
-    return localize.sample_events(_toy_events(spark, 1), n_independent=20, n_burn=50, most_steps=100)
+    return localize.sample_events(_toy_events(spark, 1))
 
 
 @query()

@@ -88,6 +88,14 @@ def test_sampler_and_ladder():
     assert localize.temper_ladder(4, 5)[0] == 1 and localize.temper_ladder(4, 5)[-1] == 0
 
 
+def test_sampler_is_as_long_as_asked_or_raises():
+    modes = lambda v: np.logaddexp(*(-0.5 * ((v - m) ** 2 / 0.001).sum(axis=1) for m in (0.2, 0.8)))
+    x, _ = localize.sample(modes, [0, 0], [1, 1])
+    assert len(x) >= 200 * 8 and abs((x[:, 0] < 0.5).mean() - 0.5) < 0.1
+    with pytest.raises(RuntimeError):
+        localize.sample(modes, [0, 0], [1, 1], most_steps=100)
+
+
 def test_no_detectors():
     with pytest.raises(ValueError):
         localize.Event([])

@@ -14,6 +14,7 @@ from ..functions import index as ix
 from ..functions.angles import angle_distance
 from .credible import DEG2, curve, interpolate
 from .graph import components
+from .prefix import cumulative_by_range
 
 
 def locate(points: DataFrame, cells: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -35,12 +36,13 @@ def locate(points: DataFrame, cells: DataFrame, keys: list[str] = []) -> DataFra
 def find_floor(values: DataFrame, ladder: DataFrame, key: str = "x") -> DataFrame:
     """(x, floor): index of the last rung of ``ladder`` (key, at) not above x; -1 below the first.
 
-    Rungs and values are merged in one sort and the last rung is carried on, an as-of join without a range join.
+    Rungs and values are merged by range, rungs are counted within each range and the totals of the ranges before it
+    are added: an as-of join without a range join and without a sort in one task.
     """
     rungs = ladder.select(F.col("at").alias(key)).withColumn("_rung", F.lit(1))
     both = values.withColumn("_rung", F.lit(0)).unionByName(rungs, allowMissingColumns=True)
-    count = F.sum("_rung").over(Window.orderBy(key, F.desc("_rung")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("floor", (count - 1).cast("long")).where("_rung = 0").drop("_rung")
+    out = cumulative_by_range(both, [], [F.col(key), F.desc("_rung")], {"_count": F.col("_rung")})
+    return out.where("_rung = 0").select(*values.columns, (F.col("_count") - 1).cast("long").alias("floor"))
 
 
 def catalog_points(catalog: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:

@@ -176,3 +176,20 @@ def test_map_from_samples_takes_all_samples_and_the_whole_search(spark, monkeypa
     with pytest.raises(Asked) as found:
         queries.map_from_samples(spark, "/root/testdata/sf0.1")
     assert found.value.args == (spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").count(), 40, 5)
+
+
+def test_find_floor_counts_in_many_tasks(spark):
+    rng = np.random.default_rng(2)
+    x, at = rng.integers(-50, 5000, 20_000), np.sort(rng.integers(0, 4500, 300))
+    values = spark.createDataFrame([(int(v), k) for k, v in enumerate(x)] + [(None, -1)], "x long, n long")
+    ladder = spark.createDataFrame([(int(v),) for v in at], "at long")
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so small a table is one task
+    try:
+        got = crossmatch.find_floor(values, ladder)
+        rows = got.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    want = np.searchsorted(at, x, "right") - 1
+    assert len(rows) == len(x) + 1 and all(r.floor == (want[r.n] if r.n >= 0 else -1) for r in rows)
+    assert len({r.task for r in rows}) > 1

@@ -429,20 +429,20 @@ def rasterize_distance(spark, sf_dir):
 @query()
 def crossmatch_3d(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 628 / 100.0).alias("ra"), (F.col("s_suppkey") % 300 / 100.0 - 1.5).alias("dec"), (2000 + F.abs("s_acctbal") / 2).alias("distance"))
-    objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), n_r=99)
+    objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c))
     return objects
 
 
 @query()
 def contour_volumes(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").limit(0).select(F.col("s_suppkey").alias("id"), F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit(1.0).alias("distance"))
-    _, volumes = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), [0.5, 0.9], n_r=99)
+    _, volumes = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), [0.5, 0.9])
     return volumes
 
 
 @query()
 def volume_render(spark, sf_dir):
-    return image.volume_render(_distance_map(spark, sf_dir), 16, 12000.0, steps=40)
+    return image.volume_render(_distance_map(spark, sf_dir), 16, 12000.0)
 
 
 # --- direction
@@ -575,7 +575,7 @@ def _toy_events(spark, n: int = 2):
 
 @query()
 def localize_events(spark, sf_dir):
-    return localize.localize(_toy_events(spark), top_order=1, rounds=1, n_psi=3, n_u=3)
+    return localize.localize(_toy_events(spark))
 
 
 @query()

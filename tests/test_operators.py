@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import distance as D
 from skylattice.functions import gps
 from skylattice.functions import index as ix
-from skylattice.operators import credible, crossmatch, density, events, graph, maps, moments, stats
+from skylattice.operators import credible, crossmatch, density, events, graph, image, localize, maps, moments, stats
 from skylattice.plans import queries
 from skylattice.sources import fits, tables
 
@@ -193,3 +193,13 @@ def test_find_floor_counts_in_many_tasks(spark):
     want = np.searchsorted(at, x, "right") - 1
     assert len(rows) == len(x) + 1 and all(r.floor == (want[r.n] if r.n >= 0 else -1) for r in rows)
     assert len({r.task for r in rows}) > 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("module, operator, names", [(crossmatch, "searched_volume", ["crossmatch_3d", "contour_volumes"]), (image, "volume_render", ["volume_render"]), (localize, "localize", ["localize_events"])])
+def test_queries_keep_the_grids_of_their_operators(spark, monkeypatch, module, operator, names):
+    asked = []
+    monkeypatch.setattr(module, operator, lambda *a, **options: asked.append(options) or (None, None))
+    for name in names:
+        getattr(queries, name)(spark, "/root/testdata/sf0.001")
+    assert asked == [{}] * len(names)

@@ -1,10 +1,15 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page becomes a row of text blocks with their element paths.  A logistic classifier
-gives every block a cost of each label; these are the capacities to the two terminals.
-Neighbouring blocks, and blocks near to each other in the document tree, are tied by
-smoothness edges.  The minimum cut, found by maximum flow, is the cheapest labelling;
-blocks on the side of the source are the content.
+A page becomes a row of text blocks with their element paths.  What the elements say of
+themselves settles some blocks (``seed``: within an article, within navigation, a footer,
+comments ...); these have capacities to a terminal that no cut outweighs.  Every other
+block has a classifier's costs as its terminal capacities.  Neighbouring blocks, and blocks
+near to each other in the document tree, are tied by smoothness edges.  The minimum cut, found
+by maximum flow, is the cheapest labelling; blocks on the side of the source are the content.
+
+The classifier has two views that teach each other.  Text, links and place in the page are
+learnt from the seeds, whose words are no features; words of classes and identifiers
+that no list knows are learnt from what the first view is sure of.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import about, in_slices, schema
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+SPACE = " \t\n\f\r"
+#: A tag without attribute values, by far the most frequent kind.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)([^<>\"'=]*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)")
+_ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*+(?:([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)[ \t\n\f\r]*+(?:(=)[ \t\n\f\r]*+(?:([\"'])|([^ \t\n\f\r>]*+)))?)?")
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content is never text of the page.
 HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select option textarea button audio video math".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -31,167 +40,348 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: Prior weights (logits) of words in element names, classes and identifiers.
-BOILERPLATE = frozenset("nav navbar navigation menu menubar header masthead banner footer aside sidebar side ad ads advert advertisement sponsor sponsored promo promotion cookie cookies consent notice popup modal overlay form search newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs related recommended recommendations trending widget pagination pager comment comments commentlist disqus reply replies respond copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
-CONTENT = frozenset("article main content post entry story text articlebody maincontent".split())
-_TEXT = 12  # features of the text itself
-#: Words with a prior have a weight of their own, all others share hashed ones.
-_KNOWN = {w: _TEXT + k for k, w in enumerate(sorted(BOILERPLATE | CONTENT))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements and roles that by their meaning aren't the article, and those that are.
+NOT_MAIN = frozenset("nav aside footer header form dialog menu address".split())
+MAIN = frozenset(("article", "main"))
+ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "alert": "dialog", "menu": "menu", "menubar": "menu", "article": "article", "main": "main"}
+#: Words of classes and identifiers that name what isn't the article, and words that name it.
+STRONG = frozenset("nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs recommended recommendations widget pagination pager comment comments commentlist disqus respond".split())
+WEAK = frozenset("header banner aside side related trending reply replies form search copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
+CONTENT = frozenset("article main content post entry story text articlebody maincontent body".split())
+_NEGATED = re.compile(r"^(?:has|with|no|without|not|is)[-_]", re.I)
+DEEPEST = 512  # elements below this depth hang there, as in browsers
+_TEXT = 16  # features of the text, its links and its place
 HASHED = 4096
-WIDTH = len(_KNOWN) + HASHED
+WIDTH = _TEXT + HASHED
+SURE = 1e6  # capacity of a settled block
 
 
-class Block:
-    __slots__ = ("text", "path", "names", "link", "parent", "hidden")
+class Element:
+    """A block element: its meaning (a name of NOT_MAIN or MAIN, or none), words, and whether it holds the page's core."""
+
+    __slots__ = ("name", "serial", "meaning", "words", "parent", "core")
+
+    def __init__(self, name, serial, meaning, words, parent):
+        self.name, self.serial, self.meaning, self.words, self.parent, self.core = name, serial, meaning, words, parent, False
+
 
-    def __init__(self, text, path, names, link, parent, hidden):
-        self.text, self.path, self.names, self.link, self.parent, self.hidden = text, path, names, link, parent, hidden
+class Block:
+    __slots__ = ("text", "path", "link")
+
+    def __init__(self, text, path, link):
+        self.text, self.path, self.link = text, path, link
+
+
+class _Scanner:
+    """Tags of a page, each character looked at a bounded number of times whatever the markup."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quote = {'"': -1, "'": -1}  # place of the next one, once asked
+
+    def _closing(self, mark: str, at: int) -> int:
+        """Place of the next ``mark`` from ``at``; the page's length if there is none."""
+        if self.quote[mark] < at:
+            k = self.page.find(mark, at)
+            self.quote[mark] = len(self.page) if k < 0 else k
+        return self.quote[mark]
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """(names with values, place behind the tag, closes itself) from behind a tag's name.
+
+        Unquoted values run to white space or >.  A quote that is never closed, or whose end is followed by
+        what can't follow a value while a > stands before it, was left open: the tag then ends at that >.
+        """
+        page, found, closes = self.page, [], False
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[1] is None:
+                closes = page[at - 1] == "/" if at else False
+                return found, min(at + 1, len(page)), closes
+            if m[3]:
+                end = self._closing(m[3], at)
+                stray = end == len(page) or (end + 1 < len(page) and page[end + 1] not in " \t\n\f\r/>")
+                stop = page.find(">", at, end) if stray else -1
+                if stop >= 0:
+                    found.append((m[1], page[at:stop]))
+                    return found, stop + 1, False
+                if end == len(page):
+                    found.append((m[1], page[at:]))
+                    return found, end, False
+                found.append((m[1], page[at:end]))
+                at = end + 1
+            elif m[2]:
+                found.append((m[1], m[4]))
+
+
+def _words(attributes) -> tuple[tuple[str, ...], str]:
+    """(words of class and identifier, meaning by role)"""
+    words, meaning = [], ""
+    for name, value in attributes:
+        name = name.lower()
+        if name in ("class", "id"):
+            for token in value.split():
+                if not _NEGATED.match(token):
+                    words += _WORD.findall(_CAMEL.sub(" ", token).lower())
+        elif name == "role":
+            meaning = ROLES.get(value.strip().lower(), "")
+    return tuple(dict.fromkeys(words)), meaning
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Text blocks of a page in order.  Unclosed and stray tags are met as browsers do, roughly; null has none."""
+    """Text blocks of a page in order.  Unclosed and stray tags are met as browsers do, roughly; null has none.
+
+    The time is linear in the page whatever its markup: broken tags and quotes aren't scanned
+    again, and elements are nested to a depth of ``DEEPEST`` at most.
+    """
     page = page or ""
-    stack: list[tuple[str, int, tuple]] = []  # (name, serial, words)
+    scan = _Scanner(page)
+    stack: list[tuple[str, Element | None]] = []  # (name, element of a block)
+    open_: Counter = Counter()
     out: list[Block] = []
     pieces: list[str] = []
     linked = serial = at = 0
     hidden = in_link = 0
+    size = len(page)
 
     def flush():
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                box = [s for s in stack if s[0] not in INLINE]
-                words = [w for s in box for w in s[2]]
-                out.append(Block(text, tuple(s[1] for s in box), words, min(1.0, linked / len(text)), box[-1][1] if box else 0, False))
+                out.append(Block(text, tuple(s[1] for s in stack if s[1] is not None), min(1.0, linked / len(text))))
             pieces.clear()
         linked = 0
 
-    while True:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not hidden:
+    def say(raw: str):
+        nonlocal linked
+        if raw and not hidden:
+            text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if in_link:
                 linked += len(text.strip())
-        if not m:
+
+    def drop(first: int):
+        nonlocal hidden, in_link
+        for name, _ in stack[first:]:
+            hidden -= name in HIDDEN
+            in_link -= name == "a"
+            open_[name] -= 1
+        del stack[first:]
+
+    begin = 0  # of the text not yet taken
+    while True:
+        less = page.find("<", at)
+        if less < 0 or less + 1 >= size:
+            say(page[begin:])
             break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        then = page[less + 1]
+        if then == "!" or then == "?" or (then == "/" and not page[less + 2 : less + 3].isalpha()):
+            say(page[begin:less])
+            if page.startswith("<!--", less):
+                end = less + 4 if page.startswith(">", less + 4) else page.find("-->", less + 4)
+                at = size if end < 0 else end + (1 if end == less + 4 and page[end] == ">" else 3)
+            else:
+                end = page.find(">", less)
+                at = size if end < 0 else end + 1
+            begin = at
             continue
+        if then != "/" and not then.isalpha():  # a lone < is text
+            at = less + 1
+            continue
+        m = _PLAIN.match(page, less)
+        if m:
+            closing, name, rest = m.groups()
+            attributes, behind, closes = (), m.end(), rest.endswith("/")
+        else:
+            m = _NAME.match(page, less)
+            if not m:  # a letter that no tag begins with
+                at = less + 1
+                continue
+            closing, name = m.groups()
+            attributes, behind, closes = scan.attributes(m.end())
+        say(page[begin:less])
+        at = begin = behind
         name = name.lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
-                if name not in INLINE and not hidden:
+        inline = name in INLINE
+        if closing:
+            if not open_[name]:
+                if not inline and not hidden:
                     flush()
                 continue
-            if any(s[0] not in INLINE for s in stack[depth:]) and name in INLINE:
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+            if inline and any(s[1] is not None for s in stack[depth:]):
                 # an inline end tag doesn't close the blocks around it
                 hidden -= name in HIDDEN
                 in_link -= name == "a"
+                open_[name] -= 1
                 del stack[depth]
                 continue
-            if name not in INLINE and not hidden:
+            if not inline and not hidden:
                 flush()
-            for s in stack[depth:]:
-                hidden -= s[0] in HIDDEN
-                in_link -= s[0] == "a"
-            del stack[depth:]
+            drop(depth)
             continue
-        if name not in INLINE:
+        if not inline:
             if not hidden:
                 flush()
             closed = CLOSES_ITSELF.get(name)
             if closed:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in closed:
-                        for s in stack[k:]:
-                            hidden -= s[0] in HIDDEN
-                            in_link -= s[0] == "a"
-                        del stack[k:]
+                        drop(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k][1] is not None:
                         break
         elif name == "br" and not hidden:
             pieces.append(" ")
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or closes:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{name}(?=[ \t\n\f\r/>])[^>]*+>?", re.I).search(page, at)
+            at = begin = end.end() if end else size
             continue
-        serial += 1
-        words = (name, *_WORD.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower())) if name not in INLINE else ()
-        stack.append((name, serial, words))
+        if len(stack) >= DEEPEST:
+            if stack[-1][0] in HIDDEN:
+                continue
+            drop(len(stack) - 1)
+        element = None
+        if not inline:
+            serial += 1
+            words, role = _words(attributes)
+            meaning = role or (name if name in NOT_MAIN or name in MAIN else "")
+            parent = next((s[1] for s in reversed(stack) if s[1] is not None), None)
+            element = Element(name, serial, meaning, () if name in ("html", "body") else words, parent)
+            if name == "h1" or meaning == "main":
+                up = parent
+                while up is not None and not up.core:
+                    up.core = True
+                    up = up.parent
+        stack.append((name, element))
+        open_[name] += 1
         hidden += name in HIDDEN
         in_link += name == "a"
     flush()
     return out
 
 
+def seed(block: Block) -> int:
+    """1: the article; -1: not the article; 0: unsettled.  The innermost element that says anything decides.
+
+    Elements that aren't the article by their meaning, or by a strong word of their class or identifier, settle all
+    that is in them, articles included, unless they hold the page's own main element or h1 (a wrapper).  Headings in the
+    header of an article belong to it.
+    """
+    said = 0
+    for k in range(len(block.path) - 1, -1, -1):
+        e = block.path[k]
+        if e.meaning in NOT_MAIN and not (e.core and e.meaning in ("form", "dialog", "menu")):
+            if e.meaning == "header" and any(x.name in HEADINGS for x in block.path[k:]) and any(x.meaning in MAIN for x in block.path[:k]):
+                continue
+            return -1
+        if not e.core and not STRONG.isdisjoint(e.words):
+            return -1
+        if e.meaning in MAIN and not said and WEAK.isdisjoint(e.words):
+            said = 1
+    return said
+
+
 _HASHED: dict = {}
 
 
 def _feature(word: str) -> int:
     k = _HASHED.get(word)
     if k is None:
-        k = _HASHED[word] = _KNOWN.get(word) or _TEXT + len(_KNOWN) + zlib.crc32(word.encode()) % HASHED
+        if len(_HASHED) > 200_000:
+            _HASHED.clear()
+        k = _HASHED[word] = _TEXT + zlib.crc32(word.encode()) % HASHED
     return k
 
 
-def features(block: Block) -> tuple[np.ndarray, list[int]]:
-    """(text features, hashed features of the element path)."""
+def features(found: list[Block], k: int) -> tuple[np.ndarray, list[tuple[int, float]]]:
+    """(features of text and place, hashed words of the path with their amounts) of block ``k`` of a page.
+
+    Words of the innermost element that has any count whole, those of each one farther out half as much.
+    """
+    block = found[k]
     text = block.text
     words = text.count(" ") + 1
     marks = sum(map(text.count, ".,;:!?"))
-    last = block.names and next((w for w in reversed(block.names) if w in ("p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "div")), "")
-    x = np.array([1.0, block.link, min(words, 100) / 50, words < 4, words < 12, words >= 25, marks / words, "©" in text, text.count("|") / words, last == "p", last in ("li", "td"), last in ("h1", "h2", "h3")], float)
-    return x, [_feature(w) for w in dict.fromkeys(block.names)]
+    last = next((e.name for e in reversed(block.path) if e.name in ("p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "div")), "")
+    around = [b for b in found[max(0, k - 1) : k + 2] if b is not block]
+    near = sum(min(b.text.count(" ") + 1, 100) * (1 - b.link) for b in around) / max(1, len(around)) / 50
+    place = (k + 0.5) / len(found)
+    x = np.array([1.0, block.link, min(words, 100) / 50, words < 4, words < 12, words >= 25, min(1.0, marks / words), "©" in text, text.count("|") / words, last == "p", last in ("li", "td"), last in ("h1", "h2", "h3"), near, place < 0.1, place > 0.9, len(found) == 1], float)
+    path, amount = [], 1.0
+    for e in reversed(block.path):
+        own = [w for w in e.words if w not in STRONG]
+        if own and amount > 0.05:
+            path += [(_feature(w), amount) for w in own]
+            amount /= 2
+    return x, path
 
 
 def prior() -> np.ndarray:
-    """Weights before training: what the names of elements and classes say, and plain facts on text."""
-    w = np.zeros(_TEXT + WIDTH)
-    w[:_TEXT] = (-0.3, -3.0, 0.8, -0.4, -0.2, 0.6, 1.0, -2.0, -1.0, 0.5, -0.5, 0.6)
-    for word in CONTENT:
-        w[_feature(word)] = 2.5
-    for word in BOILERPLATE:
-        w[_feature(word)] = -6.0
+    """Weights before training: plain facts on text, and what some words of classes and identifiers say."""
+    w = np.zeros(WIDTH)
+    w[:_TEXT] = (-0.5, -3.0, 0.8, -0.4, -0.2, 0.8, 1.0, -2.0, -1.0, 1.5, -0.5, 1.2, 0.5, 0.0, -0.3, 0.5)
+    for word in sorted(WEAK):
+        w[_feature(word)] = -2.5
+    for word in sorted(CONTENT):
+        w[_feature(word)] = 2.0
     return w
 
 
-def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows: int = 1000, epochs: int = 4, rate: float = 0.05, pull: float = 0.02) -> np.ndarray:
-    """Weights of the block classifier, fitted on about ``rows`` pages (a bounded sample by a hash of the key).
+def _logit(w: np.ndarray, x: np.ndarray, path) -> float:
+    """The text's part is held within 3, so that it can't outweigh several elements that agree."""
+    return float(np.clip(x @ w[:_TEXT], -3, 3) + sum(w[k] * a for k, a in path))
 
-    Labels are those that pages give themselves: blocks in an article or main element
-    without boilerplate around them, against blocks in navigation, footers and the like.  In half
-    of the steps a block's path is left out, so that its text must tell.  ``pull`` draws weights to the prior.
+
+def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows: int = 1000, per_page: int = 40, epochs: int = 4, rate: float = 0.05, pull: float = 0.02, sure: float = 1.5) -> np.ndarray:
+    """Weights of the block classifier, fitted on at most ``per_page`` blocks of about ``rows`` pages (a bounded sample by a hash of the key).
+
+    Pages are cut into blocks where they lie; only features of the sampled blocks, spread evenly over each page, come to the driver.  The
+    text's view is fitted to the settled blocks; the words' view to the blocks of which
+    the text's view is sure (a logit beyond ``sure``).  ``pull`` draws weights to the prior.
     """
-    some = about(pages.select(key, html_col), key, rows, "html").select(F.col(html_col).cast("string")).toArrow().column(0).to_pylist()
-    examples = []
-    for page in sorted(x or "" for x in some):
-        for block in blocks(page):
-            names = set(block.names)
-            good = bool(names & {"article", "main"}) and not names & BOILERPLATE
-            if good or names & BOILERPLATE:
-                examples.append((*features(block), good))
+    out = schema(("page", "long"), ("label", "int"), ("x", "array<double>"), ("words", "array<int>"), ("amounts", "array<double>"))
+
+    def describe(batches):
+        for batch in in_slices(batches):
+            for page in batch.column(0).to_pylist():
+                found = blocks(page)
+                some = range(len(found)) if len(found) <= per_page else np.unique(np.linspace(0, len(found) - 1, per_page).astype(int)).tolist()
+                got = [(seed(found[k]), *features(found, k)) for k in some]
+                if got:
+                    same = zlib.crc32((page or "").encode("utf-8", "replace"))
+                    yield pa.RecordBatch.from_arrays([pa.array([same] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64())), pa.array([[k for k, _ in g[2]] for g in got], pa.list_(pa.int32())), pa.array([[a for _, a in g[2]] for g in got], pa.list_(pa.float64()))], out.names)
+
+    some = about(pages.select(key, html_col), key, rows, "html").select(F.col(html_col).cast("string").alias("text"))
+    table = some.mapInArrow(describe, out).toArrow()
+    label = table.column("label").to_numpy()
+    x = np.array(table.column("x").to_pylist(), float).reshape(-1, _TEXT)
+    words = [list(zip(k, a)) for k, a in zip(table.column("words").to_pylist(), table.column("amounts").to_pylist())]
+    order = np.lexsort((*x.T, label, table.column("page").to_numpy()))  # whatever the order in which tasks end
     w0 = prior()
     w = w0.copy()
     rng = np.random.default_rng(0)
-    share = np.mean([g for *_, g in examples]) if examples else 0.5
+    settled = order[label[order] != 0]
+    good = label > 0
+    share = float(np.mean(good[settled])) if len(settled) else 0.5
     for _ in range(epochs):
-        for k in rng.permutation(len(examples)):
-            x, path, good = examples[k]
-            if rng.random() < 0.5:
-                path = []
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:_TEXT] + w[path].sum(), -20, 20)))
-            step = rate * (good - p) * (0.5 / max(0.05, share if good else 1 - share))
-            w[:_TEXT] += step * x - rate * pull * (w[:_TEXT] - w0[:_TEXT])
-            if path:
-                w[path] += step - rate * pull * (w[path] - w0[path])
+        for k in settled[rng.permutation(len(settled))]:
+            p = 1 / (1 + np.exp(-np.clip(x[k] @ w[:_TEXT], -20, 20)))
+            step = rate * (good[k] - p) * (0.5 / max(0.05, share if good[k] else 1 - share))
+            w[:_TEXT] += step * x[k] - rate * pull * (w[:_TEXT] - w0[:_TEXT])
+    said = x @ w[:_TEXT]
+    taught = [k for k in order if words[k] and abs(said[k]) > sure]
+    for _ in range(epochs if taught else 0):
+        for k in rng.permutation(taught):
+            at = np.array([i for i, _ in words[k]])
+            amount = np.array([a for _, a in words[k]])
+            p = 1 / (1 + np.exp(-np.clip(w[at] @ amount, -20, 20)))
+            w[at] += rate * ((said[k] > 0) - p) * amount - rate * pull * (w[at] - w0[at])
     return w
 
 
@@ -275,41 +465,52 @@ def min_cut(source: list[float], sink: list[float], edges: dict[tuple[int, int],
     return side
 
 
-def extract(page: str | None, w: np.ndarray, adjacent: float = 0.8, near: float = 0.8) -> list[Block]:
-    """The content blocks of a page.
+def costs(found: list[Block], w: np.ndarray, adjacent: float = 0.8, near: float = 0.8) -> tuple[list[float], list[float], dict[tuple[int, int], float]]:
+    """(capacities from the source, to the sink, between blocks) of a page.
 
     ``adjacent`` ties blocks that follow each other, less so the farther they lie apart in the document
-    tree; ``near`` ties a block to the one before it in the same parent's parent.
+    tree; ``near`` ties a block to the one before it in the same parent's parent.  On a page with an article, blocks that are in
+    none have to speak louder.
     """
-    found = blocks(page)
     source, sink, edges, last = [], [], {}, {}
+    settled = [seed(b) for b in found]
+    outside = -2.0 if 1 in settled else 0.0
     for k, block in enumerate(found):
-        x, path = features(block)
-        logit = float(x @ w[:_TEXT] + w[path].sum())
+        logit = settled[k] * SURE if settled[k] else outside + _logit(w, *features(found, k))
         source.append(max(0.0, logit))
         sink.append(max(0.0, -logit))
         if k:
             before = found[k - 1].path
             common = 0
             for a, b in zip(before, block.path):
-                if a != b:
+                if a is not b:
                     break
                 common += 1
             apart = len(before) + len(block.path) - 2 * common
             edges[k - 1, k] = adjacent / (1 + max(0, apart - 2))
-        box = block.path[-2] if len(block.path) > 1 else 0
+        box = block.path[-2].serial if len(block.path) > 1 else 0
         if box in last:
             pair = (last[box], k)
             edges[pair] = edges.get(pair, 0.0) + near
         last[box] = k
-    return [b for b, keep in zip(found, min_cut(source, sink, edges)) if keep]
+    return source, sink, edges
+
+
+def extract(page: str | None, w: np.ndarray) -> list[Block]:
+    """The content blocks of a page, those on the source's side of the minimum cut."""
+    found = blocks(page)
+    return [b for b, keep in zip(found, min_cut(*costs(found, w))) if keep]
 
 
 def main_text(pages: DataFrame, w: np.ndarray, key: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(key, kept columns, text) of every page; null, empty or textless pages give an empty text.
 
-    One pass over whole pages, without a shuffle; repeated rows give repeated results.
+    One pass over whole pages, without a shuffle.  Repeated rows give repeated results and an empty table none;
+    columns that aren't kept are ignored, one named ``text`` can't be kept.  Very long
+    and broken pages take time in proportion to their length.  A block as likely content as not is left out.
     """
+    if "text" in (key, *keep):
+        raise ValueError("the column text is the result's; rename the table's own to keep it")
     held = [key, *keep]
     plain = pages.select(*held, F.col(html_col).cast("string").alias("text"))
 

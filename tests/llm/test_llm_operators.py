@@ -429,35 +429,6 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score(none).count() == 0
 
 
-# --- HTML
-
-
-def test_html_extraction(spark):
-    article = "<article><h1>Title &amp; more</h1><p>First  paragraph\n with <b>bold</b> words, and some more of them here.<p>Second paragraph, which is also long enough to be content.</article>"
-    page = f"<html><head><title>x</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a>About us</a></li></ul></nav><!-- <p>gone</p> --><div class='cookie-notice'>We use cookies.</div>{article}<aside>Related things</aside><div id='comments'><p>First comment, a long one, by a reader of the page.</p></div><form><label>Mail</label><input></form><footer>&copy; us</footer></body></html>"
-    t = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (3, "u", ""), (4, "u", "<nav>only</nav>"), (5, "u", "<p>unclosed <b>text")], "page_id long, url string, html string")
-    w = html_extract.train(t)
-    got = {r.page_id: r.text for r in html_extract.main_text(t, w).collect()}
-    assert got[1] == "Title & more\n\nFirst paragraph with bold words, and some more of them here.\n\nSecond paragraph, which is also long enough to be content."
-    assert got[2] == got[3] == got[4] == ""
-    assert html_extract.main_text(t, w).count() == 6
-    assert html_extract.main_text(t.limit(0), w).count() == 0
-
-
-def test_minimum_cut_by_brute_force():
-    rng = np.random.default_rng(0)
-    for _ in range(200):
-        n = int(rng.integers(2, 8))
-        source, sink = rng.random(n) * 2, rng.random(n) * 2
-        edges = {(a, b): float(rng.random()) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5}
-
-        def cost(side):
-            return sum(sink[k] if side[k] else source[k] for k in range(n)) + sum(c for (a, b), c in edges.items() if side[a] != side[b])
-
-        best = min(cost([m >> k & 1 for k in range(n)]) for m in range(1 << n))
-        assert cost(html_extract.min_cut(source.tolist(), sink.tolist(), edges)) == pytest.approx(best)
-
-
 # --- nearest neighbours
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.llm import ann, exact_dedup, graph, html_extract, language, lm_scoring, mixing, ngram_join, packing, quality, secret_scan
+from skylattice.llm import exact_dedup, graph, language, lm_scoring, mixing, ngram_join, packing, quality, secret_scan
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -427,32 +427,3 @@ def test_lm_scoring(docs, none):
         assert any(r.base_score == pytest.approx(w[4]) for w in want[r.doc_id])
         assert r.score < 0 and s.score == pytest.approx(r.score) and s.base_score == pytest.approx(r.base_score) and s.n_known == r.n_known
     assert lm_scoring.score(none).count() == 0
-
-
-# --- nearest neighbours
-
-
-def test_nearest(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 16)) + rng.integers(0, 4, 1500)[:, None]
-    x[200:500] = x[200]
-    rows = [(k, [float(np.float32(v)) for v in x[k]]) for k in range(1500)]
-    rows += [(1500, None), (1501, [0.0] * 16), (1502, [float("nan")] * 16), (1503, [1.0] * 3), (1600, [float("inf")] + [0.0] * 15), (300, rows[300][1])]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = ann.nearest(t, sample=1000).collect()
-    x = np.array([r[1] for r in rows[:1500]])
-    by = defaultdict(list)
-    for r in got:
-        by[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(by) == set(range(0, 1500, 100))
-    hit = 0
-    for q, found in by.items():
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        best = np.lexsort((np.arange(1500), d))[:10]
-        found.sort()
-        assert [f[0] for f in found] == list(range(1, 11)) and q not in {f[1] for f in found}
-        assert all(s == pytest.approx(d[v]) for _, v, s in found)
-        hit += len({f[1] for f in found} & set(best.tolist()))
-    assert hit >= 0.9 * 10 * len(by)
-    assert ann.nearest(t.limit(0)).count() == 0

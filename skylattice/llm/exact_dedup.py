@@ -1,9 +1,11 @@
 """Exact dedup by a tree-merge of sorted digest runs (DataFrame operations only).
 
-Every input partition is a *run* of digests.  Runs are merged in rounds of
-``fan_in`` neighbours (the binomial tree of run numbers): in round k the runs with
-the same number // fan_in**k exchange their entries by digest and the sorted
-entries are merged, a digest keeping its count and its smallest candidate.  An
+Every input partition is a *run*: its digests, sorted and counted.  Runs are merged along the
+binomial tree of their numbers.  A level does log2(``fan_in``) binomial rounds at once: the runs
+whose numbers differ in the next bits only exchange their entries by ranges of digests, so a piece
+of the merged run (one range of one parent) meets in one place, is brought in order, and a
+streaming aggregate over the ordered entries merges equal digests, keeping their count and their smallest
+candidate.  Pieces are written in order, so what the next level's sorter gets are ordered stretches.  An
 entry's sort key is a 64-bit hash; two entries are one only if the SHA-256 of the
 normalised text agrees too, which verifies each merge at every level.
 
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import WHITESPACE_RE, spill, text_of
 
 _KEY = ["_hash", "_sha"]
+#: Digests of a piece, about, at the top of the tree.
+PIECE = 4096
 
 
 def leaf_run(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,23 +44,40 @@ def leaf_run(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spill(run.sortWithinPartitions("_run", *_KEY), "run")
 
 
+def merged(entries: DataFrame, bits: int, leaf: bool = False) -> DataFrame:
+    """Entries (_run, digest, _n, _best) of sorted runs, merged by run and digest; written in that order.
+
+    A piece is a run's range of digests: the upper ``bits`` of the hash.  The aggregate needs no exchange and
+    no sort of its own beyond the exchange by pieces and the order within them.  Rows of a ``leaf`` aren't distinct yet: they
+    are counted before they are exchanged.
+    """
+    dealt = entries.withColumn("_piece", F.shiftrightunsigned("_hash", 64 - bits))
+    if not leaf:
+        dealt = dealt.repartition("_run", "_piece").sortWithinPartitions("_run", "_piece", *_KEY)
+    out = dealt.groupBy("_run", "_piece", *_KEY).agg(F.sum("_n").alias("_n"), F.min("_best").alias("_best"))
+    return spill(out.drop("_piece"), "level")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256 and raw_hash.
+    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256, raw_hash and chars.
 
     Texts are equal when identical after deleting white space; a null text is empty.
     Of equal texts the row with the most code points stays, then the smallest
     identifier (a null identifier comes last), then, for repeated rows, one of them.
-    Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Other columns of ``docs`` are ignored, whatever their names; an empty table gives an empty result.  Very
+    long texts are read whole, but only digests are exchanged.  ``fan_in`` is a power of two.
     """
+    if fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("fan_in is a power of two")
     leaf = leaf_run(docs, id_col, text_col)
-    runs = (leaf.agg(F.max("_run")).first()[0] or 0) + 1
+    last, rows = leaf.agg(F.max("_run"), F.count(F.lit(1))).first()
+    runs = (last or 0) + 1
+    bits = max(12, (rows // PIECE).bit_length())
     best = F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    levels = [spill(leaf.groupBy("_run", *_KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(best).alias("_best")).sortWithinPartitions("_run", *_KEY), "level")]
+    levels = [merged(leaf.select("_run", *_KEY, F.lit(1).cast("long").alias("_n"), best.alias("_best")), bits, leaf=True)]
     while runs > 1:
         runs = -(-runs // fan_in)
-        parent = levels[-1].withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-        merged = parent.groupBy("_run", *_KEY).agg(F.sum("_n").alias("_n"), F.min("_best").alias("_best"))
-        levels.append(spill(merged.sortWithinPartitions("_run", *_KEY), "level"))
+        levels.append(merged(levels[-1].withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int")), bits))
     outcome = levels.pop().where("_n > 1").select("_run", *_KEY, F.col("_n").alias("_total"), F.col("_best").alias("_keep"))
     for level in reversed(levels):
         children = level.select("_run", *_KEY).withColumn("_parent", F.floor(F.col("_run") / fan_in).cast("int"))

@@ -7,7 +7,7 @@ of ``documents``; the last returns the packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm import exact_dedup, mixing, ngram_join, packing, quality
@@ -33,16 +33,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, also not at all.
 
-    Rows are found again by identifier, source and size; of several rows alike in all three
-    each takes an equal part of their copies.
+    Rows are found again by identifier, source and text.  Several rows alike in all three share their copies exactly,
+    the first ones taking the remainder; rows are numbered part by part, so that no group of them meets in one task.
     """
-    drawn = mixing.mix(docs)
-    copies = spill(drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")), "copies")
-    words = F.size(F.filter(F.split(text_of("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words.alias("_size"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
-    times = F.when(F.col("alike") == 1, F.col("copies")).otherwise(F.round(F.col("copies") / F.col("alike"))).cast("int")
-    taken = rows.join(copies.where("copies > 0"), same).select("row", times.alias("_times")).where("_times > 0")
+    units = mixing.draw(docs).where("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("alike").alias("_alike"), "m", "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_source"), F.xxhash64(text_of("text")).alias("_text"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_alike"))
+    taken = rows.join(units.where("m = 1"), same).select("row", F.col("copies").cast("int").alias("_times"))
+    if units.where("m > 1").head(1):
+        unit = ["_id", "_source", "_alike"]
+        several = rows.join(units.where("m > 1"), same).select("row", *unit, "m", "copies").withColumn("_part", F.spark_partition_id())
+        several = spill(several.withColumn("_at", F.monotonically_increasing_id()), "alike")
+        held = several.groupBy(*unit, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        start = held.select(*[F.col(c).alias(f"{c}2") for c in (*unit, "_part")], before.alias("_before"))
+        nth = F.row_number().over(Window.partitionBy(*unit, "_part").orderBy("_at")) - 1
+        on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in (*unit, "_part")]
+        numbered = several.withColumn("_nth", nth).join(start, on)
+        times = mixing.nth_copies(F.col("_nth") + F.col("_before"))
+        taken = taken.unionByName(numbered.select("row", times.cast("int").alias("_times")).where("_times > 0"))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 

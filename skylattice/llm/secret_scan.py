@@ -89,21 +89,64 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", key: str = "doc_id
     )
 
 
+SPANS = "array<struct<s:int,k:int,e:int>>"
+#: Spans that are appended one by one before they go to the list of full blocks, so that appending costs no copy of all.
+BLOCK = 64
+
+
+def _empty(kind: str) -> Column:
+    return F.from_json(F.lit("[]"), kind)
+
+
+def _appended(so_far, span, when) -> tuple[Column, Column]:
+    """(open block, full blocks) with ``span`` added where ``when``."""
+    longer = F.concat(so_far["open"], F.array(span))
+    full = F.size(so_far["open"]) >= BLOCK - 1
+    open_ = F.when(when, F.when(full, _empty(SPANS)).otherwise(longer)).otherwise(so_far["open"])
+    blocks = F.when(when & full, F.concat(so_far["full"], F.array(longer))).otherwise(so_far["full"])
+    return open_.alias("open"), blocks.alias("full")
+
+
+def _all(so_far) -> Column:
+    return F.concat(F.flatten(so_far["full"]), so_far["open"])
+
+
 def _located(text: Column, pattern: str, kind: int, passes) -> Column:
     """array<struct<s,k,e>> of the matches of ``pattern`` for which ``passes(match)``; code points."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.from_json(F.lit("[]"), "array<struct<s:int,k:int,e:int>>")
 
     def step(so_far, pair):
         start = so_far["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
         span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"))
-        found = F.when(F.coalesce(passes(pair["match"]), F.lit(False)), F.concat(so_far["out"], F.array(span))).otherwise(so_far["out"])
-        return F.struct(end.alias("at"), found.alias("out"))
+        return F.struct(end.alias("at"), *_appended(so_far, span, F.coalesce(passes(pair["match"]), F.lit(False))))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda x: x["out"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _empty(SPANS).alias("open"), _empty(f"array<{SPANS}>").alias("full")), step, _all)
+
+
+def _fresh(base: Column, markov: Column) -> Column:
+    """The Markov spans that overlap no base span: one pass over both lists, merged by start.
+
+    ``reach`` is the farthest end of a base span so far; a Markov span waits until the next span shows whether a base
+    span begins within it.
+    """
+    none = F.struct(F.lit(-1).alias("s"), F.lit(3).alias("k"), F.lit(-1).alias("e"))
+
+    def step(so_far, x):
+        is_base = x["k"] < 3
+        waits = so_far["wait"]["s"] >= 0
+        clear = waits & (x["s"] >= so_far["wait"]["e"])  # no later span can begin within what waits
+        wait = F.when(~is_base, F.when(x["s"] < so_far["reach"], none).otherwise(x)).when(clear, none).when(waits, none).otherwise(so_far["wait"])
+        reach = F.when(is_base, F.greatest(so_far["reach"], x["e"])).otherwise(so_far["reach"])
+        return F.struct(reach.alias("reach"), wait.alias("wait"), *_appended(so_far, so_far["wait"], clear))
+
+    def close(so_far):
+        return F.concat(_all(so_far), F.when(so_far["wait"]["s"] >= 0, F.array(so_far["wait"])).otherwise(_empty(SPANS)))
+
+    start = F.struct(F.lit(-1).alias("reach"), none.alias("wait"), _empty(SPANS).alias("open"), _empty(f"array<{SPANS}>").alias("full"))
+    return F.aggregate(F.array_sort(F.concat(base, markov)), start, step, close)
 
 
 def _joined(spans: Column) -> Column:
@@ -114,13 +157,14 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, ratio: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 12.0, distinct: int = 8) -> DataFrame:
     """(id, text, base_spans, spans) of every row; spans are array<struct<s start, k kind, e end>>, by start, kind.
 
-    A null text is empty and has no spans.  Markov spans are strings of ``CANDIDATE`` with at
+    A null text is empty and has no spans; repeated rows give repeated results, an empty table none; other columns
+    are ignored, whatever their names.  Very long texts are scanned whole, in time proportional to their length and spans.  Markov spans are strings of ``CANDIDATE`` with at
     least ``distinct`` different characters (a row of one character is regular, not
-    random) whose log-likelihood ratio is ``threshold`` or more; one that overlaps a base
+    random) whose log-likelihood ratio is ``threshold`` or more (a tie with it counts); one that overlaps a base
     span is left out.  Offsets count code points, the end is exclusive.
     """
     table = F.from_json(F.lit(str([round(x, 6) for x in ratio])), "array<double>")
-    none = F.from_json(F.lit("[]"), "array<struct<s:int,k:int,e:int>>")
+    none = _empty(SPANS)
 
     def score(token):
         codes = F.transform(F.split(token, ""), F.ascii)
@@ -138,7 +182,7 @@ def scan(docs: DataFrame, ratio: list[float], id_col: str = "doc_id", text_col:
     out = out.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
     out = out.withColumn("_any", F.exists(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), secret))
     out = out.withColumn("_markov", F.when(F.col("_any"), _located(t, CANDIDATE, 3, secret)).otherwise(none))
-    fresh = F.filter("_markov", lambda m: ~F.exists("base_spans", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    fresh = F.when(F.size("_markov") > 0, _fresh(F.col("base_spans"), F.col("_markov"))).otherwise(none)
     out = out.withColumn("spans", F.array_sort(F.concat("base_spans", fresh)))
     return out.drop("_t", "_assign", "_access", "_hex", "_any", "_markov")
 

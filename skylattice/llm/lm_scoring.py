@@ -163,16 +163,24 @@ def gather(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
 
 
 def frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
-    """The rows with the largest counts, ``most`` at most: all those above a bound read from a small histogram."""
+    """Rows with the largest counts, about ``most`` at most: those above a bound read from a small histogram of counts.
+
+    Of the step that would exceed ``most`` a share chosen by a hash of the key is taken, so that many equal counts don't leave the table empty.
+    """
     step = F.floor(F.log2(F.col(n_col)) * 8)
     steps = sorted(((r[0], r[1]) for r in counts.where(F.col(n_col) > 0).groupBy(step.alias("s")).count().collect()), reverse=True)
-    total, bound = 0, None
+    total, bound, share = 0, None, 0
     for s, n in steps:
-        total += n
-        if total > most:
-            break
         bound = s
-    return counts.where(F.lit(False)) if bound is None else counts.where((F.col(n_col) > 0) & (step >= bound))
+        if total + n > most:
+            share = int(0.9 * (most - total) / n * 65536)
+            break
+        share = 65536
+        total += n
+    if bound is None:
+        return counts.where(F.lit(False))
+    some = (step == bound) & (F.pmod(F.xxhash64(F.col(counts.columns[0])), F.lit(65536)) < share)
+    return counts.where((F.col(n_col) > 0) & ((step > bound) | some))
 
 
 class Table:
@@ -210,7 +218,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     ``held_out``: a boolean Column of rows that are scored but not learnt from (null: learnt from).
     A null or empty text has one token, the end.  Repeated rows count as often as they
-    occur and each gets its row.  Without training rows all decisions are even.
+    occur and each gets its row; other columns are ignored, whatever their names, and an empty table gives an empty result.
+    Very long texts are scored whole, one at a time.  Without training rows all decisions are even.
     ``head_grams`` and ``head_words`` bound what is broadcast; they change no result.
     """
     spark = docs.sparkSession
@@ -223,8 +232,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     # probabilities of all grams: levels 4 to 2 by their last two context bytes, levels 1 and 0 (bounded) on the driver
     tasks = max(1, -(-gram_counts.count() // per_task))
-    dealt = spill(gram_counts.repartition(tasks, F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF)), "grams")
-    by_suffix = dealt.repartition(tasks, F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF))
+    by_suffix = gram_counts.repartition(tasks, F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF))
 
     def whole(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, crc32_of_id, in_slices, schema, utf8_column
+from .common import crc32_of_id, in_slices, schema, utf8_column
 
 BITS = 13
 WIDTH = 1 << BITS
@@ -55,8 +55,9 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         code[wide] = np.where(first < 0xE0, (first & 0x1F) << 6 | one, np.where(first < 0xF0, (first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three))
     kind = _PLANE[0][np.minimum(code, 0xFFFF)]
     beyond = np.flatnonzero(code > 0xFFFF)
-    for k in beyond:  # rare scripts of the upper planes
-        kind[k] = code[k] if chr(code[k]).isalpha() else 0
+    if len(beyond):  # emoji and scripts of the upper planes: each distinct one is looked up once
+        found, of = np.unique(code[beyond], return_inverse=True)
+        kind[beyond] = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in found.tolist()], np.int64)[of]
     return kind, np.searchsorted(offsets, at, "right") - 1
 
 
@@ -180,14 +181,17 @@ def _chunks(batch, most: int = 256):
         yield batch.slice(start, most)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000, least: int = 100) -> LanguageModel:
     """Fit on the rows whose language is not null.
 
-    Document frequencies are counted over all of them; weights are fitted on about ``rows`` of them, a
-    bounded sample by a hash of the identifier, of which a fifth is kept for the temperature.
+    Document frequencies are counted over all of them; weights are fitted on about ``rows`` of them, and on about ``least`` of
+    each language at the least, so that a rare one can be learnt from tables of any size.  The sample is chosen by a
+    hash of identifier and text; a fifth is kept for the temperature.
     Without any labelled row there is no language to learn and all is undetermined.
     """
     known = docs.where(F.col(lang_col).isNotNull())
+    number = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # one row for each language
+    total = sum(number.values())
     frequency, n = document_frequency(known, text_col)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     out = schema(("lang", "string"), ("id", "long"), ("feature", "binary"), ("amount", "binary"))
@@ -199,7 +203,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 rows = [np.flatnonzero(c) if n else np.zeros(0, np.int64) for c, n in zip(count, letters)]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([c[r].tobytes() for c, r in zip(count, rows)], pa.binary())], out.names)
 
-    some = about(known, id_col, rows, "language").select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string").alias("text"))
+    every = {lang: max(1, min(-(-total // rows), n // least)) for lang, n in number.items()}
+    rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in every.items() for x in pair]), F.col(lang_col).cast("string")), F.lit(1)) if every else F.lit(1)
+    some = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language")), rate) == 0).select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string").alias("text"))
     found = [r for r in some.mapInArrow(describe, out).collect() if r.feature]
     labels = sorted({r.lang for r in found})
     model = LanguageModel(labels, idf.astype(np.float32), np.zeros((WIDTH, max(1, len(labels))), np.float32), np.zeros(max(1, len(labels))))
@@ -221,7 +227,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, in one pass over whole texts.
 
-    A null text, or one without a letter, is ``und`` with score 0.
+    A null text, or one without a letter, is ``und`` with score 0.  Of languages equally likely the
+    first by code point is taken.  Repeated rows give repeated results, an empty table none; very long texts are read whole and
+    other columns are ignored, whatever their names.
     """
     out = schema(("id", "long"), ("lang_pred", "string"), ("score", "double"))
 

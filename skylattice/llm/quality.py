@@ -139,11 +139,12 @@ class AttentionMIL:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000) -> AttentionMIL:
-    """Fit on about ``rows`` labelled documents (a bounded sample chosen by a hash of the identifier).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 6000, most_passages: int = 128) -> AttentionMIL:
+    """Fit on about ``rows`` labelled documents (a bounded sample chosen by a hash of the identifier), of a longer one on
+    ``most_passages`` passages spread evenly over it; what comes to the driver is bounded by both.
 
-    Rows whose label is null are passed over; a document with several labels is used with each of them.
-    Without labelled rows the model scores every document alike.
+    Scores always read whole texts.  Rows whose label is null are passed over; a document with several labels is used with each of them.
+    Without labelled rows, or with one class only, the model still scores: without rows by its first weights.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
     some = about(known, id_col, rows, "quality")
@@ -153,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in in_slices(batches):
             x, bags = passages(*utf8_column(batch.column(2)))
             edge = np.concatenate([[0], np.cumsum(bags)])
-            raw = [x[edge[i] : edge[i + 1]].astype(np.float16).tobytes() for i in range(len(bags))]
+            some = [np.arange(n) if n <= most_passages else np.linspace(0, n - 1, most_passages).astype(int) for n in bags.tolist()]
+            raw = [x[edge[i] + k].astype(np.float16).tobytes() for i, k in enumerate(some)]
+            bags = np.array([len(k) for k in some])
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.int32()), batch.column(1).cast(pa.int32()), batch.column(0), pa.array(raw, pa.binary())], out.names)
 
     joined = docs.select(F.col(id_col).cast("long"), text_col).join(F.broadcast(some), id_col)
@@ -169,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: AttentionMIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; a null text is empty and scored as an empty passage.
 
-    One pass over whole texts, batch by batch, without a shuffle.
+    Repeated rows give repeated results, an empty table none; other columns are ignored, whatever their names.  One pass over whole texts, batch by batch, without a shuffle.
     """
     out = schema(("id", "long"), ("score", "double"))
 
@@ -183,7 +186,10 @@ def score(docs: DataFrame, model: AttentionMIL, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: AttentionMIL, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, all columns as they were."""
+    """The rows of ``docs`` with a score of ``threshold`` or more (a tie stays), all columns as they were.
+
+    A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty.
+    """
 
     def run(batches):
         for batch in in_slices(batches, column=text_col):

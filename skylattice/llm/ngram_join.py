@@ -268,12 +268,12 @@ def lead(entries: DataFrame) -> DataFrame:
     return entries.select("key", "sid", "n").mapInArrow(run, _LISTED)
 
 
-def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, sift_first: bool, per_leader: int = 512, most_broadcast: int = 400_000) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, sift_first: bool, per_leader: int = 512, most_broadcast: int = 16 << 20) -> DataFrame:
     """The pairs (a, b) of set identifiers that link, by intersecting whole sets.
 
     ``sets`` has (sid, id, n, bitmap) with one document for each set.  The identifiers of the
-    documents to be read again are broadcast if there are at most ``most_broadcast``
-    entries, else texts are joined by a shuffle.
+    documents to be read again are broadcast if they take ``most_broadcast`` bytes at most,
+    else texts are joined by a shuffle; both give the same pairs.
     """
     def sift(batches):
         for batch in batches:
@@ -295,11 +295,14 @@ def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, sift_first: bool,
     dealt = near.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_m")).alias("salt"))
     member = dealt.select(F.col("b").alias("sid"), F.struct(F.col("a").alias("leader"), "salt", F.lit(1).alias("member")).alias("role"))
     leader = dealt.select(F.col("a").alias("sid"), F.struct(F.col("a").alias("leader"), "salt", F.lit(0).alias("member")).alias("role")).distinct()
-    needed = member.unionByName(leader).groupBy("sid").agg(F.collect_list("role").alias("roles")).join(sets.select("sid", F.col("id").alias("_id")), "sid")
+    # a leader of very many is several rows, of 256 roles each
+    part = F.when(F.col("role.member") == 0, F.floor(F.col("role.salt") / 256)).otherwise(F.lit(0))
+    needed = member.unionByName(leader).groupBy("sid", part.alias("_part")).agg(F.collect_list("role").alias("roles")).drop("_part").join(sets.select("sid", F.col("id").alias("_id")), "sid")
     needed = spill(needed, "needed")
-    if needed.agg(F.sum(F.size("roles"))).first()[0] is None:
+    held = needed.agg(F.sum(F.size("roles") * 40 + 64)).first()[0]  # bytes: a role is a row of three numbers, and its place
+    if held is None:
         return near
-    if needed.agg(F.sum(F.size("roles") + 2)).first()[0] <= most_broadcast:
+    if held <= most_broadcast:
         needed = F.broadcast(needed)
     texts = docs.join(needed, F.col("id").eqNullSafe(F.col("_id"))).select("sid", "text", "roles")
     row = schema(("leader", "long"), ("salt", "long"), ("member", "int"), ("sid", "long"), ("codes", "binary"))
@@ -313,8 +316,9 @@ def linked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, sift_first: bool,
             for k, roles in enumerate(batch.column(2).to_pylist()):
                 if right[k]:
                     whole = code[edge[k] : edge[k + 1]].tobytes()
-                    for i in range(0, len(roles), 64):
-                        some = roles[i : i + 64]
+                    step = max(1, min(64, (4 << 20) // (len(whole) + 1)))  # copies of a set that are held at once
+                    for i in range(0, len(roles), step):
+                        some = roles[i : i + step]
                         n = len(some)
                         yield pa.RecordBatch.from_arrays([pa.array([r["leader"] for r in some], pa.int64()), pa.array([r["salt"] for r in some], pa.int64()), pa.array([r["member"] for r in some], pa.int32()), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([whole] * n, pa.binary())], row.names)
 
@@ -473,14 +477,16 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no shingles and are alone.  Repeated rows and copies share a
     class.  A null identifier counts as larger than any other: a class of such rows alone has a null
-    component_id.  Sets are told apart by 64-bit hashes of their shingles.
+    component_id.  Sets are told apart by 64-bit hashes of their shingles.  Very long texts
+    are cut into shingles whole, one text at a time; other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     documents, order = survey(plain)
     sizes = documents.groupBy(F.least("n", F.lit(255)).alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).collect()
     light = boundary({r.n: r.c for r in sizes})
-    sets = spill(documents.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "sets")
+    sets = spill(documents.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("copies")), "sets")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = signatures(plain, order, light)
     expected = sum(r.all * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 2 * r.c for r in sizes)
@@ -509,10 +515,15 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = placed.groupBy("root").agg(F.min("id").alias("least"))
     linked_sets = placed.join(least, "root").select("sid", F.col("least").alias("class"))
     alone = sets.join(roots.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", F.col("id").alias("class"))
-    classes = linked_sets.unionByName(alone)
-    return documents.join(classes, "sid", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")).alias("component_id")
-    )
+    classes = spill(linked_sets.unionByName(alone), "classes")
+    # sets with more than a 4096th of all rows, 4096 at most, are broadcast, so that no set's copies meet in one task
+    total = sum(r.c for r in sizes)
+    hot = F.broadcast(classes.join(sets.where(F.col("copies") * 4096 > total).select("sid"), "sid").withColumnRenamed("class", "hot"))
+    full = documents.where("n > 0").join(hot.withColumn("is_hot", F.lit(True)), "sid", "left")
+    known = full.where("is_hot").select("id", "n", F.col("hot").alias("class"))
+    cold = full.where("is_hot IS NULL").select("sid", "id", "n").join(classes, "sid").select("id", "n", "class")
+    empty = documents.where("n = 0").select("id", "n", F.col("id").alias("class"))
+    return known.unionByName(cold).unionByName(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("class").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,7 @@ def text_of(column: str = "text"):
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in one process) a folder of our own
-    is made and set.
+    Only in one process (a local master, as in tests) may it be unset: a folder of our own is then made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or None
     if named is None:
@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(named)
     return named

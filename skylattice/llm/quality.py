@@ -56,6 +56,10 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut[0] = True
     edge, of = at[cut], passage[cut]
     kind = _KIND[data]
+    # white space before a document's first word belongs to no passage, least of all to the document's before it
+    starts_at = np.where(words > 0, at[np.minimum(before, len(at) - 1)], offsets[1:])
+    for k in np.flatnonzero(starts_at > offsets[:-1]):
+        kind[offsets[k] : starts_at[k]] = 9
     counts = np.zeros((len(edge), len(_CLASSES)), np.float32)
     for k in range(len(_CLASSES)):
         counts[:, k] = np.add.reduceat((kind == k) & ~space if k == 9 else kind == k, edge, dtype=np.int32)

@@ -1,8 +1,8 @@
 """Localisation of events: adaptive sky maps with distance from triggers, and posterior samples.
 
 An event is one row: ``event_id`` and ``singles``, an array of structs (detector, horizon,
-response: 9 doubles by rows, location: 3 light seconds, epoch, rate, snr_re, snr_im).  Events are
-independent, so each is one group of a grouped function.
+response: 9 doubles by rows, location: 3 light seconds, epoch, rate, snr_re, snr_im).  Many events are one
+group of a grouped function each; few ones are split over the cells of their grids.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions import healpix, signal
+from ..functions import index as ix
 from ..functions.cosmology import log_dvc_dvl
 from ..functions.special import log_bessel_i0e, log_sum_exp
 from ..functions.types import fields
+from ..storage import spill
 
 SCALE = 0.83  # rescaling of the log-likelihood
 MAP = "event_id:string,uniq:long,probdensity:double,distmu:double,distsigma:double,distnorm:double,log_bci:double,log_bsn:double"
@@ -44,51 +46,71 @@ def log_radial_integral(r1: float, r2: float, p: float, b: float, k: int, cosmol
 
 
 class RadialTable:
-    """log_radial_integral over a grid of (log p, log b), read by bilinear interpolation.
+    """log_radial_integral for the powers k, k + 1, k + 2 over a grid of (log p, log b), read by bilinear interpolation.
 
     The exponent at its maximum over [r1, r2] is taken out before, which leaves a smooth remainder.
     """
 
-    def __init__(self, r1, r2, k, p_max, b_max, cosmology=False, n=160):
+    def __init__(self, r1, r2, k, p_max, b_max, cosmology=False, n=160, panels=16):
         self.r1, self.r2 = r1, r2
         self.x = np.linspace(math.log(p_max * 1e-4), math.log(p_max), n)
         self.y = np.linspace(math.log(b_max * 1e-5), math.log(b_max), n)
         u, w = np.polynomial.legendre.leggauss(8)
-        share = np.linspace(0, 1, 25)
+        share = np.linspace(0, 1, panels + 1)
         p, b = np.exp(self.x)[:, None], np.exp(self.y)[None, :]
         peak = np.clip(2 * p * p / b, r1, r2)
-        out = np.full((n, n), -np.inf)
-        # panels whose edges crowd around the peak, the same number on either side of it
+        top = self.top(p, b)
+        total = np.zeros((3, n, n))
+        # panels whose edges crowd around the peak, the same number on either side of it; all terms are relative to the peak's
         for low, high, crowd in ((r1 + 0 * peak, peak, 1 - share[::-1] ** 4), (peak, r2 + 0 * peak, share**4)):
             for s, t in zip(crowd[:-1], crowd[1:]):
                 a, c = low + (high - low) * s, low + (high - low) * t
                 for ui, wi in zip(u, w):
                     r = np.maximum(a + (c - a) * (ui + 1) / 2, 1e-300)
-                    with np.errstate(divide="ignore"):
-                        f = -((p / r) ** 2) + b / r + log_bessel_i0e(b / r) + k * np.log(r) + np.log((c - a) * wi / 2)
-                    out = np.logaddexp(out, f + log_dvc_dvl(r) if cosmology else f)
-        self.rest = out - self.top(p, b)
+                    f = np.exp(b / r - (p / r) ** 2 - top + log_bessel_i0e(b / r)) * (r / r2) ** k * (c - a) * (wi / 2)
+                    if cosmology:
+                        f = f * np.exp(log_dvc_dvl(r))
+                    for m in range(3):
+                        total[m] += f
+                        f = f * (r / r2)
+        with np.errstate(divide="ignore"):
+            self.rest = np.moveaxis(np.log(total) + (k + np.arange(3))[:, None, None] * math.log(r2), 0, 2).copy()
 
     def top(self, p, b):
         r = np.clip(2 * p * p / np.maximum(b, 1e-300), self.r1, self.r2)
         return b / r - (p / r) ** 2
 
     def __call__(self, p, b):
+        """(pixels, samples, 3) logarithms of the integrals, for p of shape (pixels,) and b of shape (pixels, samples)."""
         i, s = self._at(self.x, np.log(np.maximum(p, 1e-300)))
         j, t = self._at(self.y, np.log(np.maximum(b, 1e-300)))
-        q = self.rest
-        return self.top(p, b) + (1 - s) * ((1 - t) * q[i, j] + t * q[i, j + 1]) + s * ((1 - t) * q[i + 1, j] + t * q[i + 1, j + 1])
+        line = self.rest[i] * (1 - s)[:, None, None] + self.rest[i + 1] * s[:, None, None]
+        step = np.diff(line, axis=1).reshape(-1, 3)
+        n = line.shape[1]
+        own = np.arange(len(p))[:, None]
+        return self.top(p[:, None], b)[..., None] + line.reshape(-1, 3)[own * n + j] + step[own * (n - 1) + j] * t[..., None]
 
     @staticmethod
     def _at(grid, v):
         f = np.clip((v - grid[0]) / (grid[1] - grid[0]), 0, len(grid) - 1 - 1e-9)
-        k = f.astype(int)
+        k = f.astype(np.int64)
         return k, f - k
 
 
 @functools.lru_cache(8)
-def _tables(r1, r2, power, p_max, b_max, cosmology):
-    return tuple(RadialTable(r1, r2, power + m, p_max, b_max, cosmology) for m in range(3))
+def _table(r1, r2, power, p_max, b_max, cosmology):
+    return RadialTable(r1, r2, power, p_max, b_max, cosmology)
+
+
+def radial_table(r1, r2, power, p_max, b_max, cosmology=False):
+    """(table, unit, logarithms to add to the three integrals): in units of r2, and for bounds rounded up, so that events share tables.
+
+    The cosmological weight has a scale of its own, so there a table is made for each event.
+    """
+    if cosmology:
+        return _table(r1, r2, power, p_max, b_max, True), 1.0, np.zeros(3)
+    up = lambda v: 2.0 ** math.ceil(math.log2(max(v, 1e-300)))
+    return _table(r1 / r2, 1.0, power, up(p_max / r2), up(b_max / r2), False), r2, (power + 1 + np.arange(3)) * math.log(r2)
 
 
 class Event:
@@ -139,55 +161,58 @@ def pixel_log_evidence(event: Event, theta, phi, prior, cosmology=False, which=N
     shift = signal.toa_errors(theta, phi, event.gmst, event.locations[use], event.toas[use]).T  # seconds by detector and pixel
     u, wu = np.polynomial.legendre.leggauss(n_u)
     b_top = float(np.abs(event.series[use]).max()) * float(event.horizons[use].sum()) * SCALE**2
-    tables = _tables(max(low, high * 1e-4), high, power, float(SCALE * np.sqrt((event.horizons[use] ** 2).sum() / 2)), b_top, cosmology)
-    out = np.full((3, len(theta)), -np.inf)
+    table, unit, add = radial_table(max(low, high * 1e-4), high, power, float(SCALE * np.sqrt((event.horizons[use] ** 2).sum() / 2)), b_top, cosmology)
+    # turning the polarisation by half a turn of 2 psi changes the sign of all amplitudes, and nothing else
+    turns = [(a, 2.0) for a in range(n_psi // 2)] if n_psi % 2 == 0 else [(a, 1.0) for a in range(n_psi)]
+    out = np.empty((3, len(theta)))
     t = np.arange(event.n)
     for start in range(0, len(theta), block):
         s = slice(start, start + block)
         # each series on the time grid of the geocentre: shifted once, before any quadrature
         snr = np.stack([signal.eval_snr(event.series[k], t[None, :] - shift[j, s][:, None] * event.rate) for j, k in enumerate(use)])
-        got = np.full((3, snr.shape[1]), -np.inf)
-        for a in range(n_psi):
+        top = np.full(snr.shape[1], -np.inf)
+        got = np.zeros((snr.shape[1], 3))
+        for a, twice in turns:
             turn = signal.exp_i(2 * np.pi * a / n_psi)
             for v, w in zip(u, wu):
                 z = signal.signal_amplitude(f[:, s], turn, v)
-                p = SCALE * np.sqrt((signal.abs2(z)).sum(axis=0) / 2)
-                b = SCALE**2 * np.abs((np.conj(z)[:, :, None] * snr).sum(axis=0))
-                for m in range(3):
-                    value = log_sum_exp(tables[m](p[:, None], b), axis=1) + math.log(w)
-                    got[m] = np.logaddexp(got[m], value)
-        out[:, s] = got - math.log(2 * n_psi * event.n)
+                p = SCALE * np.sqrt((signal.abs2(z)).sum(axis=0) / 2) / unit
+                b = (SCALE**2 / unit) * np.abs(np.einsum("ij,ijk->jk", np.conj(z), snr))
+                value = table(p, b)
+                higher = np.maximum(top, value.max(axis=(1, 2)))
+                part = np.exp(value - higher[:, None, None]).sum(axis=1)
+                got = got * np.exp(top - higher)[:, None] + (w * twice) * part
+                top = higher
+        with np.errstate(divide="ignore"):
+            out[:, s] = (np.log(got) + top[:, None] + add - math.log(2 * n_psi * event.n)).T
     return out
 
 
-def localize_event(event: Event, min_distance=None, max_distance=None, power=None, cosmology=False, top_order=4, rounds=7, n_psi=10, n_u=10):
-    """(map, log_bci, log_bsn): uniq, probdensity and distance of the cells of an adaptive grid.
+CELLS = "event_id:string,cell_order:int,ipix:long,v0:double,v1:double,v2:double,single:boolean"
 
-    The first grid has 12 * 4^top_order cells; each round splits the quarter with most probability.
-    """
-    prior = condition_prior(event.horizons, min_distance, max_distance, power, cosmology)
 
-    def evaluate(order, ipix, which=None):
-        return pixel_log_evidence(event, *healpix.pix2ang(order, ipix), prior, cosmology, which, n_psi, n_u)
+def _cells_of(event, prior, cosmology, n_psi, n_u, order, ipix, single):
+    """(integrals of the cells, and of those of the first grid the sum over detectors of each one's own log evidence)"""
+    value = pixel_log_evidence(event, *healpix.pix2ang(order, ipix), prior, cosmology, None, n_psi, n_u)
+    alone = [pixel_log_evidence(event, *healpix.pix2ang(order, ipix), prior, cosmology, d, n_psi, n_u)[0] for d in range(len(event.horizons))] if single else []
+    return value, alone
 
-    top = 12 * 4**top_order
-    order, ipix = np.full(top, top_order), np.arange(top)
-    value = evaluate(order, ipix)
-    for _ in range(rounds):
-        rank = np.argsort(value[0] - order * math.log(4), kind="stable")
-        rest, best = rank[: -top // 4], rank[-top // 4 :]
-        o, i = np.repeat(order[best] + 1, 4), (ipix[best][:, None] * 4 + np.arange(4)).ravel()
-        value = np.concatenate([value[:, rest], evaluate(o, i)], axis=1)
-        order, ipix = np.concatenate([order[rest], o]), np.concatenate([ipix[rest], i])
+
+def _chosen(order, ipix, value, top):
+    """Mask of the quarter of the first grid's number of cells with most probability; ties by cell."""
+    rank = np.lexsort((ipix, order, value[0] - order * math.log(4)))
+    best = np.zeros(len(rank), bool)
+    best[rank[-(top // 4) :]] = True
+    return best
+
+
+def _map_of(order, ipix, value, prior, n_detectors, singles, top):
+    """(map, log_bci, log_bsn) from all cells of an event; ``singles``: log mean evidence of each detector alone."""
     area = np.pi / 3 * 0.25**order
     low, high, k = prior
     norm = math.log((high ** (k + 1) - max(low, high * 1e-4) ** (k + 1)) / (k + 1)) if k != -1 else math.log(math.log(high / low))
     evidence = float(log_sum_exp(value[0] + np.log(area / (4 * np.pi)))) - norm
-    single = 0.0
-    coarse = np.arange(top)
-    for d in range(len(event.horizons)):
-        one = evaluate(np.full(top, top_order), coarse, d)[0]
-        single += float(log_sum_exp(one - math.log(top))) - norm
+    single = sum(x - math.log(top) - norm for x in singles)
     density = np.exp(value[0] - value[0].max())
     density /= (density * area).sum()
     mean = np.exp(value[1] - value[0])
@@ -198,23 +223,123 @@ def localize_event(event: Event, min_distance=None, max_distance=None, power=Non
     return table, evidence - single, evidence
 
 
-def localize(events: DataFrame, keep_going: bool = False, **options) -> DataFrame:
-    """Maps of all events: (event_id, uniq, probdensity, distmu, distsigma, distnorm, log_bci, log_bsn).
+def localize_event(event: Event, min_distance=None, max_distance=None, power=None, cosmology=False, top_order=4, rounds=7, n_psi=10, n_u=10):
+    """(map, log_bci, log_bsn): uniq, probdensity and distance of the cells of an adaptive grid, in this process.
 
-    With ``keep_going`` a failing event gives a row with a null uniq instead of ending the job.
+    The first grid has 12 * 4^top_order cells; each round splits the quarter with most probability.
     """
+    prior = condition_prior(event.horizons, min_distance, max_distance, power, cosmology)
+    top = 12 * 4**top_order
+    order, ipix = np.full(top, top_order), np.arange(top)
+    value, alone = _cells_of(event, prior, cosmology, n_psi, n_u, order, ipix, True)
+    singles = [float(log_sum_exp(a)) for a in alone]
+    for _ in range(rounds):
+        best = _chosen(order, ipix, value, top)
+        o, i = np.repeat(order[best] + 1, 4), (ipix[best][:, None] * 4 + np.arange(4)).ravel()
+        value = np.concatenate([value[:, ~best], _cells_of(event, prior, cosmology, n_psi, n_u, o, i, False)[0]], axis=1)
+        order, ipix = np.concatenate([order[~best], o]), np.concatenate([ipix[~best], i])
+    return _map_of(order, ipix, value, prior, len(event.horizons), singles, top)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names = [f.split(":")[0] for f in MAP.split(",")]
+
+def only_row(key: tuple, rows: pd.DataFrame):
+    if len(rows) != 1:
+        raise ValueError(f"event {key[0]} has {len(rows)} rows")
+    return rows.iloc[0]
+
+
+#: What data that can't be localised raise; anything else is an error of the program.
+BAD_DATA = (ValueError, ArithmeticError, TypeError, KeyError, np.linalg.LinAlgError)
+
+
+def localize(events: DataFrame, keep_going: bool = False, split: bool | None = None, block: int = 192, min_distance=None, max_distance=None, power=None, cosmology=False, top_order=4, rounds=7, n_psi=10, n_u=10) -> DataFrame:
+    """Maps of all events: (event_id, uniq, probdensity, distmu, distsigma, distnorm, log_bci, log_bsn).
+
+    An identifier must have one row.  With ``keep_going`` a failing event gives a row with a null uniq instead of
+    ending the job.  With ``split`` each round deals the cells of every event in blocks of ``block`` to all cores, and is one aggregate's
+    shuffle; else an event is one task.  By default events are split where there are fewer of them than twice the cores.
+    """
+    plain = events.select(F.col("event_id").cast("string"), "singles")
+    options = dict(min_distance=min_distance, max_distance=max_distance, power=power, cosmology=cosmology, top_order=top_order, rounds=rounds, n_psi=n_psi, n_u=n_u)
+    names = [f.split(":")[0] for f in MAP.split(",")]
+    failed = lambda key: pd.DataFrame([[key, None, *[math.nan] * 6]], columns=names).astype({"uniq": "Int64"})
+
+    if split is None:
+        few = 2 * events.sparkSession.sparkContext.defaultParallelism
+        split = len(plain.select("event_id").take(few)) < few
+    if not split:
+
+        def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            try:
+                table, bci, bsn = localize_event(Event(list(only_row(key, rows)["singles"])), **options)
+            except BAD_DATA:
+                if not keep_going:
+                    raise
+                return failed(key[0])
+            return table.assign(event_id=key[0], log_bci=bci, log_bsn=bsn)[names]
+
+        return plain.groupBy("event_id").applyInPandas(one, fields(MAP))
+
+    spark, top = events.sparkSession, 12 * 4**top_order
+    held = spill(plain.withColumn("_row", F.row_number().over(Window.partitionBy("event_id").orderBy(F.xxhash64("singles")))))
+    cells = [f.split(":")[0] for f in CELLS.split(",")]
+
+    def evaluate(batches):
+        """Rows (event_id, singles, _row, order, cells) -> integrals; v0 of a ``single`` row is a detector's, cell_order -1 a failure."""
+        for b in batches:
+            for key, singles, row, order, ipix in zip(b["event_id"], b["singles"], b["_row"], b["o"], b["cells"]):
+                try:
+                    if row > 1:
+                        raise ValueError(f"event {key} has several rows")
+                    event = Event(list(singles))
+                    prior = condition_prior(event.horizons, min_distance, max_distance, power, cosmology)
+                    ipix = np.asarray(ipix, np.int64)
+                    first = order < 0  # the first grid is marked by the complement of its order
+                    orders = np.full(len(ipix), ~order if first else order)
+                    value, alone = _cells_of(event, prior, cosmology, n_psi, n_u, orders, ipix, first)
+                except BAD_DATA:
+                    if not keep_going:
+                        raise
+                    yield pd.DataFrame([[key, -1, -1, math.nan, math.nan, math.nan, False]], columns=cells)
+                    continue
+                yield pd.DataFrame({"event_id": key, "cell_order": orders, "ipix": ipix, "v0": value[0], "v1": value[1], "v2": value[2], "single": False})
+                for d, a in enumerate(alone):
+                    yield pd.DataFrame([[key, d, -1, float(log_sum_exp(a)), 0.0, 0.0, True]], columns=cells)
+
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top - 1).cast("long"), F.lit(block).cast("long"))).alias("_at")
+    blocks = held.select("event_id", "singles", "_row", start).withColumn("cells", F.sequence("_at", F.least(F.col("_at") + (block - 1), F.lit(top - 1).cast("long")))).withColumn("o", F.lit(~top_order))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    now = spill(blocks.drop("_at").repartition(tasks).mapInPandas(evaluate, fields(CELLS)))
+    nth = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc(F.col("v0") - F.col("cell_order") * math.log(4)), F.desc("cell_order"), F.desc("ipix")))
+    done = None
+    for _ in range(rounds):
+        live = now.where("cell_order >= 0 AND NOT single")
+        ranked = live.withColumn("_best", nth <= top // 4)
+        rest = now.where("cell_order < 0 OR single").withColumn("_best", F.lit(False))
+        ranked = spill(ranked.unionByName(rest))
+        kept = ranked.where("NOT _best").drop("_best")
+        split_ = ranked.where("_best").select("event_id", (F.col("cell_order") + 1).alias("o"), F.explode(ix.children(F.col("ipix"))).alias("c"))
+        dealt = split_.groupBy("event_id", "o", F.floor(F.col("c") / block).alias("_b")).agg(F.sort_array(F.collect_list("c")).alias("cells")).drop("_b")
+        asked = dealt.join(held.where("_row = 1"), "event_id").select("event_id", "singles", "_row", "o", "cells")
+        now = spill(kept.unionByName(asked.repartition(tasks).mapInPandas(evaluate, fields(CELLS))))
+        done = now
+    done = now if done is None else done
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if (rows["cell_order"] < 0).any():
+            return failed(key[0])
+        alone = rows[rows["single"]].groupby("cell_order")["v0"].apply(lambda v: float(log_sum_exp(v.to_numpy(float)))).tolist()
+        rows = rows[~rows["single"]]
         try:
-            table, bci, bsn = localize_event(Event(list(rows["singles"].iloc[0])), **options)
-        except Exception:
+            prior = condition_prior(np.asarray(rows["horizons"].iloc[0], float), min_distance, max_distance, power, cosmology)
+            table, bci, bsn = _map_of(rows["cell_order"].to_numpy(), rows["ipix"].to_numpy(), rows[["v0", "v1", "v2"]].to_numpy(float).T, prior, len(alone), alone, top)
+        except BAD_DATA:
             if not keep_going:
                 raise
-            return pd.DataFrame([[key[0], None, *[math.nan] * 6]], columns=names).astype({"uniq": "Int64"})
+            return failed(key[0])
         return table.assign(event_id=key[0], log_bci=bci, log_bsn=bsn)[names]
 
-    return events.select(F.col("event_id").cast("string"), "singles").groupBy("event_id").applyInPandas(one, fields(MAP))
+    far = held.where("_row = 1").select("event_id", F.transform("singles", lambda x: x["horizon"].cast("double")).alias("horizons"))
+    return done.join(far, "event_id").groupBy("event_id").applyInPandas(whole, fields(MAP))
 
 
 def log_posterior(event: Event, prior, ra, sin_dec, distance, u, twopsi, t):
@@ -336,7 +461,7 @@ def sample_events(events: DataFrame, ra=None, dec=None, distance=None, seed: int
     pins = {0: ra, 1: None if dec is None else math.sin(dec), 2: distance}
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        event = Event(list(rows["singles"].iloc[0]))
+        event = Event(list(only_row(key, rows)["singles"]))
         prior = condition_prior(event.horizons)
         half = event.n / 2 / event.rate
         low = np.array([0, -1, prior[0], -1, 0, -half])

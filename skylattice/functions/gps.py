@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def instruments_to_text(names) -> Column:
 
 
 def instruments_from_text(text) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(_col(text), ","), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(_col(text), ","), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def normalize_objid(objid) -> Column:
@@ -64,3 +66,21 @@ def normalize_objid(objid) -> Column:
     text = _col(objid).cast("string")
     tail = F.regexp_extract(text, r"^\w+:\w+:(\d+)$", 1)
     return F.when(text.try_cast("long").isNotNull(), text.try_cast("long").cast("string")).when(tail != "", tail).otherwise(text)
+
+
+def iso8601_of(gps: float) -> str:
+    """A number of GPS seconds as UTC text with six digits."""
+    micros = round((gps + EPOCH - sum(gps >= x for x in LEAP_SECONDS)) * 1e6)
+    return (datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=micros)).strftime("%Y-%m-%dT%H:%M:%S.%f")
+
+
+def gps_of(text: str) -> float:
+    """The inverse, for one text."""
+    day, _, rest = text.strip().removesuffix("Z").partition(".")
+    unix = (datetime.datetime.strptime(day, "%Y-%m-%dT%H:%M:%S") - datetime.datetime(1970, 1, 1)).total_seconds()
+    t = unix - EPOCH
+    return t + sum(t >= x - k for k, x in enumerate(LEAP_SECONDS)) + (float(f"0.{rest}") if rest else 0.0)
+
+
+def mjd_of(gps: float) -> float:
+    return 40587 + round((gps + EPOCH - sum(gps >= x for x in LEAP_SECONDS)) * 1e6) / 86400e6

@@ -71,6 +71,85 @@ def inspiral_psd(m1: float, m2: float, f_low: float = 10.0, f_high: float | None
     return power
 
 
+#: Names of waveform families, and the words for post-Newtonian orders with twice the order.  Fixed values of the format.
+APPROXIMANTS = ("TaylorT1", "TaylorT2", "TaylorT3", "TaylorT4", "TaylorF2", "TaylorF2RedSpin", "TaylorF2RedSpinTidal", "SpinTaylorF2", "SpinTaylorT4", "SpinTaylorT4Fourier", "EOBNRv2", "SEOBNRv2", "SEOBNRv2_ROM_DoubleSpin", "SEOBNRv4", "SEOBNRv4_ROM", "IMRPhenomA", "IMRPhenomB", "IMRPhenomC", "IMRPhenomD", "IMRPhenomPv2")
+ORDERS = {"newtonian": 0, "oneHalfPN": 1, "onePN": 2, "onePointFivePN": 3, "twoPN": 4, "twoPointFivePN": 5, "threePN": 6, "threePointFivePN": 7, "pseudoFourPN": 8}
+INSPIRAL_ONLY = ("TaylorT1", "TaylorT2", "TaylorT3", "TaylorT4", "TaylorF2", "TaylorF2RedSpin", "TaylorF2RedSpinTidal", "SpinTaylorF2", "SpinTaylorT4", "SpinTaylorT4Fourier")
+
+
+def approximant_and_orders(text: str) -> tuple[str, int, int]:
+    """(family, amplitude order, phase order) of a name such as TaylorT4threePointFivePN; -1 where no order is named.
+
+    The longest family that the text holds counts; a restricted waveform has amplitude order 0.
+    """
+    families = [a for a in APPROXIMANTS if a in text]
+    if not families:
+        raise ValueError(f"no known waveform in {text!r}")
+    family = max(families, key=len)
+    words = [w for w in ORDERS if w in text.replace(family, "", 1)]
+    phase = ORDERS[max(words, key=len)] if words else -1
+    return family, 0 if "estricted" in text else phase, phase
+
+
+def waveform_of(name: str, m1: float, m2: float) -> str:
+    """The waveform of a bank that changes with mass: inspirals below a total of 4 solar masses, else a model with merger."""
+    banks = {"o1-uberbank": "SEOBNRv2_ROM_DoubleSpin", "o2-uberbank": "SEOBNRv4_ROM"}
+    return name if name not in banks else "TaylorF2threePointFivePN" if m1 + m2 < 4 else banks[name]
+
+
+#: Coefficients of the symmetric mass ratio squared, itself and 1, for the frequencies of a published inspiral-merger-ringdown amplitude.  Fixed values.
+MERGER = {"merger": (2.9740e-1, 4.4810e-2, 9.5560e-2), "ring": (5.9411e-1, 8.9794e-2, 1.9111e-1), "width": (5.0801e-1, 7.7515e-2, 2.2369e-2), "cut": (8.4845e-1, 1.2848e-1, 2.7299e-1)}
+
+
+def merger_psd(m1: float, m2: float, f_low: float = 10.0, f_high: float | None = None):
+    """Power with merger and ringdown: f^(-7/3) up to the merger, f^(-4/3) up to the ringdown, then a Lorentzian, squared, to its cut."""
+    eta, total = m1 * m2 / (m1 + m2) ** 2, (m1 + m2) * MSUN_S
+    f = {k: (a * eta * eta + b * eta + c) / (math.pi * total) for k, (a, b, c) in MERGER.items()}
+    end = min(f["cut"], math.inf if f_high is None else f_high)
+    inspiral = inspiral_psd(m1, m2, f_low, math.inf)
+    at_merger = float(inspiral_psd(m1, m2, 0.0, math.inf)(f["merger"]))
+    ring = math.pi * f["width"] / 2 * (f["ring"] / f["merger"]) ** (-2 / 3)
+
+    def power(x):
+        x = np.asarray(x, float)
+        y = np.where(x > 0, x, 1.0)
+        lorentz = ring / (2 * math.pi) * f["width"] / ((y - f["ring"]) ** 2 + f["width"] ** 2 / 4)
+        late = np.where(y < f["ring"], (y / f["merger"]) ** (-4 / 3), lorentz**2) * at_merger
+        return np.where((x >= f_low) & (x < end), np.where(y < f["merger"], inspiral(x), late), 0.0)
+
+    return power
+
+
+def template_psd(name: str, m1: float, m2: float, f_low: float = 10.0, f_final: float | None = None):
+    """Signal power of a named waveform: inspirals end at the last stable orbit, all others have merger and ringdown.
+
+    All of them end at ``f_final`` (2048 Hz unless given).
+    """
+    family = approximant_and_orders(waveform_of(name, m1, m2))[0]
+    end = 2048.0 if f_final is None else f_final
+    if family in INSPIRAL_ONLY:
+        return inspiral_psd(m1, m2, f_low, min(end, get_f_lso(m1, m2)))
+    return merger_psd(m1, m2, f_low, end)
+
+
+def vectorized_psd(f):
+    """A spectrum given as a function of one frequency, as a function of arrays; infinite where it fails or isn't positive."""
+
+    def one(x: float) -> float:
+        try:
+            s = float(f(float(x)))
+        except (ValueError, ArithmeticError, RuntimeError):
+            return math.inf
+        return s if s > 0 else math.inf
+
+    return np.vectorize(one, otypes=[float])
+
+
+def derivative(f, x, dx: float = 1.0):
+    """Central difference; ``f`` may take numbers, arrays or Columns."""
+    return (f(x + dx) - f(x - dx)) / (2 * dx)
+
+
 def interpolated_psd(f, s, f_high_truncate: float = 1.0, fill: float = math.inf):
     """Log-log linear interpolation of a sampled spectrum; ``fill`` outside and above the truncation."""
     f, s = np.asarray(f, float), np.asarray(s, float)

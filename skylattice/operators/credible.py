@@ -13,11 +13,12 @@ from .prefix import cumulative, cumulative_by_range
 DEG2 = (180 / math.pi) ** 2
 
 
-def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Column | None = None, tie: str = "uniq", by_range: bool = False) -> DataFrame:
+def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Column | None = None, tie: str = "uniq", by_range: bool | None = None) -> DataFrame:
     """Add ``cls``: the share of ``weight`` in cells ranked at or before each, densest first; ties by ``tie``.
 
-    ``by_range`` uses the two-phase sums for maps too large for one task.
+    ``by_range`` uses the two-phase sums for maps too large for one task; it is the default for a single map, without keys.
     """
+    by_range = not keys if by_range is None else by_range
     order = [(F.col(weight) if ranking is None else ranking).desc(), F.col(tie).asc()]
     run = cumulative_by_range if by_range else cumulative
     out = run(df, keys, order, {"_upto": F.col(weight)})
@@ -29,12 +30,21 @@ def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Col
     return out.withColumn("cls", F.col("_upto") / F.col("_all")).drop("_upto", "_all")
 
 
-def curve(df: DataFrame, weight: str, density: Column, area: Column, keys: list[str] = []) -> DataFrame:
-    """Running probability and area (square degrees) in greedy order: columns cum_weight, cum_area, and those before."""
+def curve(df: DataFrame, weight: str, density: Column, area: Column, keys: list[str] = [], by_range: bool | None = None) -> DataFrame:
+    """Running probability and area (square degrees) in greedy order: columns cum_weight, cum_area, and those before.
+
+    ``by_range``: as for the levels, two-phase sums instead of one sort in a task for each map; the default without keys.
+    """
+    by_range = not keys if by_range is None else by_range
     order = [density.desc(), F.col("uniq").asc()]
-    out = cumulative(df, keys, order, {"cum_weight": F.col(weight), "cum_area": area})
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return out.withColumn("prev_weight", F.coalesce(F.lag("cum_weight").over(w), F.lit(0))).withColumn("prev_area", F.coalesce(F.lag("cum_area").over(w), F.lit(0.0)))
+    m = df.withColumn("_own_area", area)
+    out = (cumulative_by_range if by_range else cumulative)(m, keys, order, {"cum_weight": F.col(weight), "cum_area": F.col("_own_area")})
+    if by_range:
+        before = [F.col("cum_weight") - F.col(weight), F.col("cum_area") - F.col("_own_area")]
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        before = [F.coalesce(F.lag("cum_weight").over(w), F.lit(0)), F.coalesce(F.lag("cum_area").over(w), F.lit(0.0))]
+    return out.withColumn("prev_weight", before[0]).withColumn("prev_area", before[1]).drop("_own_area")
 
 
 def interpolate(curve_df: DataFrame, levels: DataFrame, x: str, y: str, prev_x: str, prev_y: str, level: str, keys: list[str] = [], right: Column | None = None) -> DataFrame:
@@ -60,9 +70,14 @@ def interpolate(curve_df: DataFrame, levels: DataFrame, x: str, y: str, prev_x:
     return out.select(*keys, level, F.when(F.col(level) > F.col("_x"), beyond).when(F.col(level) <= 0, F.lit(0.0)).otherwise(F.col(y)).alias(y))
 
 
-def region(df: DataFrame, weight: str, level: float, keys: list[str] = [], ranking: Column | None = None) -> DataFrame:
+def region(df: DataFrame, weight: str, level: float, keys: list[str] = [], ranking: Column | None = None, by_range: bool | None = None) -> DataFrame:
     """Cells of the smallest region that holds ``level`` of the weight, the cell that reaches it included."""
-    out = greedy_levels(df, weight, keys, ranking)
+    by_range = not keys if by_range is None else by_range
+    out = greedy_levels(df, weight, keys, ranking, by_range=by_range)
+    if by_range:
+        sums = df.groupBy(*keys).agg(F.sum(weight).alias("_all"))
+        out = out.join(sums, keys) if keys else out.crossJoin(F.broadcast(sums))
+        return out.where(F.col("cls") - F.col(weight) / F.col("_all") < level - 1e-15).drop("_all")
     order = [(F.col(weight) if ranking is None else ranking).desc(), F.col("uniq").asc()]
     before = F.coalesce(F.lag("cls").over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0.0))
     return out.withColumn("_before", before).where(F.col("_before") < level).drop("_before")

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -61,7 +61,7 @@ def searched(df: DataFrame, catalog: DataFrame, keys: list[str] = [], density: s
     best = best.select(*keys, F.col("_a.phi").alias("_ra"), (math.pi / 2 - F.col("_a.theta")).alias("_dec"))
     maps = c.select(*keys, "uniq", F.col(density).alias("probdensity"), F.col("cum_area").alias("searched_area"), F.col("cum_weight").alias("searched_prob"))
     hit = locate(catalog, maps, [k for k in keys if k in catalog.columns])
-    hit = hit.join(F.broadcast(best), keys) if keys else hit.crossJoin(F.broadcast(best))
+    hit = hit.join(best, keys) if keys else hit.crossJoin(F.broadcast(best))
     return hit.withColumn("offset", F.degrees(angle_distance("ra", "dec", "_ra", "_dec"))).drop("_ra", "_dec", "p29")
 
 
@@ -95,13 +95,25 @@ def count_modes_moc(cells: DataFrame, keys: list[str] = [], order: int | None =
     return count_modes(rasterize(cells.select(*keys, "uniq"), order, keys), order, keys)
 
 
-def flood_fill(mask: DataFrame, order: int, seed: int, keys: list[str] = []) -> DataFrame:
-    """Pixels of the mask connected with ``seed``: its component, ring by ring on the frontier only."""
-    cells = mask.select(*keys, "ipix").distinct()
-    done = cells.where(F.col("ipix") == seed)
-    front = done
+def contour_modes(df: DataFrame, contours: list[float], keys: list[str] = [], density: str = "probdensity") -> DataFrame:
+    """(keys, level, modes) of the credible regions of several levels, labelled together."""
+    from . import credible
+
+    weighed = df.withColumn("_w", F.col(density) * ix.uniq2pixarea("uniq"))
+    cells = None
+    for c in contours:
+        one = credible.region(weighed, "_w", c, keys, F.col(density)).select(*keys, F.lit(float(c)).alias("level"), "uniq")
+        cells = one if cells is None else cells.unionByName(one)
+    return count_modes_moc(cells, [*keys, "level"])
+
+
+def flood_fill(mask: DataFrame, order: int, seed: int | DataFrame, keys: list[str] = []) -> DataFrame:
+    """Pixels of the mask connected with ``seed`` (a pixel, or a table of keys and ipix): ring by ring, on the frontier only."""
     from ..storage import spill
 
+    cells = mask.select(*keys, "ipix").distinct()
+    done = cells.join(seed.select(*keys, "ipix"), [*keys, "ipix"], "left_semi") if isinstance(seed, DataFrame) else cells.where(F.col("ipix") == seed)
+    front = done
     while front.head(1):
         near = front.select(*keys, F.explode(ix.neighbours(F.lit(order), F.col("ipix"))).alias("ipix")).distinct()
         front = spill(near.join(cells, [*keys, "ipix"], "left_semi").join(done, [*keys, "ipix"], "left_anti"))
@@ -124,25 +136,39 @@ def voxels(df: DataFrame, keys: list[str] = [], n_r: int = 999, max_r: Column |
     return m.select(*keys, "uniq", "shell", "r", dp.alias("dp"), (dv if dvc_dvl is None else dv * dvc_dvl).alias("dv"))
 
 
-def searched_volume(df: DataFrame, catalog: DataFrame, contours: list[float] = [], keys: list[str] = [], n_r: int = 999) -> tuple[DataFrame, DataFrame]:
-    """3-D cross-match: (objects with searched_vol, searched_prob_vol, probdensity_vol, searched_prob_dist; contour volumes).
-
-    Shells reach six times the map's marginal mean distance, or the farthest object.
-    Voxels are ranked by dP/dV in one prefix sum per map.
-    """
+def _ranked_voxels(df: DataFrame, keys: list[str], n_r: int, far: float) -> tuple[DataFrame, DataFrame]:
+    """(cells with max_r, voxels with running probability and volume in the order of dP/dV)."""
     from .moments import marginal_moments
 
     prob = df.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
     mean = marginal_moments(prob, keys).select(*keys, (6 * F.col("distmean")).alias("_far"))
-    far = catalog.agg(F.max("distance")).first()[0] or 0.0
     reach = mean.select(*keys, F.greatest(F.col("_far"), F.lit(float(far) * (1 + 1e-9))).alias("max_r"))
-    m = df.join(F.broadcast(reach), keys) if keys else df.crossJoin(F.broadcast(reach))
+    m = df.join(reach, keys) if keys else df.crossJoin(F.broadcast(reach))
     vox = voxels(m, keys, n_r).withColumn("_rate", F.col("dp") / F.col("dv"))
     order = [F.desc("_rate"), F.col("uniq"), F.col("shell")]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = vox.withColumn("cum_p", F.sum("dp").over(run)).withColumn("cum_v", F.sum("dv").over(run))
-    ranked = ranked.withColumn("prev_p", F.coalesce(F.lag("cum_p").over(w), F.lit(0.0))).withColumn("prev_v", F.coalesce(F.lag("cum_v").over(w), F.lit(0.0)))
+    # cells times shells are too many rows for a task of each map: sums by range
+    ranked = cumulative_by_range(vox, keys, order, {"cum_p": F.col("dp"), "cum_v": F.col("dv")})
+    return m, ranked.withColumn("prev_p", F.col("cum_p") - F.col("dp")).withColumn("prev_v", F.col("cum_v") - F.col("dv"))
+
+
+def _volumes(ranked: DataFrame, contours: list[float], keys: list[str]) -> DataFrame:
+    wanted = ranked.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in contours])).alias("level"))
+    return interpolate(ranked, wanted, "cum_p", "cum_v", "prev_p", "prev_v", "level", keys).withColumnRenamed("cum_v", "volume")
+
+
+def contour_volumes(df: DataFrame, contours: list[float], keys: list[str] = [], n_r: int = 999) -> DataFrame:
+    """(keys, level, volume): volume of the smallest region of space that holds each level, for maps without targets."""
+    return _volumes(_ranked_voxels(df, keys, n_r, 0.0)[1], contours, keys)
+
+
+def searched_volume(df: DataFrame, catalog: DataFrame, contours: list[float] = [], keys: list[str] = [], n_r: int = 999) -> tuple[DataFrame, DataFrame]:
+    """3-D cross-match: (objects with searched_vol, searched_prob_vol, probdensity_vol, searched_prob_dist; contour volumes).
+
+    Shells reach six times the map's marginal mean distance, or the farthest object.
+    Voxels are ranked by dP/dV in two-phase prefix sums, by range.
+    """
+    far = catalog.agg(F.max("distance")).first()[0] or 0.0
+    m, ranked = _ranked_voxels(df, keys, n_r, far)
     hit = locate(catalog, m.select(*keys, "uniq", "probdensity", "distmu", "distsigma", "distnorm", "max_r"), [])
     # nearer than the first shell counts as the first, beyond the last as the last
     shell = F.greatest(F.lit(1), F.least(F.lit(n_r), F.round(F.col("distance") / (F.col("max_r") / (n_r + 1))).cast("int")))
@@ -151,22 +177,76 @@ def searched_volume(df: DataFrame, catalog: DataFrame, contours: list[float] = [
     found = hit.join(ranked.select(*keys, "uniq", "shell", "cum_p", "cum_v"), [*keys, "uniq", "shell"])
     found = found.withColumn("searched_prob_dist", D.conditional_cdf("distance", "distmu", "distsigma", "distnorm"))
     objects = found.select(*[c for c in catalog.columns if c != "p29"], *[k for k in keys if k not in catalog.columns], F.col("cum_v").alias("searched_vol"), F.col("cum_p").alias("searched_prob_vol"), (F.col("probdensity") * along).alias("probdensity_vol"), "searched_prob_dist")
-    wanted = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in contours or [0.5, 0.9]])).alias("level"))
-    volumes = interpolate(ranked, wanted, "cum_p", "cum_v", "prev_p", "prev_v", "level", keys).withColumnRenamed("cum_v", "volume")
-    return objects, volumes
+    return objects, _volumes(ranked, contours or [0.5, 0.9], keys)
+
+
+RESULT = ("searched_area", "searched_prob", "offset", "searched_modes", "contour_areas", "area_probs", "contour_modes", "searched_prob_dist", "contour_dists", "searched_vol", "searched_prob_vol", "contour_vols", "probdensity", "probdensity_vol")
+
+
+def crossmatch(df: DataFrame, catalog: DataFrame, contours: list[float] = [0.5, 0.9], areas: list[float] = [100.0], modes: bool = False, keys: list[str] = [], n_r: int = 999) -> DataFrame:
+    """All of ``RESULT`` for every map and object in one table: catalog columns, keys, and the 14 outputs.
+
+    ``df`` has (keys, uniq, probdensity) and, for the outputs in three dimensions, distmu, distsigma, distnorm; ``catalog`` has p29, ra, dec and, for
+    them, distance.  What a map or catalog can't give is null.  contour_areas, area_probs, contour_modes and contour_vols are arrays in the
+    order of ``contours`` and ``areas``; contour_dists has structs (low, high).  searched_modes counts the modes of the cells at least
+    as dense as the object's own.
+    """
+    from . import credible
+
+    deep, far = "distmu" in df.columns, "distance" in catalog.columns
+
+    def listed(rows: DataFrame, by: str, value, wanted, name: str) -> DataFrame:
+        held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(by), value))).alias("_m"))
+        return held.select(*keys, F.array(*[F.element_at("_m", F.lit(float(x))) for x in wanted]).alias(name))
+
+    def with_maps(out: DataFrame, more: DataFrame) -> DataFrame:
+        return out.join(more, keys, "left") if keys else out.crossJoin(F.broadcast(more))
+
+    flat = df.select(*keys, "uniq", "probdensity")
+    out = searched(flat, catalog.withColumn("_p29", F.col("p29")), keys).drop("uniq")
+    out = with_maps(out, listed(credible.areas(flat, contours, keys), "level", F.col("area"), contours, "contour_areas"))
+    out = with_maps(out, listed(area_probs(flat, areas, keys), "area", F.col("prob"), areas, "area_probs"))
+    none = lambda t: F.lit(None).cast(t)
+    if modes:
+        out = with_maps(out, listed(contour_modes(flat, contours, keys), "level", F.col("modes"), contours, "contour_modes"))
+        # one set of cells for each distinct density at which an object lies
+        lows = out.select(*keys, F.col("probdensity").alias("_low")).distinct()
+        above = (flat.join(lows, keys) if keys else flat.crossJoin(F.broadcast(lows))).where(F.col("probdensity") >= F.col("_low")).select(*keys, "_low", "uniq")
+        own = count_modes_moc(above, [*keys, "_low"]).select(*keys, F.col("_low").alias("probdensity"), F.col("modes").alias("searched_modes"))
+        out = out.join(own, [*keys, "probdensity"], "left")
+    else:
+        out = out.withColumn("contour_modes", none("array<bigint>")).withColumn("searched_modes", none("bigint"))
+    if deep:
+        prob = df.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
+        intervals = distance_intervals(prob, contours, keys)
+        out = with_maps(out, listed(intervals, "level", F.struct("low", "high"), contours, "contour_dists"))
+        objects = searched_volume(df, catalog.withColumnRenamed("p29", "_p29").withColumn("p29", F.col("_p29")), contours, keys, n_r) if far else None
+        volumes = objects[1] if far else contour_volumes(df, contours, keys, n_r)
+        out = with_maps(out, listed(volumes, "level", F.col("volume"), contours, "contour_vols"))
+    else:
+        out = out.withColumn("contour_dists", none("array<struct<low:double,high:double>>")).withColumn("contour_vols", none("array<double>"))
+    three = ("searched_prob_dist", "searched_vol", "searched_prob_vol", "probdensity_vol")
+    if deep and far:
+        same = [c for c in catalog.columns if c != "p29"]
+        found = objects[0].drop("_p29").select(*[F.col(c).alias(f"_c_{c}") for c in same], *[F.col(k).alias(f"_k_{k}") for k in keys if k not in same], *three).distinct()
+        on = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in same] + [F.col(k) == F.col(f"_k_{k}") for k in keys if k not in same]
+        out = out.join(found, on, "left")
+    else:
+        for c in three:
+            out = out.withColumn(c, none("double"))
+    return out.select(*[c for c in catalog.columns if c != "p29"], *[k for k in keys if k not in catalog.columns], *RESULT)
 
 
 def distance_intervals(df: DataFrame, contours: list[float], keys: list[str] = []) -> DataFrame:
-    """(keys, level, low, high): central intervals of the marginal distance that hold each level."""
-    from .moments import marginal_ppf
+    """(keys, level, low, high): central intervals of the marginal distance that hold each level, all found together."""
+    from .moments import marginal_quantiles
 
-    out = None
-    for level in contours:
-        low = marginal_ppf(df, (1 - level) / 2, keys).withColumnRenamed("distance", "low")
-        high = marginal_ppf(df, (1 + level) / 2, keys).withColumnRenamed("distance", "high")
-        one = (low.join(high, keys) if keys else low.crossJoin(high)).withColumn("level", F.lit(float(level)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    ends = sorted({(1 - c) / 2 for c in contours} | {(1 + c) / 2 for c in contours})
+    q = marginal_quantiles(df, ends, keys)
+    level = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("level"), F.lit(ends.index((1 - c) / 2)).alias("a"), F.lit(ends.index((1 + c) / 2)).alias("b")) for c in contours])).alias("c")
+    wide = q.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "distance"))).alias("q"))
+    wide = wide.select(*keys, "q", level)
+    return wide.select(*keys, F.col("c.level").alias("level"), F.element_at("q", F.col("c.a") + 1)["distance"].alias("low"), F.element_at("q", F.col("c.b") + 1)["distance"].alias("high"))
 
 
 def stats(df: DataFrame, catalog: DataFrame | None = None, contours: list[float] = [0.5, 0.9], areas: list[float] = [100.0], modes: bool = False, keys: list[str] = ["map_id"]) -> DataFrame:
@@ -178,9 +258,8 @@ def stats(df: DataFrame, catalog: DataFrame | None = None, contours: list[float]
     p = area_probs(df, areas, keys).groupBy(*keys).pivot("area", areas).agg(F.first("prob"))
     out = a.join(p.select(*keys, *[F.col(f"`{x}`").alias(f"prob({x:g})") for x in areas]), keys)
     if modes:
-        for c in contours:
-            own = credible.region(df.withColumn("_w", F.col("probdensity") * ix.uniq2pixarea("uniq")), "_w", c, keys, F.col("probdensity"))
-            out = out.join(count_modes_moc(own.select(*keys, "uniq"), keys).withColumnRenamed("modes", f"modes({100 * c:g})"), keys, "left")
+        m = contour_modes(df, contours, keys).groupBy(*keys).pivot("level", contours).agg(F.first("modes"))
+        out = out.join(m.select(*keys, *[F.col(f"`{c}`").alias(f"modes({100 * c:g})") for c in contours]), keys, "left")
     return out if catalog is None else searched(df, catalog, keys).join(out, keys)
 
 

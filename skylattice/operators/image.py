@@ -40,12 +40,17 @@ def reproject(pixels: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     return pixels.select("x", "y").join(hit, ["x", "y"], "left").withColumn("footprint", F.when(F.col(value).isNotNull(), 1).otherwise(0))
 
 
-def volume_render(cells: DataFrame, size: int, max_distance: float, rotation=None, axis0: int = 0, axis1: int = 1, steps: int = 200) -> DataFrame:
+def volume_render(cells: DataFrame, size: int, max_distance: float, rotation=None, axis0: int = 0, axis1: int = 1, steps: int = 200, reach: float | None = None) -> DataFrame:
     """(i, j, density): line-of-sight integrals through a 3-D map, over a square image of side 2 * max_distance.
 
     Every point of every ray is a row that meets its cell in an equi-join, so neither the map nor the image has
-    to fit in a task.  ``rotation`` turns the frame of the image.
+    to fit in a task.  ``rotation`` turns the frame of the image.  Rays end at ``reach``, by default behind the farthest cell's
+    mean and six of its widths, so that no density is left out; steps grow in number with it.
     """
+    if reach is None:
+        far = cells.where(F.col("distmu") < float("inf")).agg(F.max(F.greatest(F.col("distmu"), F.lit(0.0)) + 6 * F.col("distsigma"))).first()[0]
+        reach = max(1.5 * max_distance, float(far or 0.0))
+        steps = max(steps, int(steps * reach / (1.5 * max_distance)))
     spark = cells.sparkSession
     r = np.eye(3) if rotation is None else np.asarray(rotation, float)
     axis2 = 3 - axis0 - axis1
@@ -55,7 +60,6 @@ def volume_render(cells: DataFrame, size: int, max_distance: float, rotation=Non
     s = F.explode(F.array(*[F.lit(float(x)) for x in np.linspace(-1, 1, steps)])).alias("s")
     along = rays.select("i", "j", s)
     a, b = (F.col("i") + 0.5) * step - max_distance, (F.col("j") + 0.5) * step - max_distance
-    reach = 1.5 * max_distance
     c = F.col("s") * F.abs("s") * reach
     width = 2 * F.abs("s") * reach * (2 / (steps - 1))
     own = {axis0: a, axis1: b, axis2: c}

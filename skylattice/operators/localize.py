@@ -481,3 +481,15 @@ def sample_events(events: DataFrame, ra=None, dec=None, distance=None, seed: int
         return pd.DataFrame({"event_id": key[0], "ra": x[:, 0], "dec": np.arcsin(x[:, 1]), "distance": x[:, 2], "inclination": np.arccos(x[:, 3]), "polarization": x[:, 4] / 2, "time": event.epoch + x[:, 5]})
 
     return events.select(F.col("event_id").cast("string"), "singles").groupBy("event_id").applyInPandas(one, fields(CHAIN))
+
+
+def chain_maps(chains: DataFrame, n: int = 1000, seed: int = 0, **options) -> dict:
+    """A 3-D map from each event's samples (event_id, ra, dec, distance): event_id -> map, from ``n`` of them drawn by a seeded hash.
+
+    The kernel step behind the sampler; the events named are those of one batch, so their number is small.
+    """
+    from .density import from_samples
+
+    chains = spill(chains)
+    names = sorted(r[0] for r in chains.select("event_id").distinct().collect())
+    return {name: from_samples(chains.where(F.col("event_id") == name), n, seed, **options) for name in names}

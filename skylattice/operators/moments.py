@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import index as ix
 from ..functions.types import fields
+from ..storage import spill
 
 
 def marginal_moments(df: DataFrame, keys: list[str] = [], prob: str = "prob") -> DataFrame:
@@ -58,33 +59,55 @@ def marginal_cdf(df: DataFrame, radii: list[float], keys: list[str] = []) -> Dat
     return _marginal(df, radii, keys, D.cdf, "cdf")
 
 
-def marginal_ppf(df: DataFrame, p: float, keys: list[str] = [], steps: int = 40) -> DataFrame:
-    """(keys, distance) at which the marginal distribution reaches ``p``.
+def marginal_ppf(df: DataFrame, p: float, keys: list[str] = [], steps: int = 9) -> DataFrame:
+    """(keys, distance) at which the marginal distribution reaches ``p``."""
+    return marginal_quantiles(df, [p], keys, steps).drop("k", "p")
 
-    Bisection on a shrinking grid: each step is one aggregate of 32 radii over all maps.
+
+def marginal_quantiles(df: DataFrame, shares: list[float], keys: list[str] = [], steps: int = 9, cuts: int = 32) -> DataFrame:
+    """(keys, k, p, distance): where the marginal distribution of each map reaches each share.
+
+    Each step is one job for all maps and shares: every map's bracket of each share is cut in ``cuts`` parts, the
+    distribution is summed at the cuts by partial sums of Arrow batches, and the part that holds the share is the next bracket.
+    No map is gathered; ``steps`` of 32 parts are 2^-45 of the first bracket.  0 for shares up to 0, NaN without finite distances.
     """
-    good = df.where(ix.isfinite("distmu") & ix.isfinite("distsigma"))
-    top = good.agg(F.max(F.greatest(F.col("distmu"), F.lit(0.0)) + 10 * F.col("distsigma"))).first()[0]
-    if top is None:
-        return df.select(*keys).distinct().withColumn("distance", F.lit(float("nan")))
-    if not keys:
-        low, high = 0.0, float(top)
-        while high - low > 1e-9 * max(high, 1.0) and steps > 0:
-            grid = np.linspace(low, high, 33)
-            rows = sorted((r.r, r.cdf) for r in marginal_cdf(df, grid.tolist()).collect())
-            k = next((i for i, (_, c) in enumerate(rows) if c >= p), 32)
-            low, high, steps = float(grid[max(0, k - 1)]), float(grid[k]), steps - 1
-        return df.sparkSession.createDataFrame([((low + high) / 2,)], "distance double")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        q = [rows[c].to_numpy(float) for c in ("prob", "distmu", "distsigma", "distnorm")]
-        low, high = 0.0, float(top)
-        for _ in range(steps):
-            middle = (low + high) / 2
-            low, high = (middle, high) if float((q[0] * D.cdf(middle, *q[1:])).sum()) < p else (low, middle)
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in keys), (low + high) / 2]], columns=[*keys, "distance"])
-
-    return df.groupBy(*keys).applyInPandas(one, fields("".join(f"{k}:{_type(df, k)}," for k in keys) + "distance:double"))
+    names = ("prob", "distmu", "distsigma", "distnorm")
+    plain = df.select(*keys, *[F.col(c).cast("double") for c in names])
+    good = plain.where(ix.isfinite("distmu") & ix.isfinite("distsigma"))
+    reach = good.groupBy(*keys).agg(F.max(F.greatest(F.col("distmu"), F.lit(0.0)) + 10 * F.col("distsigma")).alias("_top"))
+    n = len(shares)
+    both = lambda value: F.array(*[value] * n)
+    state = reach.select(*keys, both(F.lit(0.0)).alias("low"), both(F.col("_top")).alias("high"))
+    out = "".join(f"{k}:{_type(df, k)}," for k in keys) + "k:int,i:int,v:double"
+    at = np.arange(1, cuts) / cuts
+    own = [k for k in keys]
+
+    def partial(batches):
+        for b in batches:
+            for key, rows in b.groupby(own, dropna=False) if own else [((), b)]:
+                low, high = np.asarray(rows["low"].iloc[0], float), np.asarray(rows["high"].iloc[0], float)
+                grid = (low[:, None] + (high - low)[:, None] * at).ravel()
+                q = [rows[c].to_numpy(float)[:, None] for c in names]
+                v = np.zeros(len(grid))
+                for i in range(0, len(rows), 1024):
+                    part = [x[i : i + 1024] for x in q]
+                    v += (part[0] * D.cdf(grid[None, :], *part[1:])).sum(axis=0)
+                yield pd.DataFrame({**dict(zip(own, key)), "k": np.repeat(np.arange(n), cuts - 1), "i": np.tile(np.arange(1, cuts), n), "v": v})
+
+    wanted = F.array(*[F.lit(float(p)) for p in shares])
+    for _ in range(steps):
+        joined = good.join(state, keys) if keys else good.crossJoin(F.broadcast(state))
+        sums = joined.mapInPandas(partial, fields(out)).groupBy(*keys, "k", "i").agg(F.sum("v").alias("v"))
+        below = sums.groupBy(*keys, "k").agg(F.max(F.when(F.col("v") < F.element_at(wanted, F.col("k") + 1), F.col("i")).otherwise(0)).alias("i"))
+        cell = below.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("c"))
+        placed = state.join(cell, keys) if keys else state.crossJoin(F.broadcast(cell))
+        edge = lambda add: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("low", k) + (F.get("high", k) - F.get("low", k)) * (F.get(F.col("c"), k)["i"] + add) / cuts)
+        state = spill(placed.select(*keys, edge(0).alias("low"), edge(1).alias("high")))
+    maps = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    found = maps.join(state, keys, "left") if keys else maps.join(state, F.lit(True), "left")
+    rows = found.select(*keys, "low", "high", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    middle = F.coalesce((F.get("low", F.col("k")) + F.get("high", F.col("k"))) / 2, F.lit(float("nan")))
+    return rows.select(*keys, "k", F.element_at(wanted, F.col("k") + 1).alias("p"), F.when(F.element_at(wanted, F.col("k") + 1) <= 0, 0.0).otherwise(middle).alias("distance"))
 
 
 def _vectors(df: DataFrame) -> DataFrame:

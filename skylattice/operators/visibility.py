@@ -36,7 +36,7 @@ def sun(unix: Column) -> tuple[Column, Column]:
     return F.atan2(F.cos(e) * F.sin(lon), F.cos(lon)), F.asin(F.sin(e) * F.sin(lon))
 
 
-def _seen(cells: DataFrame, sites: DataFrame, times: DataFrame) -> DataFrame:
+def seen(cells: DataFrame, sites: DataFrame, times: DataFrame) -> DataFrame:
     m = cells.withColumn("_a", ix.uniq2ang("uniq")).withColumn("_ra", F.col("_a.phi")).withColumn("_dec", math.pi / 2 - F.col("_a.theta"))
     m = m.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
     # sites and times are a user's short lists
@@ -49,14 +49,14 @@ def observability(cells: DataFrame, sites: DataFrame, times: DataFrame, max_airm
 
     ``sites`` has (site, longitude, latitude) in degrees, ``times`` has ``unix``.
     """
-    seen = _seen(cells, sites, times)
+    cells = seen(cells, sites, times)
     ra, dec = sun(F.col("unix"))
     dark = sin_altitude(ra, dec, F.radians("longitude"), F.radians("latitude"), F.col("unix")) < math.sin(math.radians(twilight))
     fine = (condition_secz(1 / F.col("_alt")) <= max_airmass) & dark
-    return seen.groupBy(*keys, "site", "unix").agg((F.sum(F.when(fine, F.col("prob")).otherwise(0.0)) / F.sum("prob")).alias("fraction"))
+    return cells.groupBy(*keys, "site", "unix").agg((F.sum(F.when(fine, F.col("prob")).otherwise(0.0)) / F.sum("prob")).alias("fraction"))
 
 
 def airmass(cells: DataFrame, sites: DataFrame, times: DataFrame, percentiles: list[float] = [5.0, 50.0, 95.0], keys: list[str] = []) -> DataFrame:
     """(keys, site, unix, q, airmass): probability-weighted percentiles of the air mass; below the horizon it is infinite."""
-    seen = _seen(cells, sites, times).withColumn("airmass", condition_secz(1 / F.col("_alt")))
-    return weighted_quantile(seen, "airmass", "prob", [p / 100 for p in percentiles], [*keys, "site", "unix"], "lower")
+    rows = seen(cells, sites, times).withColumn("airmass", condition_secz(1 / F.col("_alt")))
+    return weighted_quantile(rows, "airmass", "prob", [p / 100 for p in percentiles], [*keys, "site", "unix"], "lower")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 
-from pyspark.sql import functions as F
-
 import numpy as np
+from pyspark.sql import functions as F
 
 from ..functions import angles, cosmology, distance, gps, signal
 from ..functions import index as ix
 from ..operators import contours, credible, crossmatch, density, events, image, localize, maps, moments, simulate, stats, visibility
 from ..streaming import windows
+from . import geometry_sql as geo
 from .fixtures import FLAT, POINTS, SKY, distances, flat_map, points, sky_map, table, triggers
 
 QUERIES: dict = {}
@@ -80,18 +80,22 @@ def rasterize_down(spark, sf_dir):
     return maps.rasterize(m, 1, ["map_id"]).select("map_id", "ipix", F.round("w", 4).alias("w"))
 
 
-@query(f"""WITH {FLAT}, q AS (SELECT map_id, ipix, (w > 400000000)::INT AS v FROM flat),
+MERGED = f"""{FLAT}, q AS (SELECT map_id, ipix, (w > 400000000)::INT AS v FROM flat),
     p1 AS (SELECT map_id, ipix // 4 AS ipix, min(v) AS v, min(v) = max(v) AS same FROM q GROUP BY 1, 2),
-    p0 AS (SELECT map_id, ipix // 4 AS ipix, min(v) AS v, bool_and(same) AND min(v) = max(v) AS same FROM p1 GROUP BY 1, 2)
-    SELECT map_id, ipix + 4 AS uniq, v FROM p0 WHERE same
-    UNION ALL SELECT p1.map_id, p1.ipix + 16, p1.v FROM p1 JOIN p0 ON p1.map_id = p0.map_id AND p1.ipix // 4 = p0.ipix WHERE p1.same AND NOT p0.same
-    UNION ALL SELECT q.map_id, q.ipix + 64, q.v FROM q JOIN p1 ON q.map_id = p1.map_id AND q.ipix // 4 = p1.ipix WHERE NOT p1.same""")
+    p0 AS (SELECT map_id, ipix // 4 AS ipix, min(v) AS v, bool_and(same) AND min(v) = max(v) AS same FROM p1 GROUP BY 1, 2),
+    merged AS (SELECT map_id, ipix + 4 AS uniq, v, 0 AS k FROM p0 WHERE same
+        UNION ALL SELECT p1.map_id, p1.ipix + 16, p1.v, 1 FROM p1 JOIN p0 ON p1.map_id = p0.map_id AND p1.ipix // 4 = p0.ipix WHERE p1.same AND NOT p0.same
+        UNION ALL SELECT q.map_id, q.ipix + 64, q.v, 2 FROM q JOIN p1 ON q.map_id = p1.map_id AND q.ipix // 4 = p1.ipix WHERE NOT p1.same)"""
+
+
+@query(f"WITH {MERGED} SELECT map_id, uniq, v FROM merged")
 def derasterize(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", "ipix", (F.col("w") > 400000000).cast("int").alias("v"))
     return maps.derasterize(f, 2, ["map_id"])
 
 
-@query()
+@query(f"""WITH {MERGED}, leaf AS (SELECT map_id, v, k::INT AS "order", uniq - pow(4, k + 1)::BIGINT AS ipix, pow(2, k)::BIGINT AS nside FROM merged)
+    SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY ipix * pow(4, 2 - "order")) AS rank FROM leaf""")
 def reconstruct_tree(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", "ipix", (F.col("w") > 400000000).cast("int").alias("v"))
     return maps.reconstruct(f, 2, ["map_id"])
@@ -111,21 +115,24 @@ def combine_maps(spark, sf_dir):
     return maps.combine(a, b).select("ipix", F.round("probdensity", 9).alias("probdensity"))
 
 
-@query(f"""WITH RECURSIVE {POINTS}, t AS (
+HISTOGRAM = f"""{POINTS}, t AS (
     SELECT 0 AS k, b.i AS ipix, count(p.p29) AS n FROM range(12) b(i) LEFT JOIN points p ON (p.p29 >> 58) = b.i GROUP BY b.i
     UNION ALL
     SELECT k, ipix, n FROM (
         SELECT t.k + 1 AS k, t.ipix * 4 + c AS ipix, (SELECT count(*) FROM points p WHERE (p.p29 >> (2 * (29 - t.k - 1))) = t.ipix * 4 + c) AS n
-        FROM t, range(4) s(c) WHERE t.n >= 1500 AND t.k < 29))
-    SELECT ipix + (1::BIGINT << (2 * (k + 1))) AS uniq, n FROM t WHERE n < 1500""")
+        FROM t, range(4) s(c) WHERE t.n >= 1500 AND t.k < 29)), leaf AS (SELECT * FROM t WHERE n < 1500)"""
+
+
+@query(f"WITH RECURSIVE {HISTOGRAM} SELECT ipix + (1::BIGINT << (2 * (k + 1))) AS uniq, n FROM leaf")
 def adaptive_histogram(spark, sf_dir):
     return maps.adaptive_histogram(points(spark, sf_dir), 1500).select("uniq", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HISTOGRAM}, top AS (SELECT max(k) AS m FROM leaf)
+    SELECT ipix * pow(4, m - k)::BIGINT + c AS ipix, round(n / (pi() / 3 * pow(0.25, k)), 4) AS density FROM leaf, top, range(pow(4, 12)::BIGINT) r(c) WHERE c < pow(4, m - k)""")
 def flat_bitmap(spark, sf_dir):
     h = maps.adaptive_histogram(points(spark, sf_dir), 1500)
-    return maps.flat_bitmap(h, maps.highest_order(h))
+    return maps.flat_bitmap(h, maps.highest_order(h)).select("ipix", F.round("density", 4).alias("density"))
 
 
 # --- ordered prefix sums
@@ -156,7 +163,7 @@ def greedy_levels_by_range(spark, sf_dir):
 def credible_area(spark, sf_dir):
     m = sky_map(spark, sf_dir)
     total = m.groupBy("map_id").agg(F.sum("w").alias("total"))
-    m = m.join(F.broadcast(total), "map_id").select("map_id", "uniq", (F.col("w") / F.col("total") / ix.uniq2pixarea("uniq")).alias("probdensity"))
+    m = m.join(total, "map_id").select("map_id", "uniq", (F.col("w") / F.col("total") / ix.uniq2pixarea("uniq")).alias("probdensity"))
     return credible.areas(m, [0.5, 0.9], ["map_id"]).select("map_id", F.col("level").cast("decimal(2,1)").alias("level"), F.round("area", 6).alias("area"))
 
 
@@ -169,7 +176,7 @@ def credible_region(spark, sf_dir):
 def cumulative_area(spark, sf_dir):
     c = credible.curve(_ranked(spark, sf_dir), "w", F.col("dens"), F.col("units"), ["map_id"])
     total = c.groupBy("map_id").agg(F.sum("w").alias("all_w"))
-    c = c.join(F.broadcast(total), "map_id")
+    c = c.join(total, "map_id")
     return c.groupBy("map_id").agg(F.count(F.lit(1)).alias("cells"), F.max(F.when(F.col("cum_weight") * 2 <= F.col("all_w"), F.col("cum_area"))).alias("half_units"))
 
 
@@ -199,11 +206,11 @@ def crossmatch_searched(spark, sf_dir):
     return hit.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cum_area").alias("units"), F.sum(F.floor(F.col("cum_weight") / 1000)).alias("w"))
 
 
-@query("""SELECT o_orderkey AS x, count(r.at) - 1 AS floor FROM orders LEFT JOIN (SELECT i * 100 + 50 AS at FROM range(20) t(i)) r ON r.at <= o_orderkey
-    WHERE o_orderkey < 2500 GROUP BY o_orderkey""")
+@query("""SELECT x, count(a.at) - 1 AS floor FROM (SELECT DISTINCT o_orderkey AS x FROM orders) o
+    LEFT JOIN (SELECT DISTINCT s_suppkey * 97 + 50 AS at FROM supplier) a ON a.at <= x GROUP BY x""")
 def find_floor(spark, sf_dir):
-    ladder = spark.range(20).select((F.col("id") * 100 + 50).alias("at"))
-    keys = table(spark, sf_dir, "orders").where("o_orderkey < 2500").select(F.col("o_orderkey").alias("x")).distinct()
+    ladder = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 97 + 50).alias("at")).distinct()
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x")).distinct()
     return crossmatch.find_floor(keys, ladder)
 
 
@@ -271,14 +278,13 @@ def definition_filter(spark, sf_dir):
 def psd_segments(spark, sf_dir):
     t = triggers(spark, sf_dir).withColumn("time", F.floor(F.col("us") / 1000000).cast("double"))
     low, high = t.agg(F.floor(F.min("time") / 7200), F.floor(F.max("time") / 7200)).first()
-    seg = t.select("ifo").distinct().crossJoin(spark.range(low, high + 1)).select("ifo", (F.col("id") * 7200.0).alias("start"), ((F.col("id") + 1) * 7200.0).alias("end"), F.col("id").alias("segment"))
+    seg = t.select("ifo").distinct().select("ifo", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("id")).select("ifo", (F.col("id") * 7200.0).alias("start"), ((F.col("id") + 1) * 7200.0).alias("end"), F.col("id").alias("segment"))
     return events.psd_segments(t, seg).select("event_id", "ifo", "segment")
 
 
 @query("""WITH s AS (SELECT user_id, list_sort(list(value), 'DESC') AS v FROM events GROUP BY 1) SELECT user_id, v[2] AS snr FROM s""")
 def decisive_snr(spark, sf_dir):
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return t.select("user_id", events.decisive_snr(F.col("v"), 2).alias("snr"))
+    return events.decisive_of(table(spark, sf_dir, "events").withColumnRenamed("value", "snr"), ["user_id"], 2)
 
 
 # --- aggregates of maps
@@ -289,7 +295,7 @@ def decisive_snr(spark, sf_dir):
 def marginal_moments(spark, sf_dir):
     d = distances(spark, sf_dir).where("w > 0")
     total = d.groupBy("map_id").agg(F.sum("w").alias("total"))
-    d = d.join(F.broadcast(total), "map_id").withColumn("prob", F.col("w") / F.col("total"))
+    d = d.join(total, "map_id").withColumn("prob", F.col("w") / F.col("total"))
     out = moments.marginal_of_moments(d, ["map_id"])
     return out.select("map_id", F.round("distmean", 6).alias("distmean"), F.round("diststd", 4).alias("diststd"))
 
@@ -300,10 +306,12 @@ def posterior_max(spark, sf_dir):
     return moments.posterior_max(f, ["map_id"]).select("map_id", "uniq")
 
 
-@query()
+@query(f"""WITH {FLAT}, c AS (SELECT p, z, sqrt(1 - z * z) * cos(phi) AS x, sqrt(1 - z * z) * sin(phi) AS y FROM {geo.cells('(SELECT 2 AS k, p FROM range(192) r(p))')}),
+    s AS (SELECT map_id, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM flat JOIN c ON c.p = flat.ipix GROUP BY 1)
+    SELECT map_id, round(atan2(sqrt(x * x + y * y), z), 8) AS theta, round(atan2(y, x) + (atan2(y, x) < 0)::INT * 2 * pi(), 8) AS phi FROM s""")
 def posterior_mean(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", ix.nest2uniq(F.lit(2), F.col("ipix")).alias("uniq"), F.col("w").cast("double").alias("prob"))
-    return moments.posterior_mean(f, ["map_id"])
+    return moments.posterior_mean(f, ["map_id"]).select("map_id", F.round("theta", 8).alias("theta"), F.round("phi", 8).alias("phi"))
 
 
 @query(f"WITH {SKY} SELECT map_id, CASE WHEN (CASE ord WHEN 2 THEN ipix ELSE ipix // 4 END) // 16 < 6 THEN 'north' ELSE 'south' END AS region, sum(w)::BIGINT AS prob FROM sky GROUP BY 1, 2")
@@ -399,21 +407,34 @@ def moments_roundtrip(spark, sf_dir):
     return m.select("uniq", F.round("m.distmean", 2).alias("distmean"), F.round("m.diststd", 2).alias("diststd"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {geo.DMAP}, b AS (
+        SELECT 0 AS step, ipix, mu, sigma, norm, 0::DOUBLE AS low, 20000::DOUBLE AS high FROM dmap
+        UNION ALL SELECT step + 1, ipix, mu, sigma, norm, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END
+        FROM (SELECT *, {geo.ansatz_cdf('((low + high) / 2)')} < 0.5 AS less FROM b WHERE step < 45))
+    SELECT ipix + 16 AS uniq, round({geo.ansatz_cdf('5000.0')}, 7) AS cdf, round((low + high) / 2, 4) AS median FROM b WHERE step = 45""")
 def distance_cdf(spark, sf_dir):
-    return _distance_map(spark, sf_dir).select("uniq", distance.conditional_cdf(F.lit(5000.0), "distmu", "distsigma", "distnorm").alias("cdf"), distance.conditional_ppf(F.lit(0.5), "distmu", "distsigma", "distnorm").alias("median"))
+    d = _distance_map(spark, sf_dir).select("uniq", distance.conditional_cdf(F.lit(5000.0), "distmu", "distsigma", "distnorm").alias("cdf"), distance.conditional_ppf(F.lit(0.5), "distmu", "distsigma", "distnorm").alias("median"))
+    return d.select("uniq", F.round("cdf", 7).alias("cdf"), F.round("median", 4).alias("median"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {geo.DMAP} SELECT r, round(sum(prob * {geo.ansatz_pdf('r')}), 10) AS pdf, round(sum(prob * {geo.ansatz_cdf('r')}), 7) AS cdf
+    FROM dmap, (SELECT (1000 * i)::DOUBLE AS r FROM range(1, 12) t(i)) GROUP BY r""")
 def marginal_distance(spark, sf_dir):
     m = _distance_map(spark, sf_dir)
     radii = [1000.0 * k for k in range(1, 12)]
-    return moments.marginal_pdf(m, radii).join(moments.marginal_cdf(m, radii), "r")
+    both = moments.marginal_pdf(m, radii).join(moments.marginal_cdf(m, radii), "r")
+    return both.select("r", F.round("pdf", 10).alias("pdf"), F.round("cdf", 7).alias("cdf"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {geo.DMAP}, asked AS (SELECT * FROM (VALUES (0.5, 0.25, 0.75), (0.9, 0.05, 0.95)) v(level, a, b)),
+    b AS (SELECT 0 AS step, s::DOUBLE AS s, 0::DOUBLE AS low, 30000::DOUBLE AS high FROM (SELECT a AS s FROM asked UNION ALL SELECT b FROM asked)
+        UNION ALL SELECT step + 1, s, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END
+        FROM (SELECT *, (SELECT sum(prob * {geo.ansatz_cdf('((low + high) / 2)')}) FROM dmap) < s AS less FROM b WHERE step < 45)),
+    q AS (SELECT s, round((low + high) / 2, 2) AS d FROM b WHERE step = 45)
+    SELECT level::DOUBLE AS level, x.d AS low, y.d AS high FROM asked JOIN q x ON x.s = a JOIN q y ON y.s = b""")
 def distance_intervals(spark, sf_dir):
-    return crossmatch.distance_intervals(_distance_map(spark, sf_dir), [0.5, 0.9])
+    d = crossmatch.distance_intervals(_distance_map(spark, sf_dir), [0.5, 0.9])
+    return d.select("level", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 @query()
@@ -421,23 +442,49 @@ def principal_axes(spark, sf_dir):
     return moments.principal_axes(_distance_map(spark, sf_dir))
 
 
-@query()
+COARSE = f"""{geo.DMOM}, coarse AS (SELECT ipix, prob, mean, sqrt(q - mean * mean) AS std FROM (
+    SELECT ipix // 4 AS ipix, sum(prob) AS prob, sum(prob * mean) / sum(prob) AS mean, sum(prob * (std * std + mean * mean)) / sum(prob) AS q FROM dmom GROUP BY 1)),
+    {geo.parameters('coarse_map', 'coarse', 'ipix, prob')}
+    SELECT ipix, round(prob, 10) AS prob, round(mu, 4) AS distmu, round(sigma, 4) AS distsigma, round(norm * 1e8, 6) AS distnorm FROM coarse_map"""
+
+
+def _rounded_layers(df):
+    return df.select("ipix", F.round("prob", 10).alias("prob"), F.round("distmu", 4).alias("distmu"), F.round("distsigma", 4).alias("distsigma"), F.round(F.col("distnorm") * 1e8, 6).alias("distnorm"))
+
+
+@query(f"WITH RECURSIVE {COARSE}")
 def rasterize_distance(spark, sf_dir):
-    return maps.rasterize_distance(_distance_map(spark, sf_dir), 0)
+    return _rounded_layers(maps.rasterize_distance(_distance_map(spark, sf_dir), 0))
 
 
-@query()
+@query(f"WITH RECURSIVE {COARSE}")
+def ud_grade_distance(spark, sf_dir):
+    m = _distance_map(spark, sf_dir).select((F.col("uniq") - 16).alias("ipix"), "prob", "distmu", "distsigma", "distnorm")
+    return _rounded_layers(maps.ud_grade_distance(m, 1, 0))
+
+
+VOXELS = f"""{geo.DMAP}, reach AS (SELECT greatest(6 * (SELECT sum(prob * mean) FROM dmom), {{far}}) / 1000 AS d),
+    vox AS (SELECT ipix, i AS shell, prob / (pi() / 12) * norm * exp(-0.5 * pow((i * d - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())) AS rate,
+        (i * d * i * d + d * d / 12) * d * (pi() / 12) AS dv FROM dmap, reach, range(1, 1000) t(i)),
+    run AS (SELECT *, sum(rate * dv) OVER w AS cum_p, sum(dv) OVER w AS cum_v, rate * dv AS dp FROM vox WINDOW w AS (ORDER BY rate DESC, ipix, shell ROWS UNBOUNDED PRECEDING))"""
+SUPPLIERS = "SELECT s_suppkey AS id, (s_suppkey % 628 / 100.0)::DOUBLE AS phi, sin((s_suppkey % 300 / 100.0 - 1.5)::DOUBLE) AS z, 2000 + abs(s_acctbal) / 2 AS dist FROM supplier"
+
+
+@query(f"""WITH RECURSIVE {VOXELS.replace("{far}", "(SELECT max(2000 + abs(s_acctbal) / 2) FROM supplier) * (1 + 1e-9)")}, hit AS (SELECT * FROM {geo.lookup(f"({SUPPLIERS})", 1)}),
+    found AS (SELECT h.*, m.*, greatest(1, least(999, round(dist / d)))::INT AS shell FROM hit h JOIN dmap m ON m.ipix = h.p, reach)
+    SELECT id, round(cum_v / 1e9, 3) AS searched_vol, round(cum_p, 7) AS searched_prob_vol, round(prob / (pi() / 12) * {geo.ansatz_pdf('dist')} / (dist * dist) * 1e12, 5) AS probdensity_vol, round({geo.ansatz_cdf('dist')}, 7) AS searched_prob_dist
+    FROM found f JOIN run r ON r.ipix = f.ipix AND r.shell = f.shell""")
 def crossmatch_3d(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 628 / 100.0).alias("ra"), (F.col("s_suppkey") % 300 / 100.0 - 1.5).alias("dec"), (2000 + F.abs("s_acctbal") / 2).alias("distance"))
     objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c))
-    return objects
+    return objects.select("id", F.round(F.col("searched_vol") / 1e9, 3).alias("searched_vol"), F.round("searched_prob_vol", 7).alias("searched_prob_vol"), F.round(F.col("probdensity_vol") * 1e12, 5).alias("probdensity_vol"), F.round("searched_prob_dist", 7).alias("searched_prob_dist"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOXELS.replace("{far}", "0")}, l AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE]) AS level)
+    SELECT level, round(min_by(cum_v - dv + (level - cum_p + dp) * dv / dp, cum_p) / 1e9, 3) AS volume FROM run, l WHERE cum_p >= level AND dp > 0 GROUP BY level""")
 def contour_volumes(spark, sf_dir):
-    c = table(spark, sf_dir, "supplier").limit(0).select(F.col("s_suppkey").alias("id"), F.lit(0.0).alias("ra"), F.lit(0.0).alias("dec"), F.lit(1.0).alias("distance"))
-    _, volumes = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), [0.5, 0.9])
-    return volumes
+    volumes = crossmatch.contour_volumes(_distance_map(spark, sf_dir).drop("prob"), [0.5, 0.9])
+    return volumes.select("level", F.round(F.col("volume") / 1e9, 3).alias("volume"))
 
 
 @query()
@@ -456,13 +503,20 @@ def _catalog(spark, sf_dir):
 def _density_map(spark, sf_dir):
     m = sky_map(spark, sf_dir)
     total = m.groupBy("map_id").agg(F.sum("w").alias("total"))
-    return m.join(F.broadcast(total), "map_id").select("map_id", "uniq", (F.col("w") / F.col("total") / ix.uniq2pixarea("uniq")).alias("probdensity"))
+    return m.join(total, "map_id").select("map_id", "uniq", (F.col("w") / F.col("total") / ix.uniq2pixarea("uniq")).alias("probdensity"))
 
 
-@query()
+CUSTOMERS = "SELECT c_custkey AS id, (c_custkey * 37 % 628 / 100.0)::DOUBLE AS phi, ((c_custkey * 17 % 1999 - 999) / 1000.0)::DOUBLE AS z FROM customer"
+
+
+@query(f"""WITH {GREEDY}, hit AS (SELECT * FROM {geo.lookup(f"({CUSTOMERS})", 3)}),
+    best AS (SELECT map_id, z AS bz, phi AS bphi FROM {geo.cells("(SELECT map_id, min_by(ord, (-dens, uniq)) AS k, min_by(ipix, (-dens, uniq)) AS p FROM c GROUP BY 1)")})
+    SELECT map_id, count(*) AS n, round(avg(degrees(acos(greatest(-1, least(1, z * bz + sqrt(1 - z * z) * sqrt(1 - bz * bz) * cos(phi - bphi)))))), 6) AS "offset",
+        round(avg(cum_units * 41252.96124941928 / 768), 6) AS searched_area, round(avg(cum_w / all_w), 9) AS searched_prob
+    FROM hit JOIN c ON c.ipix = hit.p // (CASE ord WHEN 2 THEN 4 ELSE 1 END) JOIN best USING (map_id) GROUP BY 1""")
 def searched_offset(spark, sf_dir):
     hit = crossmatch.searched(_density_map(spark, sf_dir), crossmatch.catalog_points(_catalog(spark, sf_dir)), ["map_id"])
-    return hit.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.avg("offset").alias("offset"), F.avg("searched_area").alias("searched_area"), F.avg("searched_prob").alias("searched_prob"))
+    return hit.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("offset"), 6).alias("offset"), F.round(F.avg("searched_area"), 6).alias("searched_area"), F.round(F.avg("searched_prob"), 9).alias("searched_prob"))
 
 
 @query(f"""WITH {GREEDY} SELECT map_id, round(max_by(pw + (100.0 * 768 / 41252.96124941928 - pu) * (cum_w - pw) / (cum_units - pu), -cum_units) / max(all_w), 9) AS prob
@@ -472,20 +526,43 @@ def area_probability(spark, sf_dir):
     return p.select("map_id", F.round("prob", 9).alias("prob"))
 
 
-@query()
+def _modes_sql(mask: str, order: int, tag: str = "") -> str:
+    """Connected components of ``mask`` (map_id, ipix), by the smallest pixel that each one reaches; ``tag`` ends the names."""
+    return f"""corner{tag} AS {geo.corners(order)}, near{tag} AS (SELECT DISTINCT a.p AS a, b.p AS b FROM corner{tag} a JOIN corner{tag} b ON a.key = b.key AND a.p <> b.p),
+    mask{tag} AS ({mask}), edge{tag} AS (SELECT m.map_id, e.a, e.b FROM near{tag} e JOIN mask{tag} m ON m.ipix = e.a JOIN mask{tag} n ON n.ipix = e.b AND n.map_id = m.map_id),
+    reach{tag} AS (SELECT map_id, ipix, ipix AS seen FROM mask{tag} UNION SELECT r.map_id, r.ipix, e.b FROM reach{tag} r JOIN edge{tag} e ON e.map_id = r.map_id AND e.a = r.seen),
+    modes{tag} AS (SELECT map_id, count(DISTINCT least) AS modes FROM (SELECT map_id, ipix, min(seen) AS least FROM reach{tag} GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _map_stats_sql() -> str:
+    region = lambda level: f"SELECT map_id, CASE ord WHEN 2 THEN 4 * ipix + j ELSE ipix END AS ipix FROM c, range(4) r(j) WHERE (cum_w - w) / all_w < {level} AND (ord = 2 OR j = 0)"
+    modes = [_modes_sql(region(x), 3, tag) for x, tag in ((0.5, "_a"), (0.9, "_b"))]
+    area = lambda level: f"round(min_by(pu + ({level} * all_w - pw) * (cum_units - pu) / (cum_w - pw), cum_w) FILTER (cum_w >= {level} * all_w AND w > 0) * 41252.96124941928 / 768, 6)"
+    prob = "round(max_by(pw + (100.0 * 768 / 41252.96124941928 - pu) * (cum_w - pw) / (cum_units - pu), -cum_units) FILTER (cum_units >= 100.0 * 768 / 41252.96124941928) / max(all_w), 9)"
+    return f"""WITH RECURSIVE {GREEDY}, {modes[0]}, {modes[1]}, d AS (SELECT *, cum_w - w AS pw, cum_units - units AS pu FROM c)
+        SELECT map_id, {area(0.5)} AS "area(50)", {area(0.9)} AS "area(90)", {prob} AS "prob(100)", max(m.modes) AS "modes(50)", max(n.modes) AS "modes(90)"
+        FROM d JOIN modes_a m USING (map_id) JOIN modes_b n USING (map_id) GROUP BY map_id"""
+
+
+@query(_map_stats_sql())
 def map_stats(spark, sf_dir):
-    return crossmatch.stats(_density_map(spark, sf_dir), None, [0.5, 0.9], [100.0], True)
+    out = crossmatch.stats(_density_map(spark, sf_dir), None, [0.5, 0.9], [100.0], True)
+    digits = {"area(50)": 6, "area(90)": 6, "prob(100)": 9}
+    return out.select("map_id", *[F.round(f"`{c}`", k).alias(c) for c, k in digits.items()], "`modes(50)`", "`modes(90)`")
 
 
-@query()
+@query(f"WITH RECURSIVE {FLAT}, {_modes_sql('SELECT map_id, ipix FROM flat WHERE w > 400000000', 2)} SELECT map_id, modes FROM modes")
 def count_modes(spark, sf_dir):
     f = flat_map(spark, sf_dir).where("w > 400000000")
     return crossmatch.count_modes(f, 2, ["map_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLAT}, seeds AS (SELECT map_id, min(ipix) AS seed FROM flat WHERE w > 300000000 GROUP BY 1), {_modes_sql('SELECT map_id, ipix FROM flat WHERE w > 300000000', 2)}
+    SELECT r.map_id, r.seen AS ipix FROM reach r JOIN seeds s ON s.map_id = r.map_id AND s.seed = r.ipix""")
 def flood_fill(spark, sf_dir):
-    return crossmatch.flood_fill(flat_map(spark, sf_dir).where("map_id = 0 AND w > 300000000"), 2, 100)
+    mask = flat_map(spark, sf_dir).where("w > 300000000")
+    seeds = mask.groupBy("map_id").agg(F.min("ipix").alias("ipix"))
+    return crossmatch.flood_fill(mask, 2, seeds, ["map_id"])
 
 
 @query()
@@ -500,9 +577,19 @@ def interpolate_nested(spark, sf_dir):
     return maps.interpolate_nested(f, 2, ["map_id"])
 
 
-@query()
+def _grid_sql(rounds: int) -> str:
+    value = lambda source: f"SELECT k, p, exp(-4 * (1 - cos(acos(z) - 1) * cos(phi - 2))) AS d FROM {geo.cells(source)}"
+    parts = [f"g0 AS ({value('(SELECT 2 AS k, p FROM range(192) r(p))')})"]
+    for i in range(rounds):
+        parts.append(f"c{i} AS (SELECT k, p FROM g{i} ORDER BY d * pow(0.25, k) DESC, p + pow(4, k + 1) LIMIT 48)")
+        parts.append(f"g{i + 1} AS (SELECT * FROM g{i} ANTI JOIN c{i} USING (k, p) UNION ALL {value(f'(SELECT k + 1 AS k, 4 * p + j AS p FROM c{i}, range(4) r(j))')})")
+    return ", ".join(parts)
+
+
+@query(f"WITH {_grid_sql(3)} SELECT p + pow(4, k + 1)::BIGINT AS uniq, round(d / sum(d * pi() / 3 * pow(0.25, k)) OVER (), 8) AS probdensity FROM g3")
 def adaptive_grid(spark, sf_dir):
-    return maps.adaptive_grid(spark, lambda theta, phi: F.exp(-4 * (1 - F.cos(theta - 1) * F.cos(phi - 2))), 2, 3)
+    g = maps.adaptive_grid(spark, lambda theta, phi: F.exp(-4 * (1 - F.cos(theta - 1) * F.cos(phi - 2))), 2, 3)
+    return g.select("uniq", F.round("probdensity", 8).alias("probdensity"))
 
 
 @query()
@@ -521,26 +608,60 @@ def find_ellipse(spark, sf_dir):
     return contours.find_ellipse(flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob")), 2, [0.5, 0.9], ["map_id"])
 
 
-@query()
+@query(f"""WITH {GREEDY}, px AS (SELECT i, j, 2 * (i + 0.5::DOUBLE) / 60 - 1 AS u, asin(2 * (j + 0.5::DOUBLE) / 30 - 1) AS t FROM range(60) a(i), range(30) b(j)),
+    sky_px AS (SELECT i, j, -u * pi() / cos(t) + (u > 0)::INT * 2 * pi() AS phi, (2 * t + sin(2 * t)) / pi() AS z FROM px WHERE abs(u) <= cos(t)),
+    hit AS (SELECT * FROM {geo.lookup('sky_px', 3)}),
+    own AS (SELECT hit.i, hit.j, c.map_id, round(w / all_w / (pi() / 3 * pow(0.25, ord)), 9) AS value FROM hit JOIN c ON c.ipix = hit.p // (CASE ord WHEN 2 THEN 4 ELSE 1 END))
+    SELECT m.map_id, px.i AS x, px.j AS y, own.value AS probdensity, (own.value IS NOT NULL)::INT AS footprint FROM px CROSS JOIN range(4) m(map_id) LEFT JOIN own ON own.i = px.i AND own.j = px.j AND own.map_id = m.map_id""")
 def reproject_image(spark, sf_dir):
-    return image.reproject(image.grid(spark, 60, 30, "MOL"), _density_map(spark, sf_dir).where("map_id = 0"), "probdensity")
+    grid, cells = image.grid(spark, 60, 30, "MOL"), _density_map(spark, sf_dir)
+    out = None
+    for k in range(4):  # the fixture's maps
+        own = image.reproject(grid, cells.where(F.col("map_id") == k), "probdensity").withColumn("map_id", F.lit(k).cast("long"))
+        out = own if out is None else out.unionByName(own)
+    return out.select("map_id", "x", "y", F.round("probdensity", 9).alias("probdensity"), "footprint")
 
 
 _SITES = [("north", -118.0, 34.0), ("south", -70.0, -30.0)]
 
 
-@query()
+SEEN = f"""{GREEDY}, site AS (SELECT * FROM (VALUES ('north', -118.0::DOUBLE, 34.0::DOUBLE), ('south', -70.0, -30.0)) v(site, lon, lat)),
+    cell AS (SELECT map_id, prob, z, phi FROM {geo.cells("(SELECT map_id, ord AS k, ipix AS p, w / all_w AS prob FROM c)")}),
+    clock AS (SELECT *, unix / 86400 - 10957.5::DOUBLE AS d FROM (SELECT 1.5e9::DOUBLE + i * 14400 AS unix FROM range({{n}}) t(i))),
+    sun AS (SELECT *, radians(280.459 + 0.98564736 * d + 1.915 * sin(radians(357.529 + 0.98560028 * d)) + 0.020 * sin(2 * radians(357.529 + 0.98560028 * d))) AS l, radians(23.439 - 0.00000036 * d) AS e,
+        2 * pi() * (0.7790572732640 + 1.00273781191135448 * d) AS gmst FROM clock),
+    seen AS (SELECT map_id, site, unix, prob, sin(radians(lat)) * z + cos(radians(lat)) * sqrt(1 - z * z) * cos(gmst + radians(lon) - phi) AS alt,
+        sin(radians(lat)) * sin(e) * sin(l) + cos(radians(lat)) * sqrt(1 - pow(sin(e) * sin(l), 2)) * cos(gmst + radians(lon) - atan2(cos(e) * sin(l), cos(l))) AS sun_alt FROM cell, site, sun)"""
+
+
+@query(f"""WITH {SEEN.replace('{n}', '6')} SELECT map_id, site, unix, round(sum(CASE WHEN alt > 0 AND 1 / alt <= 2.5 AND sun_alt < sin(radians(-18.0)) THEN prob ELSE 0 END) / sum(prob), 9) AS fraction FROM seen GROUP BY 1, 2, 3""")
 def observability(spark, sf_dir):
     sites = spark.createDataFrame(_SITES, "site string, longitude double, latitude double")
     times = spark.range(6).select((1.5e9 + F.col("id") * 14400.0).alias("unix"))
-    return visibility.observability(_density_map(spark, sf_dir), sites, times, keys=["map_id"])
+    seen = visibility.observability(_density_map(spark, sf_dir), sites, times, keys=["map_id"])
+    return seen.withColumn("fraction", F.round("fraction", 9))
 
 
-@query()
+@query(f"""WITH {SEEN.replace('{n}', '3')}, a AS (SELECT *, CASE WHEN alt > 0 THEN 1 / alt ELSE 'inf'::DOUBLE END AS airmass FROM seen),
+    b AS (SELECT *, sum(prob) OVER (PARTITION BY map_id, site, unix ORDER BY airmass, prob ROWS UNBOUNDED PRECEDING) - prob AS before FROM a),
+    f AS (SELECT *, before / max(before) OVER (PARTITION BY map_id, site, unix) AS place FROM b)
+    SELECT map_id, site, unix, q, coalesce(round(max(airmass) FILTER (place <= q + 1e-12 AND airmass < 'inf'::DOUBLE), 2), 0) AS finite, bool_or(place <= q + 1e-12 AND airmass = 'inf'::DOUBLE) AS below
+    FROM f, (SELECT unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q) GROUP BY 1, 2, 3, 4""")
 def airmass_percentiles(spark, sf_dir):
     sites = spark.createDataFrame(_SITES, "site string, longitude double, latitude double")
     times = spark.range(3).select((1.5e9 + F.col("id") * 14400.0).alias("unix"))
-    return visibility.airmass(_density_map(spark, sf_dir).where("map_id = 0"), sites, times)
+    a = visibility.airmass(_density_map(spark, sf_dir), sites, times, keys=["map_id"])
+    top = F.col("airmass") == float("inf")
+    finite = _largest_finite(spark, sf_dir, sites, times)
+    return a.join(finite, ["map_id", "site", "unix"]).select("map_id", "site", "unix", "q", F.round(F.when(top, F.col("largest")).otherwise(F.col("airmass")), 2).alias("finite"), top.alias("below"))
+
+
+def _largest_finite(spark, sf_dir, sites, times):
+    """The largest air mass above the horizon, for each map, site and time; 0 where nothing is up."""
+    a = visibility.airmass(_density_map(spark, sf_dir), sites, times, [100.0], ["map_id"]).select("map_id", "site", "unix")
+    seen = visibility.seen(_density_map(spark, sf_dir), sites, times).where("_alt > 0")
+    top = seen.groupBy("map_id", "site", "unix").agg(F.max(1 / F.col("_alt")).alias("largest"))
+    return a.join(top, ["map_id", "site", "unix"], "left").withColumn("largest", F.coalesce("largest", F.lit(0.0)))
 
 
 # --- generators
@@ -590,20 +711,35 @@ def inject_and_realize(spark, sf_dir):
     return simulate.realize(simulate.inject(spark, 20, reach, 7), [{"ifo": "D0", "response": response, "location": [0.02, 0, 0], "psd": signal.model_psd}])
 
 
-@query()
+@query("""SELECT ifo, k, CASE WHEN 32 * k >= 10 THEN round(log10(factor * factor * 1e-49 * (pow(x, -4.14) - 5 * pow(x, -2) + 111 * (1 - x * x + pow(x, 4) / 2) / (1 + x * x / 2))), 8) END AS log_power
+    FROM (SELECT ifo, factor, k::INT AS k, greatest(32 * k, 1) / 215.0::DOUBLE AS x FROM (VALUES ('D0', 1.0::DOUBLE), ('D1', 1.5)) d(ifo, factor), range(65) t(k))""")
 def model_spectra(spark, sf_dir):
-    return simulate.model_spectra(spark, {"D0": 1.0, "D1": 1.5}, 32.0)
+    s = simulate.model_spectra(spark, {"D0": 1.0, "D1": 1.5}, 32.0).select("ifo", F.posexplode("data").alias("k", "s"))
+    return s.select("ifo", "k", F.when(F.col("s") < float("inf"), F.round(F.log10("s"), 8)).alias("log_power"))
 
 
-@query()
+#: E(z) of the cosmology at a redshift, and the comoving distance by Simpson's rule over 400 steps.
+EFUNC = "sqrt(0.3075 * pow(1 + {z}, 3) + 9.18e-5 * pow(1 + {z}, 4) + (1 - 0.3075 - 9.18e-5))"
+SIMPSON = "list_sum(list_transform(range(401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / " + EFUNC.replace("{z}", "({z} * i / 400)") + ")) * {z} / 1200 * 299792.458 / 67.74"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey, abs(c_acctbal) + 1 AS d FROM customer),
+    b AS (SELECT 0 AS step, c_custkey, d, 0::DOUBLE AS low, 4::DOUBLE AS high FROM c
+        UNION ALL SELECT step + 1, c_custkey, d, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END
+        FROM (SELECT *, (1 + (low + high) / 2) * {SIMPSON.replace('{z}', '((low + high) / 2)')} < d AS less FROM b WHERE step < 36)),
+    r AS (SELECT c_custkey, (low + high) / 2 AS z, {SIMPSON.replace('{z}', '((low + high) / 2)')} AS dc, 299792.458 / 67.74 / {EFUNC.replace('{z}', '((low + high) / 2)')} AS dh FROM b WHERE step = 36)
+    SELECT c_custkey, round(z, 7) AS z, round(dh * dc * dc / ((dc + (1 + z) * dh) * pow((1 + z) * dc, 2)), 6) AS ratio FROM r""")
 def cosmology_redshift(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1).alias("d"))
-    return c.select("c_custkey", cosmology.redshift("d").alias("z"), cosmology.volume_ratio("d").alias("ratio"))
+    return c.select("c_custkey", F.round(cosmology.redshift("d"), 7).alias("z"), F.round(cosmology.volume_ratio("d"), 6).alias("ratio"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT 0 AS step, k, p, 0::DOUBLE AS low, 1::DOUBLE AS high FROM range(1, 51) t(k), (VALUES (0.025::DOUBLE), (0.975)) v(p)
+        UNION ALL SELECT step + 1, k, p, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END FROM (
+            SELECT *, list_sum(list_transform(range(k, 51), lambda j: exp(lgamma(51) - lgamma(j + 1) - lgamma(51 - j) + j * ln((low + high) / 2) + (50 - j) * ln(1 - (low + high) / 2)))) < p AS less FROM b WHERE step < 40))
+    SELECT k, round(max((low + high) / 2) FILTER (p < 0.5), 7) AS low, round(max((low + high) / 2) FILTER (p > 0.5), 7) AS high FROM b WHERE step = 40 GROUP BY k""")
 def pp_band(spark, sf_dir):
-    return stats.pp_band(spark, 50)
+    return stats.pp_band(spark, 50).select("k", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -611,3 +747,6 @@ def trigger_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     w = windows.trigger_rate(e.withColumn("ts", F.col("ts").cast("timestamp")))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import extra  # noqa: E402, F401  registers more queries

@@ -6,17 +6,23 @@ gzipped.  Files are read through Spark's binary reader, so any path that Spark c
 
 from __future__ import annotations
 
+import datetime
 import gzip
-import io
 import math
+import posixpath
 import re
+import shlex
+import textwrap
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import healpix
+from ..functions.gps import gps_of, iso8601_of, mjd_of
 from ..functions.types import fields, kind
 
 #: Metadata of a map and the cards that hold it.  Fixed values of the format.
@@ -41,6 +47,13 @@ _CODES = {"L": "?", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "
 UNITS = {"PROBDENSITY": "sr-1", "PROB": "pix-1", "DISTMU": "Mpc", "DISTSIGMA": "Mpc", "DISTNORM": "Mpc-2"}
 
 
+def normal_id(value):
+    """An integer where the value is one or ends in one as in table:column:12, else the text."""
+    text = str(value)
+    m = re.match(r"^(?:\w+:\w+:)?(\d+)$", text)
+    return int(m[1]) if m else text
+
+
 def _value(text: str):
     text = text.strip()
     if text.startswith("'"):
@@ -122,9 +135,32 @@ def standardize(cards: dict, columns: dict, nested: bool = True) -> dict[str, np
     return {"ipix": ipix, **out}
 
 
+#: How values are turned into those of a card, and back.
+CONVERTERS = {
+    "objid": (normal_id, normal_id),
+    "instruments": (lambda v: ",".join(sorted({v} if isinstance(v, str) else set(v))), lambda v: sorted({x.strip() for x in str(v).split(",")} - {""})),
+    "gps_time": (iso8601_of, gps_of),
+    "gps_creation_time": (iso8601_of, gps_of),
+}
+
+
+def version_metadata(version: str, revision: str | None = None, build_date: str | None = None, package: str = "skylattice") -> dict:
+    """Metadata that names the software: version with its package, revision, date."""
+    return {"vcs_version": f"{package} {version}", "vcs_revision": revision, "build_date": build_date}
+
+
+def provenance(program: str, arguments: list[str], started: float, ended: float) -> dict:
+    """Metadata of a run: creator, creation time (GPS), runtime in seconds, and its command line as history lines."""
+    lines = textwrap.wrap(" ".join([program, *map(shlex.quote, arguments)]), 70)
+    return {"creator": program, "gps_creation_time": gps_of(datetime.datetime.fromtimestamp(ended, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")), "runtime": round(ended - started, 6), "history": ["", "Generated by calling the following:", *lines]}
+
+
 def metadata(cards: dict) -> dict:
-    """Metadata by its names; None where a card isn't there."""
-    out = {k: cards.get(card) for k, (card, _) in CARDS.items()}
+    """Metadata by its names, times in GPS seconds; None where a card isn't there."""
+    out = {}
+    for k, (card, _) in CARDS.items():
+        value = cards.get(card)
+        out[k] = CONVERTERS[k][1](value) if value is not None and k in CONVERTERS else value
     out["history"] = cards.get("HISTORY", [])
     return out
 
@@ -166,7 +202,9 @@ def serialize(columns: dict[str, np.ndarray], meta: dict | None = None, nested:
         cards += [_card("NSIDE", int(round(math.sqrt(len(key) / 12)))), _card("INDXSCHM", "IMPLICIT", "Indexing: IMPLICIT or EXPLICIT")]
     for k, (card, comment) in CARDS.items():
         if meta.get(k) is not None:
-            cards.append(_card(card, meta[k], comment))
+            cards.append(_card(card, CONVERTERS[k][0](meta[k]) if k in CONVERTERS else meta[k], comment))
+            if k == "gps_time":
+                cards.append(_card("MJD-OBS", mjd_of(meta[k]), "modified Julian date of the observation"))
     for line in meta.get("history", []):
         cards.append(f"HISTORY {line}"[:80].ljust(80).encode("ascii", "replace"))
     pad = lambda b, c: b + c * (-len(b) % 2880)
@@ -180,7 +218,7 @@ def read_maps(spark: SparkSession, path: str, columns: tuple[str, ...] = ("probd
     Files are dealt by Spark's binary reader, one task for several files; columns not asked for aren't kept.
     """
     key = "uniq" if moc else "ipix"
-    out = fields("path:string," + key + ":long," + ",".join(f"{c}:double" for c in columns))
+    out = fields("path:string," + key + ":long" + "".join(f",{c}:double" for c in columns))
 
     def run(batches):
         import pyarrow as pa
@@ -221,7 +259,39 @@ class _Part(InputPartition):
         self.path = path
 
 
+def file_system(path: str):
+    """(file system, path in it) of a local path or a URI, for tasks that write files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def save(data: bytes, path: str) -> None:
+    """Write a file that is there whole or not at all: beside its place first, then moved."""
+    system, name = file_system(path)
+    held = f"{name}.{uuid.uuid4().hex}.part"
+    system.create_dir(posixpath.dirname(name) or ".", recursive=True)
+    try:
+        with system.open_output_stream(held) as f:
+            f.write(data)
+        system.move(held, name)
+    except BaseException:
+        remove(held if "://" not in path else path + held[len(name) :])
+        raise
+
+
+def remove(path: str) -> None:
+    """Remove a file; silent where there is none."""
+    system, name = file_system(path)
+    try:
+        system.delete_file(name)
+    except FileNotFoundError:
+        pass
+
+
 class SkymapReader(DataSourceReader):
+    """One partition for each file; rows come as Arrow batches."""
+
     def __init__(self, schema, options):
         self.schema, self.path = schema, options["path"]
 
@@ -231,29 +301,62 @@ class SkymapReader(DataSourceReader):
         return [_Part(p) for p in sorted(glob.glob(self.path))] or [_Part(self.path)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        import pyarrow as pa
+
+        system, name = file_system(partition.path)
+        with system.open_input_file(name) as f:
             cards, raw = parse(f.read())
         got = standardize(cards, raw)
-        columns = [got[n].tolist() if n in got else [None] * len(next(iter(got.values()))) for n in self.schema.names]
-        yield from zip(*columns)
+        n = len(next(iter(got.values())))
+        types = {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}
+        columns = []
+        for field in self.schema.fields:
+            t = types[field.dataType.simpleString()]
+            columns.append(pa.array(got[field.name]).cast(t) if field.name in got else pa.nulls(n, t))
+        yield pa.RecordBatch.from_arrays(columns, self.schema.names)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, held: str | None):
+        self.held = held
 
 
 class SkymapWriter(DataSourceWriter):
-    def __init__(self, schema, options):
-        self.schema, self.path = schema, options["path"]
+    """One file from one partition: each task writes beside the file, and the commit moves it there.
+
+    Rows in several partitions would be several maps and are an error, as is a file that exists unless it may be overwritten.
+    """
+
+    def __init__(self, schema, options, overwrite=False):
+        self.schema, self.path, self.overwrite = schema, options["path"], overwrite
 
     def write(self, iterator):
         rows = list(iterator)
         if not rows:
-            return WriterCommitMessage()
+            return _Written(None)
         columns = {n: np.array([r[k] for r in rows], np.int64 if n in ("uniq", "ipix") else float) for k, n in enumerate(self.schema.names)}
-        with open(self.path, "wb") as f:
-            f.write(serialize(columns))
-        return WriterCommitMessage()
+        held = f"{self.path}.{uuid.uuid4().hex}.part"
+        save(serialize(columns), held)
+        return _Written(held)
+
+    def commit(self, messages):
+        held = [m.held for m in messages if m is not None and m.held]
+        system, name = file_system(self.path)
+        there = system.get_file_info(name).type.name != "NotFound"
+        if len(held) > 1 or (there and not self.overwrite):
+            self.abort(messages)
+            raise ValueError(f"{self.path} exists" if len(held) <= 1 else "a file holds one map from one partition: coalesce(1), or write_maps for several maps")
+        if held:
+            system.move(file_system(held[0])[1], name)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and m.held:
+                remove(m.held)
 
 
 class SkymapSource(DataSource):
-    """``spark.read.format("skymap_fits")`` and ``df.coalesce(1).write.format("skymap_fits")`` for local files."""
+    """``spark.read.format("skymap_fits")`` and ``df.coalesce(1).write.format("skymap_fits")``."""
 
     @classmethod
     def name(cls):
@@ -266,27 +369,58 @@ class SkymapSource(DataSource):
         return SkymapReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return SkymapWriter(schema, self.options)
+        return SkymapWriter(schema, self.options, overwrite)
 
 
 def write_map(df: DataFrame, path: str, meta: dict | None = None, nested: bool = True) -> None:
-    """One map to one local file; the map must fit the driver."""
-    table = df.toArrow()
-    columns = {n: np.asarray(table.column(n).to_numpy()) for n in table.column_names}
-    data = serialize(columns, meta, nested)
-    with io.open(path, "wb") as f:
-        f.write(gzip.compress(data) if path.endswith(".gz") else data)
+    """One map to one file, made in one task and moved to its place whole; .gz is compressed."""
+    write_maps(df.withColumn("_map", F.lit("map")), path, "_map", meta, nested, name=lambda key: "").collect()
+
 
+def write_maps(df: DataFrame, folder: str, key: str = "map_id", meta: dict | None = None, nested: bool = True, name=lambda key: f"/{key}.fits", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One FITS file for each map, written by the task that holds it: (map_id, path, bytes), once an action runs.
 
-def write_maps(df: DataFrame, folder: str, key: str = "map_id") -> DataFrame:
-    """Files of all maps as rows (map_id, name, content), made one map in a task; save with any sink."""
+    ``folder`` is on storage that executors share (a path mounted everywhere, or a URI).  Files appear whole, and a task that is
+    run again replaces its file by the same one.  ``name`` gives a file's name behind the folder from its key.
+    """
+    kept = [c for c in (columns or df.columns) if c != key]
+
+    def one(k: tuple, rows):
+        import pandas as pd
+
+        path = folder + name(k[0])
+        data = serialize({n: rows[n].to_numpy() for n in kept}, meta, nested)
+        data = gzip.compress(data, mtime=0) if path.endswith(".gz") else data
+        save(data, path)
+        return pd.DataFrame([(str(k[0]), path, len(data))], columns=["map_id", "path", "bytes"])
+
+    return df.select(key, *kept).groupBy(key).applyInPandas(one, fields("map_id:string,path:string,bytes:long"))
+
+
+def write_moc(region: DataFrame, path: str, key: str | None = None) -> DataFrame:
+    """The cells (uniq) of a region as MOC files of one column, one for each ``key``: (map_id, path, bytes).
+
+    Four sibling cells that are all there are written as their parent.
+    """
+    cells = region.select(F.lit("moc").alias("_map") if key is None else F.col(key).alias("_map"), "uniq").distinct()
 
     def one(k: tuple, rows):
         import pandas as pd
 
-        columns = {n: rows[n].to_numpy() for n in rows.columns if n != key}
-        return pd.DataFrame([(str(k[0]), f"{folder}/{k[0]}.fits", serialize(columns))], columns=["map_id", "name", "content"])
+        out = path if key is None else f"{path}/{k[0]}.moc.fits"
+        data = serialize({"uniq": merged_cells(rows["uniq"].to_numpy(np.int64))}, {"creator": "skylattice"})
+        save(data, out)
+        return pd.DataFrame([(str(k[0]), out, len(data))], columns=["map_id", "path", "bytes"])
 
-    return df.groupBy(key).applyInPandas(one, fields("map_id:string,name:string,content:binary"))
+    return cells.groupBy("_map").applyInPandas(one, fields("map_id:string,path:string,bytes:long"))
 
 
+def merged_cells(uniq: np.ndarray) -> np.ndarray:
+    """A set of cells with complete groups of four siblings replaced by their parents, from fine to coarse."""
+    now = np.unique(uniq)
+    for order in range(29, 0, -1):
+        here = (now >= 4 ** (order + 1)) & (now < 4 ** (order + 2))
+        parent, n = np.unique(now[here] >> 2, return_counts=True)
+        full = parent[n == 4]
+        now = np.unique(np.concatenate([now[~(here & np.isin(now >> 2, full))], full]))
+    return now

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import json
 import re
 import sqlite3
-import tempfile
 import xml.etree.ElementTree as ET
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gps import normalize_objid
+from ..functions.types import fields
 
 #: Other names of sample columns.  Fixed values of the format.
 ALIASES = {
@@ -75,21 +79,22 @@ def kind_of_events(head: bytes) -> str:
 def read_ligolw(document: bytes) -> dict[str, tuple[list[str], list[list]]]:
     """Tables of a LIGO Light-Weight document: name -> (columns, rows); identifiers lose their prefix."""
     if document[:2] == b"\x1f\x8b":
-        import gzip
-
         document = gzip.decompress(document)
     out: dict = {}
     for table in ET.parse(io.BytesIO(document)).getroot().iter("Table"):
         name = re.sub(r"^.*?(\w+)(:table)?$", r"\1", table.get("Name", "").replace(":table", ""))
         columns = [(c.get("Name", "").split(":")[-1], c.get("Type", "")) for c in table.iter("Column")]
         stream = table.find("Stream")
-        tokens = re.findall(r'"(?:[^"\\]|\\.)*"|[^,\s][^,]*|(?<=,)\s*(?=,)', stream.text or "") if stream is not None else []
-        cells = [t.strip() for t in tokens]
+        text = (stream.text or "").strip() if stream is not None else ""
+        cells = [m[1] for m in re.finditer(r'\s*("(?:[^"\\]|\\.)*"|[^,"]*?)\s*(?:,|\Z)', text)][:-1] if text else []
+        if text and (not text.endswith(",") or len(cells) % max(1, len(columns))):
+            # the last match is the empty rest behind the last cell, unless that cell is itself empty
+            cells += [""] * (-len(cells) % max(1, len(columns)))
 
         def value(text, kind):
             if text == "":
                 return None
-            text = text[1:-1].replace('\\"', '"') if text.startswith('"') else text.strip()
+            text = re.sub(r"\\(.)", r"\1", text[1:-1]) if text.startswith('"') else text.strip()
             if kind in ("ilwd:char",):
                 m = re.match(r"^\w+:\w+:(\d+)$", text)
                 return int(m[1]) if m else text
@@ -106,17 +111,20 @@ def read_ligolw(document: bytes) -> dict[str, tuple[list[str], list[list]]]:
 
 
 def read_sqlite(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
-    """Tables of an SQLite database given as bytes."""
-    with tempfile.NamedTemporaryFile(suffix=".sqlite") as f:
-        f.write(content)
-        f.flush()
-        with sqlite3.connect(f"file:{f.name}?mode=ro", uri=True) as db:
-            names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
-            out = {}
-            for n in names:
-                rows = db.execute(f'SELECT * FROM "{n}"')
-                out[n] = ([c[0] for c in rows.description], [list(r) for r in rows])
-    return out
+    """Tables of an SQLite database given as bytes, opened in memory."""
+    if content[18:20] == b"\x02\x02":  # written with a write-ahead log, which bytes don't have
+        content = content[:18] + b"\x01\x01" + content[20:]
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(content)
+        names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+        out = {}
+        for n in names:
+            rows = db.execute(f'SELECT * FROM "{n}"')
+            out[n] = ([c[0] for c in rows.description], [list(r) for r in rows])
+        return out
+    finally:
+        db.close()
 
 
 def open_sqlite(name: str, mode: str = "r") -> sqlite3.Connection:
@@ -132,17 +140,278 @@ def open_sqlite(name: str, mode: str = "r") -> sqlite3.Connection:
     return sqlite3.connect(name)
 
 
+#: Columns of the tables of events that are read.  Fixed values of the format.
+EVENT_TABLES = {
+    "coinc_event": "coinc_event_id:long,coinc_def_id:long,process_id:long,time_slide_id:long",
+    "coinc_event_map": "coinc_event_id:long,table_name:string,event_id:long",
+    "coinc_definer": "coinc_def_id:long,search:string,search_coinc_type:int",
+    "coinc_inspiral": "coinc_event_id:long,combined_far:double,snr:double",
+    "sngl_inspiral": "event_id:long,process_id:long,ifo:string,snr:double,coa_phase:double,end:double,mass1:double,mass2:double,spin1x:double,spin1y:double,spin1z:double,spin2x:double,spin2y:double,spin2z:double,f_final:double",
+    "sim_inspiral": "simulation_id:long,longitude:double,latitude:double,distance:double",
+    "process": "process_id:long,program:string",
+    "process_params": "process_id:long,param:string,value:string",
+    "time_slide": "time_slide_id:long,instrument:string,offset:double",
+}
+
+
+def parse_events(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
+    """Tables of a document or database, by the format that its first bytes show; gzip is opened first."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
+    form = kind_of_events(content[:64])
+    if form == "hdf":
+        raise NotImplementedError("HDF files need a reader that isn't installed; give their tables as Parquet to hdf_events")
+    return read_sqlite(content) if form == "sqlite" else read_ligolw(content)
+
+
+def _cell(value, kind: str):
+    """A value of a document as that of its column: identifiers lose their prefix, times are joined from seconds and nanoseconds."""
+    if value is None or (value == "" and kind != "string"):
+        return None
+    if kind in ("long", "int"):
+        m = re.match(r"^(?:\w+:\w+:)?(-?\d+)$", str(value))
+        return int(m[1]) if m else int(value)
+    return float(value) if kind == "double" else str(value)
+
+
+def event_table(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
+    """(path, columns) of one table from all event files under ``path`` (a file, folder or glob), read where the files are dealt.
+
+    Every file has rows of its own path; a file without the table, and a table without rows, add none, and the columns
+    are the same always: those of ``EVENT_TABLES`` or of ``schema`` (``a:long,b:string``).  A column that a file lacks is null; ``end`` is
+    joined from end_time and end_time_ns where it is kept so.
+    """
+    columns = [tuple(c.split(":")) for c in (schema or EVENT_TABLES[name]).split(",")]
+    out = fields("path:string," + ",".join(":".join(c) for c in columns))
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b["path"], b["content"]):
+                names, rows = parse_events(bytes(content)).get(name, ([], []))
+                at = {n: k for k, n in enumerate(names)}
+                found = []
+                for r in rows:
+                    row = [_cell(r[at[c]], t) if c in at else None for c, t in columns]
+                    if "end" not in at and "end_time" in at:
+                        k = next((i for i, (c, _) in enumerate(columns) if c == "end"), None)
+                        if k is not None:
+                            row[k] = _cell(r[at["end_time"]], "double") + 1e-9 * (_cell(r[at["end_time_ns"]], "double") or 0.0 if "end_time_ns" in at else 0.0)
+                    found.append((file, *row))
+                if found:
+                    frame = pd.DataFrame(found, columns=out.names)
+                    yield frame.astype({c: "Int64" if t == "long" else "Int32" for c, t in columns if t in ("long", "int")})
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, out)
+
+
 def event_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of an event document or database as DataFrames, by the format that its bytes show.
+    """All known tables of the event files under ``path``, by name; see ``event_table``."""
+    return {name: event_table(spark, path, name) for name in EVENT_TABLES}
+
+
+def read_series(document: bytes) -> list[tuple[str, dict, list[list[float]]]]:
+    """(kind, parameters, rows of numbers) of the frequency and time series of a document, in order."""
+    if document[:2] == b"\x1f\x8b":
+        document = gzip.decompress(document)
+    out = []
+    for element in ET.parse(io.BytesIO(document)).getroot().iter("LIGO_LW"):
+        array = element.find("Array")
+        if array is None or array.find("Stream") is None:
+            continue
+        width = 1
+        for d in array.findall("Dim")[1:]:  # the first is the length of the series
+            width *= int(d.text)
+        params = {re.sub(r":param$", "", p.get("Name", "")).split(":")[-1]: (p.text or "").strip() for p in element.findall("Param")}
+        for t in element.findall("Time"):
+            params[t.get("Name", "")] = (t.text or "").strip()
+        for d in array.findall("Dim"):
+            if d.get("Scale"):
+                params["scale"], params["start"] = d.get("Scale"), d.get("Start", "0")
+        stream = array.find("Stream")
+        cells = [float(x) for x in re.split(r"[\s,]+", (stream.text or "").strip(stream.get("Delimiter", " ") + " \n\t")) if x]
+        out.append((element.get("Name", ""), params, [cells[i : i + width] for i in range(0, len(cells), width)]))
+    return out
+
+
+def psd_series(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ifo, f0, df, data) of the noise spectra in all documents under ``path``."""
+
+    def pick(kind, params, rows):
+        if not kind.endswith("FrequencySeries") or "instrument" not in params:
+            return None
+        df = float(params.get("scale") or (rows[1][0] - rows[0][0] if len(rows) > 1 else 1.0))
+        return params["instrument"], float(params.get("f0") or rows[0][0]), df, [r[-1] for r in rows]
+
+    return _series(spark, path, "ifo:string,f0:double,df:double,data:array<double>", pick)
+
+
+def snr_series(spark: SparkSession, path: str) -> DataFrame:
+    """(path, event_id, epoch, rate, snr_re, snr_im) of the SNR series in all documents under ``path``."""
+
+    def pick(kind, params, rows):
+        if not kind.endswith("TimeSeries") or "event_id" not in params:
+            return None
+        dt = float(params.get("scale") or (rows[1][0] - rows[0][0] if len(rows) > 1 else 1.0))
+        return _cell(params["event_id"], "long"), float(params.get("epoch") or 0.0) + float(params.get("start") or rows[0][0]), 1 / dt, [r[-2] for r in rows], [r[-1] for r in rows]
+
+    return _series(spark, path, "event_id:long,epoch:double,rate:double,snr_re:array<double>,snr_im:array<double>", pick)
+
+
+def _series(spark: SparkSession, path: str, columns: str, pick) -> DataFrame:
+    out = fields("path:string," + columns)
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b["path"], b["content"]):
+                rows = [(file, *got) for series in read_series(bytes(content)) if (got := pick(*series)) is not None]
+                if rows:
+                    yield pd.DataFrame(rows, columns=out.names)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, out)
 
-    One document is one file of an alert or a search and is parsed on the driver.
+
+_XML_TYPES = {"long": "int_8s", "int": "int_4s", "double": "real_8", "float": "real_4", "string": "lstring"}
+
+
+def ligolw_document(tables: dict[str, tuple[str, list[list]]]) -> bytes:
+    """A document of tables: name -> (columns as ``a:long,b:string``, rows)."""
+    parts = ["<?xml version='1.0' encoding='utf-8'?>", "<LIGO_LW>"]
+    for name, (columns, rows) in tables.items():
+        named = [c.split(":") for c in columns.split(",")]
+        parts.append(f'<Table Name="{name}:table">')
+        parts += [f'<Column Name="{n}" Type="{_XML_TYPES[t]}"/>' for n, t in named]
+
+        def text(v, t):
+            if v is None:
+                return ""
+            if t == "string":
+                quoted = str(v).replace("\\", "\\\\").replace('"', '\\"')
+                return escape(f'"{quoted}"')
+            return str(int(v)) if t in ("long", "int") else repr(float(v))
+
+        lines = [",".join(text(v, t) for v, (_, t) in zip(r, named)) for r in rows]
+        parts.append(f'<Stream Name="{name}:table" Type="Local" Delimiter=",">\n' + ",\n".join(lines) + "\n</Stream></Table>")
+    return "\n".join([*parts, "</LIGO_LW>\n"]).encode()
+
+
+def write_ligolw(tables: dict[str, DataFrame], key: str, folder: str, suffix: str = ".xml.gz") -> DataFrame:
+    """One document for each value of ``key``, written by the task that holds it: (key, path, bytes), once an action runs.
+
+    Every table has ``key``; its other columns are plain ones of ``EVENT_TABLES``' kinds.  Rows of all tables go to their document
+    together; .gz is compressed.
     """
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    form = kind_of_events(bytes(content[:64]))
-    if form == "hdf":
-        raise NotImplementedError("HDF files need h5py; convert them to Parquet")
-    tables = read_sqlite(bytes(content)) if form == "sqlite" else read_ligolw(bytes(content))
-    return {n: spark.createDataFrame(rows, columns) for n, (columns, rows) in tables.items() if rows}
+    from .fits import save
+
+    kinds = {n: ",".join(f"{f.name}:{ {'bigint': 'long'}.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in t.schema.fields if f.name != key) for n, t in tables.items()}
+    both = None
+    for n, t in tables.items():
+        own = t.select(F.col(key).cast("string").alias("key"), F.lit(n).alias("name"), F.to_json(F.struct(*[c for c in t.columns if c != key]), {"ignoreNullFields": "false"}).alias("row"))
+        both = own if both is None else both.unionByName(own)
+
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        content = {}
+        for n, columns in kinds.items():
+            names = [c.split(":")[0] for c in columns.split(",")]
+            found = sorted(rows.loc[rows["name"] == n, "row"])
+            content[n] = (columns, [[json.loads(r).get(c) for c in names] for r in found])
+        data = ligolw_document(content)
+        data = gzip.compress(data, mtime=0) if suffix.endswith(".gz") else data
+        path = f"{folder}/{k[0]}{suffix}"
+        save(data, path)
+        return pd.DataFrame([(k[0], path, len(data))], columns=["key", "path", "bytes"])
+
+    return both.groupBy("key").applyInPandas(one, fields("key:string,path:string,bytes:long"))
+
+
+def find_table(spark: SparkSession, folder: str, name: str = "posterior_samples") -> str:
+    """The one Parquet table of this name at any depth below ``folder``; an error if there is none or several."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, waiting = [], [root]
+    while waiting:
+        for status in system.listStatus(waiting.pop()):
+            own = status.getPath()
+            if own.getName() in (name, f"{name}.parquet"):
+                found.append(own.toString())
+            elif status.isDirectory():
+                waiting.append(own)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} tables of the name {name} below {folder}: {', '.join(sorted(found)) or 'none'}")
+    return found[0]
+
+
+def kind_of_hdf(df_columns: list[str], attributes: dict) -> str:
+    """Which of the files of a search a table of the HDF layout stands for: coincs, psds, triggers or bank."""
+    columns = set(df_columns)
+    if {"trigger_ids", "template_id"} <= columns or attributes.get("kind") == "foreground":
+        return "coincs"
+    if {"start", "end"} <= columns and ("data" in columns or "segment" in columns):
+        return "psds"
+    if {"snr", "coa_phase", "end_time"} <= columns:
+        return "triggers"
+    if {"mass1", "mass2"} <= columns:
+        return "bank"
+    raise ValueError("a table of the HDF layout that is none of coincs, psds, triggers, bank")
+
+
+def hdf_tables(tables: list[DataFrame]) -> dict[str, DataFrame | list[DataFrame]]:
+    """Tables of the HDF layout by what they are: exactly one of coincs and one bank, any number of the others."""
+    out: dict = {"coincs": [], "psds": [], "triggers": [], "bank": []}
+    for t in tables:
+        out[kind_of_hdf(t.columns, {})].append(t)
+    for one in ("coincs", "bank"):
+        if len(out[one]) != 1:
+            raise ValueError(f"expected exactly one table of {one}, not {len(out[one])}")
+        out[one] = out[one][0]
+    return out
+
+
+class EventSource:
+    """A mapping from an identifier to its event, over DataFrames: ``rows`` has one row for each event.
+
+    ``source["12"]`` and iteration are for looking around; work on many events goes through ``rows``.
+    """
+
+    def __init__(self, rows: DataFrame, key: str = "coinc_event_id"):
+        self.rows, self.key = rows, key
+
+    def __getitem__(self, identifier):
+        found = self.rows.where(F.col(self.key).cast("string") == str(identifier)).take(2)
+        if len(found) != 1:
+            raise KeyError(identifier)
+        return found[0]
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __iter__(self):
+        return (r[0] for r in self.rows.select(self.key).orderBy(self.key).toLocalIterator())
+
+    def items(self):
+        return ((r[self.key], r) for r in self.rows.orderBy(self.key).toLocalIterator())
+
+
+def open_events(spark: SparkSession, path: str, search: tuple[str, int] | None = ("inspiral", 0), **options) -> EventSource:
+    """The events of all documents and databases under ``path``, whatever their format: tables read, filtered and assembled.
+
+    ``search``: (search, search_coinc_type) of the coincidences wanted, None for all.  Identifiers hold within their file, so rows have its
+    path beside coinc_event_id.  ``options`` go to ``assemble``.
+    """
+    from ..operators import events
+
+    t = event_tables(spark, path)
+    coincs = t["coinc_event"] if search is None else events.of_definition(t["coinc_event"], t["coinc_definer"], *search, by=["path"])
+    psds = t["process_params"].where("param = '--reference-psd'")
+    return EventSource(events.assemble(coincs, t["coinc_event_map"], t["sngl_inspiral"], t["process"], t["time_slide"], None, psds, by=["path"], **options))
+
+
+def follow_alerts(spark: SparkSession, folder: str, glob: str = "*.xml*") -> DataFrame:
+    """Alerts as documents that arrive in a folder, as a stream of (graceid, path, content).
+
+    A service's client puts each alert's document there under its identifier; the name up to the first dot is the identifier.
+    """
+    found = read_directory(spark, folder, glob)
+    return found.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("graceid"), "path", "content")
 
 
 def with_ids(df: DataFrame, *columns: str) -> DataFrame:

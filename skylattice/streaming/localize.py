@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.localize import localize
+from ..storage import spill
 
 
 def localize_stream(alerts: DataFrame, maps_path: str, failed_path: str, checkpoint: str, trigger: dict | None = None, **options):
-    """Start a query that localises each micro-batch of events and appends their maps.
+    """Start a query that localises each micro-batch of events and writes its maps.
 
-    An event that fails goes to the table of failures and the stream goes on.  The
-    batch number is a column, so that a repeated batch can be told from new ones.
+    An event that fails goes to the table of failures and the stream goes on.  A micro-batch has a folder of its own in
+    either table (``batch=N``) and replaces it, so that a repeated batch leaves the same rows as one.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        maps = localize(batch, keep_going=True, **options).withColumn("batch", F.lit(number)).persist()
-        maps.where(F.col("uniq").isNotNull()).write.mode("append").parquet(maps_path)
-        maps.where(F.col("uniq").isNull()).select("event_id", "batch").write.mode("append").parquet(failed_path)
-        maps.unpersist()
+        maps = spill(localize(batch, keep_going=True, **options))
+        maps.where(F.col("uniq").isNotNull()).write.mode("overwrite").parquet(f"{maps_path}/batch={number}")
+        maps.where(F.col("uniq").isNull()).select("event_id").write.mode("overwrite").parquet(f"{failed_path}/batch={number}")
 
     return alerts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..functions.angles import eigen_frame
 from ..functions.special import log_sum_exp
 from ..functions.types import vectorized
-from .density import to_vectors
+from .density import k_means, to_vectors, whiten
 from .maps import adaptive_grid
 
 
@@ -40,13 +40,10 @@ class SkyMixture:
         self.frame[2] *= np.sign(np.linalg.det(self.frame))
         x = self._own(v)
         n, d = x.shape
-        rng = np.random.default_rng(seed)
         most = min(most, n)
-        centre = x[rng.choice(n, most, replace=False)]
         spread = np.atleast_2d(np.cov(x.T)) + 1e-6 * np.eye(d)
-        share = np.exp(-0.5 * ((x[:, None] - centre[None]) ** 2).sum(axis=2) / (np.trace(spread) / d))
-        share /= share.sum(axis=1, keepdims=True)
-        before = -math.inf
+        share = np.eye(most)[k_means(whiten(x)[0], most, seed)]  # begun by clusters, each point in one
+        before, centre = -math.inf, None
         for _ in range(rounds):
             held = share.sum(axis=0)
             order = np.argsort(-held, kind="stable")  # the larger clusters break the stick first
@@ -54,9 +51,12 @@ class SkyMixture:
             a, b = 1 + held, concentration + np.append(np.cumsum(held[::-1])[::-1][1:], 0.0)
             broken, rest = _digamma(a) - _digamma(a + b), _digamma(b) - _digamma(a + b)
             log_weight = broken + np.concatenate([[0], np.cumsum(rest)[:-1]])
-            self.mean = (share.T @ x + 1e-3 * x.mean(axis=0)) / (held + 1e-3)[:, None]
-            off = x[:, None] - self.mean[None]
-            self.cov = (np.einsum("nk,nki,nkj->kij", share, off, off) + spread / most) / (held + 1)[:, None, None]
+            centre = (share.T @ x) / np.maximum(held, 1e-9)[:, None] if centre is None else centre[order]
+            # each point by its image nearest to the centre, so that a cluster across the edge is one
+            centre = centre + np.einsum("nk,nkd->kd", share, self._off(x, centre)) / np.maximum(held, 1e-9)[:, None]
+            self.mean = centre
+            off = self._off(x, centre)
+            self.cov = (np.einsum("nk,nki,nkj->kij", share, off, off) + 1e-2 * spread / most) / (held + 1e-2)[:, None, None]
             log_p = log_weight + self._log_normal(x)
             total = log_sum_exp(log_p, axis=1)
             share = np.exp(log_p - total[:, None])
@@ -67,6 +67,12 @@ class SkyMixture:
         self.mean, self.cov = self.mean[keep], self.cov[keep]
         self.weight = held[keep] / held[keep].sum()
 
+    @staticmethod
+    def _off(x, centre):
+        off = x[:, None] - centre[None]
+        off[..., 0] = np.mod(off[..., 0] + np.pi, 2 * np.pi) - np.pi
+        return off
+
     def _own(self, v):
         w = v @ self.frame.T
         return np.stack([np.arctan2(w[:, 1], w[:, 0]), np.clip(w[:, 2], -1, 1)], axis=1)
@@ -75,7 +81,7 @@ class SkyMixture:
         inverse, (_, log_det) = np.linalg.inv(self.cov), np.linalg.slogdet(self.cov)
         best = None
         for turn in (0.0, 2 * np.pi, -2 * np.pi):
-            off = x[:, None] + np.array([turn, 0.0]) - self.mean[None]
+            off = self._off(x, self.mean) + np.array([turn, 0.0])
             e = -0.5 * np.einsum("nki,kij,nkj->nk", off, inverse, off)
             best = e if best is None else np.logaddexp(best, e)
         return best - 0.5 * log_det - math.log(2 * np.pi)

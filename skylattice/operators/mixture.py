@@ -41,9 +41,8 @@ class SkyMixture:
         x = self._own(v)
         n, d = x.shape
         most = min(most, n)
-        spread = np.atleast_2d(np.cov(x.T)) + 1e-6 * np.eye(d)
         share = np.eye(most)[k_means(whiten(x)[0], most, seed)]  # begun by clusters, each point in one
-        before, centre = -math.inf, None
+        before, centre, pooled = -math.inf, None, None
         for _ in range(rounds):
             held = share.sum(axis=0)
             order = np.argsort(-held, kind="stable")  # the larger clusters break the stick first
@@ -56,7 +55,10 @@ class SkyMixture:
             centre = centre + np.einsum("nk,nkd->kd", share, self._off(x, centre)) / np.maximum(held, 1e-9)[:, None]
             self.mean = centre
             off = self._off(x, centre)
-            self.cov = (np.einsum("nk,nki,nkj->kij", share, off, off) + 1e-2 * spread / most) / (held + 1e-2)[:, None, None]
+            scatter = np.einsum("nk,nki,nkj->kij", share, off, off)
+            if pooled is None:  # the spread within clusters, as good as 10 points of each
+                pooled = scatter.sum(axis=0) / n + 1e-9 * np.eye(d)
+            self.cov = (scatter + 10 * pooled) / (held + 10)[:, None, None]
             log_p = log_weight + self._log_normal(x)
             total = log_sum_exp(log_p, axis=1)
             share = np.exp(log_p - total[:, None])

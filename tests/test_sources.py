@@ -155,9 +155,9 @@ def test_mixture_and_chain(spark):
     m = mixture.SkyMixture(ra, dec)
     from skylattice.functions import healpix
 
-    t, p = healpix.pix2ang(5, np.arange(12 * 4**5))
+    t, p = healpix.pix2ang(7, np.arange(12 * 4**7))
     d = m(t, p)
-    assert d.sum() * 4 * np.pi / len(d) == pytest.approx(1, abs=0.02)
+    assert d.sum() * 4 * np.pi / len(d) == pytest.approx(1, abs=0.03)
     assert abs(p[d.argmax()] - 1) < 0.1 and abs(np.pi / 2 - t[d.argmax()] - 0.3) < 0.1
     assert m.as_map(spark, 1, 1).count() == 48 + 3 * 12
     chain = spark.createDataFrame([("e", float(a), float(b), float(100 + k % 7)) for k, (a, b) in enumerate(zip(ra, dec))], "event_id string, ra double, dec double, distance double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import index as ix
 from ..functions.angles import angle_distance
+from ..storage import spill
 from .credible import DEG2, curve, interpolate
 from .graph import components
 from .prefix import cumulative_by_range
@@ -75,7 +76,7 @@ def area_probs(df: DataFrame, areas: list[float], keys: list[str] = [], density:
 
 def count_modes(mask: DataFrame, order: int, keys: list[str] = []) -> DataFrame:
     """(keys, modes): connected components, over 8 neighbours, of a set of pixels (keys, ipix) at one order."""
-    cells = mask.select(*keys, "ipix").distinct()
+    cells = spill(mask.select(*keys, "ipix").distinct())
     near = cells.select(*keys, "ipix", F.explode(ix.neighbours(F.lit(order), F.col("ipix"))).alias("_n")).where("_n > ipix")
     pairs = near.join(cells.withColumnRenamed("ipix", "_n"), [*keys, "_n"])
     number = {k: F.col(k) for k in keys}
@@ -91,6 +92,7 @@ def count_modes_moc(cells: DataFrame, keys: list[str] = [], order: int | None =
     """The same for a set of multi-resolution cells (keys, uniq), painted at their highest order."""
     from .maps import highest_order, rasterize
 
+    cells = spill(cells.select(*keys, "uniq"))
     order = highest_order(cells) if order is None else order
     return count_modes(rasterize(cells.select(*keys, "uniq"), order, keys), order, keys)
 
@@ -109,8 +111,6 @@ def contour_modes(df: DataFrame, contours: list[float], keys: list[str] = [], de
 
 def flood_fill(mask: DataFrame, order: int, seed: int | DataFrame, keys: list[str] = []) -> DataFrame:
     """Pixels of the mask connected with ``seed`` (a pixel, or a table of keys and ipix): ring by ring, on the frontier only."""
-    from ..storage import spill
-
     cells = mask.select(*keys, "ipix").distinct()
     done = cells.join(seed.select(*keys, "ipix"), [*keys, "ipix"], "left_semi") if isinstance(seed, DataFrame) else cells.where(F.col("ipix") == seed)
     front = done
@@ -193,6 +193,8 @@ def crossmatch(df: DataFrame, catalog: DataFrame, contours: list[float] = [0.5,
     """
     from . import credible
 
+    # both are read by every branch: once from where they come, then from the shared folder
+    df, catalog = spill(df), spill(catalog)
     deep, far = "distmu" in df.columns, "distance" in catalog.columns
 
     def listed(rows: DataFrame, by: str, value, wanted, name: str) -> DataFrame:
@@ -203,7 +205,7 @@ def crossmatch(df: DataFrame, catalog: DataFrame, contours: list[float] = [0.5,
         return out.join(more, keys, "left") if keys else out.crossJoin(F.broadcast(more))
 
     flat = df.select(*keys, "uniq", "probdensity")
-    out = searched(flat, catalog.withColumn("_p29", F.col("p29")), keys).drop("uniq")
+    out = spill(searched(flat, catalog.withColumn("_p29", F.col("p29")), keys).drop("uniq"))
     out = with_maps(out, listed(credible.areas(flat, contours, keys), "level", F.col("area"), contours, "contour_areas"))
     out = with_maps(out, listed(area_probs(flat, areas, keys), "area", F.col("prob"), areas, "area_probs"))
     none = lambda t: F.lit(None).cast(t)
@@ -253,6 +255,7 @@ def stats(df: DataFrame, catalog: DataFrame | None = None, contours: list[float]
     """One row per map (and object): searched area, probability and offset, contour areas, area probabilities, modes."""
     from . import credible
 
+    df = spill(df)  # read by every branch
     a = credible.areas(df, contours, keys).groupBy(*keys).pivot("level", contours).agg(F.first("area"))
     a = a.select(*keys, *[F.col(f"`{c}`").alias(f"area({100 * c:g})") for c in contours])
     p = area_probs(df, areas, keys).groupBy(*keys).pivot("area", areas).agg(F.first("prob"))

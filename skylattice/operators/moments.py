@@ -59,17 +59,17 @@ def marginal_cdf(df: DataFrame, radii: list[float], keys: list[str] = []) -> Dat
     return _marginal(df, radii, keys, D.cdf, "cdf")
 
 
-def marginal_ppf(df: DataFrame, p: float, keys: list[str] = [], steps: int = 9) -> DataFrame:
+def marginal_ppf(df: DataFrame, p: float, keys: list[str] = [], steps: int = 6) -> DataFrame:
     """(keys, distance) at which the marginal distribution reaches ``p``."""
     return marginal_quantiles(df, [p], keys, steps).drop("k", "p")
 
 
-def marginal_quantiles(df: DataFrame, shares: list[float], keys: list[str] = [], steps: int = 9, cuts: int = 32) -> DataFrame:
+def marginal_quantiles(df: DataFrame, shares: list[float], keys: list[str] = [], steps: int = 6, cuts: int = 128) -> DataFrame:
     """(keys, k, p, distance): where the marginal distribution of each map reaches each share.
 
     Each step is one job for all maps and shares: every map's bracket of each share is cut in ``cuts`` parts, the
     distribution is summed at the cuts by partial sums of Arrow batches, and the part that holds the share is the next bracket.
-    No map is gathered; ``steps`` of 32 parts are 2^-45 of the first bracket.  0 for shares up to 0, NaN without finite distances.
+    No map is gathered; ``steps`` of 128 parts are 2^-42 of the first bracket.  0 for shares up to 0, NaN without finite distances.
     """
     names = ("prob", "distmu", "distsigma", "distnorm")
     plain = df.select(*keys, *[F.col(c).cast("double") for c in names])

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
+from decimal import Decimal
 
-import numpy as np
 import pandas as pd
 
 from .types import vectorized
@@ -13,16 +12,16 @@ from .types import vectorized
 
 def area_text(area: float) -> str:
     """Three figures up to 100 (0.346, 3.46, 34.6), whole numbers with a comma at the thousands beyond."""
-    return np.format_float_positional(area, precision=3, fractional=False, trim="-") if area <= 100 else f"{int(np.round(area)):,d}"
+    if area > 100:
+        return format(round(area), ",")
+    return format(Decimal(f"{area:.2e}").normalize(), "f")
 
 
 def scientific(x: float, figures: int, always: bool = False) -> str:
-    """A whole number where its figures end before the point, else a power of ten in TeX."""
-    places = figures - math.floor(math.log10(x))
-    rounded = float(np.round(x, places))
-    if places <= 0 and not always:
-        return str(int(rounded))
-    number, power = f"{rounded:.{figures}e}".split("e")
+    """A whole number where its figures end before the point, else a power of ten in TeX, with so many figures behind the point."""
+    number, power = f"{x:.{figures}e}".split("e")
+    if int(power) >= figures and not always:
+        return format(Decimal(number).scaleb(int(power)), ".0f")
     return rf"${number} \times 10^{{{int(power)}}}$"
 
 

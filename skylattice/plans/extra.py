@@ -383,3 +383,29 @@ def lines_roundtrip(spark, sf_dir):
     folder = _folder(spark, "lines")
     table(spark, sf_dir, "nation").select(F.concat(F.lit("  "), F.col("n_name"), F.lit(" \n")).alias("value")).write.text(folder)
     return tables.read_lines(spark, folder)
+
+
+# --- a map that grows with the data
+
+
+def _large_map(spark, sf_dir):
+    """(uniq, w): lines of orders as the cells of one map at order 9, 3,145,728 cells at most."""
+    li = table(spark, sf_dir, "lineitem")
+    ipix = F.shiftright(((F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 10007) * 1299709) % (12 * 4**29), 40)
+    return li.groupBy((ipix + 4**10).alias("uniq")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
+
+
+_LARGE = "large AS (SELECT ((((l_orderkey * 1000003 + l_partkey * 10007) * 1299709) % 3458764513820540928) >> 40) + 1048576 AS uniq, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS w FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_LARGE}, c AS (SELECT *, sum(w) OVER (ORDER BY w DESC, uniq ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER () AS total FROM large) SELECT uniq, w, (upto / total)::DOUBLE AS cls FROM c")
+def large_map_levels(spark, sf_dir):
+    """Levels of one map too large for a task: sums by range."""
+    return credible.greedy_levels(_large_map(spark, sf_dir), "w").select("uniq", "w", "cls")
+
+
+@query(f"WITH {_LARGE}, c AS (SELECT (l_orderkey * 7 + l_linenumber) % 3145728 AS p FROM lineitem) SELECT count(*) AS n, sum(w)::BIGINT AS w FROM c JOIN large ON uniq = p + 1048576")
+def large_map_locate(spark, sf_dir):
+    """Points in the cells of that map."""
+    points = table(spark, sf_dir, "lineitem").select(F.shiftleft((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3145728, 40).alias("p29"))
+    return crossmatch.locate(points, _large_map(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))

@@ -487,9 +487,17 @@ def contour_volumes(spark, sf_dir):
     return volumes.select("level", F.round(F.col("volume") / 1e9, 3).alias("volume"))
 
 
-@query()
+RAYS = """far AS (SELECT greatest(18000, max(greatest(mu, 0) + 6 * sigma)) AS reach FROM dmap), n AS (SELECT reach, greatest(200, floor(200 * reach / 18000))::BIGINT AS steps FROM far),
+    ray AS (SELECT i, j, (i + 0.5::DOUBLE) * 1500 - 12000 AS x, (j + 0.5::DOUBLE) * 1500 - 12000 AS y, s * abs(s) * reach AS zz, 2 * abs(s) * reach * 2 / (steps - 1) AS width
+        FROM (SELECT i, j, reach, steps, -1 + 2 * k / (steps - 1)::DOUBLE AS s FROM n, range(16) a(i), range(16) b(j), range(2000) c(k) WHERE k < steps)),
+    dir AS (SELECT i, j, width, r, zz / r AS z, atan2(y, x) + (atan2(y, x) < 0)::INT * 2 * pi() AS phi FROM (SELECT *, sqrt(x * x + y * y + zz * zz) AS r FROM ray))"""
+
+
+@query(f"""WITH RECURSIVE {geo.DMAP}, {RAYS}, hit AS (SELECT * FROM {geo.lookup('dir', 1)})
+    SELECT i::INT AS i, j::INT AS j, round(sum(prob / (pi() / 12) * {geo.ansatz_pdf('r')} / (r * r) * width) * 1e10, 4) AS density FROM hit JOIN dmap ON ipix = p GROUP BY i, j""")
 def volume_render(spark, sf_dir):
-    return image.volume_render(_distance_map(spark, sf_dir), 16, 12000.0)
+    v = image.volume_render(_distance_map(spark, sf_dir), 16, 12000.0)
+    return v.select("i", "j", F.round(F.col("density") * 1e10, 4).alias("density"))
 
 
 # --- direction

@@ -50,6 +50,20 @@ def lookup(source: str, order: int) -> str:
         SELECT *, (phi / (pi() / 2))::DOUBLE AS t, sqrt(3 * (1 - abs(z)))::DOUBLE AS s FROM {source})))))))"""
 
 
+def weights(order: int, order_out: int) -> str:
+    """(o, p, w): weight of pixel p of an order in the bilinear value at the centre of pixel o of another; rings by their heights."""
+    return f"""(WITH own AS (SELECT p, round(z, 9) AS h, z, phi FROM {cells(f'(SELECT {order} AS k, p FROM range({12 * 4**order}) r(p))')}),
+        pix AS (SELECT p, z, dense_rank() OVER (ORDER BY h DESC) AS ring, row_number() OVER (PARTITION BY h ORDER BY phi) - 1 AS nth, count(*) OVER (PARTITION BY h) AS n, min(phi) OVER (PARTITION BY h) AS phi0 FROM own),
+        rings AS (SELECT ring, max(z) AS rz, max(n) AS n, max(phi0) AS phi0 FROM pix GROUP BY 1), most AS (SELECT max(ring) AS last FROM rings),
+        target AS (SELECT p AS o, z, phi, (SELECT count(*) FROM rings WHERE rz >= t.z - 1e-12) AS u FROM {cells(f'(SELECT {order_out} AS k, p FROM range({12 * 4**order_out}) r(p))')} t),
+        part AS (SELECT o, phi, u, last, (coalesce(a.rz, 1) - z) / (coalesce(a.rz, 1) - coalesce(b.rz, -1)) AS down FROM target, most LEFT JOIN rings a ON a.ring = u LEFT JOIN rings b ON b.ring = u + 1),
+        two AS (SELECT o, phi, u AS ring, 1 - down AS w FROM part WHERE u >= 1 UNION ALL SELECT o, phi, u + 1, down FROM part WHERE u < last),
+        place AS (SELECT o, r.ring, n, w, (phi - phi0) / (2 * pi() / n) AS x FROM two JOIN rings r USING (ring)),
+        found AS (SELECT o, ring, ((floor(x)::BIGINT + j) % n + n) % n AS nth, w * (CASE j WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w FROM place, range(2) t(j)
+            UNION ALL SELECT o, 1, j, (1 - down) / 4 FROM part, range(4) t(j) WHERE u = 0 UNION ALL SELECT o, last, j, down / 4 FROM part, range(4) t(j) WHERE u = last)
+        SELECT o, p, f.w FROM found f JOIN pix USING (ring, nth))"""
+
+
 def phi_cdf(x: str) -> str:
     """Normal distribution: the series of the error function within 5, the asymptotic series of the tail beyond."""
     term = f"exp(i * ln(greatest(({x}) * ({x}) / 2, 1e-300)) - lgamma(i + 1)) * (CASE i % 2 WHEN 0 THEN 1 ELSE -1 END) / (2 * i + 1)"

@@ -573,16 +573,21 @@ def flood_fill(spark, sf_dir):
     return crossmatch.flood_fill(mask, 2, seeds, ["map_id"])
 
 
-@query()
+@query(f"WITH {FLAT} SELECT map_id, o AS ipix, round(sum(x.w * flat.w) / 28, 1) AS prob FROM {geo.weights(2, 3)} x JOIN flat ON flat.ipix = x.p GROUP BY 1, 2")
 def smooth_ud_grade(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob"))
-    return maps.smooth_ud_grade(f, 2, 3, ["map_id"])
+    return maps.smooth_ud_grade(f, 2, 3, ["map_id"]).select("map_id", "ipix", F.round(F.col("prob") / 7, 1).alias("prob"))
 
 
-@query()
+@query(f"""WITH {FLAT}, e2 AS (SELECT map_id, ipix, floor(w / 200000000)::DOUBLE AS v FROM flat),
+    e1 AS (SELECT map_id, ipix // 4 AS ipix, avg(v) AS v FROM e2 GROUP BY 1, 2), c0 AS (SELECT map_id, ipix // 4 AS ipix, avg(v) AS v FROM e1 GROUP BY 1, 2),
+    t1 AS (SELECT map_id, ipix // 4 AS up FROM e1 GROUP BY 1, 2 HAVING min(v) = max(v)), s1 AS (SELECT map_id, o, sum(x.w * v) AS s FROM {geo.weights(0, 1)} x JOIN c0 ON c0.ipix = x.p GROUP BY 1, 2),
+    c1 AS (SELECT e1.map_id, e1.ipix, CASE WHEN t1.up IS NULL THEN v ELSE s END AS v FROM e1 LEFT JOIN t1 ON t1.map_id = e1.map_id AND t1.up = e1.ipix // 4 JOIN s1 ON s1.map_id = e1.map_id AND s1.o = e1.ipix),
+    t2 AS (SELECT map_id, ipix // 4 AS up FROM e2 GROUP BY 1, 2 HAVING min(v) = max(v)), s2 AS (SELECT map_id, o, sum(x.w * v) AS s FROM {geo.weights(1, 2)} x JOIN c1 ON c1.ipix = x.p GROUP BY 1, 2)
+    SELECT e2.map_id, e2.ipix, round(CASE WHEN t2.up IS NULL THEN v ELSE s END, 8) AS value FROM e2 LEFT JOIN t2 ON t2.map_id = e2.map_id AND t2.up = e2.ipix // 4 JOIN s2 ON s2.map_id = e2.map_id AND s2.o = e2.ipix""")
 def interpolate_nested(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", "ipix", F.floor(F.col("w") / 200000000).cast("double").alias("value"))
-    return maps.interpolate_nested(f, 2, ["map_id"])
+    return maps.interpolate_nested(f, 2, ["map_id"]).select("map_id", "ipix", F.round("value", 8).alias("value"))
 
 
 def _grid_sql(rounds: int) -> str:

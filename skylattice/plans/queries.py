@@ -573,10 +573,10 @@ def flood_fill(spark, sf_dir):
     return crossmatch.flood_fill(mask, 2, seeds, ["map_id"])
 
 
-@query(f"WITH {FLAT} SELECT map_id, o AS ipix, round(sum(x.w * flat.w) / 28, 1) AS prob FROM {geo.weights(2, 3)} x JOIN flat ON flat.ipix = x.p GROUP BY 1, 2")
+@query(f"WITH {FLAT} SELECT map_id, o AS ipix, round(sum(x.w * flat.w) / (4 * pi()), 1) AS prob FROM {geo.weights(2, 3)} x JOIN flat ON flat.ipix = x.p GROUP BY 1, 2")
 def smooth_ud_grade(spark, sf_dir):
     f = flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob"))
-    return maps.smooth_ud_grade(f, 2, 3, ["map_id"]).select("map_id", "ipix", F.round(F.col("prob") / 7, 1).alias("prob"))
+    return maps.smooth_ud_grade(f, 2, 3, ["map_id"]).select("map_id", "ipix", F.round(F.col("prob") / F.lit(np.pi), 1).alias("prob"))
 
 
 @query(f"""WITH {FLAT}, e2 AS (SELECT map_id, ipix, floor(w / 200000000)::DOUBLE AS v FROM flat),

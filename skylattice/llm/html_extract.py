@@ -49,6 +49,8 @@ ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "comp
 STRONG = frozenset("nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs recommended recommendations widget pagination pager comment comments commentlist disqus respond".split())
 WEAK = frozenset("header banner aside side related trending reply replies form search copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
 CONTENT = frozenset("article main content post entry story text articlebody maincontent body".split())
+#: Words that make an article element a teaser of another page or a reader's reply.
+TEASER = frozenset("related trending reply replies teaser card".split())
 _NEGATED = re.compile(r"^(?:has|with|no|without|not|is)[-_]", re.I)
 DEEPEST = 512  # elements below this depth hang there, as in browsers
 _TEXT = 16  # features of the text, its links and its place
@@ -282,7 +284,7 @@ def seed(block: Block) -> int:
             return -1
         if not e.core and not STRONG.isdisjoint(e.words):
             return -1
-        if e.meaning in MAIN and not said and WEAK.isdisjoint(e.words):
+        if e.meaning in MAIN and not said and TEASER.isdisjoint(e.words):
             said = 1
     return said
 

@@ -85,6 +85,11 @@ def test_wrappers_with_misleading_names_lose_nothing():
     assert texts(f"<article><header><h1>Title</h1><div class=share>Share this</div></header><p>{PROSE}</p></article>") == ["Title", PROSE]
 
 
+def test_articles_with_words_of_their_own():
+    page = f'<article class="post-1 post type-post hentry category-x tag-legal"><h1>T</h1><p>{PROSE}</p><p>Short.</p><ul><li>one item</li></ul></article><article class="related"><a href=x>Other</a></article>'
+    assert texts(page) == ["T", PROSE, "Short.", "one item"]
+
+
 def test_planted_pages():
     """Pages drawn from known parts; what was planted as the article comes out, and nothing else."""
     rng = np.random.default_rng(1)

@@ -49,6 +49,8 @@ ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "comp
 STRONG = frozenset("nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs recommended recommendations widget pagination pager comment comments commentlist disqus respond".split())
 WEAK = frozenset("header banner aside side related trending reply replies form search copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
 CONTENT = frozenset("article main content post entry story text articlebody maincontent body".split())
+#: Strong words whose boxes may hold article elements, one for each reader's comment.
+REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Words that make an article element a teaser of another page or a reader's reply.
 TEASER = frozenset("related trending reply replies teaser card".split())
 _NEGATED = re.compile(r"^(?:has|with|no|without|not|is)[-_]", re.I)
@@ -60,12 +62,19 @@ SURE = 1e6  # capacity of a settled block
 
 
 class Element:
-    """A block element: its meaning (a name of NOT_MAIN or MAIN, or none), words, and whether it holds the page's core."""
+    """A block element: its meaning (a name of NOT_MAIN or MAIN, or none), words, whether it holds the page's core, and characters in an article."""
 
-    __slots__ = ("name", "serial", "meaning", "words", "parent", "core")
+    __slots__ = ("name", "serial", "meaning", "words", "parent", "core", "mass")
 
     def __init__(self, name, serial, meaning, words, parent):
-        self.name, self.serial, self.meaning, self.words, self.parent, self.core = name, serial, meaning, words, parent, False
+        self.name, self.serial, self.meaning, self.words, self.parent, self.core, self.mass = name, serial, meaning, words, parent, False, 0
+
+    def mark(self) -> None:
+        """All that holds this element holds the page's core."""
+        up = self.parent
+        while up is not None and not up.core:
+            up.core = True
+            up = up.parent
 
 
 class Block:
@@ -143,6 +152,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, Element | None]] = []  # (name, element of a block)
     open_: Counter = Counter()
     out: list[Block] = []
+    articles: dict[int, Element] = {}
     pieces: list[str] = []
     linked = serial = at = 0
     hidden = in_link = 0
@@ -154,6 +164,10 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 out.append(Block(text, tuple(s[1] for s in stack if s[1] is not None), min(1.0, linked / len(text))))
+                for e in out[-1].path:
+                    if e.meaning == "article":
+                        articles[e.serial] = e
+                        e.mass += len(text)
             pieces.clear()
         linked = 0
 
@@ -256,15 +270,22 @@ def blocks(page: str | None) -> list[Block]:
             parent = next((s[1] for s in reversed(stack) if s[1] is not None), None)
             element = Element(name, serial, meaning, () if name in ("html", "body") else words, parent)
             if name == "h1" or meaning == "main":
-                up = parent
-                while up is not None and not up.core:
-                    up.core = True
-                    up = up.parent
+                element.mark()
         stack.append((name, element))
         open_[name] += 1
         hidden += name in HIDDEN
         in_link += name == "a"
     flush()
+    # the longest article that is no reply, no teaser and in no box of such or in navigation and the like is the page's core too
+    for e in sorted(articles.values(), key=lambda e: (-e.mass, e.serial)):
+        up, fine = e, True
+        while up is not None and fine:
+            fine = up.meaning not in NOT_MAIN and REPLIES.isdisjoint(up.words) and TEASER.isdisjoint(up.words)
+            up = up.parent
+        if fine:
+            e.core = True
+            e.mark()
+            break
     return out
 
 
@@ -272,7 +293,7 @@ def seed(block: Block) -> int:
     """1: the article; -1: not the article; 0: unsettled.  The innermost element that says anything decides.
 
     Elements that aren't the article by their meaning, or by a strong word of their class or identifier, settle all
-    that is in them, articles included, unless they hold the page's own main element or h1 (a wrapper).  Headings in the
+    that is in them, articles included, unless they hold the page's own main element, h1 or longest article (a wrapper).  Headings in the
     header of an article belong to it.
     """
     said = 0

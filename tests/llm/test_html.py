@@ -88,6 +88,9 @@ def test_wrappers_with_misleading_names_lose_nothing():
 def test_articles_with_words_of_their_own():
     page = f'<article class="post-1 post type-post hentry category-x tag-legal"><h1>T</h1><p>{PROSE}</p><p>Short.</p><ul><li>one item</li></ul></article><article class="related"><a href=x>Other</a></article>'
     assert texts(page) == ["T", PROSE, "Short.", "one item"]
+    wrapped = f"<div class='menu-open page'><div class='sidebar widget'><article><p>A short teaser of another page.</p></article></div><article><p>{PROSE}</p><p>{PROSE}</p></article><div class=comments><article><p>{PROSE} {PROSE} {PROSE}</p></article></div></div>"
+    assert texts(wrapped) == [PROSE, PROSE]
+    assert texts(f"<article class='post share social'><p>{PROSE}</p><div class=share>Share this</div></article>") == [PROSE]
 
 
 def test_planted_pages():

@@ -179,7 +179,7 @@ def measured(rows: DataFrame, router: Router, asked: np.ndarray, k: int, wanted:
     return int(rank[min(len(rank) - 1, int(np.ceil(wanted * len(rank))) - 1)]) + 1
 
 
-def fit(rows: DataFrame, sample: int = 20_000, per_part: int = 128, most_parts: int = 512, apart: int = 200, k: int = 10, wanted: float = 0.93) -> Router | None:
+def fit(rows: DataFrame, sample: int = 20_000, per_part: int = 128, most_parts: int = 512, apart: int = 200, k: int = 10, wanted: float = 0.95) -> Router | None:
     """Router from about ``sample`` of the usable rows; None where there are none.
 
     There is a part for every ``per_part`` rows, ``most_parts`` at most.  Of a table with more rows than the sample ``apart`` rows

@@ -11,6 +11,7 @@ from ..functions import index as ix
 from .prefix import cumulative, cumulative_by_range
 
 DEG2 = (180 / math.pi) ** 2
+WHOLE_SKY = 4 * math.pi * DEG2  # square degrees
 
 
 def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Column | None = None, tie: str = "uniq", by_range: bool | None = None) -> DataFrame:
@@ -83,13 +84,13 @@ def region(df: DataFrame, weight: str, level: float, keys: list[str] = [], ranki
     return out.withColumn("_before", before).where(F.col("_before") < level).drop("_before")
 
 
-def areas(df: DataFrame, levels: list[float], keys: list[str] = [], density: str = "probdensity") -> DataFrame:
-    """(keys, level, area): area in square degrees of the credible region of each level, interpolated."""
+def areas(df: DataFrame, levels: list[float], keys: list[str] = [], density: str = "probdensity", right: float | None = None) -> DataFrame:
+    """(keys, level, area): area in square degrees of the credible region of each level, interpolated; ``right`` where a map doesn't reach it."""
     spark = df.sparkSession
     m = df.withColumn("_area", ix.uniq2pixarea("uniq") * DEG2).withColumn("_prob", F.col(density) * ix.uniq2pixarea("uniq"))
     c = curve(m, "_prob", F.col(density), F.col("_area"), keys)
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level"))
-    return interpolate(c, wanted, "cum_weight", "cum_area", "prev_weight", "prev_area", "level", keys).withColumnRenamed("cum_area", "area")
+    return interpolate(c, wanted, "cum_weight", "cum_area", "prev_weight", "prev_area", "level", keys, None if right is None else F.lit(right)).withColumnRenamed("cum_area", "area")
 
 
 def exclude_not_finite(df: DataFrame, *columns: str) -> DataFrame:

@@ -13,8 +13,10 @@ from ..functions import distance as D
 from ..functions import index as ix
 from ..functions.angles import angle_distance
 from ..storage import spill
-from .credible import DEG2, curve, interpolate
+from . import volumes
+from .credible import DEG2, WHOLE_SKY, curve, interpolate
 from .graph import components
+from .modes import with_steps
 from .prefix import cumulative_by_range
 
 
@@ -98,145 +100,196 @@ def count_modes_moc(cells: DataFrame, keys: list[str] = [], order: int | None =
 
 
 def contour_modes(df: DataFrame, contours: list[float], keys: list[str] = [], density: str = "probdensity") -> DataFrame:
-    """(keys, level, modes) of the credible regions of several levels, labelled together."""
-    from . import credible
+    """(keys, level, modes) of the regions of several levels: the densest cells that hold no more than each."""
+    m = with_steps(df, keys, density).withColumn("_prob", F.col(density) * ix.uniq2pixarea("uniq"))
+    order = [F.col(density).desc(), F.col("uniq").asc()]
+    run = cumulative_by_range(m, keys, order, {"_upto": F.col("_prob")})
+    return _modes_within(run, "_upto", contours, keys)
+
 
-    weighed = df.withColumn("_w", F.col(density) * ix.uniq2pixarea("uniq"))
-    cells = None
-    for c in contours:
-        one = credible.region(weighed, "_w", c, keys, F.col(density)).select(*keys, F.lit(float(c)).alias("level"), "uniq")
-        cells = one if cells is None else cells.unionByName(one)
-    return count_modes_moc(cells, [*keys, "level"])
+def _modes_within(run: DataFrame, upto: str, contours: list[float], keys: list[str]) -> DataFrame:
+    sums = [F.sum(F.when(F.col(upto) <= float(c), F.col("modes_step")).otherwise(0)) for c in contours]
+    wide = run.groupBy(*keys).agg(F.array(*sums).alias("_m"))
+    levels = F.array(*[F.lit(float(c)) for c in contours])
+    return wide.select(*keys, F.explode(F.arrays_zip(levels.alias("level"), F.col("_m").alias("modes"))).alias("_x")).select(*keys, "_x.level", F.col("_x.modes").cast("long").alias("modes"))
 
 
 def flood_fill(mask: DataFrame, order: int, seed: int | DataFrame, keys: list[str] = []) -> DataFrame:
-    """Pixels of the mask connected with ``seed`` (a pixel, or a table of keys and ipix): ring by ring, on the frontier only."""
-    cells = mask.select(*keys, "ipix").distinct()
-    done = cells.join(seed.select(*keys, "ipix"), [*keys, "ipix"], "left_semi") if isinstance(seed, DataFrame) else cells.where(F.col("ipix") == seed)
-    front = done
-    while front.head(1):
-        near = front.select(*keys, F.explode(ix.neighbours(F.lit(order), F.col("ipix"))).alias("ipix")).distinct()
-        front = spill(near.join(cells, [*keys, "ipix"], "left_semi").join(done, [*keys, "ipix"], "left_anti"))
-        done = done.unionByName(front)
-    return done
+    """Pixels of the mask connected with ``seed`` (a pixel, or a table of keys and ipix).
 
+    The component is found by labels that halve their chains, in rounds that grow with the logarithm of the region's width
+    instead of one a ring; the plan doesn't grow.
+    """
+    cells = spill(mask.select(*keys, "ipix").distinct())
+    seeds = cells.join(seed.select(*keys, "ipix"), [*keys, "ipix"], "left_semi") if isinstance(seed, DataFrame) else cells.where(F.col("ipix") == seed)
+    near = cells.select(*keys, "ipix", F.explode(ix.neighbours(F.lit(order), F.col("ipix"))).alias("_n")).where("_n > ipix")
+    pairs = near.join(cells.withColumnRenamed("ipix", "_n"), [*keys, "_n"])
+    node = lambda p: F.struct(*[F.col(k).alias(k) for k in keys], F.col(p).alias("ipix"))
+    roots = components(pairs.select(node("ipix").alias("u"), node("_n").alias("v")))
+    flat = roots.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.ipix").alias("ipix"), F.col("root.ipix").alias("_root"))
+    own = flat.join(seeds, [*keys, "ipix"], "left_semi").select(*keys, "_root").distinct()
+    return flat.join(own, [*keys, "_root"], "left_semi").select(*keys, "ipix").unionByName(seeds).distinct()
 
-def voxels(df: DataFrame, keys: list[str] = [], n_r: int = 999, max_r: Column | None = None, dvc_dvl: Column | None = None) -> DataFrame:
-    """Cells times distance shells: (keys, uniq, shell, r, dp, dv), dV = (r^2 + d_r^2 / 12) d_r dA.
 
-    Shells reach ``max_r`` (column ``max_r`` of ``df`` if not given).  ``dvc_dvl`` weighs the volume, for cosmology.
-    """
-    step = (F.col("max_r") if max_r is None else max_r) / (n_r + 1)
-    m = df.withColumn("_d", step).withColumn("shell", F.explode(F.sequence(F.lit(1), F.lit(n_r)))).withColumn("r", F.col("shell") * F.col("_d"))
-    area = ix.uniq2pixarea("uniq")
-    dv = (F.col("r") * F.col("r") + F.col("_d") * F.col("_d") / 12) * F.col("_d") * area
-    z = (F.col("r") - F.col("distmu")) / F.col("distsigma")
-    dp = F.exp(-0.5 * z * z) * F.col("probdensity") * F.col("distnorm") / (F.col("distsigma") * math.sqrt(2 * math.pi)) * dv
-    dp = F.when(ix.isfinite("distmu"), F.coalesce(F.nanvl(dp, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-    return m.select(*keys, "uniq", "shell", "r", dp.alias("dp"), (dv if dvc_dvl is None else dv * dvc_dvl).alias("dv"))
-
-
-def _ranked_voxels(df: DataFrame, keys: list[str], n_r: int, far: float) -> tuple[DataFrame, DataFrame]:
-    """(cells with max_r, voxels with running probability and volume in the order of dP/dV)."""
+def _reach(df: DataFrame, catalog: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(keys, max_r): six times the marginal mean distance of each map, or as far as its farthest object."""
     from .moments import marginal_moments
 
     prob = df.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
-    mean = marginal_moments(prob, keys).select(*keys, (6 * F.col("distmean")).alias("_far"))
-    reach = mean.select(*keys, F.greatest(F.col("_far"), F.lit(float(far) * (1 + 1e-9))).alias("max_r"))
-    m = df.join(reach, keys) if keys else df.crossJoin(F.broadcast(reach))
-    vox = voxels(m, keys, n_r).withColumn("_rate", F.col("dp") / F.col("dv"))
-    order = [F.desc("_rate"), F.col("uniq"), F.col("shell")]
-    # cells times shells are too many rows for a task of each map: sums by range
-    ranked = cumulative_by_range(vox, keys, order, {"cum_p": F.col("dp"), "cum_v": F.col("dv")})
-    return m, ranked.withColumn("prev_p", F.col("cum_p") - F.col("dp")).withColumn("prev_v", F.col("cum_v") - F.col("dv"))
-
+    mean = marginal_moments(prob, keys).select(*keys, (6 * F.col("distmean")).alias("max_r"))
+    if catalog is None:
+        return mean
+    own = [k for k in keys if k in catalog.columns]
+    far = catalog.groupBy(*own).agg(F.max("distance").alias("_far"))
+    both = mean.join(far, own, "left") if own else mean.crossJoin(F.broadcast(far))
+    return both.select(*keys, F.greatest("max_r", F.coalesce("_far", F.lit(0.0))).alias("max_r"))
 
-def _volumes(ranked: DataFrame, contours: list[float], keys: list[str]) -> DataFrame:
-    wanted = ranked.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in contours])).alias("level"))
-    return interpolate(ranked, wanted, "cum_p", "cum_v", "prev_p", "prev_v", "level", keys).withColumnRenamed("cum_v", "volume")
 
-
-def contour_volumes(df: DataFrame, contours: list[float], keys: list[str] = [], n_r: int = 999) -> DataFrame:
+def contour_volumes(df: DataFrame, contours: list[float], keys: list[str] = [], n_r: int = 999, cosmology: bool = False) -> DataFrame:
     """(keys, level, volume): volume of the smallest region of space that holds each level, for maps without targets."""
-    return _volumes(_ranked_voxels(df, keys, n_r, 0.0)[1], contours, keys)
+    cells = spill(volumes.cells_of(df, _reach(df, None, keys), keys, n_r))
+    return volumes.volumes_at(cells, contours, keys, n_r, cosmology)
 
 
-def searched_volume(df: DataFrame, catalog: DataFrame, contours: list[float] = [], keys: list[str] = [], n_r: int = 999) -> tuple[DataFrame, DataFrame]:
-    """3-D cross-match: (objects with searched_vol, searched_prob_vol, probdensity_vol, searched_prob_dist; contour volumes).
+def searched_volume(df: DataFrame, catalog: DataFrame, contours: list[float] = [], keys: list[str] = [], n_r: int = 999, cosmology: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """3-D cross-match: (objects with searched_vol, searched_prob_vol, probdensity_vol and searched_prob_dist; contour volumes, None without ``contours``).
 
-    Shells reach six times the map's marginal mean distance, or the farthest object.
-    Voxels are ranked by dP/dV in two-phase prefix sums, by range.
+    Shells reach six times the map's marginal mean distance, or the farthest object.  An object's voxel is its cell in the shell at or
+    below its distance.  searched_prob_dist is the marginal distribution over the whole sky.  ``cosmology`` ranks by probability per comoving volume, and volumes
+    are comoving.
     """
-    far = catalog.agg(F.max("distance")).first()[0] or 0.0
-    m, ranked = _ranked_voxels(df, keys, n_r, far)
-    hit = locate(catalog, m.select(*keys, "uniq", "probdensity", "distmu", "distsigma", "distnorm", "max_r"), [])
-    # nearer than the first shell counts as the first, beyond the last as the last
-    shell = F.greatest(F.lit(1), F.least(F.lit(n_r), F.round(F.col("distance") / (F.col("max_r") / (n_r + 1))).cast("int")))
-    hit = hit.withColumn("shell", shell)
-    along = D.conditional_pdf("distance", "distmu", "distsigma", "distnorm") / (F.col("distance") * F.col("distance"))
-    found = hit.join(ranked.select(*keys, "uniq", "shell", "cum_p", "cum_v"), [*keys, "uniq", "shell"])
-    found = found.withColumn("searched_prob_dist", D.conditional_cdf("distance", "distmu", "distsigma", "distnorm"))
-    objects = found.select(*[c for c in catalog.columns if c != "p29"], *[k for k in keys if k not in catalog.columns], F.col("cum_v").alias("searched_vol"), F.col("cum_p").alias("searched_prob_vol"), (F.col("probdensity") * along).alias("probdensity_vol"), "searched_prob_dist")
-    return objects, _volumes(ranked, contours or [0.5, 0.9], keys)
+    df = spill(df)  # read by every branch
+    reach = spill(_reach(df, catalog, keys))
+    cells = spill(volumes.cells_of(df, reach, keys, n_r))
+    own = [k for k in keys if k in catalog.columns]
+    placed = spill(catalog.withColumn("_target", F.monotonically_increasing_id()))
+    found = _in_space(placed.select("_target", "p29", "distance", *own), cells, marginal_grid(df, reach, [], keys, n_r), keys, n_r, cosmology)
+    objects = placed.join(found.drop(*own), "_target").drop("_target", "p29")
+    names = [*[c for c in catalog.columns if c != "p29"], *[k for k in keys if k not in own]]
+    return objects.select(*names, "searched_vol", "searched_prob_vol", "probdensity_vol", "searched_prob_dist"), volumes.volumes_at(cells, contours, keys, n_r, cosmology) if contours else None
+
+
+def _in_space(targets: DataFrame, cells: DataFrame, grid: DataFrame, keys: list[str], n_r: int, cosmology: bool) -> DataFrame:
+    """(_target, keys, searched_vol, searched_prob_vol, probdensity_vol, searched_prob_dist) of ``targets`` (_target, p29, distance)."""
+    hit = locate(targets, cells, [k for k in keys if k in targets.columns])
+    hit = hit.join(grid, keys) if keys else hit.crossJoin(F.broadcast(grid))
+    hit = hit.withColumn("_shell", volumes.shell_of(F.col("distance"), F.col("_step"), n_r))
+    z = (F.col("_step") * F.col("_shell") - F.col("distmu")) / F.col("distsigma")
+    rate = F.col("_log") - F.lit(0.5) * z * z
+    if cosmology:
+        rate = rate - F.element_at("ln_ratio", F.col("_shell"))
+    # the curve of the marginal distribution, from (0, 0)
+    r, k = F.col("distance"), F.floor(F.col("distance") / F.col("_step")).cast("int")
+    at = lambda i: F.when(i <= 0, 0.0).otherwise(F.get("cdf", i - 1))
+    line = at(k) + (r / F.col("_step") - k) * (at(k + 1) - at(k))
+    along = F.when(r <= 0, 0.0).when(r > F.col("_step") * n_r, 1.0).when(k >= n_r, F.get("cdf", F.lit(n_r - 1))).otherwise(line)
+    hit = spill(hit.select("_target", *keys, rate.alias("rate"), along.alias("searched_prob_dist")))
+    above = volumes.sums_above(cells, hit, keys, n_r, cosmology)
+    on = [hit[k].eqNullSafe(above[k]) for k in keys] + [hit["rate"] == above["rate"]]
+    return hit.join(above, on, "left").select("_target", *[hit[k] for k in keys], F.col("cum_v").alias("searched_vol"), F.col("cum_p").alias("searched_prob_vol"), F.exp(hit["rate"]).alias("probdensity_vol"), "searched_prob_dist")
+
+
+def marginal_grid(df: DataFrame, reach: DataFrame, contours: list[float], keys: list[str], n_r: int = 999) -> DataFrame:
+    """(keys, cdf, ln_ratio, widths): the marginal distribution of distance on the shells of every map (``n_r`` numbers), the comoving volume
+    of each, and the widths of the central intervals of ``contours``, infinite beyond the shells."""
+    from ..functions.types import fields
+    from .moments import _type
+
+    names = ("prob", "distmu", "distsigma", "distnorm")
+    prob = df.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
+    plain = prob.select(*keys, *[F.col(c).cast("double") for c in names])
+    plain = plain.join(reach, keys) if keys else plain.crossJoin(F.broadcast(reach))
+    own = "".join(f"{k}:{_type(df, k)}," for k in keys)
+
+    def partial(batches):
+        for b in batches:
+            for key, rows in b.groupby(keys, dropna=False) if keys else [((), b)]:
+                r = rows["max_r"].iloc[0] / (n_r + 1) * np.arange(1, n_r + 1)
+                p, mu, sigma, norm = (rows[c].to_numpy(float)[:, None] for c in names)
+                total = np.zeros(n_r)
+                for i in range(0, len(rows), 512):
+                    s = slice(i, i + 512)
+                    total += (p[s] * D.cdf(r[None, :], mu[s], sigma[s], norm[s])).sum(axis=0)
+                yield pd.DataFrame({**{c: [x] * n_r for c, x in zip(keys, key)}, "max_r": rows["max_r"].iloc[0], "k": np.arange(n_r), "v": total})
+
+    def shape(rows: pd.DataFrame) -> pd.DataFrame:  # n_r rows of a map
+        step = float(rows["max_r"].iloc[0]) / (n_r + 1)
+        cdf = rows.sort_values("k")["v"].to_numpy(float)
+        r = np.concatenate(([0.0], step * np.arange(1, n_r + 1)))
+        c = np.asarray(contours, float)
+        low, high = (np.interp(x, np.concatenate(([0.0], cdf)), r, right=np.inf) for x in ((1 - c) / 2, (1 + c) / 2))
+        with np.errstate(invalid="ignore"):
+            return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, "cdf": cdf.tolist(), "ln_ratio": volumes.ln_ratio(step, n_r).tolist(), "widths": (high - low).tolist()}])
+
+    sums = plain.mapInPandas(partial, fields(own + "max_r:double,k:int,v:double")).groupBy(*keys, "max_r", "k").agg(F.sum("v").alias("v"))
+    return spill(sums.groupBy(*keys).applyInPandas(shape, fields(own + "cdf:array<double>,ln_ratio:array<double>,widths:array<double>")))
 
 
 RESULT = ("searched_area", "searched_prob", "offset", "searched_modes", "contour_areas", "area_probs", "contour_modes", "searched_prob_dist", "contour_dists", "searched_vol", "searched_prob_vol", "contour_vols", "probdensity", "probdensity_vol")
 
 
-def crossmatch(df: DataFrame, catalog: DataFrame, contours: list[float] = [0.5, 0.9], areas: list[float] = [100.0], modes: bool = False, keys: list[str] = [], n_r: int = 999) -> DataFrame:
+def crossmatch(df: DataFrame, catalog: DataFrame, contours: list[float] = [0.5, 0.9], areas: list[float] = [100.0], modes: bool = False, keys: list[str] = [], n_r: int = 999, cosmology: bool = False) -> DataFrame:
     """All of ``RESULT`` for every map and object in one table: catalog columns, keys, and the 14 outputs.
 
     ``df`` has (keys, uniq, probdensity) and, for the outputs in three dimensions, distmu, distsigma, distnorm; ``catalog`` has p29, ra, dec and, for
-    them, distance.  What a map or catalog can't give is null.  contour_areas, area_probs, contour_modes and contour_vols are arrays in the
-    order of ``contours`` and ``areas``; contour_dists has structs (low, high).  searched_modes counts the modes of the cells at least
-    as dense as the object's own.
-    """
-    from . import credible
+    them, distance.  What a map or catalog can't give is null.  contour_areas, area_probs, contour_modes, contour_dists (widths of central intervals) and contour_vols
+    are arrays in the order of ``contours`` and ``areas``.  Levels that a map doesn't reach have the area of the whole sky and an infinite volume.
 
+    searched_modes counts the modes of the cells ranked up to the object's own, contour_modes those of the cells that hold no more than each
+    level; both are read off one running sum.  ``cosmology`` ranks space by probability per comoving volume.
+    """
     # both are read by every branch: once from where they come, then from the shared folder
-    df, catalog = spill(df), spill(catalog)
+    df, catalog = spill(df), spill(catalog.withColumn("_target", F.monotonically_increasing_id()))
     deep, far = "distmu" in df.columns, "distance" in catalog.columns
-
-    def listed(rows: DataFrame, by: str, value, wanted, name: str) -> DataFrame:
-        held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(by), value))).alias("_m"))
-        return held.select(*keys, F.array(*[F.element_at("_m", F.lit(float(x))) for x in wanted]).alias(name))
+    own = [k for k in keys if k in catalog.columns]
+    none = lambda t: F.lit(None).cast(t)
 
     def with_maps(out: DataFrame, more: DataFrame) -> DataFrame:
         return out.join(more, keys, "left") if keys else out.crossJoin(F.broadcast(more))
 
+    def listed(rows: DataFrame, by: str, value, wanted, name: str) -> DataFrame:
+        held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(by, value))).alias("_m"))
+        return held.select(*keys, F.array(*[F.element_at("_m", F.lit(float(x))) for x in wanted]).alias(name))
+
     flat = df.select(*keys, "uniq", "probdensity")
-    out = spill(searched(flat, catalog.withColumn("_p29", F.col("p29")), keys).drop("uniq"))
-    out = with_maps(out, listed(credible.areas(flat, contours, keys), "level", F.col("area"), contours, "contour_areas"))
-    out = with_maps(out, listed(area_probs(flat, areas, keys), "area", F.col("prob"), areas, "area_probs"))
-    none = lambda t: F.lit(None).cast(t)
-    if modes:
-        out = with_maps(out, listed(contour_modes(flat, contours, keys), "level", F.col("modes"), contours, "contour_modes"))
-        # one set of cells for each distinct density at which an object lies
-        lows = out.select(*keys, F.col("probdensity").alias("_low")).distinct()
-        above = (flat.join(lows, keys) if keys else flat.crossJoin(F.broadcast(lows))).where(F.col("probdensity") >= F.col("_low")).select(*keys, "_low", "uniq")
-        own = count_modes_moc(above, [*keys, "_low"]).select(*keys, F.col("_low").alias("probdensity"), F.col("modes").alias("searched_modes"))
-        out = out.join(own, [*keys, "probdensity"], "left")
+    m = with_steps(flat, keys) if modes else flat.withColumn("modes_step", F.lit(0))
+    m = m.withColumn("_prob", F.col("probdensity") * ix.uniq2pixarea("uniq")).withColumn("_area", ix.uniq2pixarea("uniq") * DEG2)
+    order = [F.col("probdensity").desc(), F.col("uniq").asc()]
+    c = spill(cumulative_by_range(m, keys, order, {"cum_weight": F.col("_prob"), "cum_area": F.col("_area"), "cum_modes": F.col("modes_step")}))
+    c = c.withColumn("prev_weight", F.col("cum_weight") - F.col("_prob")).withColumn("prev_area", F.col("cum_area") - F.col("_area"))
+    wanted = lambda values, name: df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in values])).alias(name))
+    a = interpolate(c, wanted(contours, "level"), "cum_weight", "cum_area", "prev_weight", "prev_area", "level", keys, F.lit(WHOLE_SKY)) if contours else None
+    p = interpolate(c, wanted(areas, "area"), "cum_area", "cum_weight", "prev_area", "prev_weight", "area", keys, F.lit(1.0)) if areas else None
+
+    best = df.groupBy(*keys).agg(F.max_by("uniq", F.struct(F.col("probdensity"), -F.col("uniq"))).alias("_best")).withColumn("_a", ix.uniq2ang("_best"))
+    best = best.select(*keys, F.col("_a.phi").alias("_ra"), (math.pi / 2 - F.col("_a.theta")).alias("_dec"))
+    hit = locate(catalog, c.select(*keys, "uniq", F.col("probdensity").alias("_density"), "cum_weight", "cum_area", "cum_modes"), own)
+    hit = hit.join(best, keys) if keys else hit.crossJoin(F.broadcast(best))
+    searched_modes = F.col("cum_modes").cast("long") if modes else none("bigint")
+    more = [F.col("cum_area").alias("searched_area"), F.col("cum_weight").alias("searched_prob"), F.degrees(angle_distance("ra", "dec", "_ra", "_dec")).alias("offset"), searched_modes.alias("searched_modes"), F.col("_density").alias("probdensity")]
+    out = hit.select(*[x for x in catalog.columns if x != "p29"], *[k for k in keys if k not in own], *more)
+    out = with_maps(out, listed(a, "level", F.col("cum_area"), contours, "contour_areas")) if contours else out.withColumn("contour_areas", F.array().cast("array<double>"))
+    out = with_maps(out, listed(p, "area", F.col("cum_weight"), areas, "area_probs")) if areas else out.withColumn("area_probs", F.array().cast("array<double>"))
+    if modes and contours:
+        out = with_maps(out, listed(_modes_within(c, "cum_weight", contours, keys), "level", F.col("modes"), contours, "contour_modes"))
     else:
-        out = out.withColumn("contour_modes", none("array<bigint>")).withColumn("searched_modes", none("bigint"))
+        out = out.withColumn("contour_modes", none("array<bigint>"))
     if deep:
-        prob = df.withColumn("prob", F.col("probdensity") * ix.uniq2pixarea("uniq"))
-        intervals = distance_intervals(prob, contours, keys)
-        out = with_maps(out, listed(intervals, "level", F.struct("low", "high"), contours, "contour_dists"))
-        objects = searched_volume(df, catalog.withColumnRenamed("p29", "_p29").withColumn("p29", F.col("_p29")), contours, keys, n_r) if far else None
-        volumes = objects[1] if far else contour_volumes(df, contours, keys, n_r)
-        out = with_maps(out, listed(volumes, "level", F.col("volume"), contours, "contour_vols"))
+        reach = spill(_reach(df, catalog if far else None, keys))
+        cells = spill(volumes.cells_of(df, reach, keys, n_r))
+        grid = marginal_grid(df, reach, contours, keys, n_r)
+        out = with_maps(out, grid.select(*keys, F.col("widths").alias("contour_dists")))
+        out = with_maps(out, listed(volumes.volumes_at(cells, contours, keys, n_r, cosmology), "level", F.col("volume"), contours, "contour_vols")) if contours else out.withColumn("contour_vols", F.array().cast("array<double>"))
     else:
-        out = out.withColumn("contour_dists", none("array<struct<low:double,high:double>>")).withColumn("contour_vols", none("array<double>"))
+        out = out.withColumn("contour_dists", none("array<double>")).withColumn("contour_vols", none("array<double>"))
     three = ("searched_prob_dist", "searched_vol", "searched_prob_vol", "probdensity_vol")
     if deep and far:
-        same = [c for c in catalog.columns if c != "p29"]
-        found = objects[0].drop("_p29").select(*[F.col(c).alias(f"_c_{c}") for c in same], *[F.col(k).alias(f"_k_{k}") for k in keys if k not in same], *three).distinct()
-        on = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in same] + [F.col(k) == F.col(f"_k_{k}") for k in keys if k not in same]
-        out = out.join(found, on, "left")
+        found = _in_space(catalog.select("_target", "p29", "distance", *own), cells, grid, keys, n_r, cosmology)
+        out = out.join(found.drop(*own), ["_target", *[k for k in keys if k not in own]], "left")
     else:
-        for c in three:
-            out = out.withColumn(c, none("double"))
-    return out.select(*[c for c in catalog.columns if c != "p29"], *[k for k in keys if k not in catalog.columns], *RESULT)
+        for x in three:
+            out = out.withColumn(x, none("double"))
+    return out.select(*[x for x in catalog.columns if x not in ("p29", "_target")], *[k for k in keys if k not in own], *RESULT)
 
 
 def distance_intervals(df: DataFrame, contours: list[float], keys: list[str] = []) -> DataFrame:
@@ -256,7 +309,7 @@ def stats(df: DataFrame, catalog: DataFrame | None = None, contours: list[float]
     from . import credible
 
     df = spill(df)  # read by every branch
-    a = credible.areas(df, contours, keys).groupBy(*keys).pivot("level", contours).agg(F.first("area"))
+    a = credible.areas(df, contours, keys, right=credible.WHOLE_SKY).groupBy(*keys).pivot("level", contours).agg(F.first("area"))
     a = a.select(*keys, *[F.col(f"`{c}`").alias(f"area({100 * c:g})") for c in contours])
     p = area_probs(df, areas, keys).groupBy(*keys).pivot("area", areas).agg(F.first("prob"))
     out = a.join(p.select(*keys, *[F.col(f"`{x}`").alias(f"prob({x:g})") for x in areas]), keys)
@@ -278,5 +331,3 @@ def crossmatch_numpy(uniq: np.ndarray, density: np.ndarray, p29: np.ndarray) ->
     cum_a, cum_p = np.empty(len(uniq)), np.empty(len(uniq))
     cum_a[rank], cum_p[rank] = np.cumsum(area[rank]) * DEG2, np.cumsum((area * density)[rank])
     return pd.DataFrame({"searched_area": cum_a[cell], "searched_prob": cum_p[cell], "probdensity": density[cell]})
-
-

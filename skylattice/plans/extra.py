@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import angles, gps, interpolate, register, signal, text
 from ..functions import index as ix
 from ..functions.types import vectorized
-from ..operators import credible, crossmatch, density, events, image, stats
+from ..operators import credible, crossmatch, density, events, image, modes, stats
+from ..operators.prefix import cumulative_by_range
 from ..sources import fits, tables
 from ..storage import shared_folder
 from . import geometry_sql as geo
 from .fixtures import FLAT, SKY, flat_map, sky_map, table
-from .queries import CUSTOMERS, GREEDY, _catalog, _density_map, _distance_map, _ranked, query
+from .queries import _FAR, CUSTOMERS, DISTANCES, FOUND, GREEDY, VOXELS, _catalog, _density_map, _distance_map, _modes_sql, _ranked, _suppliers, query
 
 
 def _folder(spark, name: str) -> str:
@@ -199,14 +200,47 @@ def principal_moments(spark, sf_dir):
     return e.select(F.round((F.col("e0") + F.col("e1") + F.col("e2")) / 1e6, 6).alias("trace"), F.round((F.col("e0") * F.col("e1") + F.col("e1") * F.col("e2") + F.col("e2") * F.col("e0")) / 1e12, 6).alias("minors"), F.round(F.col("e0") * F.col("e1") * F.col("e2") / 1e18, 6).alias("det"), F.round(det).cast("int").alias("right_handed"))
 
 
-@query(f"""WITH RECURSIVE {geo.DMOM}, hit AS (SELECT * FROM {geo.lookup("(SELECT s_suppkey AS id, (s_suppkey % 628 / 100.0)::DOUBLE AS phi, sin((s_suppkey % 300 / 100.0 - 1.5)::DOUBLE) AS z FROM supplier)", 1)}),
-    r AS (SELECT ipix, sum(prob) OVER w AS p, count(*) OVER w * 41252.96124941928 / 48 AS a FROM dmom WINDOW w AS (ORDER BY prob DESC, ipix ROWS UNBOUNDED PRECEDING))
-    SELECT id, round(p, 9) AS searched_prob, round(a, 6) AS searched_area, 2 AS n_areas, 2 AS n_dists, 2 AS n_vols, true AS deep FROM (SELECT id, hit.p AS cell FROM hit) JOIN r ON r.ipix = cell""")
+_ALL14 = f"""WITH RECURSIVE {VOXELS.replace("{far}", _FAR)}, {DISTANCES}, {FOUND},
+    centre AS (SELECT p, z, phi FROM {geo.cells('(SELECT 1 AS k, p FROM range(48) r(p))')}),
+    flat AS (SELECT ipix, prob, prob / (pi() / 12) AS density, sum(prob) OVER w AS cum_p, count(*) OVER w AS nth, 41252.96124941928 / 48 AS a FROM dmap WINDOW w AS (ORDER BY prob DESC, ipix ROWS UNBOUNDED PRECEDING)),
+    {_modes_sql('SELECT n.nth AS map_id, m.ipix FROM flat m, flat n WHERE m.nth <= n.nth', 1, '_m')}, best AS (SELECT z AS bz, phi AS bphi FROM flat JOIN centre ON p = ipix WHERE nth = 1),
+    one AS (SELECT CASE WHEN max(cum_p) < 0.5 THEN 41252.96124941928 ELSE min_by((nth - 1 + (0.5 - cum_p + prob) / prob) * a, nth) FILTER (cum_p >= 0.5) END AS area_50, CASE WHEN max(cum_p) < 0.9 THEN 41252.96124941928 ELSE min_by((nth - 1 + (0.9 - cum_p + prob) / prob) * a, nth) FILTER (cum_p >= 0.9) END AS area_90,
+        max(prob / a * 100) FILTER (nth = 1) AS prob_100, count(*) FILTER (cum_p <= 0.5) AS n_50, count(*) FILTER (cum_p <= 0.9) AS n_90 FROM flat),
+    ends AS (SELECT x, min((a.i + (x - a.p) / (b.p - a.p)) * d) AS r FROM (SELECT unnest([0.25::DOUBLE, 0.75, 0.05, 0.95]) AS x), reach, grid a JOIN grid b ON b.i = a.i + 1 WHERE a.p < x AND b.p >= x GROUP BY x),
+    vols AS (SELECT l, min_by(cum_v - dv + (l - cum_p + dp) * dv / dp, cum_p) AS v FROM run, (SELECT unnest([0.5::DOUBLE, 0.9]) AS l) WHERE cum_p >= l AND dp > 0 GROUP BY l)
+    SELECT f.id, round(nth * a, 6) AS searched_area, round(flat.cum_p, 9) AS searched_prob, round(degrees(acos(greatest(-1, least(1, z * bz + sqrt(1 - z * z) * sqrt(1 - bz * bz) * cos(phi - bphi))))), 6) AS "offset", modes AS searched_modes,
+        round(area_50, 6) AS area_50, round(area_90, 6) AS area_90, round(prob_100, 9) AS prob_100, coalesce((SELECT modes FROM modes_m WHERE map_id = n_50), 0) AS modes_50, coalesce((SELECT modes FROM modes_m WHERE map_id = n_90), 0) AS modes_90,
+        round(along, 7) AS searched_prob_dist, round((SELECT r FROM ends WHERE x = 0.75) - (SELECT r FROM ends WHERE x = 0.25), 4) AS dist_50, round((SELECT r FROM ends WHERE x = 0.95) - (SELECT r FROM ends WHERE x = 0.05), 4) AS dist_90,
+        round(cum_v / 1e9, 3) AS searched_vol, round(space.cum_p, 7) AS searched_prob_vol, round((SELECT v FROM vols WHERE l = 0.5) / 1e9, 3) AS vol_50, round((SELECT v FROM vols WHERE l = 0.9) / 1e9, 3) AS vol_90, round(density, 9) AS probdensity, round(rate * 1e12, 5) AS probdensity_vol
+    FROM found f JOIN space USING (id) JOIN flat ON flat.ipix = f.ipix JOIN modes_m ON map_id = nth, one, best"""
+
+
+@query(_ALL14)
 def crossmatch_all(spark, sf_dir):
-    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 628 / 100.0).alias("ra"), (F.col("s_suppkey") % 300 / 100.0 - 1.5).alias("dec"), (2000 + F.abs("s_acctbal") / 2).alias("distance"))
-    r = crossmatch.crossmatch(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c), modes=True)
-    deep = F.col("searched_vol").isNotNull() & F.col("searched_prob_vol").isNotNull() & F.col("probdensity_vol").isNotNull() & F.col("searched_prob_dist").isNotNull() & (F.col("searched_modes") > 0)
-    return r.select("id", F.round("searched_prob", 9).alias("searched_prob"), F.round("searched_area", 6).alias("searched_area"), F.size("contour_areas").alias("n_areas"), F.size("contour_dists").alias("n_dists"), F.size("contour_vols").alias("n_vols"), deep.alias("deep"))
+    r = crossmatch.crossmatch(_distance_map(spark, sf_dir).drop("prob"), _suppliers(spark, sf_dir), modes=True)
+    digits = {"searched_area": 6, "searched_prob": 9, "offset": 6, "searched_prob_dist": 7, "searched_prob_vol": 7, "probdensity": 9}
+    pairs = [F.round(F.col(c)[k] / by, d).alias(f"{name}_{level}") for c, name, d, by in (("contour_areas", "area", 6, 1), ("contour_dists", "dist", 4, 1), ("contour_vols", "vol", 3, 1e9)) for k, level in enumerate((50, 90))]
+    pairs += [F.col("contour_modes")[k].alias(f"modes_{level}") for k, level in enumerate((50, 90))]
+    own = [F.round(F.col("searched_vol") / 1e9, 3).alias("searched_vol"), F.round(F.col("probdensity_vol") * 1e12, 5).alias("probdensity_vol"), F.round(F.col("area_probs")[0], 9).alias("prob_100")]
+    return r.select("id", "searched_modes", *[F.round(c, d).alias(c) for c, d in digits.items()], *pairs, *own)
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, hit AS (SELECT id, p FROM {geo.lookup(f"({CUSTOMERS})", 3)}), corner AS {geo.corners(3)}, near AS (SELECT DISTINCT a.p AS a, b.p AS b FROM corner a JOIN corner b ON a.key = b.key),
+    turn AS (SELECT map_id, uniq, ord, ipix, row_number() OVER (PARTITION BY map_id ORDER BY dens DESC, uniq) AS nth FROM c),
+    part AS (SELECT map_id, nth, CASE ord WHEN 2 THEN 4 * ipix + j ELSE ipix END AS q FROM turn, range(4) r(j) WHERE ord = 2 OR j = 0),
+    touch AS (SELECT DISTINCT x.map_id, x.nth AS a, y.nth AS b FROM part x JOIN near ON near.a = x.q JOIN part y ON y.q = near.b AND y.map_id = x.map_id WHERE x.nth <> y.nth),
+    label(map_id, upto, nth, root) USING KEY (map_id, upto, nth) AS (
+        SELECT m.map_id, k.nth, m.nth, m.nth FROM turn m JOIN turn k ON k.map_id = m.map_id AND m.nth <= k.nth
+        UNION SELECT l.map_id, l.upto, t.b, min(l.root) FROM label l JOIN touch t ON t.map_id = l.map_id AND t.a = l.nth JOIN recurring.label r ON r.map_id = l.map_id AND r.upto = l.upto AND r.nth = t.b
+            WHERE t.b <= l.upto AND l.root < r.root GROUP BY ALL),
+    modes AS (SELECT map_id, upto, count(*) FILTER (nth = root) AS modes FROM label GROUP BY 1, 2)
+    SELECT h.id, m.map_id, modes FROM hit h JOIN part x ON x.q = h.p JOIN modes m ON m.map_id = x.map_id AND m.upto = x.nth""")
+def searched_modes(spark, sf_dir):
+    """Modes of the region that each target closes, of four maps: one running sum a map, whatever the number of targets."""
+    m = modes.with_steps(_density_map(spark, sf_dir), ["map_id"])
+    c = cumulative_by_range(m, ["map_id"], [F.desc("probdensity"), F.col("uniq")], {"modes": F.col("modes_step")})
+    hit = crossmatch.locate(crossmatch.catalog_points(_catalog(spark, sf_dir)), c.select("map_id", "uniq", F.col("modes").cast("long").alias("modes")))
+    return hit.select("id", "map_id", "modes")
 
 
 # --- series and densities

@@ -467,16 +467,25 @@ VOXELS = f"""{geo.DMAP}, reach AS (SELECT greatest(6 * (SELECT sum(prob * mean)
     vox AS (SELECT ipix, i AS shell, prob / (pi() / 12) * norm * exp(-0.5 * pow((i * d - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())) AS rate,
         (i * d * i * d + d * d / 12) * d * (pi() / 12) AS dv FROM dmap, reach, range(1, 1000) t(i)),
     run AS (SELECT *, sum(rate * dv) OVER w AS cum_p, sum(dv) OVER w AS cum_v, rate * dv AS dp FROM vox WINDOW w AS (ORDER BY rate DESC, ipix, shell ROWS UNBOUNDED PRECEDING))"""
-SUPPLIERS = "SELECT s_suppkey AS id, (s_suppkey % 628 / 100.0)::DOUBLE AS phi, sin((s_suppkey % 300 / 100.0 - 1.5)::DOUBLE) AS z, 2000 + abs(s_acctbal) / 2 AS dist FROM supplier"
+#: The marginal distribution at every shell, from (0, 0).
+DISTANCES = f"grid AS (SELECT h AS i, h * d AS r, CASE h WHEN 0 THEN 0 ELSE sum(prob * {geo.ansatz_cdf('(h * d)')}) END AS p FROM dmap, reach, range(1000) t(h) GROUP BY h, d)"
+SUPPLIERS = "SELECT s_suppkey AS id, (s_suppkey % 628 / 100.0)::DOUBLE AS phi, sin((s_suppkey % 300 / 100.0 - 1.5)::DOUBLE) AS z, (2000 + abs(s_acctbal) / 2)::DOUBLE AS dist FROM supplier"
+_FAR = "(SELECT max(2000 + abs(s_acctbal) / 2) FROM supplier)"
+#: The voxel of every target: its cell in the shell at or below its distance, the first and last shells beyond.
+FOUND = f"""hit AS (SELECT * FROM {geo.lookup(f"({SUPPLIERS})", 1)}), found AS (SELECT h.*, p AS ipix, greatest(1, least(999, floor(dist / d)))::INT AS shell, floor(dist / d)::INT AS below, dist / d AS steps FROM hit h, reach),
+    space AS (SELECT f.id, cum_v, cum_p, rate, CASE WHEN dist > d * 999 THEN 1 ELSE a.p + (steps - below) * (b.p - a.p) END AS along
+        FROM found f JOIN run r ON r.ipix = f.ipix AND r.shell = f.shell, reach, grid a, grid b WHERE a.i = least(below, 998) AND b.i = a.i + 1)"""
 
 
-@query(f"""WITH RECURSIVE {VOXELS.replace("{far}", "(SELECT max(2000 + abs(s_acctbal) / 2) FROM supplier) * (1 + 1e-9)")}, hit AS (SELECT * FROM {geo.lookup(f"({SUPPLIERS})", 1)}),
-    found AS (SELECT h.*, m.*, greatest(1, least(999, round(dist / d)))::INT AS shell FROM hit h JOIN dmap m ON m.ipix = h.p, reach)
-    SELECT id, round(cum_v / 1e9, 3) AS searched_vol, round(cum_p, 7) AS searched_prob_vol, round(prob / (pi() / 12) * {geo.ansatz_pdf('dist')} / (dist * dist) * 1e12, 5) AS probdensity_vol, round({geo.ansatz_cdf('dist')}, 7) AS searched_prob_dist
-    FROM found f JOIN run r ON r.ipix = f.ipix AND r.shell = f.shell""")
-def crossmatch_3d(spark, sf_dir):
+def _suppliers(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 628 / 100.0).alias("ra"), (F.col("s_suppkey") % 300 / 100.0 - 1.5).alias("dec"), (2000 + F.abs("s_acctbal") / 2).alias("distance"))
-    objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), crossmatch.catalog_points(c))
+    return crossmatch.catalog_points(c)
+
+
+@query(f"""WITH RECURSIVE {VOXELS.replace("{far}", _FAR)}, {DISTANCES}, {FOUND}
+    SELECT id, round(cum_v / 1e9, 3) AS searched_vol, round(cum_p, 7) AS searched_prob_vol, round(rate * 1e12, 5) AS probdensity_vol, round(along, 7) AS searched_prob_dist FROM space""")
+def crossmatch_3d(spark, sf_dir):
+    objects, _ = crossmatch.searched_volume(_distance_map(spark, sf_dir).drop("prob"), _suppliers(spark, sf_dir))
     return objects.select("id", F.round(F.col("searched_vol") / 1e9, 3).alias("searched_vol"), F.round("searched_prob_vol", 7).alias("searched_prob_vol"), F.round(F.col("probdensity_vol") * 1e12, 5).alias("probdensity_vol"), F.round("searched_prob_dist", 7).alias("searched_prob_dist"))
 
 
@@ -543,7 +552,7 @@ def _modes_sql(mask: str, order: int, tag: str = "") -> str:
 
 
 def _map_stats_sql() -> str:
-    region = lambda level: f"SELECT map_id, CASE ord WHEN 2 THEN 4 * ipix + j ELSE ipix END AS ipix FROM c, range(4) r(j) WHERE (cum_w - w) / all_w < {level} AND (ord = 2 OR j = 0)"
+    region = lambda level: f"SELECT map_id, CASE ord WHEN 2 THEN 4 * ipix + j ELSE ipix END AS ipix FROM c, range(4) r(j) WHERE cum_w / all_w <= {level} AND (ord = 2 OR j = 0)"
     modes = [_modes_sql(region(x), 3, tag) for x, tag in ((0.5, "_a"), (0.9, "_b"))]
     area = lambda level: f"round(min_by(pu + ({level} * all_w - pw) * (cum_units - pu) / (cum_w - pw), cum_w) FILTER (cum_w >= {level} * all_w AND w > 0) * 41252.96124941928 / 768, 6)"
     prob = "round(max_by(pw + (100.0 * 768 / 41252.96124941928 - pu) * (cum_w - pw) / (cum_units - pu), -cum_units) FILTER (cum_units >= 100.0 * 768 / 41252.96124941928) / max(all_w), 9)"

@@ -1,15 +1,17 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page becomes a row of text blocks with their element paths.  What the elements say of
-themselves settles some blocks (``seed``: within an article, within navigation, a footer,
-comments ...); these have capacities to a terminal that no cut outweighs.  Every other
-block has a classifier's costs as its terminal capacities.  Neighbouring blocks, and blocks
-near to each other in the document tree, are tied by smoothness edges.  The minimum cut, found
-by maximum flow, is the cheapest labelling; blocks on the side of the source are the content.
-
-The classifier has two views that teach each other.  Text, links and place in the page are
-learnt from the seeds, whose words are no features; words of classes and identifiers
-that no list knows are learnt from what the first view is sure of.
+A page becomes a row of text blocks with their element paths.  A classifier gives every block a cost: what its words,
+links and marks look like, and what the elements around it say of themselves (their names, roles, classes and identifiers).  All
+costs are finite weights, learnt from a sample; no block is settled beforehand.  They are the capacities to the terminals.  Neighbouring
+blocks, blocks near to each other in the document tree, and blocks that the same element speaks for are tied by smoothness edges.  The minimum cut,
+found by maximum flow, is the cheapest labelling; blocks on the side of the source are the content.  So a heading or a
+short line, which look like a menu, go with the article that holds them.
+
+The classifier has two views that teach each other.  Text, links and place in the page are learnt from blocks whose elements
+speak plainly; weights of elements and of words of classes and identifiers are learnt from what the first view is sure of, those of known words near to
+their prior.
+
+An article speaks for all its blocks together: it is a node of its own, whose capacity grows with their number, tied to each.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ _ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*+(?:([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)[ \t
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select option textarea button audio video math".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas select option textarea button audio video annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 #: Elements that run inside a line; all others begin a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr script style noscript template svg iframe object canvas select textarea button audio video math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,20 +51,25 @@ ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "comp
 STRONG = frozenset("nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs recommended recommendations widget pagination pager comment comments commentlist disqus respond".split())
 WEAK = frozenset("header banner aside side related trending reply replies form search copyright legal disclaimer toolbar skip tags tag meta byline complementary contentinfo alert dialog".split())
 CONTENT = frozenset("article main content post entry story text articlebody maincontent body".split())
+#: Words that say nothing of their own beside others in a class, as in ad-slot or comment-list.
+GENERIC = frozenset("area bar block box button buttons center column container div feed footer group header holder icon inline inner item items label left link links list main outer page panel pane placeholder region right row section side site slot small strip top bottom unit view wrap wrapper zone".split()) - {"holder"}
 #: Strong words whose boxes may hold article elements, one for each reader's comment.
 REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Words that make an article element a teaser of another page or a reader's reply.
 TEASER = frozenset("related trending reply replies teaser card".split())
 _NEGATED = re.compile(r"^(?:has|with|no|without|not|is)[-_]", re.I)
 DEEPEST = 512  # elements below this depth hang there, as in browsers
-_TEXT = 16  # features of the text, its links and its place
+_TEXT = 13  # features of the text, its links and its place
+#: Features of what elements are, with their prior weights, then a hash of the words that no list knows.
+PRIOR = {**dict.fromkeys(sorted(NOT_MAIN), -9.0), "address": -2.0, "inside": 2.6, "outside": -2.0, **{f".{w}": -9.0 for w in sorted(STRONG)}, **{f".{w}": -2.5 for w in sorted(WEAK)}, **{f".{w}": 1.2 for w in sorted(CONTENT)}}
+NUMBER = {name: _TEXT + k for k, name in enumerate(PRIOR)}
+KNOWN = _TEXT + len(PRIOR)
 HASHED = 4096
-WIDTH = _TEXT + HASHED
-SURE = 1e6  # capacity of a settled block
+WIDTH = KNOWN + HASHED
 
 
 class Element:
-    """A block element: its meaning (a name of NOT_MAIN or MAIN, or none), words, whether it holds the page's core, and characters in an article."""
+    """A block element: its meaning (a name of NOT_MAIN or MAIN, or none), words with their amounts, whether it holds the page's core, and characters in it."""
 
     __slots__ = ("name", "serial", "meaning", "words", "parent", "core", "mass")
 
@@ -70,12 +77,20 @@ class Element:
         self.name, self.serial, self.meaning, self.words, self.parent, self.core, self.mass = name, serial, meaning, words, parent, False, 0
 
     def mark(self) -> None:
-        """All that holds this element holds the page's core."""
-        up = self.parent
+        """This element and all that hold it hold the page's core."""
+        up = self
         while up is not None and not up.core:
             up.core = True
             up = up.parent
 
+    def plainly(self, words: frozenset) -> bool:
+        """Whether one of ``words`` stands in a class or identifier without words that could change its sense."""
+        return any(w in words and amount == 1 for w, amount in self.words.items())
+
+    def speaks(self) -> bool:
+        """Whether it says of itself that it is the article or something else."""
+        return bool(self.meaning) or self.plainly(STRONG) or self.plainly(TEASER)
+
 
 class Block:
     __slots__ = ("text", "path", "link")
@@ -127,18 +142,22 @@ class _Scanner:
                 found.append((m[1], m[4]))
 
 
-def _words(attributes) -> tuple[tuple[str, ...], str]:
-    """(words of class and identifier, meaning by role)"""
-    words, meaning = [], ""
+def _words(attributes) -> tuple[dict[str, float], str]:
+    """(words of class and identifier with their amounts, meaning by role).  Beside unknown words a known one counts a third."""
+    words, meaning = {}, ""
     for name, value in attributes:
         name = name.lower()
         if name in ("class", "id"):
             for token in value.split():
                 if not _NEGATED.match(token):
-                    words += _WORD.findall(_CAMEL.sub(" ", token).lower())
+                    own = _WORD.findall(_CAMEL.sub(" ", token).lower())
+                    sure = all(w in STRONG or w in WEAK or w in GENERIC for w in own)
+                    for w in own:
+                        known = w in STRONG or w in WEAK
+                        words[w] = max(words.get(w, 0.0), 0.3 if known and not sure else 1.0)
         elif name == "role":
             meaning = ROLES.get(value.strip().lower(), "")
-    return tuple(dict.fromkeys(words)), meaning
+    return words, meaning
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -152,7 +171,8 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, Element | None]] = []  # (name, element of a block)
     open_: Counter = Counter()
     out: list[Block] = []
-    articles: dict[int, Element] = {}
+    seen: dict[int, Element] = {}
+    titles: list[Element] = []
     pieces: list[str] = []
     linked = serial = at = 0
     hidden = in_link = 0
@@ -164,10 +184,10 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 out.append(Block(text, tuple(s[1] for s in stack if s[1] is not None), min(1.0, linked / len(text))))
+                own = len(text) - min(linked, len(text))
                 for e in out[-1].path:
-                    if e.meaning == "article":
-                        articles[e.serial] = e
-                        e.mass += len(text)
+                    seen[e.serial] = e
+                    e.mass += own
             pieces.clear()
         linked = 0
 
@@ -268,114 +288,152 @@ def blocks(page: str | None) -> list[Block]:
             words, role = _words(attributes)
             meaning = role or (name if name in NOT_MAIN or name in MAIN else "")
             parent = next((s[1] for s in reversed(stack) if s[1] is not None), None)
-            element = Element(name, serial, meaning, () if name in ("html", "body") else words, parent)
-            if name == "h1" or meaning == "main":
-                element.mark()
+            element = Element(name, serial, meaning, {} if name in ("html", "body") else words, parent)
+            if name == "h1":
+                titles.append(element)
         stack.append((name, element))
         open_[name] += 1
         hidden += name in HIDDEN
         in_link += name == "a"
     flush()
-    # the longest article that is no reply, no teaser and in no box of such or in navigation and the like is the page's core too
-    for e in sorted(articles.values(), key=lambda e: (-e.mass, e.serial)):
-        up, fine = e, True
-        while up is not None and fine:
-            fine = up.meaning not in NOT_MAIN and REPLIES.isdisjoint(up.words) and TEASER.isdisjoint(up.words)
-            up = up.parent
-        if fine:
-            e.core = True
-            e.mark()
-            break
+    _mark_core([*seen.values()], titles, sum(len(b.text) * (1 - b.link) for b in out))
     return out
 
 
-def seed(block: Block) -> int:
-    """1: the article; -1: not the article; 0: unsettled.  The innermost element that says anything decides.
-
-    Elements that aren't the article by their meaning, or by a strong word of their class or identifier, settle all
-    that is in them, articles included, unless they hold the page's own main element, h1 or longest article (a wrapper).  Headings in the
-    header of an article belong to it.
-    """
-    said = 0
-    for k in range(len(block.path) - 1, -1, -1):
-        e = block.path[k]
-        if e.meaning in NOT_MAIN and not (e.core and e.meaning in ("form", "dialog", "menu")):
-            if e.meaning == "header" and any(x.name in HEADINGS for x in block.path[k:]) and any(x.meaning in MAIN for x in block.path[:k]):
-                continue
-            return -1
-        if not e.core and not STRONG.isdisjoint(e.words):
-            return -1
-        if e.meaning in MAIN and not said and TEASER.isdisjoint(e.words):
-            said = 1
-    return said
+def _within(e: Element | None, what) -> bool:
+    while e is not None:
+        if what(e):
+            return True
+        e = e.parent
+    return False
+
+
+def _mark_core(seen: list[Element], titles: list[Element], whole: float) -> None:
+    """Mark what holds the page's core: its main element and longest article; without both its first heading of level one; without any what holds
+    more than half of its text.  None of them within navigation and the like, replies or teasers of other pages."""
+    elsewhere = lambda e: (e.meaning in NOT_MAIN and e.meaning not in ("form", "dialog", "menu")) or e.plainly(REPLIES) or e.plainly(TEASER)
+    main = [e for e in seen if e.meaning == "main" and not _within(e, elsewhere)]
+    articles = [e for e in sorted(seen, key=lambda e: (-e.mass, e.serial)) if e.meaning == "article" and not _within(e, elsewhere)][:1]
+    for e in main + articles:
+        e.mark()
+    if main or articles:
+        return
+    for e in titles:
+        if not _within(e, elsewhere):
+            if e.parent is not None:
+                e.parent.mark()
+            return
+    for e in seen:
+        if 2 * e.mass > whole and not _within(e, lambda e: e.meaning in NOT_MAIN or e.plainly(REPLIES)):
+            e.core = True
 
 
 _HASHED: dict = {}
 
 
 def _feature(word: str) -> int:
-    k = _HASHED.get(word)
+    k = NUMBER.get(f".{word}") or _HASHED.get(word)
     if k is None:
         if len(_HASHED) > 200_000:
             _HASHED.clear()
-        k = _HASHED[word] = _TEXT + zlib.crc32(word.encode()) % HASHED
+        k = _HASHED[word] = KNOWN + zlib.crc32(word.encode()) % HASHED
     return k
 
 
-def features(found: list[Block], k: int) -> tuple[np.ndarray, list[tuple[int, float]]]:
-    """(features of text and place, hashed words of the path with their amounts) of block ``k`` of a page.
+def _own_part(e: Element) -> bool:
+    """Whether it is the header or an address of an article."""
+    return e.meaning in ("header", "address") and _within(e.parent, lambda up: up.meaning in MAIN)
+
 
-    Words of the innermost element that has any count whole, those of each one farther out half as much.
+def elements(block: Block, articled: bool) -> list[tuple[int, float]]:
+    """Features of what the elements around a block say, with amounts.  ``articled``: whether the page has an article.
+
+    Elements that hold the page's core say nothing against it, whatever their names.  What says that a box isn't the article
+    counts whole at any depth; words of content, and unknown ones, count half as much for each element farther out.  The header and
+    addresses of an article belong to it.
     """
+    said: dict[int, float] = {}
+    amount, inside = 1.0, False
+    for k in range(len(block.path) - 1, -1, -1):
+        e = block.path[k]
+        if e.meaning in MAIN:
+            inside = inside or not e.plainly(TEASER)
+        elif e.meaning and not (e.core and e.meaning in ("form", "dialog", "menu")):
+            if not _own_part(e):
+                said[NUMBER[e.meaning]] = 1.0
+        good, other = [], []
+        for w, share in e.words.items():
+            if w in STRONG or w in WEAK:
+                if not e.core:
+                    said[_feature(w)] = max(said.get(_feature(w), 0.0), share)
+            else:
+                (good if w in CONTENT else other).append(_feature(w))
+        if (good or other) and amount > 0.05:
+            for own in (good, other):
+                for f in own:
+                    said[f] = said.get(f, 0.0) + amount / (len(own) if own is good else 1)
+            amount /= 2
+    if inside:
+        said[NUMBER["inside"]] = 1.0
+    elif articled:
+        said[NUMBER["outside"]] = 1.0
+    return sorted(said.items())
+
+
+def features(found: list[Block], k: int) -> np.ndarray:
+    """Features of the text, links and place of block ``k`` of a page."""
     block = found[k]
     text = block.text
     words = text.count(" ") + 1
     marks = sum(map(text.count, ".,;:!?"))
-    last = next((e.name for e in reversed(block.path) if e.name in ("p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "div")), "")
     around = [b for b in found[max(0, k - 1) : k + 2] if b is not block]
     near = sum(min(b.text.count(" ") + 1, 100) * (1 - b.link) for b in around) / max(1, len(around)) / 50
     place = (k + 0.5) / len(found)
-    x = np.array([1.0, block.link, min(words, 100) / 50, words < 4, words < 12, words >= 25, min(1.0, marks / words), "©" in text, text.count("|") / words, last == "p", last in ("li", "td"), last in ("h1", "h2", "h3"), near, place < 0.1, place > 0.9, len(found) == 1], float)
-    path, amount = [], 1.0
-    for e in reversed(block.path):
-        own = [w for w in e.words if w not in STRONG]
-        if own and amount > 0.05:
-            path += [(_feature(w), amount) for w in own]
-            amount /= 2
-    return x, path
+    return np.array([1.0, block.link, min(words, 100) / 50, words < 4, words < 12, words >= 25, min(1.0, marks / words), "©" in text, text.count("|") / words, near, place < 0.1, place > 0.9, len(found) == 1], float)
 
 
 def prior() -> np.ndarray:
-    """Weights before training: plain facts on text, and what some words of classes and identifiers say."""
+    """Weights before training: plain facts on text, and what elements and some words of classes and identifiers say."""
     w = np.zeros(WIDTH)
-    w[:_TEXT] = (-0.5, -3.0, 0.8, -0.4, -0.2, 0.8, 1.0, -2.0, -1.0, 1.5, -0.5, 1.2, 0.5, 0.0, -0.3, 0.5)
-    for word in sorted(WEAK):
-        w[_feature(word)] = -2.5
-    for word in sorted(CONTENT):
-        w[_feature(word)] = 2.0
+    w[:_TEXT] = (0.3, -3.0, 0.8, -0.6, -0.4, 0.8, 1.0, -2.0, -1.0, 0.5, 0.0, -0.3, 1.0)
+    for name, value in PRIOR.items():
+        w[NUMBER[name]] = value
     return w
 
 
-def _logit(w: np.ndarray, x: np.ndarray, path) -> float:
-    """The text's part is held within 3, so that it can't outweigh several elements that agree."""
-    return float(np.clip(x @ w[:_TEXT], -3, 3) + sum(w[k] * a for k, a in path))
+def has_article(found: list[Block]) -> bool:
+    return any(e.core and e.meaning in MAIN for b in found for e in b.path)
+
 
+def logits(found: list[Block], w: np.ndarray) -> list[float]:
+    """The classifier's cost of every block of its own: above 0 for content.  The text's part is held within 3, so that it can't outweigh elements that speak plainly."""
+    articled = has_article(found)
+    own = lambda b: sum(w[i] * a for i, a in elements(b, articled) if i != NUMBER["inside"])
+    return [float(np.clip(features(found, k) @ w[:_TEXT], -3, 3) + own(b)) for k, b in enumerate(found)]
 
-def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows: int = 1000, per_page: int = 40, epochs: int = 4, rate: float = 0.05, pull: float = 0.02, sure: float = 1.5) -> np.ndarray:
+
+def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows: int = 1000, per_page: int = 40, epochs: int = 4, rate: float = 0.05, pull: float = 0.02, hold: float = 0.5, sure: float = 1.5) -> np.ndarray:
     """Weights of the block classifier, fitted on at most ``per_page`` blocks of about ``rows`` pages (a bounded sample by a hash of the key).
 
     Pages are cut into blocks where they lie; only features of the sampled blocks, spread evenly over each page, come to the driver.  The
-    text's view is fitted to the settled blocks; the words' view to the blocks of which
-    the text's view is sure (a logit beyond ``sure``).  ``pull`` draws weights to the prior.
+    text's view is fitted to blocks in an article and to those in what speaks against it; the elements' view to the blocks of which
+    the text's view is sure (a logit beyond ``sure``).  ``pull`` draws weights to the prior, ``hold`` those of known words and elements, which so stay within 1 / hold of it.
     """
     out = schema(("page", "long"), ("label", "int"), ("x", "array<double>"), ("words", "array<int>"), ("amounts", "array<double>"))
+    w0 = prior()
 
     def describe(batches):
         for batch in in_slices(batches):
             for page in batch.column(0).to_pylist():
                 found = blocks(page)
+                articled = has_article(found)
                 some = range(len(found)) if len(found) <= per_page else np.unique(np.linspace(0, len(found) - 1, per_page).astype(int)).tolist()
-                got = [(seed(found[k]), *features(found, k)) for k in some]
+                got = []
+                for k in some:
+                    said = elements(found[k], articled)
+                    total = sum(w0[i] * a for i, a in said)
+                    label = -1 if total < -4 else int(total > 0 and any(i == NUMBER["inside"] for i, _ in said))
+                    got.append((label, features(found, k), said))
                 if got:
                     same = zlib.crc32((page or "").encode("utf-8", "replace"))
                     yield pa.RecordBatch.from_arrays([pa.array([same] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64())), pa.array([[k for k, _ in g[2]] for g in got], pa.list_(pa.int32())), pa.array([[a for _, a in g[2]] for g in got], pa.list_(pa.float64()))], out.names)
@@ -386,14 +444,13 @@ def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows:
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, _TEXT)
     words = [list(zip(k, a)) for k, a in zip(table.column("words").to_pylist(), table.column("amounts").to_pylist())]
     order = np.lexsort((*x.T, label, table.column("page").to_numpy()))  # whatever the order in which tasks end
-    w0 = prior()
     w = w0.copy()
     rng = np.random.default_rng(0)
-    settled = order[label[order] != 0]
+    plain = order[label[order] != 0]
     good = label > 0
-    share = float(np.mean(good[settled])) if len(settled) else 0.5
+    share = float(np.mean(good[plain])) if len(plain) else 0.5
     for _ in range(epochs):
-        for k in settled[rng.permutation(len(settled))]:
+        for k in plain[rng.permutation(len(plain))]:
             p = 1 / (1 + np.exp(-np.clip(x[k] @ w[:_TEXT], -20, 20)))
             step = rate * (good[k] - p) * (0.5 / max(0.05, share if good[k] else 1 - share))
             w[:_TEXT] += step * x[k] - rate * pull * (w[:_TEXT] - w0[:_TEXT])
@@ -404,7 +461,7 @@ def train(pages: DataFrame, html_col: str = "html", key: str = "page_id", rows:
             at = np.array([i for i, _ in words[k]])
             amount = np.array([a for _, a in words[k]])
             p = 1 / (1 + np.exp(-np.clip(w[at] @ amount, -20, 20)))
-            w[at] += rate * ((said[k] > 0) - p) * amount - rate * pull * (w[at] - w0[at])
+            w[at] += rate * ((said[k] > 0) - p) * amount - rate * np.where(at < KNOWN, hold, pull) * (w[at] - w0[at])
     return w
 
 
@@ -488,18 +545,15 @@ def min_cut(source: list[float], sink: list[float], edges: dict[tuple[int, int],
     return side
 
 
-def costs(found: list[Block], w: np.ndarray, adjacent: float = 0.8, near: float = 0.8) -> tuple[list[float], list[float], dict[tuple[int, int], float]]:
-    """(capacities from the source, to the sink, between blocks) of a page.
+def costs(found: list[Block], w: np.ndarray, adjacent: float = 0.5, near: float = 0.5, kin: float = 2.8) -> tuple[list[float], list[float], dict[tuple[int, int], float]]:
+    """(capacities from the source, to the sink, between nodes) of a page.  Nodes are its blocks, then its articles.
 
     ``adjacent`` ties blocks that follow each other, less so the farther they lie apart in the document
-    tree; ``near`` ties a block to the one before it in the same parent's parent.  On a page with an article, blocks that are in
-    none have to speak louder.
+    tree; ``near`` ties a block to the one before it in the same parent's parent; ``kin`` ties it to the article, if no element within that speaks of another
+    part of the page.
     """
-    source, sink, edges, last = [], [], {}, {}
-    settled = [seed(b) for b in found]
-    outside = -2.0 if 1 in settled else 0.0
-    for k, block in enumerate(found):
-        logit = settled[k] * SURE if settled[k] else outside + _logit(w, *features(found, k))
+    source, sink, edges, last, articles = [], [], {}, {}, {}
+    for k, (block, logit) in enumerate(zip(found, logits(found, w))):
         source.append(max(0.0, logit))
         sink.append(max(0.0, -logit))
         if k:
@@ -516,6 +570,13 @@ def costs(found: list[Block], w: np.ndarray, adjacent: float = 0.8, near: float
             pair = (last[box], k)
             edges[pair] = edges.get(pair, 0.0) + near
         last[box] = k
+        speaker = next((e for e in reversed(block.path) if e.speaks() and not _own_part(e)), None)
+        if speaker is not None and speaker.meaning in MAIN and not speaker.plainly(TEASER):
+            articles.setdefault(speaker.serial, []).append(k)
+    for n, held in enumerate(articles.values(), len(found)):
+        source.append(max(0.0, w[NUMBER["inside"]] * len(held)))
+        sink.append(max(0.0, -w[NUMBER["inside"]] * len(held)))
+        edges.update({(k, n): kin for k in held})
     return source, sink, edges
 
 

@@ -1,6 +1,7 @@
 """HTML extraction: markup of all kinds, planted pages, and the whole cut by brute force."""
 
 import html
+import re
 import time
 
 import numpy as np
@@ -133,17 +134,91 @@ def test_rows_by_brute_force():
             parts.append(rng.choice(["<p>{}</p>", "<div>{}</div>", "<ul><li><a href=x>{}</a></li></ul>", "<div class='story'><p>{}</p></div>", "<div id=legal>{}</div>", "<td>{}", "<article>{}</article>", "<nav>{}</nav>"]).format(text))
         found = html_extract.blocks("".join(parts))
         source, sink, edges = html_extract.costs(found, w)
-        n = len(found)
+        n = len(source)
 
         def cost(m):
             side = [m >> k & 1 for k in range(n)]
             return sum(sink[k] if side[k] else source[k] for k in range(n)) + sum(c for (a, b), c in edges.items() if side[a] != side[b])
 
+        if n > 14:
+            continue
         got = html_extract.min_cut(source, sink, edges)
         assert cost(sum(1 << k for k in range(n) if got[k])) == pytest.approx(min(map(cost, range(1 << n))))
         assert [b.text for b, keep in zip(found, got) if keep] == texts("".join(parts))
 
 
+def plain_cost(page, w):
+    """A block's own cost, written out once more for pages of nav, div and article elements with one word each."""
+    out = []
+    for m in re.finditer(r"<(nav|div|article)(?: class=(\w+))?>([^<]*)</", page):
+        out.append((m[1], m[2], m[3]))
+    has = any(tag == "article" for tag, _, _ in out)
+    costs_ = []
+    for k, (tag, word, text) in enumerate(out):
+        n = len(text.split(" "))
+        around = [min(len(out[j][2].split(" ")), 100) for j in (k - 1, k + 1) if 0 <= j < len(out)]
+        marks = sum(text.count(c) for c in ".,;:!?")
+        x = [1, 0, min(n, 100) / 50, n < 4, n < 12, n >= 25, min(1, marks / n), "\u00a9" in text, text.count("|") / n, sum(around) / max(1, len(around)) / 50, (k + 0.5) / len(out) < 0.1, (k + 0.5) / len(out) > 0.9, len(out) == 1]
+        own = min(3, max(-3, sum(a * b for a, b in zip(x, w[:13]))))
+        own += html_extract.PRIOR.get(tag, 0) if tag == "nav" else 0
+        own += html_extract.PRIOR.get(f".{word}", 0) if word else 0
+        costs_.append(own + (html_extract.PRIOR["outside"] if has and tag != "article" else 0))
+    return costs_
+
+
+def test_costs_by_a_plain_version():
+    rng = np.random.default_rng(5)
+    w = html_extract.prior()
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.integers(2, 9)):
+            text = " ".join(["word"] * int(rng.choice([1, 2, 5, 15, 40]))) + str(rng.choice(["", ".", " |", " \u00a9"]))
+            tag = rng.choice(["<nav>{}</nav>", "<div>{}</div>", "<article>{}</article>", "<div class=sponsor>{}</div>", "<div class=legal>{}</div>"])
+            parts.append(str(tag).format(text))
+        page = "<p></p>".join(parts)
+        found = html_extract.blocks(page)
+        longest = max((len(b.text) for b in found if b.path[-1].meaning == "article"), default=0)
+        if longest and sum(len(b.text) == longest for b in found if b.path[-1].meaning == "article") > 1:
+            continue
+        if not longest and max(len(b.text) for b in found) * 2 > sum(len(b.text) for b in found):
+            continue  # a box of more than half of the text may be a wrapper
+        assert html_extract.logits(found, w) == pytest.approx(plain_cost(page, w))
+
+
+def test_no_block_is_settled_and_the_cut_decides(spark):
+    """On the given pages: every cost is finite and small, and the cut changes labels that the classifier alone would give."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    w = html_extract.train(pages)
+    changed = total = 0
+    for row in pages.select("html").collect():
+        found = html_extract.blocks(row.html)
+        source, sink, edges = html_extract.costs(found, w)
+        assert max(*source[: len(found)], *sink[: len(found)], 0) < 30
+        side = html_extract.min_cut(source, sink, edges)
+        changed += sum((own > 0) != kept for own, kept in zip(html_extract.logits(found, w), side))
+        total += len(found)
+    assert 0 < changed < total / 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{PROSE}</p><div class='comments'><h1>Comments</h1><p>{PROSE} {PROSE}</p></div></article>", [PROSE]),
+        (f"<article><header><h1>T</h1><p>A short lede.</p></header><p>{PROSE}</p></article>", ["T", "A short lede.", PROSE]),
+        (f"<article><p>{PROSE}</p><address>12 Main Street, Town</address><p>{PROSE}</p></article>", [PROSE, "12 Main Street, Town", PROSE]),
+        (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p><p>{PROSE}</p></article>", ["So x=2 holds here.", PROSE]),
+        (f"<div class='widget'><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<nav><a href=x>Home</a></nav><div id='notice-board-article'><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><div class='share-holder'><p>{PROSE}</p></div></article>", [PROSE, PROSE]),
+        (f"<article><p>One<script>x</script> two <button>b</button>three words here.</p><p>{PROSE}</p></article>", ["One two three words here.", PROSE]),
+        (f"<article><p>Short.</p></article><div class=comments><p>{PROSE} {PROSE}</p></div>", ["Short."]),
+        (f"<div class=comments><h1>Comments</h1><p>{PROSE}</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+    ],
+)
+def test_names_are_outvoted_and_articles_keep_their_parts(page, want):
+    assert texts(page) == want
+
+
 def test_extra_columns_and_labels_of_other_words(spark):
     t = spark.createDataFrame([(k, "u", f"<div class=zqx><p>{PROSE} {PROSE}</p></div><nav><a href=x>home</a></nav><div class=kwv><a href=y>a | b | c</a></div>", "clash") for k in range(40)], "page_id long, url string, html string, text string")
     w = html_extract.train(t)

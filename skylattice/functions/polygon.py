@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -87,16 +89,31 @@ def rectangle(width: float, height: float, theta: float, phi: float, longest: fl
 
 
 def simplify(vertices, least_area: float):
-    """Drop, one after the other, the vertex whose triangle on the sphere is smallest, until all reach ``least_area``."""
-    x = [np.asarray(v, float) for v in vertices]
+    """Drop, one after the other, the vertex whose triangle on the sphere is smallest, until all reach ``least_area`` or three are left.
+
+    A heap holds the triangles; one that a neighbour's end has changed is put in anew.
+    """
+    x = np.asarray(vertices, float)
+    n = len(x)
+    before, after, turn = [(k - 1) % n for k in range(n)], [(k + 1) % n for k in range(n)], [0] * n
 
-    def area(a, b, c):
+    def area(k):
+        a, b, c = x[before[k]], x[k], x[after[k]]
         return abs(2 * np.arctan2(np.dot(a, np.cross(b, c)), 1 + np.dot(a, b) + np.dot(b, c) + np.dot(c, a)))
 
-    while len(x) > 3:
-        sizes = [area(x[k - 1], x[k], x[(k + 1) % len(x)]) for k in range(len(x))]
-        k = int(np.argmin(sizes))
-        if sizes[k] >= least_area:
+    heap = [(area(k), k, 0) for k in range(n)]
+    heapq.heapify(heap)
+    left = n
+    while left > 3:
+        size, k, when = heapq.heappop(heap)
+        if when != turn[k]:
+            continue
+        if size >= least_area:
             break
-        del x[k]
-    return np.array(x)
+        turn[k], left = -1, left - 1
+        a, b = before[k], after[k]
+        after[a], before[b] = b, a
+        for j in (a, b):
+            turn[j] += 1
+            heapq.heappush(heap, (area(j), j, turn[j]))
+    return x[[k for k in range(n) if turn[k] >= 0]]

@@ -178,28 +178,32 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, q: list[float], ke
     The k-th sorted row stands at (sum of weights before it) / (total - last weight); null and NaN
     values or weights are left out.  ``interpolation``: linear, lower, higher, nearest or midpoint.
     """
-    from pyspark.sql import Window
+    from .prefix import cumulative_by_range
 
     rows = df.where(ix.isfinite(weight) & (F.col(weight) > 0) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
-    by = Window.partitionBy(*keys).orderBy("v", "w")
-    upto = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
+    rows = cumulative_by_range(rows, keys, [F.asc("v"), F.asc("w")], {"_upto": F.col("w")}).withColumn("_before", F.col("_upto") - F.col("w"))
     last = rows.groupBy(*keys).agg(F.max("_before").alias("_span"))
     rows = rows.join(last, keys) if keys else rows.crossJoin(F.broadcast(last))
-    rows = rows.withColumn("_at", F.when(F.col("_span") > 0, F.col("_before") / F.col("_span")).otherwise(0.0))
-    rows = rows.withColumn("_next_at", F.lead("_at").over(by)).withColumn("_next", F.lead("v").over(by))
-    asked = F.broadcast(df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in q])).alias("q")))
-    hit = (F.col("_at") <= F.col("q")) & (F.col("_next_at").isNull() | (F.col("q") < F.col("_next_at")))
-    part = (F.col("q") - F.col("_at")) / (F.col("_next_at") - F.col("_at"))
-    nxt = F.coalesce("_next", "v")
-    rule = {
-        "linear": F.col("v") + F.coalesce(part, F.lit(0.0)) * (nxt - F.col("v")),
-        "lower": F.col("v"),
-        "higher": F.when(F.coalesce(part, F.lit(0.0)) > 0, nxt).otherwise(F.col("v")),
-        "nearest": F.when(F.coalesce(part, F.lit(0.0)) > 0.5, nxt).otherwise(F.col("v")),
-        "midpoint": F.when(F.coalesce(part, F.lit(0.0)) > 0, (F.col("v") + nxt) / 2).otherwise(F.col("v")),
-    }[interpolation]
-    return rows.join(asked, hit).select(*keys, "q", rule.alias(value))
+    at = F.when(F.col("_span") > 0, F.col("_before") / F.col("_span")).otherwise(0.0)
+    point = F.struct(at.alias("at"), F.col("v"))
+    ends = [f(F.when(on, point)).alias(f"{n}{k}") for k, x in enumerate(q) for n, f, on in (("l", F.max, at <= float(x)), ("u", F.min, at > float(x)))]
+    found = rows.groupBy(*keys).agg(*ends)
+
+    def rule(k: int, x: float) -> Column:
+        low, high = F.col(f"l{k}"), F.col(f"u{k}")
+        part = F.coalesce((F.lit(float(x)) - low["at"]) / (high["at"] - low["at"]), F.lit(0.0))
+        v, nxt = low["v"], F.coalesce(high["v"], low["v"])
+        rules = {
+            "linear": v + part * (nxt - v),
+            "lower": v,
+            "higher": F.when(part > 0, nxt).otherwise(v),
+            "nearest": F.when(part > 0.5, nxt).otherwise(v),
+            "midpoint": F.when(part > 0, (v + nxt) / 2).otherwise(v),
+        }
+        return rules[interpolation]
+
+    each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("q"), rule(k, x).alias(value)) for k, x in enumerate(q)]))
+    return found.where(F.col("l0").isNotNull() | F.col("u0").isNotNull()).select(*keys, each.alias("_e")).select(*keys, "_e.q", f"_e.{value}")
 
 
 def log_sum_exp(df: DataFrame, value: str, keys: list[str] = [], log_weight: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .fixtures import FLAT
 
 #: Deepest order of the bits that are taken apart.
-_BITS = 6
+_BITS = 9
 
 
 def _bits(p: str, odd: int) -> str:

@@ -326,12 +326,13 @@ def log_sum_exp(spark, sf_dir):
     return moments.log_sum_exp(e, "x", ["event_type"]).select("event_type", F.round("logsumexp", 6).alias("logsumexp"))
 
 
-@query("""SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1""")
+@query("""WITH r AS (SELECT event_type, value AS v, user_id % 5 + 1 AS w FROM events WHERE value IS NOT NULL),
+    t AS (SELECT event_type, v, before / max(before) OVER (PARTITION BY event_type)::DOUBLE AS pos FROM (SELECT event_type, v, sum(w) OVER (PARTITION BY event_type ORDER BY v, w ROWS UNBOUNDED PRECEDING) - w AS before FROM r)),
+    e AS (SELECT event_type, q, max(v) FILTER (pos <= q) AS v0, max(pos) FILTER (pos <= q) AS a0, min(v) FILTER (pos > q) AS v1, min(pos) FILTER (pos > q) AS a1 FROM t, (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS q) GROUP BY 1, 2)
+    SELECT event_type, q, round(v0 + (q - a0) / (a1 - a0) * (v1 - v0), 6) AS value FROM e""")
 def weighted_quantile(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("one", F.lit(1.0))
-    q = moments.weighted_quantile(e, "value", "one", [0.25, 0.5, 0.9], ["event_type"])
-    wide = q.groupBy("event_type").pivot("q", [0.25, 0.5, 0.9]).agg(F.first("value"))
-    return wide.select("event_type", *[F.round(F.col(f"`{x}`"), 6).alias(f"q{100 * x:g}") for x in (0.25, 0.5, 0.9)])
+    e = table(spark, sf_dir, "events").withColumn("w", F.col("user_id") % 5 + 1)
+    return moments.weighted_quantile(e, "value", "w", [0.25, 0.5, 0.9], ["event_type"]).select("event_type", "q", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT event_type, least(floor(log10(value) / 2 * 10), 9)::INT AS bin, count(*)::DOUBLE AS n FROM events WHERE value BETWEEN 1 AND 100 GROUP BY 1, 2""")
@@ -625,9 +626,79 @@ def contour_geojson(spark, sf_dir):
     return contours.geojson(contour_polygons(spark, sf_dir), ["map_id"])
 
 
-@query()
+def _rings_sql(region: str, corners: str, level: str = "level") -> str:
+    """Rings of the boundary of ``region`` (map_id, level, p) by the corners of its pixels: sides that no two pixels share, joined where they meet; of four at a corner those of the same pixel."""
+    return f"""region AS ({region}), corner AS (SELECT DISTINCT p, d, key FROM {corners}),
+    side AS (SELECT r.map_id, r.level, r.p, a.d, least(a.key, b.key) AS k1, greatest(a.key, b.key) AS k2 FROM region r JOIN corner a ON a.p = r.p JOIN corner b ON b.p = r.p AND b.d = (a.d + 1) % 4),
+    edge AS (SELECT map_id, level, min(4 * p + d) AS id, min(p) AS p, k1, k2 FROM side GROUP BY map_id, level, k1, k2 HAVING count(*) = 1),
+    ends AS (SELECT map_id, level, id, p, k1 AS key FROM edge UNION ALL SELECT map_id, level, id, p, k2 FROM edge), busy AS (SELECT map_id, level, key, count(*) AS n FROM ends GROUP BY ALL),
+    link AS (SELECT a.map_id, a.level, a.id AS a, b.id AS b FROM ends a JOIN ends b ON b.map_id = a.map_id AND b.level = a.level AND b.key = a.key AND b.id <> a.id JOIN busy n ON n.map_id = a.map_id AND n.level = a.level AND n.key = a.key WHERE n.n = 2 OR a.p = b.p),
+    label(map_id, level, id, root) USING KEY (map_id, level, id) AS (SELECT map_id, level, id, id FROM edge
+        UNION SELECT l.map_id, l.level, k.b, min(l.root) FROM label l JOIN link k ON k.map_id = l.map_id AND k.level = l.level AND k.a = l.id JOIN recurring.label r ON r.map_id = l.map_id AND r.level = l.level AND r.id = k.b WHERE l.root < r.root GROUP BY ALL),
+    ring AS (SELECT l.map_id, l.level, l.root, count(*) AS length, min(e.p) AS first, sum(e.p)::BIGINT AS pixels FROM label l JOIN edge e USING (map_id, level, id) GROUP BY ALL)"""
+
+
+def _named_corners(source: str, digits: int = 9) -> str:
+    """(p, d, key) of the corners of the pixels of ``source`` (k, p), named by their place; d goes round."""
+    own = f"(SELECT k, p, d FROM {source}, range(4) s(d))"
+    return f"(SELECT p, d, (round(z, {digits}) + 0.0)::VARCHAR || ':' || (round(round(phi / (pi() / 2), {digits}) % 4 * (abs(z) < 0.9999999999)::INT, {digits}) + 0.0)::VARCHAR AS key FROM {geo.cells(own, '(d // 2)', '((d + 1) // 2 % 2)')})"
+
+
+_LEVELS = "(SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE]) AS level)"
+
+
+@query(f"""WITH RECURSIVE {FLAT}, cls AS (SELECT map_id, ipix, sum(w) OVER (PARTITION BY map_id ORDER BY w DESC, ipix ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY map_id) AS c FROM flat),
+    {_rings_sql(f"SELECT map_id, level, ipix AS p FROM cls, {_LEVELS} WHERE c <= level", _named_corners('(SELECT 2 AS k, p FROM range(192) r(p))'))} SELECT map_id, level, length, first, pixels FROM ring""")
+def contour_rings(spark, sf_dir):
+    """The rings of four maps: length, smallest pixel, and the sum of the pixels along it."""
+    f = credible.greedy_levels(flat_map(spark, sf_dir), "w", ["map_id"], tie="ipix")
+    r = contours.rings(contours.boundary_edges(f.select("map_id", "ipix", "cls"), 2, [0.5, 0.9], ["map_id"]), 2, ["map_id"])
+    return r.groupBy("map_id", "level", "ring").agg(F.count(F.lit(1)).alias("length"), F.min("ipix").alias("first"), F.sum("ipix").alias("pixels")).drop("ring")
+
+
+@query(f"""WITH RECURSIVE large AS (SELECT ((l_orderkey * 1000003 + l_partkey * 10007) * 1299709) % 3458764513820540928 >> 42 AS p, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w FROM lineitem GROUP BY 1),
+    cls AS (SELECT p, sum(w) OVER (ORDER BY w DESC, p ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS c FROM large), held AS (SELECT 0 AS map_id, level, p FROM cls, {_LEVELS} WHERE c <= level),
+    {_rings_sql('SELECT * FROM held', _named_corners('(SELECT DISTINCT 8 AS k, p FROM held)', 10))} SELECT level, length, count(*) AS rings, sum(pixels)::BIGINT AS pixels FROM ring GROUP BY ALL""")
+def large_map_contours(spark, sf_dir):
+    """Contours of one map at order 8, whose cells grow with the data: rings by their length."""
+    li = table(spark, sf_dir, "lineitem")
+    ipix = F.shiftright(((F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 10007) * 1299709) % (12 * 4**29), 42)
+    m = li.groupBy(ipix.alias("ipix")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
+    levels = credible.greedy_levels(m, "w", tie="ipix").select("ipix", "cls")
+    r = contours.rings(contours.boundary_edges(levels, 8, [0.5, 0.9]), 8)
+    r = r.groupBy("level", "ring").agg(F.count(F.lit(1)).alias("length"), F.sum("ipix").alias("pixels"))
+    return r.groupBy("level", "length").agg(F.count(F.lit(1)).alias("rings"), F.sum("pixels").alias("pixels"))
+
+
+def _median_sql(c: str) -> str:
+    """Weighted median of a coordinate: linear between rows that stand at (weight before) / (total less the last weight)."""
+    return f"""m{c} AS (SELECT map_id, max(v) FILTER (pos <= 0.5) AS v0, max(pos) FILTER (pos <= 0.5) AS a0, min(v) FILTER (pos > 0.5) AS v1, min(pos) FILTER (pos > 0.5) AS a1 FROM (
+        SELECT map_id, v, before / max(before) OVER (PARTITION BY map_id) AS pos FROM (SELECT map_id, {c} AS v, sum(w) OVER (PARTITION BY map_id ORDER BY {c}, w ROWS UNBOUNDED PRECEDING) - w AS before FROM sky)) GROUP BY 1)"""
+
+
+def _ellipse_sql() -> str:
+    part = lambda ab, a, b: f"((sum({ab}) - sum({a}) * sum({b}) / sum(w)) / (sum(w) - sum(w * w) / sum(w)))"
+    rounds = []
+    for k in range(3):
+        rounds.append(f"k{k} AS (SELECT map_id, {part('w * px * px', 'w * px', 'w * px')} AS cxx, {part('w * px * py', 'w * px', 'w * py')} AS cxy, {part('w * py * py', 'w * py', 'w * py')} AS cyy FROM p{k} WHERE keep GROUP BY 1)")
+        rounds.append(f"p{k + 1} AS (SELECT map_id, ipix, w, px, py, s, keep AND s < 3 AS keep FROM (SELECT p.*, sqrt((cyy * px * px - 2 * cxy * px * py + cxx * py * py) / (cxx * cyy - cxy * cxy)) AS s FROM (SELECT map_id, ipix, w, px, py, keep FROM p{k}) p JOIN k{k} USING (map_id)))")
+    return f"""WITH RECURSIVE {FLAT}, sky AS (SELECT map_id, ipix, f.w / sum(f.w) OVER (PARTITION BY map_id) AS w, sqrt(1 - c.z * c.z) * cos(phi) AS x, sqrt(1 - c.z * c.z) * sin(phi) AS y, c.z AS z FROM flat f JOIN {geo.cells('(SELECT 2 AS k, p FROM range(192) r(p))')} c ON c.p = f.ipix),
+        {_median_sql('x')}, {_median_sql('y')}, {_median_sql('z')}, centre AS (SELECT map_id, atan2(cy, cx) AS ra, asin(cz / sqrt(cx * cx + cy * cy + cz * cz)) AS dec FROM (SELECT map_id, {', '.join(f'm{c}.v0 + (0.5 - m{c}.a0) / (m{c}.a1 - m{c}.a0) * (m{c}.v1 - m{c}.v0) AS c{c}' for c in 'xyz')} FROM mx JOIN my USING (map_id) JOIN mz USING (map_id))),
+        flatter AS (SELECT map_id, ipix, w, x * cos(dec) * cos(ra) + y * cos(dec) * sin(ra) + z * sin(dec) AS d, y * cos(ra) - x * sin(ra) AS e, z * cos(dec) - x * sin(dec) * cos(ra) - y * sin(dec) * sin(ra) AS n FROM sky JOIN centre USING (map_id)),
+        p0 AS (SELECT map_id, ipix, w, e * t AS px, n * t AS py, true AS keep FROM (SELECT *, degrees(atan2(sqrt(e * e + n * n), d)) / sqrt(e * e + n * n) AS t FROM flatter)), {', '.join(rounds)},
+        run AS (SELECT map_id, s, sum(w) OVER o AS c, count(*) OVER o * degrees(degrees(pi() / 3 / 16)) AS a FROM p3 WINDOW o AS (PARTITION BY map_id ORDER BY s, ipix ROWS UNBOUNDED PRECEDING)),
+        low AS (SELECT map_id, level, max(c) AS c, max(s) AS s, max(a) AS a FROM run, {_LEVELS} WHERE c <= level GROUP BY 1, 2), high AS (SELECT map_id, level, min(c) AS c, min(s) AS s, min(a) AS a FROM run, {_LEVELS} WHERE c > level GROUP BY 1, 2),
+        hit AS (SELECT map_id, level, l.s + (level - l.c) / (h.c - l.c) * (h.s - l.s) AS n, l.a + (level - l.c) / (h.c - l.c) * (h.a - l.a) AS area FROM low l JOIN high h USING (map_id, level))
+        SELECT map_id, level, round(degrees(ra) + (ra < 0)::INT * 360, 6) AS ra, round(degrees(dec), 6) AS dec, round(n * sqrt((cxx + cyy) / 2 + sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy)), 5) AS a, round(n * sqrt((cxx + cyy) / 2 - sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy)), 5) AS b,
+            round(180 - degrees(atan2(2 * cxy, cxx - cyy)) / 2 - 180 * floor((180 - degrees(atan2(2 * cxy, cxx - cyy)) / 2) / 180), 5) AS pa, round(area, 5) AS area FROM hit JOIN centre USING (map_id) JOIN k2 USING (map_id)"""
+
+
+@query(_ellipse_sql())
 def find_ellipse(spark, sf_dir):
-    return contours.find_ellipse(flat_map(spark, sf_dir).select("map_id", "ipix", F.col("w").cast("double").alias("prob")), 2, [0.5, 0.9], ["map_id"])
+    f = flat_map(spark, sf_dir)
+    m = f.join(f.groupBy("map_id").agg(F.sum("w").alias("total")), "map_id").select("map_id", "ipix", (F.col("w") / F.col("total")).alias("prob"))
+    e = contours.find_ellipse(m, 2, [0.5, 0.9], ["map_id"])
+    return e.select("map_id", "level", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"), *[F.round(c, 5).alias(c) for c in ("a", "b", "pa", "area")])
 
 
 @query(f"""WITH {GREEDY}, px AS (SELECT i, j, 2 * (i + 0.5::DOUBLE) / 60 - 1 AS u, asin(2 * (j + 0.5::DOUBLE) / 30 - 1) AS t FROM range(60) a(i), range(30) b(j)),

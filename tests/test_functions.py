@@ -131,15 +131,6 @@ def test_polygons():
     assert len(polygon.simplify(square, 1e-4)) < len(square)
 
 
-def test_ellipse_of_a_disc():
-    order = 5
-    theta, phi = healpix.pix2ang(order, np.arange(12 * 4**order))
-    p = np.exp(-0.5 * (np.arccos(np.clip(np.sin(theta) * np.cos(phi), -1, 1)) / np.radians(10)) ** 2)
-    ra, dec, ab, _, area = contours.ellipse_of(theta, phi, p / p.sum(), [0.9], np.pi / 3 * 0.25**order)
-    assert abs((ra + 180) % 360 - 180) < 1 and abs(dec) < 1
-    assert ab[0][0] == pytest.approx(ab[0][1], rel=0.05) and area[0] == pytest.approx(np.pi * ab[0][0] ** 2, rel=0.1)
-
-
 def test_cell_max_and_beta():
     assert (simulate.cell_max(np.arange(9).reshape(3, 3)) == [[4, 5], [7, 8]]).all()
     assert float(special.beta_quantile(0.5, 2, 2)) == pytest.approx(0.5)

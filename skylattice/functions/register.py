@@ -53,7 +53,8 @@ def uniq2pixarea(uniq: pd.Series) -> pd.Series:
 
 @vectorized("struct<re:double,im:double>")
 def antenna_factor(response: pd.Series, ra: pd.Series, dec: pd.Series, gmst: pd.Series) -> pd.DataFrame:
-    f = np.array([signal.antenna_factor(np.reshape(d, (3, 3)), *x) for d, *x in zip(response, *_numbers(ra, dec, gmst))], complex).ravel()
+    d = np.stack([np.reshape(x, (3, 3)) for x in response]) if len(response) else np.zeros((0, 3, 3))
+    f = signal.antenna_factor(d, *_numbers(ra, dec, gmst))
     return pd.DataFrame({"re": f.real, "im": f.imag})
 
 

@@ -207,14 +207,15 @@ class SignalModel:
 
 
 def antenna_factor(response, ra, dec, gmst):
-    """Complex response F+ + i Fx of a 3 x 3 detector tensor to a direction."""
+    """Complex response F+ + i Fx of a 3 x 3 detector tensor, or of one for each direction, to directions."""
     d = np.asarray(response, float)
     gha = np.asarray(gmst, float) - np.asarray(ra, float)
     cg, sg, cd, sd = np.cos(gha), np.sin(gha), np.cos(dec), np.sin(dec)
     zero = np.zeros(np.broadcast(cg, cd).shape)
     x = np.stack([-sg + zero, -cg + zero, zero], axis=-1)
     y = np.stack([-cg * sd + zero, sg * sd + zero, cd + zero], axis=-1)
-    return np.einsum("...i,ij,...j", x, d, x) - np.einsum("...i,ij,...j", y, d, y) + 1j * (np.einsum("...i,ij,...j", x, d, y) + np.einsum("...i,ij,...j", y, d, x))
+    product = lambda a, b: np.einsum("...i,...ij,...j", a, d, b)
+    return product(x, x) - product(y, y) + 1j * (product(x, y) + product(y, x))
 
 
 def signal_amplitude(f, exp_i_twopsi, u, u2=None):

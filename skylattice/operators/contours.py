@@ -224,7 +224,8 @@ def find_ellipse(df: DataFrame, order: int | None = None, levels: list[float] =
         cells = df.select(*keys, "uniq", ix.nest2vec(k, p).alias("v"), ix.uniq2pixarea("uniq").alias("area"), F.col("probdensity").cast("double").alias("prob")).withColumn("prob", F.col("prob") * F.col("area"))
     else:
         cells = df.select(*keys, ix.nest2uniq(F.lit(order), F.col("ipix")).alias("uniq"), ix.nest2vec(F.lit(order), F.col("ipix")).alias("v"), F.lit(np.pi / 3 * 0.25**order).alias("area"), F.col("prob").cast("double").alias("prob"))
-    cells = spill(cells.select(*keys, "uniq", "v.x", "v.y", "v.z", F.degrees(F.degrees("area")).alias("area"), "prob"))
+    # cells at one height or meridian tie, whatever the last digit says
+    cells = spill(cells.select(*keys, "uniq", *[F.round(f"v.{c}", 13).alias(c) for c in "xyz"], F.degrees(F.degrees("area")).alias("area"), "prob"))
     join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))
     centre = None
     for c in ("x", "y", "z"):

@@ -86,11 +86,14 @@ def exclude_detectors(events: DataFrame, detectors: list[str], raises: bool = Tr
 
 
 def psd_segments(triggers: DataFrame, segments: DataFrame, time: str = "time", width: float = 4096.0) -> DataFrame:
-    """Triggers with the PSD segment [start, end) of their detector that holds their time; null where none does.
+    """Triggers with the PSD segment [start, end) of their detector that holds their time; null where none does, an error where several do.
 
     An interval join by bins: segments are dealt to the bins of ``width`` seconds that they touch,
     so it is an equi-join with a filter and no side has to be small.
     """
+    before = F.max("end").over(Window.partitionBy("ifo").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.coalesce(before <= F.col("start"), F.lit(True)), True).otherwise(F.raise_error(F.lit("segments of a detector overlap")).cast("boolean"))
+    segments = segments.withColumn("_apart", apart).where("_apart").drop("_apart")
     binned = segments.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
     t = triggers.withColumn("_bin", F.floor(F.col(time) / width)).withColumn("_row", F.monotonically_increasing_id())
     on = (t["_bin"] == binned["_bin"]) & (t["ifo"] == binned["ifo"]) & (t[time] >= binned["start"]) & (t[time] < binned["end"])

@@ -57,7 +57,7 @@ def volume_render(cells: DataFrame, size: int, max_distance: float, rotation=Non
     step = 2 * max_distance / size
     rays = spark.range(size * size).select((F.col("id") % size).cast("int").alias("i"), F.floor(F.col("id") / size).cast("int").alias("j"))
     # steps crowd towards the image plane, where the density varies most
-    s = F.explode(F.array(*[F.lit(float(x)) for x in np.linspace(-1, 1, steps)])).alias("s")
+    s = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: -1 + 2 * k / (steps - 1))).alias("s")
     along = rays.select("i", "j", s)
     a, b = (F.col("i") + 0.5) * step - max_distance, (F.col("j") + 0.5) * step - max_distance
     c = F.col("s") * F.abs("s") * reach

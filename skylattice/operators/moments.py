@@ -162,12 +162,14 @@ def by_region(df: DataFrame, regions: DataFrame, keys: list[str] = [], prob: str
     """Probability by region of the sky, largest first.
 
     ``regions`` is a user's table (uniq, region) of cells that cover the sky, such as constellations.
-    Each cell of the map belongs to the region that holds its first point.
+    Each cell of the map belongs to the region that holds its centre.
     """
     from .crossmatch import locate
 
+    # the centre is the corner at which its four children meet; the last of them holds it
     order, ipix = ix.uniq2nest("uniq")
-    points = df.withColumn("p29", ix.first_descendant(ipix, F.lit(29) - order))
+    centre = ix.first_descendant(ipix, F.lit(29) - order) + F.when(order < 29, 3 * ix.first_descendant(F.lit(1), F.lit(28) - order)).otherwise(0)
+    points = df.withColumn("p29", centre)
     found = locate(points.select(*keys, "p29", prob), regions, [])
     return found.groupBy(*keys, name).agg(F.sum(prob).alias(prob)).orderBy(*keys, F.desc(prob), name)
 

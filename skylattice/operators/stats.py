@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.special import beta_quantile
 from ..functions.types import vectorized
+from .prefix import cumulative_by_range
 
 
 def pp_series(df: DataFrame, value: str = "p_value", keys: list[str] = []) -> DataFrame:
-    """(keys, p, fraction): sorted values against rank / n, with (0, 0) and (1, 1) added."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    inner = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("p"), (F.row_number().over(w) / n).alias("fraction"))
+    """(keys, p, fraction): sorted values against rank / n, with (0, 0) and (1, 1) added.  Ranks are counted by range, whatever the size of a group."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("p"))
+    ranked = cumulative_by_range(known, keys, [F.asc("p")], {"_k": F.lit(1)})
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    inner = ranked.select(*keys, "p", (F.col("_k") / F.col("_n")).alias("fraction"))
     groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     ends = groups.select(*keys, F.explode(F.array(F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("fraction")), F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("fraction")))).alias("e")).select(*keys, "e.*")
     return inner.unionByName(ends)
@@ -29,20 +32,27 @@ def pp_worst(series: DataFrame, keys: list[str] = []) -> DataFrame:
     return series.groupBy(*keys).agg(F.max_by(F.struct("p", "fraction"), F.struct(far, -F.col("p"))).alias("w"), F.max(far).alias("deviation")).select(*keys, "w.p", "w.fraction", "deviation")
 
 
-def pp_band(spark, n: int, level: float = 0.95) -> DataFrame:
-    """(k, low, high): interval of the k-th of n sorted uniform values, by the inverse beta function."""
+def pp_band(df: DataFrame, level: float = 0.95) -> DataFrame:
+    """(k, low, high): interval of the k-th of as many sorted uniform values as ``df`` has rows, by the inverse beta function."""
+    n = df.count()
+
     @vectorized("struct<low:double,high:double>")
     def band(k: pd.Series) -> pd.DataFrame:
         a = k.to_numpy(float)
         tail = (1 - level) / 2
         return pd.DataFrame({"low": beta_quantile(tail, a, n + 1 - a), "high": beta_quantile(1 - tail, a, n + 1 - a)})
 
-    return spark.range(1, n + 1).select(F.col("id").alias("k"), band("id").alias("b")).select("k", "b.low", "b.high")
+    return df.sparkSession.range(1, n + 1).select(F.col("id").alias("k"), band("id").alias("b")).select("k", "b.low", "b.high")
+
 
+def pp_lightning(df: DataFrame, key: str, curves: int, seed: int = 0) -> DataFrame:
+    """(curve, p, fraction): sorted uniform draws for comparison, one for each row of ``df`` and curve.
 
-def pp_lightning(spark, curves: int, n: int, seed: int = 0) -> DataFrame:
-    """Sorted uniform draws for comparison: (curve, p, fraction)."""
-    draws = spark.range(curves * n).select((F.col("id") % curves).alias("curve"), F.rand(seed).alias("p_value"))
+    A draw is a hash of seed, curve and ``key``: the same however the rows lie.
+    """
+    each = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(curves - 1))).alias("curve"))
+    held = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("curve").cast("string"), F.col(key).cast("string")), 256)
+    draws = each.select("curve", (F.conv(F.substring(held, 1, 12), 16, 10).cast("long") / float(16**12)).alias("p_value"))
     return pp_series(draws, "p_value", ["curve"])
 
 
@@ -79,7 +89,9 @@ def histogram(df: DataFrame, value: str, bins: int, low: float, high: float, log
 
 
 def empirical_quantiles(df: DataFrame, value: str, n: int, keys: list[str] = []) -> DataFrame:
-    """(keys, share, value) at ``n`` even shares."""
+    """(keys, share, value) at ``n`` even shares, by running sums over ranges: no group is held."""
+    from .moments import weighted_quantile
+
     shares = [float(x) for x in np.linspace(0, 1, n)]
-    q = df.groupBy(*keys).agg(F.percentile(value, shares).alias("_v"))
-    return q.select(*keys, F.posexplode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("_v").alias("v"))).alias("_k", "e")).select(*keys, F.col("e.share").alias("share"), F.col("e.v").alias(value))
+    rows = df.select(*keys, value, F.lit(1.0).alias("_weight"))
+    return weighted_quantile(rows, value, "_weight", shares, keys).select(*keys, F.col("q").alias("share"), value)

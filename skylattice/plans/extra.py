@@ -32,16 +32,17 @@ def _local(folder: str) -> str:
 # --- index and geometry
 
 
-@query(f"SELECT k AS cell_order, p AS ipix, round(acos(z), 9) AS theta, round(phi, 9) AS phi FROM {geo.cells('(SELECT k, p FROM range(4) o(k), range(768) r(p) WHERE p < 12 * pow(4, k))')}")
+@query(f"SELECT k AS cell_order, p AS ipix, round(acos(z), 9) AS theta, round(phi, 9) AS phi FROM {geo.cells('(SELECT DISTINCT c_custkey % 4 AS k, c_custkey * 7 % (12 * pow(4, c_custkey % 4))::BIGINT AS p FROM customer)')}")
 def cell_centres(spark, sf_dir):
-    cells = spark.range(4).select(F.col("id").alias("cell_order"), F.explode(F.sequence(F.lit(0).cast("long"), (12 * F.pow(F.lit(4), F.col("id")) - 1).cast("long"))).alias("ipix"))
+    order = F.col("c_custkey") % 4
+    cells = table(spark, sf_dir, "customer").select(order.alias("cell_order"), (F.col("c_custkey") * 7 % (12 * F.pow(F.lit(4), order)).cast("long")).alias("ipix")).distinct()
     a = cells.withColumn("a", ix.uniq2ang(ix.nest2uniq("cell_order", "ipix")))
     return a.select("cell_order", "ipix", F.round("a.theta", 9).alias("theta"), F.round("a.phi", 9).alias("phi"))
 
 
-@query(f"SELECT p AS ipix, row_number() OVER (ORDER BY round(z, 9) DESC, round(phi, 9)) - 1 AS ring, p AS back FROM {geo.cells('(SELECT 3 AS k, p FROM range(768) r(p))')}")
+@query(f"SELECT p AS ipix, ring, p AS back FROM (SELECT p, row_number() OVER (ORDER BY round(z, 9) DESC, round(phi, 9)) - 1 AS ring FROM {geo.cells('(SELECT 3 AS k, p FROM range(768) r(p))')}) WHERE p IN (SELECT c_custkey % 768 FROM customer)")
 def ring_index(spark, sf_dir):
-    p = spark.range(768).select(F.col("id").alias("ipix")).withColumn("ring", ix.nest2ring(F.lit(3), F.col("ipix")))
+    p = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 768).alias("ipix")).distinct().withColumn("ring", ix.nest2ring(F.lit(3), F.col("ipix")))
     return p.withColumn("back", ix.ring2nest(F.lit(3), F.col("ring")))
 
 
@@ -51,9 +52,9 @@ def direction_to_cell(spark, sf_dir):
     return c.select("id", ix.ang2nest(F.lit(3), F.lit(np.pi / 2) - F.col("dec"), F.col("ra")).alias("ipix"))
 
 
-@query(f"SELECT DISTINCT a.p AS ipix, b.p AS near FROM {geo.corners(3)} a JOIN {geo.corners(3)} b ON a.key = b.key AND a.p <> b.p")
+@query(f"SELECT DISTINCT a.p AS ipix, b.p AS near FROM {geo.corners(3)} a JOIN {geo.corners(3)} b ON a.key = b.key AND a.p <> b.p WHERE a.p IN (SELECT c_custkey * 5 % 768 FROM customer)")
 def cell_neighbours(spark, sf_dir):
-    p = spark.range(768).select(F.col("id").alias("ipix"))
+    p = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 5 % 768).alias("ipix")).distinct()
     return p.select("ipix", F.explode(ix.neighbours(F.lit(3), F.col("ipix"))).alias("near")).where("near >= 0").distinct()
 
 
@@ -261,11 +262,13 @@ def empirical_quantiles(spark, sf_dir):
     return stats.empirical_quantiles(table(spark, sf_dir, "events"), "value", 5, ["event_type"]).select("event_type", "share", F.round("value", 6).alias("value"))
 
 
-@query("SELECT curve, 42 AS n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, true AS sorted FROM range(3) t(curve)")
+@query("""WITH d AS (SELECT curve, ('0x' || sha256('5:' || curve || ':' || o_orderkey)[1:12])::BIGINT / pow(16, 12)::DOUBLE AS p FROM orders, range(3) t(curve)),
+    r AS (SELECT curve, p, row_number() OVER (PARTITION BY curve ORDER BY p) / count(*) OVER (PARTITION BY curve) AS f FROM d UNION ALL SELECT curve, e, e FROM range(3) t(curve), (SELECT unnest([0.0::DOUBLE, 1.0]) AS e))
+    SELECT curve::INT AS curve, count(*) AS n, round(sum(p), 6) AS p, round(sum(abs(f - p)), 6) AS apart, round(max(abs(f - p)), 9) AS worst FROM r GROUP BY 1""")
 def pp_lightning(spark, sf_dir):
-    s = stats.pp_lightning(spark, 3, 40, 5)
-    gap = s.groupBy("curve").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.array_sort(F.collect_list(F.struct("p", "fraction"))).alias("a"))
-    return gap.select("curve", "n", "low", "high", F.forall(F.zip_with(F.slice("a", 1, 41), F.slice("a", 2, 41), lambda x, y: x["fraction"] <= y["fraction"]), lambda b: b).alias("sorted"))
+    s = stats.pp_lightning(table(spark, sf_dir, "orders"), "o_orderkey", 3, 5)
+    far = F.abs(F.col("fraction") - F.col("p"))
+    return s.groupBy("curve").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 6).alias("p"), F.round(F.sum(far), 6).alias("apart"), F.round(F.max(far), 9).alias("worst"))
 
 
 @query("""WITH v AS (SELECT CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), s AS (SELECT count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v)

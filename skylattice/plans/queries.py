@@ -601,8 +601,9 @@ def interpolate_nested(spark, sf_dir):
 
 
 def _grid_sql(rounds: int) -> str:
-    value = lambda source: f"SELECT k, p, exp(-4 * (1 - cos(acos(z) - 1) * cos(phi - 2))) AS d FROM {geo.cells(source)}"
-    parts = [f"g0 AS ({value('(SELECT 2 AS k, p FROM range(192) r(p))')})"]
+    value = lambda source: f"SELECT k, p, sum(nw * exp(8 * (z * nz + sqrt(1 - z * z) * sqrt(1 - nz * nz) * cos(phi - nphi) - 1))) AS d FROM {geo.cells(source)}, nations GROUP BY k, p"
+    parts = ["nations AS (SELECT c_nationkey, (2 * c_nationkey - 24) / 26.0::DOUBLE AS nz, (c_nationkey * 2.4)::DOUBLE AS nphi, sum(abs(round(c_acctbal * 100)))::DOUBLE / 1e6 AS nw FROM customer GROUP BY 1)"]
+    parts += [f"g0 AS ({value('(SELECT 2 AS k, p FROM range(192) r(p))')})"]
     for i in range(rounds):
         parts.append(f"c{i} AS (SELECT k, p FROM g{i} ORDER BY d * pow(0.25, k) DESC, p + pow(4, k + 1) LIMIT 48)")
         parts.append(f"g{i + 1} AS (SELECT * FROM g{i} ANTI JOIN c{i} USING (k, p) UNION ALL {value(f'(SELECT k + 1 AS k, 4 * p + j AS p FROM c{i}, range(4) r(j))')})")
@@ -611,7 +612,17 @@ def _grid_sql(rounds: int) -> str:
 
 @query(f"WITH {_grid_sql(3)} SELECT p + pow(4, k + 1)::BIGINT AS uniq, round(d / sum(d * pi() / 3 * pow(0.25, k)) OVER (), 8) AS probdensity FROM g3")
 def adaptive_grid(spark, sf_dir):
-    g = maps.adaptive_grid(spark, lambda theta, phi: F.exp(-4 * (1 - F.cos(theta - 1) * F.cos(phi - 2))), 2, 3)
+    """Refined where the density is: a bell about a place of each nation, weighed by its customers (25 rows at most)."""
+    own = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg((F.sum(F.abs(F.round(F.col("c_acctbal") * 100))) / 1e6).alias("w")).orderBy("c_nationkey").collect()
+
+    def density(theta, phi):
+        total = F.lit(0.0)
+        for r in own:
+            z, turn = (2 * r.c_nationkey - 24) / 26.0, r.c_nationkey * 2.4
+            total = total + r.w * F.exp(8 * (F.cos(theta) * z + F.sin(theta) * float(np.sqrt(1 - z * z)) * F.cos(phi - turn) - 1))
+        return total
+
+    g = maps.adaptive_grid(spark, density, 2, 3)
     return g.select("uniq", F.round("probdensity", 8).alias("probdensity"))
 
 
@@ -682,7 +693,7 @@ def _ellipse_sql() -> str:
     for k in range(3):
         rounds.append(f"k{k} AS (SELECT map_id, {part('w * px * px', 'w * px', 'w * px')} AS cxx, {part('w * px * py', 'w * px', 'w * py')} AS cxy, {part('w * py * py', 'w * py', 'w * py')} AS cyy FROM p{k} WHERE keep GROUP BY 1)")
         rounds.append(f"p{k + 1} AS (SELECT map_id, ipix, w, px, py, s, keep AND s < 3 AS keep FROM (SELECT p.*, sqrt((cyy * px * px - 2 * cxy * px * py + cxx * py * py) / (cxx * cyy - cxy * cxy)) AS s FROM (SELECT map_id, ipix, w, px, py, keep FROM p{k}) p JOIN k{k} USING (map_id)))")
-    return f"""WITH RECURSIVE {FLAT}, sky AS (SELECT map_id, ipix, f.w / sum(f.w) OVER (PARTITION BY map_id) AS w, sqrt(1 - c.z * c.z) * cos(phi) AS x, sqrt(1 - c.z * c.z) * sin(phi) AS y, c.z AS z FROM flat f JOIN {geo.cells('(SELECT 2 AS k, p FROM range(192) r(p))')} c ON c.p = f.ipix),
+    return f"""WITH RECURSIVE {FLAT}, sky AS (SELECT map_id, ipix, f.w * exp(4 * (c.z * cos(1) + sqrt(1 - c.z * c.z) * sin(1) * cos(phi - 2))) / sum(f.w * exp(4 * (c.z * cos(1) + sqrt(1 - c.z * c.z) * sin(1) * cos(phi - 2)))) OVER (PARTITION BY map_id) AS w, round(sqrt(1 - c.z * c.z) * cos(phi), 13) + 0.0 AS x, round(sqrt(1 - c.z * c.z) * sin(phi), 13) + 0.0 AS y, round(c.z, 13) + 0.0 AS z FROM flat f JOIN {geo.cells('(SELECT 2 AS k, p FROM range(192) r(p))')} c ON c.p = f.ipix),
         {_median_sql('x')}, {_median_sql('y')}, {_median_sql('z')}, centre AS (SELECT map_id, atan2(cy, cx) AS ra, asin(cz / sqrt(cx * cx + cy * cy + cz * cz)) AS dec FROM (SELECT map_id, {', '.join(f'm{c}.v0 + (0.5 - m{c}.a0) / (m{c}.a1 - m{c}.a0) * (m{c}.v1 - m{c}.v0) AS c{c}' for c in 'xyz')} FROM mx JOIN my USING (map_id) JOIN mz USING (map_id))),
         flatter AS (SELECT map_id, ipix, w, x * cos(dec) * cos(ra) + y * cos(dec) * sin(ra) + z * sin(dec) AS d, y * cos(ra) - x * sin(ra) AS e, z * cos(dec) - x * sin(dec) * cos(ra) - y * sin(dec) * sin(ra) AS n FROM sky JOIN centre USING (map_id)),
         p0 AS (SELECT map_id, ipix, w, e * t AS px, n * t AS py, true AS keep FROM (SELECT *, degrees(atan2(sqrt(e * e + n * n), d)) / sqrt(e * e + n * n) AS t FROM flatter)), {', '.join(rounds)},
@@ -695,7 +706,11 @@ def _ellipse_sql() -> str:
 
 @query(_ellipse_sql())
 def find_ellipse(spark, sf_dir):
-    f = flat_map(spark, sf_dir)
+    """Ellipses of four maps, weighed towards one direction."""
+    a = ix.uniq2ang(ix.nest2uniq(F.lit(2), F.col("ipix")))
+    f = flat_map(spark, sf_dir).withColumn("a", a)
+    towards = F.cos("a.theta") * np.cos(1.0) + F.sin("a.theta") * np.sin(1.0) * F.cos(F.col("a.phi") - 2)
+    f = f.select("map_id", "ipix", (F.col("w") * F.exp(4 * towards)).alias("w"))
     m = f.join(f.groupBy("map_id").agg(F.sum("w").alias("total")), "map_id").select("map_id", "ipix", (F.col("w") / F.col("total")).alias("prob"))
     e = contours.find_ellipse(m, 2, [0.5, 0.9], ["map_id"])
     return e.select("map_id", "level", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"), *[F.round(c, 5).alias(c) for c in ("a", "b", "pa", "area")])
@@ -827,12 +842,12 @@ def cosmology_redshift(spark, sf_dir):
     return c.select("c_custkey", F.round(cosmology.redshift("d"), 7).alias("z"), F.round(cosmology.volume_ratio("d"), 6).alias("ratio"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT 0 AS step, k, p, 0::DOUBLE AS low, 1::DOUBLE AS high FROM range(1, 51) t(k), (VALUES (0.025::DOUBLE), (0.975)) v(p)
-        UNION ALL SELECT step + 1, k, p, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END FROM (
-            SELECT *, list_sum(list_transform(range(k, 51), lambda j: exp(lgamma(51) - lgamma(j + 1) - lgamma(51 - j) + j * ln((low + high) / 2) + (50 - j) * ln(1 - (low + high) / 2)))) < p AS less FROM b WHERE step < 40))
+@query("""WITH RECURSIVE c AS (SELECT count(*) AS n FROM supplier), b AS (SELECT 0 AS step, n, k, p, 0::DOUBLE AS low, 1::DOUBLE AS high FROM c, range(1, n + 1) t(k), (VALUES (0.025::DOUBLE), (0.975)) v(p)
+        UNION ALL SELECT step + 1, n, k, p, CASE WHEN less THEN (low + high) / 2 ELSE low END, CASE WHEN less THEN high ELSE (low + high) / 2 END FROM (
+            SELECT *, list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n + 1 - j) + j * ln((low + high) / 2) + (n - j) * ln(1 - (low + high) / 2)))) < p AS less FROM b WHERE step < 40))
     SELECT k, round(max((low + high) / 2) FILTER (p < 0.5), 7) AS low, round(max((low + high) / 2) FILTER (p > 0.5), 7) AS high FROM b WHERE step = 40 GROUP BY k""")
 def pp_band(spark, sf_dir):
-    return stats.pp_band(spark, 50).select("k", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
+    return stats.pp_band(table(spark, sf_dir, "supplier")).select("k", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -27,6 +27,10 @@ class Limits:
     loss: int = 1024
 
 
+#: Documents: a piece has a token at least, so that the number of segments is no limit of its own.
+DOCUMENTS = Limits(segments=1024)
+
+
 class Packer:
     """Packs a stream of items; bins are lists of (item, start, length).
 
@@ -180,7 +184,7 @@ def with_adjacent_space(data: np.ndarray, offsets: np.ndarray) -> set[int]:
 PIECE = schema(("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("ids", "array<int>"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_name: str = "byte_bpe_50k.json", limits: Limits = Limits(), end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_name: str = "byte_bpe_50k.json", limits: Limits = DOCUMENTS, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """One row per piece of a document, with the sequence and the offset that it has there.
 
     A document is the ids of its text (null: empty) and ``end_id``; all tokens bear loss and it may be cut
@@ -188,7 +192,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     the work is spread as the input is, whatever the keys; a partition's last tokens end
     in sequences of a power of two.  sequence_id holds the partition's number in its upper bits and
     agrees when a lost task is run again.  Very long texts give full sequences as they come;
-    repeated rows are packed as rows; an empty table gives an empty result.
+    repeated rows are packed as rows; an empty table gives an empty result; columns of other names are ignored.
     """
 
     def run(batches):
@@ -234,7 +238,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 def pack_examples(examples: DataFrame, limits: Limits, key_col: str = "conv_id", tokens_col: str = "tokens", loss_col: str = "loss_tokens") -> DataFrame:
     """Instruction data: (key, sequence_id, offset, length) for examples that are never cut.
 
-    An example above the limits on its own fails with its key; nulls in the counts are 0.
+    An example above the limits on its own fails with its key; nulls in the counts are 0.  An empty table gives no rows; of very long examples only the
+    counts are read; repeated rows are packed as rows; columns of other names are ignored.
     """
     out = schema(("key", "string"), ("sequence_id", "long"), ("offset", "long"), ("length", "long"))
 

@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Scores always read whole texts.  Rows whose label is null are passed over; a document with several labels is used with each of them.
     Without labelled rows, or with one class only, the model still scores: without rows by its first weights.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label")).distinct()
     some = about(known, id_col, rows, "quality")
     out = schema(("bags", "int"), ("label", "int"), ("id", "long"), ("x", "binary"))
 
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x, bags = passages(*utf8_column(batch.column(2)))
             edge = np.concatenate([[0], np.cumsum(bags)])
             some = [np.arange(n) if n <= most_passages else np.linspace(0, n - 1, most_passages).astype(int) for n in bags.tolist()]
-            raw = [x[edge[i] + k].astype(np.float16).tobytes() for i, k in enumerate(some)]
+            raw = [x[edge[i] + k].astype(np.float32).tobytes() for i, k in enumerate(some)]
             bags = np.array([len(k) for k in some])
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.int32()), batch.column(1).cast(pa.int32()), batch.column(0), pa.array(raw, pa.binary())], out.names)
 
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = AttentionMIL()
     if found:
         found.sort(key=lambda r: (r.id, r.label, r.x))
-        x = np.concatenate([np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in found]).astype(float)
+        x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in found]).astype(float)
         model.fit(x, np.array([r.bags for r in found]), np.array([r.label for r in found], float))
     return model
 

@@ -427,3 +427,11 @@ def test_lm_scoring(docs, none):
         assert any(r.base_score == pytest.approx(w[4]) for w in want[r.doc_id])
         assert r.score < 0 and s.score == pytest.approx(r.score) and s.base_score == pytest.approx(r.base_score) and s.n_known == r.n_known
     assert lm_scoring.score(none).count() == 0
+
+
+def test_documents_of_a_few_tokens_leave_no_padding():
+    packer = packing.Packer(packing.DOCUMENTS, cut=True)
+    for k in range(5000):
+        packer.add(k, 3)
+    bins = [sum(n for _, _, n in b) for b in packer.taken() + packer.close(powers=True)]
+    assert sum(bins) == 15_000 and all(n == 1024 or n & (n - 1) == 0 for n in bins)

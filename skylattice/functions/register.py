@@ -7,6 +7,7 @@ import pandas as pd
 
 from . import cosmology, distance, index, signal
 from .text import format_area
+from .tree import TreeLeaves
 from .types import vectorized
 
 
@@ -75,7 +76,8 @@ FUNCTIONS = {
 
 
 def register(spark) -> list[str]:
-    """Register all of them with a session; returns their names."""
+    """Register all of them with a session, the table function ``sky_tree_leaves`` too; returns the names of the scalar ones."""
     for name, function in FUNCTIONS.items():
         spark.udf.register(name, function)
+    spark.udtf.register("sky_tree_leaves", TreeLeaves)
     return list(FUNCTIONS)

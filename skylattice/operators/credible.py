@@ -17,9 +17,9 @@ WHOLE_SKY = 4 * math.pi * DEG2  # square degrees
 def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Column | None = None, tie: str = "uniq", by_range: bool | None = None) -> DataFrame:
     """Add ``cls``: the share of ``weight`` in cells ranked at or before each, densest first; ties by ``tie``.
 
-    ``by_range`` uses the two-phase sums for maps too large for one task; it is the default for a single map, without keys.
+    ``by_range`` uses the two-phase sums, so that no map is held in one task; ``False`` sorts each map in a task of its own, for many small ones.
     """
-    by_range = not keys if by_range is None else by_range
+    by_range = True if by_range is None else by_range
     order = [(F.col(weight) if ranking is None else ranking).desc(), F.col(tie).asc()]
     run = cumulative_by_range if by_range else cumulative
     out = run(df, keys, order, {"_upto": F.col(weight)})
@@ -34,9 +34,9 @@ def greedy_levels(df: DataFrame, weight: str, keys: list[str] = [], ranking: Col
 def curve(df: DataFrame, weight: str, density: Column, area: Column, keys: list[str] = [], by_range: bool | None = None) -> DataFrame:
     """Running probability and area (square degrees) in greedy order: columns cum_weight, cum_area, and those before.
 
-    ``by_range``: as for the levels, two-phase sums instead of one sort in a task for each map; the default without keys.
+    ``by_range``: as for the levels, two-phase sums instead of one sort in a task for each map.
     """
-    by_range = not keys if by_range is None else by_range
+    by_range = True if by_range is None else by_range
     order = [density.desc(), F.col("uniq").asc()]
     m = df.withColumn("_own_area", area)
     out = (cumulative_by_range if by_range else cumulative)(m, keys, order, {"cum_weight": F.col(weight), "cum_area": F.col("_own_area")})
@@ -73,7 +73,7 @@ def interpolate(curve_df: DataFrame, levels: DataFrame, x: str, y: str, prev_x:
 
 def region(df: DataFrame, weight: str, level: float, keys: list[str] = [], ranking: Column | None = None, by_range: bool | None = None) -> DataFrame:
     """Cells of the smallest region that holds ``level`` of the weight, the cell that reaches it included."""
-    by_range = not keys if by_range is None else by_range
+    by_range = True if by_range is None else by_range
     out = greedy_levels(df, weight, keys, ranking, by_range=by_range)
     if by_range:
         sums = df.groupBy(*keys).agg(F.sum(weight).alias("_all"))

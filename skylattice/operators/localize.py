@@ -74,7 +74,8 @@ class RadialTable:
                         total[m] += f
                         f = f * (r / r2)
         with np.errstate(divide="ignore"):
-            self.rest = np.moveaxis(np.log(total) + (k + np.arange(3))[:, None, None] * math.log(r2), 0, 2).copy()
+            # an integral that underflows is next to nothing, but no infinity: those have no differences
+            self.rest = np.maximum(np.moveaxis(np.log(total) + (k + np.arange(3))[:, None, None] * math.log(r2), 0, 2), -1e30)
 
     def top(self, p, b):
         r = np.clip(2 * p * p / np.maximum(b, 1e-300), self.r1, self.r2)

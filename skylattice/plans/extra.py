@@ -314,21 +314,24 @@ def half_slide(spark, sf_dir):
 _TRIGGERS = "SELECT l_returnflag AS ifo, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate) - 1 AS row, l_quantity AS snr, l_discount AS coa_phase, epoch_us(l_shipdate) / 1000000 AS end_time FROM lineitem"
 
 
-@query(f"""WITH t AS ({_TRIGGERS}), c AS (SELECT DISTINCT o_orderkey AS coinc_id, o_orderkey % 200 AS template_id, o_orderkey % 3 AS slide FROM orders),
-    s AS (SELECT coinc_id, template_id, i, ifo, CASE i WHEN 0 THEN end_time - 0.5 * slide * 0.1 WHEN 1 THEN end_time + 0.5 * slide * 0.1 END AS time, snr, floor(end_time / 5000000)::BIGINT AS segment
-        FROM c, (VALUES (0, 'A', 3), (1, 'N', 5)) d(i, flag, step) JOIN t ON t.ifo = flag AND t.row = (coinc_id * step) % 1400)
-    SELECT coinc_id, template_id, p_size AS mass1, count(*)::INT AS n, round(sum(snr), 4) AS snr, round(sum(time - 8e8), 3) AS times, sum(segment)::BIGINT AS segments FROM s JOIN part ON p_partkey = template_id GROUP BY 1, 2, 3""")
+@query(f"""WITH t AS ({_TRIGGERS}), size AS (SELECT ifo, count(*) AS rows FROM t GROUP BY 1), bank AS (SELECT count(*) AS templates FROM (SELECT DISTINCT p_partkey FROM part)),
+    c AS (SELECT DISTINCT o_orderkey AS coinc_id, o_orderkey % templates AS template_id, o_orderkey % 3 AS slide FROM orders, bank),
+    s AS (SELECT coinc_id, template_id, i, t.ifo, CASE i WHEN 0 THEN end_time - 0.5 * slide * 0.1 WHEN 1 THEN end_time + 0.5 * slide * 0.1 END AS time, snr, floor(end_time / 5000000)::BIGINT AS segment
+        FROM c, (VALUES (0, 'A', 3), (1, 'N', 5)) d(i, flag, step) JOIN size ON size.ifo = flag JOIN t ON t.ifo = flag AND t.row = (coinc_id * step) % rows)
+    SELECT coinc_id, template_id, p_size AS mass1, count(*)::INT AS n, round(sum(snr), 4) AS snr, round(sum(time - 8e8), 3) AS times, sum(segment)::BIGINT AS segments FROM s JOIN (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS nth FROM part) ON nth = template_id GROUP BY 1, 2, 3""")
 def hdf_events(spark, sf_dir):
-    """Coincidences by row numbers in the triggers of each detector, with their template and spectrum segment."""
-    from pyspark.sql import Window
-
+    """Coincidences by row numbers in all triggers of each detector and all templates, with their template and spectrum segment."""
     li = table(spark, sf_dir, "lineitem")
-    nth = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
-    triggers = li.select(F.col("l_returnflag").alias("ifo"), nth.cast("long").alias("row"), F.col("l_quantity").alias("snr"), F.col("l_discount").alias("coa_phase"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1000000).alias("end_time"))
+    by = [F.asc(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate")]
+    numbered = cumulative_by_range(li, ["l_returnflag"], by, {"_nth": F.lit(1)})
+    triggers = numbered.select(F.col("l_returnflag").alias("ifo"), (F.col("_nth") - 1).cast("long").alias("row"), F.col("l_quantity").alias("snr"), F.col("l_discount").alias("coa_phase"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1000000).alias("end_time"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("coinc_id")).distinct()
-    refs = F.array(*[F.struct(F.lit(f).alias("ifo"), (F.col("coinc_id") * k % 1400).alias("row")) for f, k in (("A", 3), ("N", 5))])
-    coincs = o.select("coinc_id", (F.col("coinc_id") % 200).alias("template_id"), (F.col("coinc_id") % 3).alias("timeslide_id"), F.lit(0.1).alias("shift"), refs.alias("trigger_ids"))
-    bank = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("template"), F.col("p_size").alias("mass1"))
+    sizes = {r[0]: r[1] for r in triggers.groupBy("ifo").count().collect()}  # a row for each detector
+    refs = F.array(*[F.struct(F.lit(f).alias("ifo"), (F.col("coinc_id") * k % sizes.get(f, 1)).alias("row")) for f, k in (("A", 3), ("N", 5))])
+    part = cumulative_by_range(table(spark, sf_dir, "part"), [], [F.asc("p_partkey")], {"_nth": F.lit(1)})
+    bank = part.select((F.col("_nth") - 1).cast("long").alias("template"), F.col("p_size").alias("mass1"))
+    templates = max(1, bank.count())
+    coincs = o.select("coinc_id", (F.col("coinc_id") % templates).alias("template_id"), (F.col("coinc_id") % 3).alias("timeslide_id"), F.lit(0.1).alias("shift"), refs.alias("trigger_ids"))
     low, high = triggers.agg(F.floor(F.min("end_time") / 5e6), F.floor(F.max("end_time") / 5e6)).first()
     psds = triggers.select("ifo").distinct().select("ifo", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("segment")).select("ifo", (F.col("segment") * 5e6).alias("start"), ((F.col("segment") + 1) * 5e6).alias("end"), "segment")
     found = tables.hdf_tables([coincs, bank.withColumn("mass2", F.lit(1.0)), triggers, psds])

@@ -6,12 +6,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import angles, cosmology, distance, gps, signal
+from ..functions import angles, cosmology, distance, gps, register, signal
 from ..functions import index as ix
 from ..operators import contours, credible, crossmatch, density, events, image, localize, maps, moments, simulate, stats, visibility
 from ..streaming import windows
 from . import geometry_sql as geo
-from .fixtures import FLAT, POINTS, SKY, distances, flat_map, points, sky_map, table, triggers
+from .fixtures import FLAT, POINTS, SKY, cents, distances, flat_map, points, sky_map, table, triggers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -128,6 +128,26 @@ def adaptive_histogram(spark, sf_dir):
     return maps.adaptive_histogram(points(spark, sf_dir), 1500).select("uniq", "n")
 
 
+@query(f"""WITH RECURSIVE {HISTOGRAM}, top AS (SELECT max(k) AS m FROM leaf), held AS (SELECT k, ipix, n, coalesce(sum(p29 % 1000003), 0)::BIGINT AS total FROM leaf LEFT JOIN points ON (p29 >> (2 * (29 - k))) = ipix GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY ipix << (2 * (29 - k))) AS depth, row_number() OVER (ORDER BY k, ipix) AS breadth, 1::BIGINT << k AS nside, 1::BIGINT << m AS full_nside, ipix, ipix << (2 * (m - k)) AS ipix0, (ipix + 1) << (2 * (m - k)) AS ipix1, n, total FROM held, top""")
+def tree_leaves(spark, sf_dir):
+    """Leaves with their samples, in both visiting orders."""
+    depth = maps.leaves(points(spark, sf_dir), 1500)
+    breadth = maps.leaves(points(spark, sf_dir), 1500, visit="breadthfirst").select("nside", "ipix", F.col("rank").alias("breadth"))
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x % 1000003)
+    return depth.withColumn("total", total).withColumnRenamed("rank", "depth").drop("samples").join(breadth, ["nside", "ipix"])
+
+
+@query(f"""WITH RECURSIVE {HISTOGRAM} SELECT 'all' AS key, 1::BIGINT << k AS nside, ipix, ipix << (2 * (29 - k)) AS ipix0, (ipix + 1) << (2 * (29 - k)) AS ipix1, n, coalesce(sum(p29 % 1000003), 0)::BIGINT AS total
+    FROM leaf LEFT JOIN points ON (p29 >> (2 * (29 - k))) = ipix WHERE k > 0 OR n > 0 GROUP BY ALL""")
+def tree_leaves_in_sql(spark, sf_dir):
+    """The same from SQL, by the table function over partitioned input."""
+    register.register(spark)
+    points(spark, sf_dir).createOrReplaceTempView("tree_samples")
+    rows = spark.sql("SELECT * FROM sky_tree_leaves(TABLE(SELECT 'all' AS map_id, p29 >> 58 AS base, p29 FROM tree_samples) PARTITION BY (map_id, base), 1500, 29)")
+    return rows.select("key", "nside", "ipix", "ipix0", "ipix1", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x % 1000003).alias("total"))
+
+
 @query(f"""WITH RECURSIVE {HISTOGRAM}, top AS (SELECT max(k) AS m FROM leaf)
     SELECT ipix * pow(4, m - k)::BIGINT + c AS ipix, round(n / (pi() / 3 * pow(0.25, k)), 4) AS density FROM leaf, top, range(pow(4, 12)::BIGINT) r(c) WHERE c < pow(4, m - k)""")
 def flat_bitmap(spark, sf_dir):
@@ -802,27 +822,54 @@ def _toy_events(spark, n: int = 2):
     return spark.createDataFrame(rows, "event_id string, singles array<struct<detector:string,horizon:double,response:array<double>,location:array<double>,epoch:double,rate:double,snr_re:array<double>,snr_im:array<double>>>")
 
 
+def _order_events(spark, sf_dir):
+    """Two events of two detectors from all orders: finished ones and others, by the parity of the customer.
+
+    A series has 61 samples about a peak; each is changed by the share of the value of the orders that fall on it.
+    """
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("event"), (F.col("o_custkey") % 2).cast("int").alias("j"), (F.col("o_orderkey") % 61).cast("int").alias("k"), cents("o_totalprice").alias("w"))
+    w = o.groupBy("event", "j", "k").agg(F.sum("w").alias("w"))
+    whole = w.groupBy("event", "j").agg(F.sum("w").alias("all"))
+    grid = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(60))))
+    share = 61 * F.coalesce(F.col("w"), F.lit(0)) / F.col("all")
+    size = (10 + F.col("j")) * F.exp(-F.pow((F.col("k") - 30) / 10.24, 2)) * (1 + 0.1 * (share - 1))
+    phase = 0.3 + F.col("j")
+    s = grid.join(w, ["event", "j", "k"], "left").select("event", "j", F.struct("k", (size * F.cos(phase)).alias("re"), (size * F.sin(phase)).alias("im")).alias("x"))
+    s = s.groupBy("event", "j").agg(F.array_sort(F.collect_list("x")).alias("x"))  # 61 samples
+    turn = F.when(F.col("j") == 0, 0.0).otherwise(0.8 + 0.1 * F.col("event"))
+    c, q, none = F.cos(turn), F.sin(turn), F.lit(0.0)
+    response = F.array(0.5 * c * c, none, -0.5 * c * q, none, F.lit(-0.5), none, -0.5 * c * q, none, 0.5 * q * q)
+    location = F.when(F.col("j") == 0, F.array(F.lit(0.02), none, none)).otherwise(F.array(none, F.lit(0.02), F.lit(0.005)))
+    single = F.struct(F.concat(F.lit("D"), F.col("j").cast("string")).alias("detector"), F.lit(400.0).alias("horizon"), response.alias("response"), location.alias("location"), (1e9 - 30 / 512 + 0.004 * F.col("j")).alias("epoch"), F.lit(512.0).alias("rate"), F.transform("x", lambda v: v["re"]).alias("snr_re"), F.transform("x", lambda v: v["im"]).alias("snr_im"))
+    return s.groupBy(F.col("event").cast("string").alias("event_id")).agg(F.array_sort(F.collect_list(single)).alias("singles"))
+
+
 @query()
 def localize_events(spark, sf_dir):
-    return localize.localize(_toy_events(spark))
+    return localize.localize(_order_events(spark, sf_dir))
 
 
 @query()
 def sample_events(spark, sf_dir):
-    return localize.sample_events(_toy_events(spark, 1))
+    return localize.sample_events(_order_events(spark, sf_dir).where("event_id = '0'"))
 
 
 @query()
 def inject_and_realize(spark, sf_dir):
-    reach = spark.createDataFrame([(1.0, 1.5, 1.0, 1.5, 1.0, 0.05), (1.5, 2.0, 1.0, 2.0, 2.0, 0.06)], "m1_low double, m1_high double, m2_low double, m2_high double, weight double, z_max double")
+    """Injections within reaches weighed by the customers of each region, five rows."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("n_regionkey")
+    reach = n.groupBy("n_regionkey").agg(F.count(F.lit(1)).cast("double").alias("weight")).select((1 + 0.2 * k).alias("m1_low"), (1.2 + 0.2 * k).alias("m1_high"), F.lit(1.0).alias("m2_low"), (1.2 + 0.2 * k).alias("m2_high"), "weight", (0.05 + 0.004 * k).alias("z_max"))
     response = np.diag([0.5, -0.5, 0.0])
     return simulate.realize(simulate.inject(spark, 20, reach, 7), [{"ifo": "D0", "response": response, "location": [0.02, 0, 0], "psd": signal.model_psd}])
 
 
-@query("""SELECT ifo, k, CASE WHEN 32 * k >= 10 THEN round(log10(factor * factor * 1e-49 * (pow(x, -4.14) - 5 * pow(x, -2) + 111 * (1 - x * x + pow(x, 4) / 2) / (1 + x * x / 2))), 8) END AS log_power
-    FROM (SELECT ifo, factor, k::INT AS k, greatest(32 * k, 1) / 215.0::DOUBLE AS x FROM (VALUES ('D0', 1.0::DOUBLE), ('D1', 1.5)) d(ifo, factor), range(65) t(k))""")
+@query("""SELECT r_name AS ifo, k, CASE WHEN 32 * k >= 10 THEN round(log10(factor * factor * 1e-49 * (pow(x, -4.14) - 5 * pow(x, -2) + 111 * (1 - x * x + pow(x, 4) / 2) / (1 + x * x / 2))), 8) END AS log_power
+    FROM (SELECT r_name, 1 + r_regionkey / 2.0::DOUBLE AS factor, k::INT AS k, greatest(32 * k, 1) / 215.0::DOUBLE AS x FROM region, range(65) t(k))""")
 def model_spectra(spark, sf_dir):
-    s = simulate.model_spectra(spark, {"D0": 1.0, "D1": 1.5}, 32.0).select("ifo", F.posexplode("data").alias("k", "s"))
+    """A detector for each region, five rows."""
+    own = {r.r_name: 1 + r.r_regionkey / 2 for r in table(spark, sf_dir, "region").collect()}
+    s = simulate.model_spectra(spark, own, 32.0).select("ifo", F.posexplode("data").alias("k", "s"))
     return s.select("ifo", "k", F.when(F.col("s") < float("inf"), F.round(F.log10("s"), 8)).alias("log_power"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gps import normalize_objid
 from ..functions.types import fields
+from ..storage import spill
 
 #: Other names of sample columns.  Fixed values of the format.
 ALIASES = {
@@ -182,31 +183,39 @@ def event_table(spark: SparkSession, path: str, name: str, schema: str | None =
     joined from end_time and end_time_ns where it is kept so.
     """
     columns = [tuple(c.split(":")) for c in (schema or EVENT_TABLES[name]).split(",")]
-    out = fields("path:string," + ",".join(":".join(c) for c in columns))
+    return _parsed(spark, path, {name: columns}).drop("table")
+
+
+def _parsed(spark: SparkSession, path: str, tables: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """(path, table, columns of all tables) of the files under ``path``: each file is read and parsed once, for all tables."""
+    every = dict(c for columns in tables.values() for c in columns)
+    out = fields("path:string,table:string," + ",".join(":".join(c) for c in every.items()))
 
     def run(batches):
         for b in batches:
             for file, content in zip(b["path"], b["content"]):
-                names, rows = parse_events(bytes(content)).get(name, ([], []))
-                at = {n: k for k, n in enumerate(names)}
-                found = []
-                for r in rows:
-                    row = [_cell(r[at[c]], t) if c in at else None for c, t in columns]
-                    if "end" not in at and "end_time" in at:
-                        k = next((i for i, (c, _) in enumerate(columns) if c == "end"), None)
-                        if k is not None:
-                            row[k] = _cell(r[at["end_time"]], "double") + 1e-9 * (_cell(r[at["end_time_ns"]], "double") or 0.0 if "end_time_ns" in at else 0.0)
-                    found.append((file, *row))
-                if found:
-                    frame = pd.DataFrame(found, columns=out.names)
-                    yield frame.astype({c: "Int64" if t == "long" else "Int32" for c, t in columns if t in ("long", "int")})
+                parsed = parse_events(bytes(content))
+                for name, columns in tables.items():
+                    names, rows = parsed.pop(name, ([], []))
+                    at = {n: k for k, n in enumerate(names)}
+                    for i in range(0, len(rows), 10_000):
+                        found = []
+                        for r in rows[i : i + 10_000]:
+                            row = {c: _cell(r[at[c]], t) if c in at else None for c, t in columns}
+                            if "end" in row and "end" not in at and "end_time" in at:
+                                row["end"] = _cell(r[at["end_time"]], "double") + 1e-9 * (_cell(r[at["end_time_ns"]], "double") or 0.0 if "end_time_ns" in at else 0.0)
+                            found.append((file, name, *[row.get(c) for c in every]))
+                        frame = pd.DataFrame(found, columns=out.names)
+                        yield frame.astype({c: "Int64" if t == "long" else "Int32" for c, t in every.items() if t in ("long", "int")})
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, out)
 
 
 def event_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All known tables of the event files under ``path``, by name; see ``event_table``."""
-    return {name: event_table(spark, path, name) for name in EVENT_TABLES}
+    """All known tables of the event files under ``path``, by name; see ``event_table``.  One pass over the files, written once to the shared folder."""
+    tables = {name: [tuple(c.split(":")) for c in columns.split(",")] for name, columns in EVENT_TABLES.items()}
+    held = spill(_parsed(spark, path, tables))
+    return {name: held.where(F.col("table") == name).select("path", *[c for c, _ in columns]) for name, columns in tables.items()}
 
 
 def read_series(document: bytes) -> list[tuple[str, dict, list[list[float]]]]:

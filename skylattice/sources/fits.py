@@ -266,6 +266,30 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def list_files(pattern: str) -> list[str]:
+    """Files that a pattern names, on a local disk or by URI on any file system: ``*``, ``?`` and ``[...]`` in every part of the path."""
+    from fnmatch import fnmatchcase
+
+    from pyarrow import fs
+
+    system, name = file_system(pattern)
+    lead = pattern[: len(pattern) - len(name)] if "://" in pattern else ""
+    special = lambda text: any(c in text for c in "*?[")
+    parts = name.split("/")
+    fixed = next((k for k, p in enumerate(parts) if special(p)), len(parts))
+    if fixed == len(parts):
+        return [pattern] if system.get_file_info(name).type == fs.FileType.File else []
+    found = ["/".join(parts[:fixed])]
+    for k in range(fixed, len(parts)):
+        last, step = k == len(parts) - 1, []
+        for folder in found:
+            for x in system.get_file_info(fs.FileSelector(folder or ("/" if name.startswith("/") else "."), allow_not_found=True)):
+                if fnmatchcase(x.base_name, parts[k]) and x.type == (fs.FileType.File if last else fs.FileType.Directory):
+                    step.append(x.path)
+        found = step
+    return sorted(lead + x for x in found)
+
+
 def save(data: bytes, path: str) -> None:
     """Write a file that is there whole or not at all: beside its place first, then moved."""
     system, name = file_system(path)
@@ -296,9 +320,7 @@ class SkymapReader(DataSourceReader):
         self.schema, self.path = schema, options["path"]
 
     def partitions(self):
-        import glob
-
-        return [_Part(p) for p in sorted(glob.glob(self.path))] or [_Part(self.path)]
+        return [_Part(p) for p in list_files(self.path)] or [_Part(self.path)]
 
     def read(self, partition):
         import pyarrow as pa

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.gps import normalize_objid
 from ..functions.types import fields
 from ..storage import spill
+from .hdf5 import read_hdf
 
 #: Other names of sample columns.  Fixed values of the format.
 ALIASES = {
@@ -40,10 +41,12 @@ def rename_aliases(df: DataFrame) -> DataFrame:
     return out
 
 
-def read_samples(spark: SparkSession, path: str, fixed: dict | None = None) -> DataFrame:
-    """A posterior chain from Parquet, or from white-space or comma separated text with a header."""
+def read_samples(spark: SparkSession, path: str, fixed: dict | None = None, table: str | None = None) -> DataFrame:
+    """A posterior chain from Parquet, from an HDF5 file (``table`` by its name or path), or from white-space or comma separated text with a header."""
     if re.search(r"\.parquet(/|$)", path):
         df = spark.read.parquet(path)
+    elif re.search(r"\.(h5|hdf5?)$", path):
+        df = read_hdf(spark, path, table)
     else:
         head = re.sub(r"^#\s*", "", spark.read.text(path).first()[0].strip())
         comma = "," in head
@@ -161,7 +164,7 @@ def parse_events(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
         content = gzip.decompress(content)
     form = kind_of_events(content[:64])
     if form == "hdf":
-        raise NotImplementedError("HDF files need a reader that isn't installed; give their tables as Parquet to hdf_events")
+        raise NotImplementedError("HDF files hold columns, not documents: read their groups with read_hdf and give them to hdf_events")
     return read_sqlite(content) if form == "sqlite" else read_ligolw(content)
 
 

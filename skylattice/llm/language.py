@@ -181,16 +181,18 @@ def _chunks(batch, most: int = 256):
         yield batch.slice(start, most)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000, least: int = 100) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000, least: int = 100, most: int = 512) -> LanguageModel:
     """Fit on the rows whose language is not null.
 
     Document frequencies are counted over all of them; weights are fitted on about ``rows`` of them, and on about ``least`` of
     each language at the least, so that a rare one can be learnt from tables of any size.  The sample is chosen by a
-    hash of identifier and text; a fifth is kept for the temperature.
+    hash of identifier and text; a fifth is kept for the temperature.  ``most`` languages are learnt, the most frequent ones, so that a column of other things can't
+    fill the driver.
     Without any labelled row there is no language to learn and all is undetermined.
     """
     known = docs.where(F.col(lang_col).isNotNull())
-    number = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # one row for each language
+    each = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most)
+    number = {r[0]: r[1] for r in each.collect()}  # one row for each language
     total = sum(number.values())
     frequency, n = document_frequency(known, text_col)
     idf = np.log((1 + n) / (1 + frequency)) + 1
@@ -204,8 +206,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([r.astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([c[r].tobytes() for c, r in zip(count, rows)], pa.binary())], out.names)
 
     every = {lang: max(1, min(-(-total // rows), n // least)) for lang, n in number.items()}
-    rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in every.items() for x in pair]), F.col(lang_col).cast("string")), F.lit(1)) if every else F.lit(1)
-    some = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language")), rate) == 0).select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string").alias("text"))
+    rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in every.items() for x in pair]), F.col(lang_col).cast("string")), F.lit(0)) if every else F.lit(1)
+    some = known.where(rate > 0).where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language")), F.greatest(rate, F.lit(1))) == 0).select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string").alias("text"))
     found = [r for r in some.mapInArrow(describe, out).collect() if r.feature]
     labels = sorted({r.lang for r in found})
     model = LanguageModel(labels, idf.astype(np.float32), np.zeros((WIDTH, max(1, len(labels))), np.float32), np.zeros(max(1, len(labels))))

@@ -264,3 +264,9 @@ def test_stages_bear_nulls_repeats_clashes_and_empty_tables(spark, docs, none, t
     drawn = {(r.id, r.source, r.size): r.copies for r in mixing.draw(docs).collect()}
     mixed = Counter((r.doc_id, r.source, len(WORDS.findall(r.text or ""))) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
     assert mixed == Counter({k: n for k, n in drawn.items() if n})
+
+
+def test_only_the_most_frequent_languages_are_learnt(spark):
+    rows = [(k, f"text of language number {k % 3}", f"l{k % 3}") for k in range(90)] + [(1000 + k, "a text of another kind", f"x{k}") for k in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert model.labels == ["l0", "l1", "l2"]

@@ -15,18 +15,27 @@ from skylattice.llm.common import spill, table, text_of
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores below 0.3 go."""
+    """Documents that the quality classifier scores below 0.3 go.
+
+    A null text is scored as an empty one, a long text whole; a tie at 0.3 stays; repeated rows stay or go together; an empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out())
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space the longest stays."""
+    """Of texts equal but for white space the longest stays, of equal lengths the smallest identifier.
+
+    Null and empty texts are equal; of rows repeated as a whole one stays; an empty table stays empty.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a shingle similarity of 0.8 or more one stays."""
+    """Of documents linked by a shingle similarity of 0.8 or more the one with the smallest identifier stays.
+
+    Texts without words are linked with nothing and stay; rows that share an identifier stay or go together; an empty table stays empty.
+    """
     return ngram_join.one_of_each(docs)
 
 
@@ -56,7 +65,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, with the ids of each piece."""
+    """Sequences of 1024 tokens, with the ids of each piece.
+
+    A null text is its end alone; long texts fill sequences of their own; repeated rows are packed as rows; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 

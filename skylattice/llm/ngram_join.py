@@ -527,7 +527,10 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class (its smallest identifier), all columns as they were."""
+    """The rows of ``docs`` that stand for their class (its smallest identifier), all columns as they were.
+
+    Null and empty texts are classes of their own and stay; rows that share an identifier, a null one included, stay or go together; an empty table stays empty.
+    """
     kept = join_classes(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"))
     return rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("row.*")

@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: AttentionMIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; a null text is empty and scored as an empty passage.
+    """(id, score) of every row; a null text is empty and scored as an empty passage.  All passages of a very long text are weighed; equal texts have equal scores.
 
     Repeated rows give repeated results, an empty table none; other columns are ignored, whatever their names.  One pass over whole texts, batch by batch, without a shuffle.
     """

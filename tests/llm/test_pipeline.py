@@ -35,4 +35,4 @@ def test_entry_lists_all_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(q.startswith(f"op{k}_") for q in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{k}_") for q in names) for k in range(1, 14))

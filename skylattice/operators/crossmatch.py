@@ -78,25 +78,13 @@ def area_probs(df: DataFrame, areas: list[float], keys: list[str] = [], density:
 
 def count_modes(mask: DataFrame, order: int, keys: list[str] = []) -> DataFrame:
     """(keys, modes): connected components, over 8 neighbours, of a set of pixels (keys, ipix) at one order."""
-    cells = spill(mask.select(*keys, "ipix").distinct())
-    near = cells.select(*keys, "ipix", F.explode(ix.neighbours(F.lit(order), F.col("ipix"))).alias("_n")).where("_n > ipix")
-    pairs = near.join(cells.withColumnRenamed("ipix", "_n"), [*keys, "_n"])
-    number = {k: F.col(k) for k in keys}
-    node = lambda p: F.struct(*[number[k].alias(k) for k in keys], F.col(p).alias("ipix"))
-    roots = components(pairs.select(node("ipix").alias("u"), node("_n").alias("v")))
-    merged = roots.where("node <> root").groupBy(*[F.col(f"node.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("_less"))
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = sizes.join(merged, keys, "left") if keys else sizes.crossJoin(merged)
-    return out.select(*keys, (F.col("_n") - F.coalesce("_less", F.lit(0))).alias("modes"))
-
+    return count_modes_moc(mask.select(*keys, ix.nest2uniq(F.lit(order), F.col("ipix")).alias("uniq")), keys)
 
-def count_modes_moc(cells: DataFrame, keys: list[str] = [], order: int | None = None) -> DataFrame:
-    """The same for a set of multi-resolution cells (keys, uniq), painted at their highest order."""
-    from .maps import highest_order, rasterize
 
-    cells = spill(cells.select(*keys, "uniq"))
-    order = highest_order(cells) if order is None else order
-    return count_modes(rasterize(cells.select(*keys, "uniq"), order, keys), order, keys)
+def count_modes_moc(cells: DataFrame, keys: list[str] = []) -> DataFrame:
+    """The same for a set of multi-resolution cells (keys, uniq), as they are: the merge tree of a map of one density."""
+    steps = with_steps(cells.select(*keys, "uniq").distinct().withColumn("_one", F.lit(1.0)), keys, "_one")
+    return steps.groupBy(*keys).agg(F.coalesce(F.sum("modes_step"), F.lit(0)).cast("long").alias("modes"))
 
 
 def contour_modes(df: DataFrame, contours: list[float], keys: list[str] = [], density: str = "probdensity") -> DataFrame:

@@ -449,3 +449,11 @@ def large_map_locate(spark, sf_dir):
     """Points in the cells of that map."""
     points = table(spark, sf_dir, "lineitem").select(F.shiftleft((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3145728, 40).alias("p29"))
     return crossmatch.locate(points, _large_map(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+
+
+@query()
+def large_map_modes(spark, sf_dir):
+    """Modes of the credible regions of that map; the merge tree is tested by brute force, as labels take SQL minutes here."""
+    m = _large_map(spark, sf_dir)
+    total = m.agg(F.sum("w")).first()[0] or 1
+    return crossmatch.contour_modes(m.select("uniq", (F.col("w") / total / ix.uniq2pixarea("uniq")).alias("probdensity")), [0.5, 0.9])

@@ -343,10 +343,15 @@ def hdf_events(spark, sf_dir):
 _DOCUMENTS = """SELECT o_orderkey AS id, min(o_custkey) AS proc, min(o_orderkey % 3) AS slide FROM orders GROUP BY 1"""
 
 
+#: Orders in a document, about; there are four documents at least.
+PER_DOCUMENT = 20_000
+
+
 def _write_documents(spark, sf_dir, folder: str) -> None:
-    """Documents of the market segments: orders as coincidences, lines as triggers, customers as processes, statuses as slides."""
+    """Documents whose number grows with the data: orders as coincidences, lines as triggers, customers as processes, statuses as slides."""
+    documents = max(4, -(-table(spark, sf_dir, "orders").count() // PER_DOCUMENT))
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("coinc_event_id")).agg(F.min("o_custkey").alias("process_id"), F.min(F.col("o_orderkey") % 3).alias("time_slide_id"))
-    o = o.withColumn("coinc_def_id", F.col("coinc_event_id") % 2).withColumn("doc", F.col("coinc_event_id") % 4)
+    o = o.withColumn("coinc_def_id", F.col("coinc_event_id") % 2).withColumn("doc", F.pmod(F.xxhash64("coinc_event_id"), F.lit(documents)))
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("coinc_event_id"), F.col("l_returnflag").alias("ifo")).agg(F.max("l_quantity").alias("snr"), F.max("l_discount").alias("coa_phase"), F.min("l_extendedprice").alias("end"))
     li = li.join(o.select("coinc_event_id", "process_id", "doc"), "coinc_event_id").withColumn("event_id", F.col("coinc_event_id") * 3 + F.when(F.col("ifo") == "A", 0).when(F.col("ifo") == "N", 1).otherwise(2))
     process = o.select("process_id", "doc", F.when(F.col("process_id") % 2 == 0, "pycbc").otherwise("gstlal_inspiral").alias("program")).distinct()

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
-import json
+import itertools
 import re
 import sqlite3
 import xml.etree.ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gps import normalize_objid
@@ -80,57 +83,139 @@ def kind_of_events(head: bytes) -> str:
     raise ValueError("unknown format of events")
 
 
+#: A cell of a stream with the comma behind it.
+_CELL = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[^,"]*)\s*,', re.S)
+
+
+def _whole_cells(text: str) -> int:
+    """Length of the longest start of ``text`` that ends behind a comma outside of quotes; ``text`` begins outside."""
+    cut = text.rfind(",") + 1
+    while cut:
+        head = text[:cut]
+        if (re.sub(r"\\.", "", head, flags=re.S) if "\\" in head else head).count('"') % 2 == 0:
+            return cut
+        cut = text.rfind(",", 0, text.rfind('"', 0, cut)) + 1
+    return 0
+
+
+def ligolw_cells(stream, rows: int = 20_000):
+    """Yield (table, columns as pairs of name and type, cells as they stand in the text, row after row) of a document, some ``rows`` at a time.
+
+    ``stream`` is a binary file, which is read a piece at a time; no table is held whole.  A table without rows comes once, without cells.
+    """
+    from xml.parsers import expat
+
+    ready, depth, table, inside, seen, columns, text, size, cells, many = [], 0, None, False, False, [], [], 0, [], 1 << 20
+
+    def start(tag, own):
+        nonlocal depth, table, columns, inside, seen, text, size, cells
+        if tag == "Table":
+            table = re.sub(r"^.*?(\w+)(:table)?$", r"\1", own.get("Name", "").replace(":table", ""))
+            columns, depth, seen, cells = [], 0, False, []
+            ready.append((table, columns, []))
+        elif table is not None:
+            depth += 1
+            if tag == "Column":
+                columns.append((own.get("Name", "").split(":")[-1], own.get("Type", "")))
+            elif tag == "Stream" and depth == 1 and not seen:
+                inside, seen, text, size = True, True, [], 0
+
+    def take(last=False):
+        nonlocal text, size, cells, many
+        whole, width = "".join(text), max(1, len(columns))
+        cut = len(whole) if last else _whole_cells(whole)
+        # the last cell gets a comma; what is empty behind the last comma is none
+        cells += _CELL.findall(whole[:cut] + "," if last and whole.strip() and not whole.rstrip().endswith(",") else whole[:cut])
+        text, size = [whole[cut:]], len(whole) - cut
+        many = max(1 << 20, 2 * size)
+        if last:
+            cells += [""] * (-len(cells) % width)
+        for i in range(0, len(cells) // width * width, rows * width):
+            ready.append((table, columns, cells[i : min(i + rows * width, len(cells) // width * width)]))
+        cells = cells[len(cells) // width * width :]
+
+    def data(piece):
+        nonlocal size
+        if inside:
+            text.append(piece)
+            size += len(piece)
+            if size > many:
+                take()
+
+    def end(tag):
+        nonlocal depth, table, inside
+        if inside and tag == "Stream" and depth == 1:
+            take(last=True)
+            inside = False
+        if tag == "Table":
+            table = None
+        elif table is not None:
+            depth -= 1
+
+    parser = expat.ParserCreate()
+    parser.buffer_text, parser.buffer_size = True, 1 << 16
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = start, data, end
+    while piece := stream.read(1 << 18):
+        parser.Parse(piece, False)
+        while len(ready) > 1:  # the last one may lack columns yet
+            yield ready.pop(0)
+    parser.Parse(b"", True)
+    yield from ready
+
+
+def _typed(text: str, kind: str):
+    """A cell of a document as its type says; null where it is empty."""
+    text = text.strip()
+    if text == "":
+        return None
+    text = re.sub(r"\\(.)", r"\1", text[1:-1], flags=re.S) if text.startswith('"') else text
+    if kind in ("ilwd:char",):
+        m = re.match(r"^\w+:\w+:(\d+)$", text)
+        return int(m[1]) if m else text
+    return int(text) if kind.startswith("int") else float(text) if kind.startswith("real") else text
+
+
+def _opened(content: bytes):
+    """A document's bytes as a file; gzip is opened as it is read."""
+    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
 def read_ligolw(document: bytes) -> dict[str, tuple[list[str], list[list]]]:
     """Tables of a LIGO Light-Weight document: name -> (columns, rows); identifiers lose their prefix."""
-    if document[:2] == b"\x1f\x8b":
-        document = gzip.decompress(document)
     out: dict = {}
-    for table in ET.parse(io.BytesIO(document)).getroot().iter("Table"):
-        name = re.sub(r"^.*?(\w+)(:table)?$", r"\1", table.get("Name", "").replace(":table", ""))
-        columns = [(c.get("Name", "").split(":")[-1], c.get("Type", "")) for c in table.iter("Column")]
-        stream = table.find("Stream")
-        text = (stream.text or "").strip() if stream is not None else ""
-        cells = [m[1] for m in re.finditer(r'\s*("(?:[^"\\]|\\.)*"|[^,"]*?)\s*(?:,|\Z)', text)][:-1] if text else []
-        if text and (not text.endswith(",") or len(cells) % max(1, len(columns))):
-            # the last match is the empty rest behind the last cell, unless that cell is itself empty
-            cells += [""] * (-len(cells) % max(1, len(columns)))
-
-        def value(text, kind):
-            if text == "":
-                return None
-            text = re.sub(r"\\(.)", r"\1", text[1:-1]) if text.startswith('"') else text.strip()
-            if kind in ("ilwd:char",):
-                m = re.match(r"^\w+:\w+:(\d+)$", text)
-                return int(m[1]) if m else text
-            if kind.startswith("int"):
-                return int(text)
-            if kind.startswith("real"):
-                return float(text)
-            return text
-
+    for name, columns, cells in ligolw_cells(_opened(document)):
         width = max(1, len(columns))
-        rows = [[value(t, columns[k][1]) for k, t in enumerate(cells[i : i + width])] for i in range(0, len(cells) - width + 1, width)]
+        rows = [[_typed(t, columns[k][1]) for k, t in enumerate(cells[i : i + width])] for i in range(0, len(cells), width)] if columns else []
         out.setdefault(name, ([c for c, _ in columns], []))[1].extend(rows)
     return out
 
 
-def read_sqlite(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
-    """Tables of an SQLite database given as bytes, opened in memory."""
+def sqlite_batches(content: bytes, rows: int = 20_000):
+    """Yield (table, columns, some rows) of an SQLite database given as bytes, opened in memory; a table without rows comes once."""
     if content[18:20] == b"\x02\x02":  # written with a write-ahead log, which bytes don't have
         content = content[:18] + b"\x01\x01" + content[20:]
     db = sqlite3.connect(":memory:")
     try:
         db.deserialize(content)
         names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
-        out = {}
         for n in names:
-            rows = db.execute(f'SELECT * FROM "{n}"')
-            out[n] = ([c[0] for c in rows.description], [list(r) for r in rows])
-        return out
+            found = db.execute(f'SELECT * FROM "{n}"')
+            columns = [c[0] for c in found.description]
+            yield n, columns, found.fetchmany(rows)
+            while some := found.fetchmany(rows):
+                yield n, columns, some
     finally:
         db.close()
 
 
+def read_sqlite(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
+    """Tables of an SQLite database given as bytes: name -> (columns, rows)."""
+    out: dict = {}
+    for name, columns, rows in sqlite_batches(content):
+        out.setdefault(name, (columns, []))[1].extend(map(list, rows))
+    return out
+
+
 def open_sqlite(name: str, mode: str = "r") -> sqlite3.Connection:
     """A connection: r needs an existing file, w starts anew, a keeps what is there; pipes are refused."""
     if name in ("-", "/dev/stdin", "/dev/stdout"):
@@ -158,14 +243,42 @@ EVENT_TABLES = {
 }
 
 
-def parse_events(content: bytes) -> dict[str, tuple[list[str], list[list]]]:
-    """Tables of a document or database, by the format that its first bytes show; gzip is opened first."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    form = kind_of_events(content[:64])
+def event_batches(content: bytes, tables: dict[str, list[tuple[str, str]]]):
+    """Yield (table, columns, a list of values for each column, types or None) of a document or database, some rows at a time; other tables are left out.
+
+    The format is what the first bytes show; gzip is opened as it is read.  Types are those of a document whose cells are still text.
+    """
+    file = _opened(content)
+    form = kind_of_events(file.read(64))
+    file.seek(0)
     if form == "hdf":
         raise NotImplementedError("HDF files hold columns, not documents: read their groups with read_hdf and give them to hdf_events")
-    return read_sqlite(content) if form == "sqlite" else read_ligolw(content)
+    if form == "sqlite":
+        for name, columns, rows in sqlite_batches(file.read()):
+            if name in tables and rows:
+                yield name, columns, list(zip(*rows)), None
+        return
+    for name, columns, cells in ligolw_cells(file):
+        if name in tables and cells and columns:
+            yield name, [c for c, _ in columns], [cells[k :: len(columns)] for k in range(len(columns))], [t for _, t in columns]
+
+
+def _column(values, kind: str, declared: str | None) -> pa.Array:
+    """Values of a column as an array of ``kind``; ``declared`` is the type in a document, whose cells are text."""
+    to = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[kind]
+    if declared is None:
+        return pa.array([_cell(v, kind) for v in values], to)
+    if kind != "string" or not re.match("int|real|ilwd", declared):
+        text = pc.utf8_trim_whitespace(pa.array(values, pa.string()))
+        text = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+        if pc.any(pc.starts_with(text, '"')).as_py():
+            text = None if pc.any(pc.match_substring(text, "\\")).as_py() else pc.replace_substring_regex(text, r'(?s)^"(.*)"$', r"\1")
+        try:
+            if text is not None:
+                return text if kind == "string" else text.cast(to)
+        except pa.ArrowInvalid:
+            pass  # identifiers with a prefix, and what only Python reads
+    return pa.array([_cell(_typed(v, declared), kind) for v in values], to)
 
 
 def _cell(value, kind: str):
@@ -190,28 +303,26 @@ def event_table(spark: SparkSession, path: str, name: str, schema: str | None =
 
 
 def _parsed(spark: SparkSession, path: str, tables: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """(path, table, columns of all tables) of the files under ``path``: each file is read and parsed once, for all tables."""
+    """(path, table, columns of all tables) of the files under ``path``: each file is read and parsed once, for all tables, some rows at a time."""
     every = dict(c for columns in tables.values() for c in columns)
     out = fields("path:string,table:string," + ",".join(":".join(c) for c in every.items()))
 
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
     def run(batches):
         for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                parsed = parse_events(bytes(content))
-                for name, columns in tables.items():
-                    names, rows = parsed.pop(name, ([], []))
-                    at = {n: k for k, n in enumerate(names)}
-                    for i in range(0, len(rows), 10_000):
-                        found = []
-                        for r in rows[i : i + 10_000]:
-                            row = {c: _cell(r[at[c]], t) if c in at else None for c, t in columns}
-                            if "end" in row and "end" not in at and "end_time" in at:
-                                row["end"] = _cell(r[at["end_time"]], "double") + 1e-9 * (_cell(r[at["end_time_ns"]], "double") or 0.0 if "end_time_ns" in at else 0.0)
-                            found.append((file, name, *[row.get(c) for c in every]))
-                        frame = pd.DataFrame(found, columns=out.names)
-                        yield frame.astype({c: "Int64" if t == "long" else "Int32" for c, t in every.items() if t in ("long", "int")})
+            for file, content in zip(b.column("path"), b.column("content")):
+                for name, names, values, declared in event_batches(content.as_py(), tables):
+                    at, n = {c: k for k, c in enumerate(names)}, len(values[0])
+                    read = lambda c, t: _column(values[at[c]], t, declared and declared[at[c]])  # noqa: B023, E731
+                    row = {c: read(c, t) for c, t in tables[name] if c in at}
+                    if "end" not in at and "end_time" in at and ("end", "double") in tables[name]:
+                        ns = pc.fill_null(read("end_time_ns", "double"), 0.0) if "end_time_ns" in at else 0.0
+                        row["end"] = pc.add(read("end_time", "double"), pc.multiply(ns, 1e-9))
+                    held = [row[c] if c in row else pa.nulls(n, types[t]) for c, t in every.items()]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(file.as_py(), n), pa.repeat(name, n), *held], names=out.names)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, out)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, out)
 
 
 def event_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -285,13 +396,20 @@ def _series(spark: SparkSession, path: str, columns: str, pick) -> DataFrame:
 _XML_TYPES = {"long": "int_8s", "int": "int_4s", "double": "real_8", "float": "real_4", "string": "lstring"}
 
 
+def _head_of(name: str, columns: str) -> str:
+    """A table of a document up to its rows; ``columns`` as ``a:long,b:string``."""
+    named = [c.split(":") for c in columns.split(",")]
+    return f'<Table Name="{name}:table">\n' + "".join(f'<Column Name="{n}" Type="{_XML_TYPES[t]}"/>\n' for n, t in named) + f'<Stream Name="{name}:table" Type="Local" Delimiter=",">\n'
+
+
+_FIRST, _END_OF_TABLE, _LAST = "<?xml version='1.0' encoding='utf-8'?>\n<LIGO_LW>\n", "\n</Stream></Table>\n", "</LIGO_LW>\n"
+
+
 def ligolw_document(tables: dict[str, tuple[str, list[list]]]) -> bytes:
     """A document of tables: name -> (columns as ``a:long,b:string``, rows)."""
-    parts = ["<?xml version='1.0' encoding='utf-8'?>", "<LIGO_LW>"]
+    parts = [_FIRST]
     for name, (columns, rows) in tables.items():
-        named = [c.split(":") for c in columns.split(",")]
-        parts.append(f'<Table Name="{name}:table">')
-        parts += [f'<Column Name="{n}" Type="{_XML_TYPES[t]}"/>' for n, t in named]
+        types = [c.split(":")[1] for c in columns.split(",")]
 
         def text(v, t):
             if v is None:
@@ -301,38 +419,69 @@ def ligolw_document(tables: dict[str, tuple[str, list[list]]]) -> bytes:
                 return escape(f'"{quoted}"')
             return str(int(v)) if t in ("long", "int") else repr(float(v))
 
-        lines = [",".join(text(v, t) for v, (_, t) in zip(r, named)) for r in rows]
-        parts.append(f'<Stream Name="{name}:table" Type="Local" Delimiter=",">\n' + ",\n".join(lines) + "\n</Stream></Table>")
-    return "\n".join([*parts, "</LIGO_LW>\n"]).encode()
+        lines = [",".join(text(v, t) for v, t in zip(r, types)) for r in rows]
+        parts += [_head_of(name, columns), ",\n".join(lines), _END_OF_TABLE]
+    return "".join([*parts, _LAST]).encode()
+
+
+def _line(columns: str) -> Column:
+    """A row as it stands in a document."""
+
+    def text(c, t):
+        if t != "string":
+            return F.col(c).cast("double" if t == "float" else t).cast("string")
+        for old, new in (("\\", "\\\\"), ('"', '\\"'), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(F.col(c) if isinstance(c, str) else c, F.lit(old), F.lit(new))
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    return F.concat_ws(",", *[F.coalesce(text(*c.split(":")), F.lit("")) for c in columns.split(",")])
 
 
 def write_ligolw(tables: dict[str, DataFrame], key: str, folder: str, suffix: str = ".xml.gz") -> DataFrame:
     """One document for each value of ``key``, written by the task that holds it: (key, path, bytes), once an action runs.
 
     Every table has ``key``; its other columns are plain ones of ``EVENT_TABLES``' kinds.  Rows of all tables go to their document
-    together; .gz is compressed.
+    together, sorted by Spark, and are written as they come: no document is held whole.  .gz is compressed.
     """
-    from .fits import save
+    from .fits import saved
 
     kinds = {n: ",".join(f"{f.name}:{ {'bigint': 'long'}.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in t.schema.fields if f.name != key) for n, t in tables.items()}
     both = None
-    for n, t in tables.items():
-        own = t.select(F.col(key).cast("string").alias("key"), F.lit(n).alias("name"), F.to_json(F.struct(*[c for c in t.columns if c != key]), {"ignoreNullFields": "false"}).alias("row"))
+    for k, (n, t) in enumerate(tables.items()):
+        own = t.select(F.col(key).cast("string").alias("key"), F.lit(k).alias("table"), _line(kinds[n]).alias("line"))
         both = own if both is None else both.unionByName(own)
+    between = [(_END_OF_TABLE if k else _FIRST) + _head_of(n, columns) for k, (n, columns) in enumerate(kinds.items())]
+    end = (_END_OF_TABLE if kinds else _FIRST) + _LAST
 
-    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        content = {}
-        for n, columns in kinds.items():
-            names = [c.split(":")[0] for c in columns.split(",")]
-            found = sorted(rows.loc[rows["name"] == n, "row"])
-            content[n] = (columns, [[json.loads(r).get(c) for c in names] for r in found])
-        data = ligolw_document(content)
-        data = gzip.compress(data, mtime=0) if suffix.endswith(".gz") else data
-        path = f"{folder}/{k[0]}{suffix}"
-        save(data, path)
-        return pd.DataFrame([(k[0], path, len(data))], columns=["key", "path", "bytes"])
-
-    return both.groupBy("key").applyInPandas(one, fields("key:string,path:string,bytes:long"))
+    def runs(batches):
+        """(key, table, lines): stretches of rows of one table of one document."""
+        for b in batches:
+            keys, places, lines = (b.column(c) for c in ("key", "table", "line"))
+            first = 0
+            while first < b.num_rows:
+                same = pc.and_kleene(pc.equal(places, places[first]), pc.equal(keys, keys[first]) if keys[first].is_valid else pc.is_null(keys))
+                last = first + pc.sum(same.slice(first)).as_py()  # rows are sorted
+                yield keys[first].as_py(), places[first].as_py(), lines.slice(first, last - first).to_pylist()
+                first = last
+
+    def write(batches):
+        for k, own in itertools.groupby(runs(batches), key=lambda r: r[0]):
+            path, size = f"{folder}/{k}{suffix}", 0
+            with saved(path) as file, gzip.GzipFile("", "wb", 6, file, 0) if suffix.endswith(".gz") else contextlib.nullcontext(file) as out:
+                done, fresh = 0, True
+                for _, place, lines in own:
+                    while done <= place:
+                        out.write(between[done].encode())
+                        done, fresh = done + 1, True
+                    out.write((("" if fresh else ",\n") + ",\n".join(lines)).encode())
+                    fresh = False
+                out.write(("".join(between[done:]) + end).encode())
+                if out is not file:
+                    out.close()
+                size = file.tell()
+            yield pa.RecordBatch.from_pydict({"key": [k], "path": [path], "bytes": [size]}, schema=pa.schema([("key", pa.string()), ("path", pa.string()), ("bytes", pa.int64())]))
+
+    return both.repartition("key").sortWithinPartitions("key", "table", "line").mapInArrow(write, fields("key:string,path:string,bytes:long"))
 
 
 def find_table(spark: SparkSession, folder: str, name: str = "posterior_samples") -> str:

@@ -11,7 +11,7 @@ from ..functions import index as ix
 from ..operators import contours, credible, crossmatch, density, events, image, localize, maps, moments, simulate, stats, visibility
 from ..streaming import windows
 from . import geometry_sql as geo
-from .fixtures import FLAT, POINTS, SKY, cents, distances, flat_map, points, sky_map, table, triggers
+from .fixtures import FLAT, POINTS, SKY, cents, distances, flat_map, line_pixels, points, sky_map, table, triggers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -693,8 +693,7 @@ def contour_rings(spark, sf_dir):
 def large_map_contours(spark, sf_dir):
     """Contours of one map at order 8, whose cells grow with the data: rings by their length."""
     li = table(spark, sf_dir, "lineitem")
-    ipix = F.shiftright(((F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 10007) * 1299709) % (12 * 4**29), 42)
-    m = li.groupBy(ipix.alias("ipix")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
+    m = li.groupBy(F.shiftright(line_pixels(), 42).alias("ipix")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
     levels = credible.greedy_levels(m, "w", tie="ipix").select("ipix", "cls")
     r = contours.rings(contours.boundary_edges(levels, 8, [0.5, 0.9]), 8)
     r = r.groupBy("level", "ring").agg(F.count(F.lit(1)).alias("length"), F.sum("ipix").alias("pixels"))

@@ -16,7 +16,7 @@ from ..operators.prefix import cumulative_by_range
 from ..sources import fits, tables
 from ..storage import shared_folder
 from . import geometry_sql as geo
-from .fixtures import FLAT, SKY, flat_map, sky_map, table
+from .fixtures import FLAT, SKY, flat_map, line_pixels, sky_map, table
 from .queries import _FAR, CUSTOMERS, DISTANCES, FOUND, GREEDY, VOXELS, _catalog, _density_map, _distance_map, _modes_sql, _ranked, _suppliers, query
 
 
@@ -436,8 +436,7 @@ def lines_roundtrip(spark, sf_dir):
 def _large_map(spark, sf_dir):
     """(uniq, w): lines of orders as the cells of one map at order 9, 3,145,728 cells at most."""
     li = table(spark, sf_dir, "lineitem")
-    ipix = F.shiftright(((F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 10007) * 1299709) % (12 * 4**29), 40)
-    return li.groupBy((ipix + 4**10).alias("uniq")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
+    return li.groupBy((F.shiftright(line_pixels(), 40) + 4**10).alias("uniq")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
 
 
 _LARGE = "large AS (SELECT ((((l_orderkey * 1000003 + l_partkey * 10007) * 1299709) % 3458764513820540928) >> 40) + 1048576 AS uniq, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS w FROM lineitem GROUP BY 1)"

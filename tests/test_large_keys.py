@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.plans import fixtures
+from skylattice.plans import extra, fixtures
 from skylattice.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,12 @@ def test_pixels_of_lines_at_the_edges(spark):
     for o, q, p in got:
         a = (o * 1000003 + q * 10007) * 1299709
         assert p == (abs(a) % fixtures.PIXELS_29) * (1 if a >= 0 else -1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_modes_of_the_large_map(spark, large):
+    """Cells of few lines rarely touch: as many modes as a count of touching cells by neighbours gives."""
+    folder, _ = large
+    got = {r.level: r.modes for r in core.QUERIES["large_map_modes"](spark, folder).collect()}
+    cells = extra._large_map(spark, folder).count()
+    assert set(got) == {0.5, 0.9} and 0 < got[0.5] < got[0.9] <= cells

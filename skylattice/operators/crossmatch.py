@@ -48,8 +48,10 @@ def find_floor(values: DataFrame, ladder: DataFrame, key: str = "x") -> DataFram
     return out.where("_rung = 0").select(*values.columns, (F.col("_count") - 1).cast("long").alias("floor"))
 
 
-def catalog_points(catalog: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:
-    """Add ``p29`` to a catalog of directions in radians."""
+def catalog_points(catalog: DataFrame, ra: str = "ra", dec: str = "dec", z: str | None = None) -> DataFrame:
+    """Add ``p29`` to a catalog of directions in radians; ``z`` names a column of the sine of dec, where the catalog has it exactly."""
+    if z is not None:
+        return catalog.withColumn("p29", ix.zphi2nest(F.lit(29), F.col(z), F.pmod(F.col(ra), F.lit(2 * math.pi))))
     return catalog.withColumn("p29", ix.ang2nest(F.lit(29), F.lit(math.pi / 2) - F.col(dec), F.pmod(F.col(ra), F.lit(2 * math.pi))))
 
 

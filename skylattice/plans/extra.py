@@ -49,7 +49,7 @@ def ring_index(spark, sf_dir):
 @query(f"SELECT id, p AS ipix FROM {geo.lookup(f'({CUSTOMERS})', 3)}")
 def direction_to_cell(spark, sf_dir):
     c = _catalog(spark, sf_dir)
-    return c.select("id", ix.ang2nest(F.lit(3), F.lit(np.pi / 2) - F.col("dec"), F.col("ra")).alias("ipix"))
+    return c.select("id", ix.zphi2nest(F.lit(3), F.col("sine"), F.col("ra")).alias("ipix"))
 
 
 @query(f"SELECT DISTINCT a.p AS ipix, b.p AS near FROM {geo.corners(3)} a JOIN {geo.corners(3)} b ON a.key = b.key AND a.p <> b.p WHERE a.p IN (SELECT c_custkey * 5 % 768 FROM customer)")
@@ -240,7 +240,7 @@ def searched_modes(spark, sf_dir):
     """Modes of the region that each target closes, of four maps: one running sum a map, whatever the number of targets."""
     m = modes.with_steps(_density_map(spark, sf_dir), ["map_id"])
     c = cumulative_by_range(m, ["map_id"], [F.desc("probdensity"), F.col("uniq")], {"modes": F.col("modes_step")})
-    hit = crossmatch.locate(crossmatch.catalog_points(_catalog(spark, sf_dir)), c.select("map_id", "uniq", F.col("modes").cast("long").alias("modes")))
+    hit = crossmatch.locate(crossmatch.catalog_points(_catalog(spark, sf_dir), z="sine"), c.select("map_id", "uniq", F.col("modes").cast("long").alias("modes")))
     return hit.select("id", "map_id", "modes")
 
 

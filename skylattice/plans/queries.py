@@ -534,8 +534,9 @@ def volume_render(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 628 / 100.0).alias("ra"), F.asin((F.col("c_custkey") * 17 % 1999 - 999) / 1000.0).alias("dec"))
+    """Customers as directions; ``sine`` is that of dec."""
+    c, z = table(spark, sf_dir, "customer"), (F.col("c_custkey") * 17 % 1999 - 999) / 1000.0
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 628 / 100.0).alias("ra"), F.asin(z).alias("dec"), z.alias("sine"))
 
 
 def _density_map(spark, sf_dir):
@@ -553,7 +554,7 @@ CUSTOMERS = "SELECT c_custkey AS id, (c_custkey * 37 % 628 / 100.0)::DOUBLE AS p
         round(avg(cum_units * 41252.96124941928 / 768), 6) AS searched_area, round(avg(cum_w / all_w), 9) AS searched_prob
     FROM hit JOIN c ON c.ipix = hit.p // (CASE ord WHEN 2 THEN 4 ELSE 1 END) JOIN best USING (map_id) GROUP BY 1""")
 def searched_offset(spark, sf_dir):
-    hit = crossmatch.searched(_density_map(spark, sf_dir), crossmatch.catalog_points(_catalog(spark, sf_dir)), ["map_id"])
+    hit = crossmatch.searched(_density_map(spark, sf_dir), crossmatch.catalog_points(_catalog(spark, sf_dir), z="sine"), ["map_id"])
     return hit.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("offset"), 6).alias("offset"), F.round(F.avg("searched_area"), 6).alias("searched_area"), F.round(F.avg("searched_prob"), 9).alias("searched_prob"))
 
 

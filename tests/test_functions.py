@@ -134,3 +134,15 @@ def test_polygons():
 def test_cell_max_and_beta():
     assert (simulate.cell_max(np.arange(9).reshape(3, 3)) == [[4, 5], [7, 8]]).all()
     assert float(special.beta_quantile(0.5, 2, 2)) == pytest.approx(0.5)
+
+
+def test_directions_on_the_edges_of_pixels():
+    """The meridian 0 opens base cells 0 and 8 of the caps; on edges between, a direction given by z keeps to the published formula."""
+    z = np.array([0.998, -0.995, -0.997, 0.0, 0.5, -0.5])
+    assert healpix.zphi2pix(3, z, np.zeros(6)).tolist() == [63, 512, 512, 282, 317, 257]
+    near = np.linspace(0.6667, 0.9999, 2000)
+    assert (healpix.ang2pix(3, np.arccos(near), np.zeros(2000)) < 64).all() and (healpix.ang2pix(3, np.arccos(-near), np.zeros(2000)) // 64 == 8).all()
+    rng = np.random.default_rng(1)
+    z, phi = rng.uniform(-1, 1, 20_000), rng.uniform(0, 2 * np.pi, 20_000)
+    assert (healpix.zphi2pix(9, z, phi) == healpix.ang2pix(9, np.arccos(z), phi)).all()
+    assert (healpix.zphi2pix(29, z, phi) >> 40 == healpix.zphi2pix(9, z, phi)).all()

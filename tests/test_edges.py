@@ -13,7 +13,7 @@ ON_EDGES = [57148, 114296, 299556, 777464, 1077020, 1198224]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["direction_to_cell"])
+@pytest.mark.parametrize("name", ["direction_to_cell", "searched_modes"])
 def test_against_sql(spark, tmp_path, name):
     import duckdb
 

@@ -96,6 +96,19 @@ def test_sums_beyond_64_bits(spark, far, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_modes_beyond_64_bits(spark, far):
+    """The modes of the map as SQL in 128 bits has it."""
+    from skylattice.operators import crossmatch
+
+    folder, duck = far
+    sql = extra._LARGE.replace(f"{PRODUCT} % {fixtures.PIXELS_29}", f"((l_orderkey::HUGEINT * 1000003 + l_partkey::HUGEINT * 10007) * 1299709 % {fixtures.PIXELS_29})::BIGINT")
+    cells = duck.sql(f"WITH {sql} SELECT uniq, w::DOUBLE AS probdensity FROM large").df()
+    cells["probdensity"] /= cells["probdensity"].sum() * 4 * np.pi / 3145728
+    want = crossmatch.contour_modes(spark.createDataFrame(cells), [0.5, 0.9])
+    assert sorted(core.QUERIES["large_map_modes"](spark, folder).collect()) == sorted(want.collect())
+
+
 def test_pixels_of_all_keys_of_64_bits(spark):
     top = 2**63 - 1
     keys = [(top, top), (-top - 1, -top - 1), (top, -top), (10007, -1000003), (10007, -1000004), (-10007, 1000002), (59 * 10**12, 59 * 10**12), (-(2**32), 1), (2**32 - 1, 2**32 - 1), (None, 1)]

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 PRODUCT = "((l_orderkey * 1000003 + l_partkey * 10007) * 1299709)"
 WIDE = "((l_orderkey * 1000003 + l_partkey * 10007)::HUGEINT * 1299709)"
 NAMES = ["adaptive_histogram", "crossmatch_searched", "flat_bitmap", "large_map_contours", "large_map_levels", "large_map_locate", "locate_points", "tree_leaves", "tree_leaves_in_sql"]
-FAR = ["crossmatch_searched", "flat_bitmap", "large_map_locate", "locate_points", "tree_leaves"]
+FAR = ["crossmatch_searched", "flat_bitmap", "large_map_locate", "locate_points", "tree_leaves", "tree_leaves_in_sql"]
 
 
 @pytest.fixture(scope="module")

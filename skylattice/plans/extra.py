@@ -451,7 +451,10 @@ def large_map_levels(spark, sf_dir):
 @query(f"WITH {_LARGE}, c AS (SELECT (l_orderkey * 7 + l_linenumber) % 3145728 AS p FROM lineitem) SELECT count(*) AS n, sum(w)::BIGINT AS w FROM c JOIN large ON uniq = p + 1048576")
 def large_map_locate(spark, sf_dir):
     """Points in the cells of that map."""
-    points = table(spark, sf_dir, "lineitem").select(F.shiftleft((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3145728, 40).alias("p29"))
+    key, line, n = F.col("l_orderkey"), F.col("l_linenumber"), 3145728
+    rest = F.pmod(F.pmod(key, F.lit(n)) * 7 + line, F.lit(n))  # seven times a key may leave 64 bits
+    pixel = F.when((key < -line / 7) & (rest > 0), rest - n).otherwise(rest)
+    points = table(spark, sf_dir, "lineitem").select(F.shiftleft(pixel, 40).alias("p29"))
     return crossmatch.locate(points, _large_map(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
 
 

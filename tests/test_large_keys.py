@@ -116,3 +116,20 @@ def test_pixels_of_all_keys_of_64_bits(spark):
     for o, q, p in got:
         a = None if o is None else (o * 1000003 + q * 10007) * 1299709
         assert p == (None if a is None else (abs(a) % fixtures.PIXELS_29) * (1 if a >= 0 else -1))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_located_points_of_keys_times_seven(spark, tmp_path):
+    """Keys of which seven times one leaves 64 bits."""
+    import duckdb
+
+    t = spark.read.parquet(f"{SF}/lineitem.parquet")
+    t.withColumn("l_orderkey", F.col("l_orderkey") * 10**14 + 59 * 10**17).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    sql, seven = core.ORACLE_SQL["large_map_locate"], "(l_orderkey * 7 + l_linenumber) % 3145728"
+    assert PRODUCT in sql and seven in sql
+    wide = sql.replace(f"{PRODUCT} % {fixtures.PIXELS_29}", f"((l_orderkey::HUGEINT * 1000003 + l_partkey * 10007) * 1299709 % {fixtures.PIXELS_29})::BIGINT")
+    want = duck.sql(wide.replace(seven, "((l_orderkey::HUGEINT * 7 + l_linenumber) % 3145728)::BIGINT")).fetchall()
+    got = core.QUERIES["large_map_locate"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == want and want[0][0] > 0

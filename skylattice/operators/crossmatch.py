@@ -101,7 +101,7 @@ def _modes_within(run: DataFrame, upto: str, contours: list[float], keys: list[s
     sums = [F.sum(F.when(F.col(upto) <= float(c), F.col("modes_step")).otherwise(0)) for c in contours]
     wide = run.groupBy(*keys).agg(F.array(*sums).alias("_m"))
     levels = F.array(*[F.lit(float(c)) for c in contours])
-    return wide.select(*keys, F.explode(F.arrays_zip(levels.alias("level"), F.col("_m").alias("modes"))).alias("_x")).select(*keys, "_x.level", F.col("_x.modes").cast("long").alias("modes"))
+    return wide.select(*keys, F.explode(F.arrays_zip(levels.alias("level"), F.col("_m").alias("modes"))).alias("_x")).select(*keys, "_x.level", F.coalesce("_x.modes", F.lit(0)).cast("long").alias("modes"))
 
 
 def flood_fill(mask: DataFrame, order: int, seed: int | DataFrame, keys: list[str] = []) -> DataFrame:

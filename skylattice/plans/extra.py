@@ -433,9 +433,9 @@ def lines_roundtrip(spark, sf_dir):
 # --- a map that grows with the data
 
 
-def _large_map(spark, sf_dir):
-    """(uniq, w): lines of orders as the cells of one map at order 9, 3,145,728 cells at most."""
-    li = table(spark, sf_dir, "lineitem")
+def _large_map(spark, sf_dir, lines=None):
+    """(uniq, w): lines of orders, by default all, as the cells of one map at order 9, 3,145,728 cells at most."""
+    li = table(spark, sf_dir, "lineitem") if lines is None else lines
     return li.groupBy((F.shiftright(line_pixels(), 40) + 4**10).alias("uniq")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
 
 
@@ -461,6 +461,7 @@ def large_map_locate(spark, sf_dir):
 @query()
 def large_map_modes(spark, sf_dir):
     """Modes of the credible regions of that map; the merge tree is tested by brute force, as labels take SQL minutes here."""
-    m = _large_map(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").dropna(subset=["l_orderkey", "l_partkey"])  # others have no pixel
+    m = _large_map(spark, sf_dir, lines)
     total = m.agg(F.sum("w")).first()[0] or 1
     return crossmatch.contour_modes(m.select("uniq", (F.col("w") / total / ix.uniq2pixarea("uniq")).alias("probdensity")), [0.5, 0.9])

@@ -133,3 +133,16 @@ def test_located_points_of_keys_times_seven(spark, tmp_path):
     want = duck.sql(wide.replace(seven, "((l_orderkey::HUGEINT * 7 + l_linenumber) % 3145728)::BIGINT")).fetchall()
     got = core.QUERIES["large_map_locate"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == want and want[0][0] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_modes_without_lines_that_have_no_pixel(spark, tmp_path):
+    """Lines without a key take no part in the modes; no lines have none."""
+    t = spark.read.parquet(f"{SF}/lineitem.parquet")
+    key = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("long")).otherwise(F.col("l_orderkey"))
+    keyed = t.withColumn("l_orderkey", key)
+    for name, rows in (("some", keyed), ("rest", keyed.where("l_orderkey IS NOT NULL")), ("none", keyed.limit(0))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+    some, rest, none = ({r.level: r.modes for r in core.QUERIES["large_map_modes"](spark, f"{tmp_path}/{name}").collect()} for name in ("some", "rest", "none"))
+    assert some == rest and all(n > 0 for n in rest.values())
+    assert none == {0.5: 0, 0.9: 0}
